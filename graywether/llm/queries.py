@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import lexicon, mixing, quality, sharding, simhash
+from graywether.llm import lexicon, licences, mixing, quality, sharding, simhash
 from graywether.llm.tables import documents
 
 
@@ -33,6 +33,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_licences", "licences")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -51,9 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_bpe": op3_bpe,
+    "op5_licences": op5_licences,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_licences": licences.oracle()}

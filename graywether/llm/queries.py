@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import lexicon, licences, mixing, quality, sharding, simhash
+from graywether.llm import lexicon, licences, mixing, privacy, quality, sharding, simhash
 from graywether.llm.tables import documents
 
 
@@ -38,6 +38,12 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_sentences", "n_licences", "licences")
 
 
+def op6_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.report(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [f"n_{k}" for k in privacy.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_terms")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_bpe": op3_bpe,
     "op5_licences": op5_licences,
+    "op6_privacy": op6_privacy,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import lexicon, licences, mixing, privacy, quality, sharding, simhash
+from graywether.llm import lexicon, licences, mixing, ordermin, privacy, quality, sharding, simhash
 from graywether.llm.tables import documents
 
 
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def word_vocabulary() -> str:
     """Path of the vocabulary file that op3 is asked to use."""
     import public_tokenizers
@@ -61,6 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_ordermin": op2_ordermin,
     "op3_bpe": op3_bpe,
     "op5_licences": op5_licences,
     "op6_privacy": op6_privacy,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import lexicon, licences, mixing, ordermin, privacy, quality, sharding, simhash
+from graywether.llm import lexicon, licences, mixing, ordermin, privacy, quality, sharding, simhash, suffixtree
 from graywether.llm.tables import documents
 
 
@@ -53,6 +53,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir).select("doc_id", "text"), shards=24)
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licences": op5_licences,
     "op6_privacy": op6_privacy,
     "op7_simhash": op7_simhash,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import lexicon, licences, mixing, ordermin, privacy, quality, sharding, simhash, suffixtree
+from graywether.llm import lexicon, licences, mixing, ordermin, passages, privacy, quality, sharding, simhash, suffixtree
 from graywether.llm.tables import documents
 
 
@@ -37,6 +37,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_sentences", "n_licences", "licences")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ordermin": op2_ordermin,
     "op3_bpe": op3_bpe,
+    "op4_passages": op4_passages,
     "op5_licences": op5_licences,
     "op6_privacy": op6_privacy,
     "op7_simhash": op7_simhash,

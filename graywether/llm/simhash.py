@@ -18,7 +18,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graywether.llm.tables import Workspace
@@ -67,16 +67,22 @@ def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """key and fp (the fingerprint as long) of each row; a null text counts as empty."""
+    """key, row_key and fp (the fingerprint as long) of each row; a null text counts as empty."""
     kind = docs.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in texts), dtype=np.int64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[key, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps)], names=[key, "row_key", "fp"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind.dataType.simpleString()}, fp long")
+    rows = docs.select(key, row_key(F.col(key)).alias("row_key"), "text")
+    return rows.mapInArrow(run, f"`{key}` {kind.dataType.simpleString()}, row_key long, fp long")
+
+
+def row_key(key: Column) -> Column:
+    """Tells rows apart by key and text."""
+    return F.xxhash64(key.cast("string"), F.col("text"))
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -184,23 +190,39 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """key, fp (long), fingerprint (16 hex digits) and component_id of each row of docs (key, text).
+    """key, row_key, group, fingerprint (16 hex digits) and component_id of each row of docs (key, text).
 
     component_id is the smallest key reachable over links of MAX_BITS or fewer differing bits, the row's own
-    included; nulls among keys are passed over, a component of null keys has a null id. Repeated rows share a
-    component. Texts without words have fingerprint zero and are linked like any other.
+    included; nulls among keys are passed over, a component of null keys has a null id. group is the same for all
+    rows of a component. Repeated rows share a component. Texts without words have fingerprint zero and are linked
+    like any other.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     rows = ws.save(fingerprints(docs, key, shingle), "fingerprints")
     classes = ws.save(rows.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
     roots = components(links(classes), ws)
     if roots is None:
-        found = classes.select("fp", F.col("rep").alias("component_id"))
+        found = classes.select("fp", F.col("fp").alias("group"), F.col("rep").alias("component_id"))
     else:
-        placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-        found = placed.join(least, "root").select("fp", "component_id")
+        placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
+        least = placed.groupBy("group").agg(F.min("rep").alias("component_id"))
+        found = placed.join(least, "group").select("fp", "group", "component_id")
     found = ws.save(found, "found")
     return rows.join(found, "fp").select(
-        key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        key, "row_key", "group", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of the least key (then of the least row_key).
+
+    Rows that repeat the one that stays go too. Columns are those of docs.
+    """
+    ws = Workspace(docs.sparkSession, "keep_one")
+    found = near_duplicates(docs, key, shingle)
+    first = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("row_key").alias("r")))
+    stay = found.groupBy("group").agg(first.alias("m")).select(F.col("m.r").alias("__row_key"))
+    stay = ws.save(stay.distinct(), "stay")
+    joined = docs.withColumn("__row_key", row_key(F.col(key))).join(stay, "__row_key", "left_semi")
+    numbered = joined.withColumn("__no", F.expr("row_number() over (partition by __row_key order by __row_key)"))
+    return numbered.where("__no = 1").select(*docs.columns)

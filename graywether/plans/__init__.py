@@ -1,0 +1,10 @@
+"""Queries over the test tables, by area; load_all() registers them."""
+
+from importlib import import_module
+
+AREAS = ("lanes",)
+
+
+def load_all() -> None:
+    for area in AREAS:
+        import_module(f"graywether.plans.{area}")

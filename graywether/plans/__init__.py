@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes",)
+AREAS = ("lanes", "texts")
 
 
 def load_all() -> None:

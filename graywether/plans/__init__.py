@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes", "texts")
+AREAS = ("lanes", "texts", "cases")
 
 
 def load_all() -> None:

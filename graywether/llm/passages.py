@@ -288,9 +288,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     ws = Workspace(docs.sparkSession, "passages")
     rows = docs.select(F.col(key).alias("key"), row_key(F.col(key)).alias("row_key"), "text")
     all_regions = ws.save(regions(rows), "regions")
-    twice = all_regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n >= 2").select("anchor")
+    # written first, so that the join's sides are plain reads and a common anchor's regions can be split over tasks
+    twice = ws.save(all_regions.groupBy("anchor").agg(F.count("*").alias("n")).where("n >= 2").select("anchor"), "twice")
     recurring = ws.save(all_regions.join(twice, "anchor", "left_semi"), "recurring")
-    ws.drop("regions")
+    ws.drop("regions", "twice")
     classes = recurring.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min_by("first", "row_key").alias("first"), F.first("windows").alias("windows")
     )

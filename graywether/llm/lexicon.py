@@ -22,9 +22,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graywether.llm.tables import Workspace
+
 #: Words in the automaton; all others are merged.
 LEXICON_WORDS = 100_000
 #: Words that a worker remembers, and words counted before partial counts go to Spark.
@@ -263,10 +265,18 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def build(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the `size` most frequent words of docs and ship the file; gives its name for SparkFiles."""
+    """Compile the most frequent words of docs, `size` at most, and ship the file; gives its name for SparkFiles.
+
+    The least count that is taken comes from the number of words per count, so only words of the lexicon reach the
+    driver; words that tie at the edge stay out together.
+    """
     spark = docs.sparkSession
-    top = word_counts(docs, vocabulary).orderBy(F.desc("n"), "word").limit(size)
-    words = sorted((r.word for r in top.select("word").collect()), key=str.encode)
+    counts = Workspace(spark, "lexicon").save(word_counts(docs, vocabulary), "counts")
+    per = counts.groupBy("n").agg(F.count("*").alias("words"))
+    per = per.withColumn("so_far", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = per.where(F.col("so_far") <= size).agg(F.min("n")).first()[0]
+    top = counts.where(F.col("n") >= F.lit(least)).select("word")
+    words = sorted((r.word for r in top.collect()), key=str.encode)
     model = bpe(vocabulary)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(tempfile.mkdtemp(), name)

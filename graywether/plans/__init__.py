@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes", "texts", "cases")
+AREAS = ("lanes", "texts", "cases", "feeds")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes", "texts", "cases", "feeds")
+AREAS = ("lanes", "texts", "cases", "feeds", "probes")
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes", "texts", "cases", "feeds", "probes")
+AREAS = ("lanes", "texts", "cases", "feeds", "probes", "verdicts")
 
 
 def load_all() -> None:

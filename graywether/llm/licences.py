@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each normalised (lower case, letters and digits only, single spaces). Sentences that
-are known from licence texts and notices map to their identifiers; a document's identifiers, in text order, are then
+A text is cut into sentences, each normalised (lower case, letters and digits only, single spaces). A line's end may
+end a sentence or wrap it: a sentence is any run of whole lines between two marks or blank lines. Sentences that are
+known from licence texts and notices map to their identifiers; a document's identifiers, in text order, are then
 matched against ordered rules: a rule holds if its identifiers occur in that order, others may stand between them.
 All of it is DataFrame functions on the row, so nothing is shuffled.
 """
@@ -81,19 +82,23 @@ RULES = [
     ("Unlicense", "text", ["unlicense-grant"]),
 ]
 
-#: A sentence ends at a line's end, or at . ! ? ; : followed by a blank.
-_ENDS = r"\n|[.!?;:](?=[ \t\r])"
+#: A sentence ends for certain at . ! ? ; : followed by white space, or at a line without letters and digits.
+_MARKS = r"[.!?;:](?=[ \t\r\n])"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text in order; a null text has none."""
+    """Identifiers of the known sentences of a text in order of their starts, then ends; a null text has none."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    longest = max(map(len, SENTENCES))
-    # a sentence with the letters of a known one is at most some times as long, whatever marks it has; only the
-    # normalised form decides, so every sentence is normalised
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), _ENDS), plain)
-    hits = F.filter(parts, lambda s: (F.char_length(s) <= longest) & s.isin(list(SENTENCES)))
+    # words parted by one blank, by a line's end or, where a sentence ends for certain, by a bar
+    plain = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _MARKS, "\n\n")), r"[^\p{L}\p{N}\n]+", " ")
+    plain = F.regexp_replace(F.concat(F.lit("|"), plain, F.lit("|")), r" ?\n ?", "\n")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\n\n+", "|"), r"\| | \|", "|")
+    # at each start the longest run that is known; shorter ones from there end at one of its lines' ends
+    longest = "|".join(s.replace(" ", r"[ \n]") for s in sorted(SENTENCES, key=len, reverse=True))
+    runs = F.regexp_extract_all(plain, F.lit(rf"(?<=[|\n])(?=({longest})[|\n])"), F.lit(1))
+    lines = F.transform(runs, lambda r: F.split(r, "\n"))
+    ends = F.transform(lines, lambda x: F.transform(x, lambda _, i: F.array_join(F.slice(x, 1, i + 1), " ")))
+    hits = F.filter(F.flatten(ends), lambda s: s.isin(list(SENTENCES)))
     return F.transform(hits, lambda s: F.element_at(known, s))
 
 
@@ -126,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL, sentence by sentence, over documents."""
+    """The same in DuckDB SQL, sentence by sentence, over documents; a line's end always ends a sentence here."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     rules = ", ".join(f"({n}, '{name}', {k}, '{x}')" for n, (name, _, ids) in enumerate(RULES) for k, x in enumerate(ids))
     return f"""

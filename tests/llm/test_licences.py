@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from graywether.llm import licences
 from graywether.llm.queries import QUERIES
@@ -51,3 +52,27 @@ def test_rules_against_brute_force(spark, sf_dir):
 def test_query_and_empty(spark, sf_dir):
     assert QUERIES["op5_licences"](spark, sf_dir).where("n_licences > 0").count() > 0
     assert licences.scan(empty(spark)).count() == 0
+
+
+def test_wrapped_texts(spark):
+    by_id = {}
+    for s, i in licences.SENTENCES.items():
+        by_id.setdefault(i, s)
+    rows, want = [], {}
+    for name, _, rule in licences.RULES:
+        whole = ". ".join(by_id[i].capitalize() for i in rule) + "."
+        lines = textwrap.wrap("Copyright of the holder. " + whole, 72)
+        for mark, end in (("", "\n"), (" * ", "\r\n"), ("# ", "\n")):
+            want[len(rows)] = name
+            rows.append((len(rows), end.join(mark + x for x in lines)))
+    want[len(rows)] = "MIT"
+    rows.append((len(rows), "MIT License\nCopyright of the holder\n" + textwrap.fill(GRANT, 72)))
+    want[len(rows)] = "Apache-2.0"
+    rows.append((len(rows), "     Apache License\n  Version 2.0, January 2004\n http://www.apache.org/licenses/"))
+    apart = len(rows)
+    rows += [(apart, "released under the mit\n\nlicense"), (apart + 1, "released under the mit.\nlicense"), (apart + 2, "Released under the mit | license")]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in want.items():
+        assert name in got[i].licences.split(","), rows[i]
+    assert got[len(want) - 1].sentence_ids == ["apache-title", "apache-2.0-title"]
+    assert [got[apart + k].licences for k in range(3)] == ["", "", "MIT"]

@@ -12,17 +12,21 @@ most of the rows has more leaves, not larger ones. Odds and order come from hash
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graywether.llm.tables import Workspace
+from graywether.llm.tables import Workspace, numbered
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 LEAF = 2048
 FAN = 256
+#: Rows alike in key and text go to leaves in blocks of this many.
+BLOCK = 1024
 _NEAR = 1e-9
+_TURN = 0.6180339887498949
 
 
 def n_words(text: Column) -> Column:
@@ -30,25 +34,30 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+def targets(sizes: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """sizes (source, source_size, n_docs: one row per source) with source_no, weight and target.
 
     Sources by code point, null last, weigh `weights` in turn and share the sum of all sizes by weight, none more
-    than `most` times its own size. In order of most * size / weight the sources that stop at their limit come
-    first; the level is what the rest get per weight.
+    than `most` times its own size. The level is what a source gets per weight: it starts as an equal share and rises
+    by the excess of those that stop at their limit, until none is above. Sources are ranked by ranges and the level
+    is a sum over them, so there may be as many sources as documents.
     """
-    ranked = sizes.withColumn("source_no", F.expr("row_number() over (order by source asc nulls last)"))
+    ranked = numbered(sizes, [F.col("source").asc_nulls_last()], "source_no", ws, "sources")
     turn = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("source_no") - 1, F.lit(len(weights))).cast("int") + 1)
     ranked = ranked.withColumn("weight", turn.cast("double")).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
-    ranked = ranked.withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    order = "over (order by _ratio, source_no rows between"
-    left = F.expr(f"sum(source_size) over () - coalesce(sum(_cap) {order} unbounded preceding and 1 preceding), 0)")
-    rest = F.expr(f"sum(weight) {order} current row and unbounded following)")
-    ranked = ranked.withColumn("_level", left / rest)
-    level = F.expr("max(case when _level <= _ratio then _level end) over ()")
-    return ranked.withColumn("target", F.least("_cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight"))).drop(
-        "_cap", "_ratio", "_level"
-    )
+    level, stopped = 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("weight")
+        sums = ranked.agg(
+            F.sum("source_size").alias("all"),
+            F.sum(F.when(full, F.col("_cap"))).alias("capped"),
+            F.sum(F.when(~full, F.col("weight"))).alias("rest"),
+            F.count(F.when(full, 1)).alias("n"),
+        ).first()
+        if sums.n == stopped or not sums.rest:
+            break
+        level, stopped = ((sums.all or 0) - (sums.capped or 0.0)) / sums.rest, sums.n
+    return ranked.withColumn("target", F.least("_cap", F.when(full, F.col("_cap")).otherwise(F.lit(level) * F.col("weight")))).drop("_cap")
 
 
 def pivot(size: list[float], p: list[float], u: list[float]) -> tuple[list[float], int]:
@@ -76,12 +85,26 @@ def pivot(size: list[float], p: list[float], u: list[float]) -> tuple[list[float
     return p, held
 
 
-def _round(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["u", "leaf", "size"], kind="stable", ignore_index=True)
-    odds = (pdf["u"] * (1 << 20)) % 1  # the low bits: u itself has set the order
-    p, held = pivot(pdf["size"].tolist(), pdf["p"].tolist(), odds.tolist())
-    pdf["p"], pdf["open"] = p, pdf.index == held
-    return pdf
+def _round(rows: pa.Table) -> pa.Table:
+    """The rows of a leaf or a node, one for each of `times` where there is such a column, with p rounded and open.
+
+    Only numbers are looked at; the key stays an Arrow column, whatever its type and nulls.
+    """
+    if "times" in rows.column_names:
+        times = rows["times"].to_numpy()
+        at = np.repeat(np.arange(len(times)), times)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        u = (rows["u"].to_numpy()[at] + turn * _TURN) % 1  # rows alike have other odds each
+        rows = rows.drop_columns(["times", "u"]).take(at).append_column("u", pa.array(u))
+    u, size = rows["u"].to_numpy(), rows["size"].to_numpy()
+    order = np.lexsort((size, rows["leaf"].to_numpy(), u))
+    rows, u, size = rows.take(order), u[order], size[order]
+    odds = (u * (1 << 20)) % 1  # the low bits: u itself has set the order
+    p = rows["p"].to_numpy()
+    p = np.where(size == 0, u < p, p)  # what has no words adds nothing: rounded by its own odds, outside the pairs
+    p, held = pivot(size.tolist(), p.tolist(), odds.tolist())
+    rows = rows.set_column(rows.column_names.index("p"), "p", pa.array(p, pa.float64()))
+    return rows.append_column("open", pa.array(np.arange(len(p)) == held))
 
 
 def _chance(*seed: Column | str) -> Column:
@@ -96,9 +119,9 @@ def _settle(residuals: DataFrame, ws: Workspace, leaves: int) -> DataFrame | Non
         k, leaves = k + 1, -(-leaves // FAN)
         nodes = level.withColumn("node", F.floor(F.col("leaf") / F.lit(FAN**k)))
         # one row per leaf comes in, FAN at most to a node
-        schema = "source_no int, leaf long, size long, p double, u double, node long, open boolean"
-        nodes = nodes.withColumn("u", _chance("source_no", "leaf", F.lit(k)))
-        out = ws.save(nodes.groupBy("source_no", "node").applyInPandas(_round, schema), f"level{k}")
+        schema = "source_no long, leaf long, size long, p double, u double, node long, open boolean"
+        nodes = nodes.withColumn("u", _chance("source_no", "leaf", F.lit(k))).select("source_no", "leaf", "size", "p", "u", "node")
+        out = ws.save(nodes.groupBy("source_no", "node").applyInArrow(_round, schema), f"level{k}")
         closed = out.where(~F.col("open")).select("source_no", "leaf", F.col("p").cast("int").alias("add"))
         done = closed if done is None else done.unionByName(closed)
         level = out.where("open").drop("node", "open")
@@ -111,7 +134,7 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS
 
     Returns doc_id, text_hash, size (words), source, source_size, target, copies (0 to MAX_COPIES) and taken
     (size * copies). Documents without words add nothing to the mix and take copies at their source's rate.
-    Null keys, texts and sources are values like others; repeated rows are rounded one by one.
+    Null keys, texts and sources are values like others; repeated rows are rounded one by one, with other odds each.
     The table of sources has one row per source; documents never pass through one task or the driver.
     """
     ws = Workspace(docs.sparkSession, "mixing")
@@ -120,21 +143,28 @@ def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS
         "sized",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    plan = ws.save(targets(sizes, weights), "targets")
+    plan = ws.save(targets(sizes, ws, weights), "targets")
     most = plan.agg(F.max("n_docs")).first()[0] or 0
     each = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     plan = plan.select(
         F.col("source").alias("_source"), "source_no", "source_size", "target", each.alias("_each"), F.ceil(F.col("n_docs") / LEAF).alias("_leaves")
     )
-    due = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    # rows alike are counted first and dealt in blocks, so that a row repeated without end fills no single leaf
+    alike = rows.groupBy("doc_id", "text_hash", "size", "source").agg(F.count("*").alias("n"))
+    alike = alike.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK))))
+    alike = alike.withColumn("times", F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK))
+    due = alike.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = F.floor(F.col("_each") + _NEAR)
     due = due.withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(F.col("_each") - whole, F.lit(0.0)))
-    due = due.withColumn("u", _chance("doc_id", "text_hash", F.lit("mix")))
-    due = due.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("leaf")), F.col("_leaves")).cast("long")).drop("_each", "_leaves")
-    due = due.withColumn("p", F.when(F.col("size") == 0, (F.col("u") < F.col("p")).cast("double")).otherwise(F.col("p")))
-    schema = "doc_id {0}, text_hash long, size long, source string, source_no int, source_size long, target double, whole int, p double, u double, leaf long, open boolean"
-    schema = schema.format(docs.schema[key].dataType.simpleString())
-    leaves = ws.save(due.groupBy("source_no", "leaf").applyInPandas(_round, schema), "leaves")
+    due = due.withColumn("u", _chance("doc_id", "text_hash", "block", F.lit("mix")))
+    due = due.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "text_hash", "block", F.lit("leaf")), F.col("_leaves")).cast("long"))
+    kind = docs.schema[key].dataType.simpleString()
+    schema = (
+        f"doc_id {kind}, text_hash long, size long, source string, source_no long, source_size long, target double, "
+        "whole int, p double, leaf long, u double, open boolean"
+    )
+    due = due.select("doc_id", "text_hash", "size", "source", "source_no", "source_size", "target", "whole", "p", "leaf", "times", "u")
+    leaves = ws.save(due.groupBy("source_no", "leaf").applyInArrow(_round, schema), "leaves")
     add = _settle(leaves.where("open").select("source_no", "leaf", "size", "p", "u"), ws, -(-most // LEAF))
     settled = leaves.where(~F.col("open")).withColumn("add", F.col("p").cast("int"))
     opened = leaves.where("open").join(add, ["source_no", "leaf"])

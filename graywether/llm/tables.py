@@ -15,7 +15,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset.
 
-    Unset and on a local master it is below the temporary folder, unset on a cluster below the warehouse.
+    Unset and on a local master it is below the temporary folder. Unset on a cluster it is below the warehouse, if
+    that is no file: path (each machine would write to its own disk); else it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -23,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return f"file://{tempfile.gettempdir()}/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steps"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if ":" not in warehouse or warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse.rstrip("/") + "/_steps"
 
 
 class Workspace:
@@ -46,6 +50,21 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, ws: Workspace, table: str) -> DataFrame:
+    """df, written, with each row's rank from 1 by order as column `name`; ranges are sorted side by side.
+
+    Only the ranges' sizes (a row for each) come together. Rows that tie are ranked in no given order.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    at = ws.save(at, table).withColumn("_range", F.shiftright("_at", 33))
+    sizes = at.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.expr("coalesce(sum(_n) over (order by _range rows between unbounded preceding and 1 preceding), 0)")
+    at = at.join(sizes.select("_range", before.alias("_before")), "_range")
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return at.withColumn(name, rank.cast("long")).drop("_at", "_range", "_before")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -1,5 +1,7 @@
+import glob
+import os
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ import xxhash
 
 from graywether.llm import mixing, simhash
 from graywether.llm.queries import QUERIES
+from graywether.llm.tables import Workspace, shared_dir
 
 from .fixtures import clashing, empty, odd
 
@@ -60,10 +63,33 @@ def test_mix_odd_rows(spark):
 def test_capped_sources_reshare(spark):
     sizes = {"a": 100, "b": 1, "c": 2, "d": 1000, None: 5}
     df = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n_docs long")
-    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    got = {r.source: r.target for r in mixing.targets(df, Workspace(spark, "test")).collect()}
     assert got == pytest.approx(water_fill(sizes))
 
 
+def test_large_ids_beside_nulls_and_repeats(spark):
+    ids = [2**53 + 1 + 2 * i for i in range(20)]
+    rows = [(i, f"some words {i}", "s") for i in ids] + [(None, "no id here", "s"), (None, None, "s")]
+    rows += [(7, "the same words again", "s")] * 5000 + [(1000 + i, "one", f"source{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mixing.mix(docs)
+    got = mixed.collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    check_mix(got)
+    copies = [r.copies for r in got if r.doc_id == 7]
+    assert len(set(copies)) == 2
+    assert Counter(r.doc_id for r in mixing.take(docs, mixed).collect()) == Counter({i: n for i, n in _summed(got).items() if n})
+    leaf = docs.sparkSession.read.parquet(max(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/mixing-*/leaves"), key=os.path.getmtime))
+    assert leaf.where("source = 's'").groupBy("leaf").count().agg({"count": "max"}).first()[0] <= 5 * mixing.BLOCK
+
+
+def _summed(rows):
+    out = Counter()
+    for r in rows:
+        out[r.doc_id] += r.copies
+    return out
+
+
 def test_pivot_keeps_mass_and_odds():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 50, 40).astype(float)
@@ -148,8 +174,6 @@ def test_forest_by_lookup_equals_all_pairs(monkeypatch):
 
 
 def test_components_of_paths_and_stars(spark):
-    from graywether.llm.tables import Workspace
-
     path = [(i, i + 1) for i in range(100, 400)]
     star = [(1000, 1000 + i) for i in range(1, 200)]
     edges = spark.createDataFrame(path + star, "a long, b long")

@@ -4,6 +4,9 @@ A record is hashed into one of SLOTS virtual slots for good. Bytes and rows are
 versioned slot-to-shard map says where each slot lives. Rebalancing or adding a shard edits the map, never
 the hash, so only whole slots move. The law that holds is `bytes`: the shards' sizes are near equal.
 
+Rows alike in key and text have one hash and would fill one slot; where they are more than SALT_ABOVE they are dealt
+in blocks to further slots, so that a row repeated without end leaves the shards near equal too.
+
 Only the map (SLOTS entries, whatever the input) passes through the driver.
 """
 
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 from graywether.llm.tables import Workspace
 
 SLOTS = 4096
+#: Rows alike in key and text that stay in one slot; more are dealt in blocks of as many.
+SALT_ABOVE = 16
 #: A rebalance stops once the largest and the smallest shard differ by less than this share of the mean.
 TOLERANCE = 0.002
 
@@ -82,27 +87,43 @@ class SlotMap:
         listed = F.split(F.lit(",".join(map(str, self.shard_of))), ",").cast("array<int>")
         return spark.range(1).select(F.lit(self.version).alias("version"), F.posexplode(listed).alias("slot", "shard"))
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Add this version to the maps stored at path; a version is written once."""
+        self.to_frame(spark).drop("version").write.parquet(f"{path}/version={self.version}")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+        """A stored version, or the last: the map that a later run edits."""
+        stored = spark.read.schema("slot int, shard int, version int").parquet(path)
+        version = stored.agg(F.max("version")).first()[0] if version is None else version
+        rows = stored.where(F.col("version") == version).select("slot", "shard").collect()
+        shard_of = tuple(s for _, s in sorted(rows))
+        return SlotMap(version, max(s for s in shard_of if s is not None) + 1, shard_of)
+
 
 def _at(values, slot: Column, kind: str) -> Column:
     """values[slot], for a list with one entry per virtual slot."""
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), slot + 1)
 
 
-def virtual_slot(key: Column, crc: Column, slots: int = SLOTS) -> Column:
-    """The record's slot. The text's checksum takes part so that repeats of a key are spread as well."""
-    return F.pmod(F.xxhash64(key.cast("string"), crc), F.lit(slots)).cast("int")
+def virtual_slot(key: Column, crc: Column, block: Column, slots: int = SLOTS) -> Column:
+    """The record's slot. The text's checksum takes part so that repeats of a key are spread as well, and the block
+    of rows alike in both."""
+    return F.pmod(F.xxhash64(key.cast("string"), crc, block), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each row; a null text has no bytes and the empty text's checksum."""
+    """doc_id, size, text_crc32 and virtual slot of each row; a null text has no bytes and the empty text's checksum.
+
+    Rows alike are counted (with map-side sums) and listed again, block by block.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    return docs.select(
-        F.col("doc_id"),
-        (F.octet_length(text).cast("long") + 8).alias("size"),
-        crc.alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), crc, slots).alias("virtual_slot"),
-    )
+    alike = docs.select(F.col("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    alike = alike.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    blocks = alike.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / SALT_ABOVE))))
+    times = F.least(F.lit(SALT_ABOVE), F.col("n") - F.col("block") * SALT_ABOVE).cast("int")
+    slot = virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("block"), slots)
+    return blocks.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"), F.explode(F.array_repeat(F.lit(0), times)).alias("_")).drop("_")
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -113,18 +134,19 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int
     return size, count
 
 
-def shard(docs: DataFrame, shards: int = 24, previous: SlotMap | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, previous: SlotMap | None = None, maps: str | None = None) -> DataFrame:
     """Place every row of docs (doc_id, text; more columns are ignored) into one of `shards` shards.
 
     Returns doc_id, size, text_crc32, law, shard, slot (the row's place in its shard, gapless from 0),
-    grown_shard (null: the law is `bytes`) and virtual_slot. The map is stored as table slot_map.
+    grown_shard (null: the law is `bytes`) and virtual_slot. The map is an edit of previous; it is stored as one more
+    version below maps (below the run's own folder if not given), where SlotMap.read finds it.
     Null doc_ids and repeated rows are placed like any other row; an empty table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "sharding")
     rows = ws.save(sized(docs), "sized")
     size, count = slot_loads(rows)
     plan = (previous or SlotMap.empty(shards)).edited(size, shards)
-    ws.save(plan.to_frame(docs.sparkSession), f"slot_map/version={plan.version}")
+    plan.write(docs.sparkSession, maps or f"{ws.path}/slot_map")
     first, start = [0] * shards, [0] * SLOTS
     for slot, s in enumerate(plan.shard_of):
         start[slot] = first[s]

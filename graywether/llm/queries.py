@@ -69,7 +69,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     judged = quality.judge(docs, carry=["doc_id", "source"])
-    return judged.select("doc_id", *quality.MEASURES, "kept", "host_rate")
+    return judged.select("doc_id", *quality.MEASURES, "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op5_licences": licences.oracle()}
+ORACLES: dict[str, str] = {"op5_licences": licences.oracle(), "op10_quality": quality.oracle()}

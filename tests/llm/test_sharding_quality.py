@@ -1,7 +1,10 @@
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
+
 from graywether.llm import quality, sharding
 from graywether.llm.queries import QUERIES
 
@@ -30,12 +33,39 @@ def test_measures_against_brute_force(spark, sf_dir):
             assert r.kept == (not r.base_failed and r.host_rate <= quality.REJECT_ABOVE)
 
 
+def with_failures(spark, hosts):
+    """Measured rows of hosts {host: (documents, of which fail `symbols`)}."""
+    rows = [(h, 100, 500, 400 if i < k else 0, 10, 0, 0, False) for h, (n, k) in hosts.items() for i in range(n)]
+    columns = "source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    return spark.createDataFrame(rows, columns)
+
+
 def test_hosts_shrink_towards_all(spark):
-    rows = [("good", False)] * 90 + [("good", True)] * 10 + [("bad", True)] * 95 + [("bad", False)] * 5 + [("tiny", True)]
-    df = spark.createDataFrame(rows, "source string, base_failed boolean")
-    got = {r.host: r for r in quality.host_verdicts(df).collect()}
-    assert not got["good"].host_rejected and got["bad"].host_rejected
-    assert 0.1 < got["good"].rate < 0.2 and got["bad"].rate < 0.95 and got["tiny"].rate < 1
+    hosts = {"good": (100, 10), "bad": (100, 60), "tiny": (1, 1), None: (40, 8)}
+    got = {r.host: r for r in quality.host_verdicts(with_failures(spark, hosts)).collect()}
+    assert not got["good"].host_rejected and got["bad"].host_rejected and not got[None].host_rejected
+    assert 0.1 < got["good"].rate < 0.2 and got["bad"].rate < 0.6 and got["tiny"].rate < 1
+    # by hand: the strength is 1 / rho - 1, rho the variance between hosts beyond the binomial one
+    n, k = [100, 100, 1, 40], [10, 60, 1, 8]
+    mean = sum(k) / sum(n)
+    over = sum(a * (b / a - mean) ** 2 for a, b in zip(n, k, strict=True)) - 3 * mean * (1 - mean)
+    rho = over / (mean * (1 - mean) * (sum(n) - sum(a * a for a in n) / sum(n) - 3))
+    assert math.isclose(got["good"].rate_symbols, (10 + mean * (1 / rho - 1)) / (100 + 1 / rho - 1))
+    assert got["good"].rate_few_words == 0 and got["bad"].failed_symbols == 60
+
+
+def test_hosts_alike_share_one_rate(spark):
+    got = quality.host_verdicts(with_failures(spark, {f"h{i}": (50, 10) for i in range(20)})).collect()
+    assert all(math.isclose(r.rate, 0.2, rel_tol=1e-3) for r in got)
+
+
+def test_quality_equals_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    cur = con.execute(quality.oracle())
+    names = [c[0] for c in cur.description]
+    got = QUERIES["op10_quality"](spark, sf_dir).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall())
 
 
 def test_quality_on_empty_and_clashing(spark):
@@ -63,6 +93,32 @@ def test_odd_shards(spark):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_repeated_rows_leave_shards_even(spark):
+    rows = [(i, f"text number {i}") for i in range(20000)] + [(5, "the same row again")] * 20000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.shard(docs, shards=8).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t) + 8) for i, t in rows)
+    load, slots = Counter(), defaultdict(list)
+    for r in got:
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert max(load.values()) <= 1.01 * min(load.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_stored_map_is_read_and_edited(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(3000)], "doc_id long, text string")
+    path = f"file://{tmp_path}/maps"
+    sharding.shard(docs, shards=4, maps=path).collect()
+    one = sharding.SlotMap.read(spark, path)
+    assert (one.version, one.shards, len(one.shard_of)) == (1, 4, sharding.SLOTS)
+    sharding.shard(docs, shards=5, previous=one, maps=path).collect()
+    two = sharding.SlotMap.read(spark, path)
+    assert two.version == 2 and two.shards == 5 and sharding.SlotMap.read(spark, path, 1).shard_of == one.shard_of
+    stayed = sum(a == b for a, b in zip(one.shard_of, two.shard_of))
+    assert stayed > 0.7 * sharding.SLOTS
+
+
 def test_map_edits_move_few_slots():
     loads = [1000 + (i * 7919) % 500 for i in range(sharding.SLOTS)]
     one = sharding.SlotMap.empty(24).edited(loads)

@@ -162,7 +162,7 @@ def oracle() -> str:
 
     return rf"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{blank}]+') AS w FROM documents),
-    l AS (SELECT *, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^{blank}]')) AS lines FROM d),
+    l AS (SELECT *, (SELECT coalesce(list(x), []) FROM (SELECT unnest(string_split(t, chr(10))) AS x) WHERE regexp_matches(x, '[^{blank}]')) AS lines FROM d),
     windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS words
         FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
     twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, words) > 1),

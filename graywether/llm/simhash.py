@@ -3,7 +3,8 @@
 A fingerprint has 8 bytes. Two fingerprints at MAX_BITS = 3 or fewer differing bits differ in at most 3 bytes, so
 they share at least 5 of 8 positional bytes. The index posts each distinct fingerprint under keys of 4 positional
 bytes, chosen so that any 5 positions hold all 4 of some key; a pair that meets under a key is tallied (how many
-of the 8 positional bytes are equal), kept from 5 on, then verified by its differing bits.
+of the 8 positional bytes are equal), kept from 5 on, then verified by its differing bits. A key with many postings
+is split by a fifth position and, if that isn't enough, into pairs of blocks; the tally is the same everywhere.
 
 Copies fall into one fingerprint before the index, by an aggregation with map-side sums. A key's postings share 32
 bits; they yield links of a spanning forest, one at most per fingerprint, not all pairs. Components are found by
@@ -26,8 +27,8 @@ from graywether.llm.tables import Workspace
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
-#: Postings of a key up to which all pairs are tallied at once; beyond, neighbours are looked up bit by bit.
-ALL_PAIRS = 40_000
+#: Postings of a key that one task tallies; a key with more is split.
+POSTINGS = 20_000
 _BLOCK = 2048
 _CHUNK = 1 << 16
 
@@ -86,7 +87,8 @@ def row_key(key: Column) -> Column:
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
-    """Links (fingerprint, root) that join the distinct fingerprints of one key as their pairs within MAX_BITS do."""
+    """Links (fingerprint, root) that join the distinct fingerprints of one key as their pairs within MAX_BITS do:
+    equal positional bytes are tallied for each pair, pairs that reach the guaranteed minimum are verified."""
     fps = np.sort(fps.astype(np.int64)).view(np.uint64)
     label = np.arange(len(fps))
 
@@ -100,68 +102,104 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
 
-    if len(fps) <= ALL_PAIRS:
-        for i in range(0, len(fps), _BLOCK):
-            for j in range(0, i + 1, _BLOCK):
-                x = fps[i : i + _BLOCK, None] ^ fps[None, j : j + _BLOCK]
-                tally = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
-                a, b = np.nonzero(tally >= 8 - MAX_BITS)
-                near = np.bitwise_count(x[a, b]) <= MAX_BITS
-                a, b = a[near] + i, b[near] + j
-                unite(a[a > b], b[a > b])
-    else:
-        free = np.bitwise_or.reduce(fps) & ~np.bitwise_and.reduce(fps)
-        bits = [1 << k for k in range(64) if int(free) >> k & 1]
-        order = np.argsort(fps)
-        for n in range(1, MAX_BITS + 1):
-            for flip in combinations(bits, n):
-                other = fps ^ np.uint64(sum(flip))
-                at = np.searchsorted(fps, other, sorter=order).clip(max=len(fps) - 1)
-                hit = np.nonzero(fps[order[at]] == other)[0]
-                unite(hit, order[at[hit]])
+    for i in range(0, len(fps), _BLOCK):
+        for j in range(0, i + 1, _BLOCK):
+            x = fps[i : i + _BLOCK, None] ^ fps[None, j : j + _BLOCK]
+            tally = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
+            a, b = np.nonzero(tally >= 8 - MAX_BITS)
+            near = np.bitwise_count(x[a, b]) <= MAX_BITS
+            a, b = a[near] + i, b[near] + j
+            unite(a[a > b], b[a > b])
     signed = fps.view(np.int64)
     return [(int(signed[i]), int(signed[r])) for i, r in enumerate(label) if i != r]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (mask_no, part, fp): the links of each key, with the rows of a key that ends a batch carried on."""
+def _tallied(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """From postings (key_no, part, fp) sorted by key: links (a, b), and the postings of keys with more than `most`.
+
+    Only one key's postings are held at a time; those of a larger key pass through as they come.
+    """
     held: tuple[int, int] | None = None
     parts: list[np.ndarray] = []
-
-    def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        a = np.array(links, dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+    size, large = 0, False
+    none = np.array([], dtype=np.int64)
+
+    def out(a=none, b=none, no=none, part=none, fp=none) -> pa.RecordBatch:
+        n, m = len(a), len(fp)
+        columns = [
+            pa.array(np.r_[a, np.zeros(m, np.int64)]), pa.array(np.r_[b, np.zeros(m, np.int64)]), pa.array(np.r_[np.zeros(n, np.int32), no].astype(np.int32)),
+            pa.array(np.r_[np.zeros(n, np.int64), part]), pa.array(np.r_[np.zeros(n, np.int64), fp]), pa.array(np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key_no", "part", "fp", "open"])
+
+    def closed() -> pa.RecordBatch | None:
+        if large or size < 2:
+            return None
+        links = np.array(forest(np.concatenate(parts)), dtype=np.int64).reshape(-1, 2)
+        return out(links[:, 0], links[:, 1])
 
     for batch in batches:
-        no, part, fp = (np.asarray(c) for c in batch.columns)
-        if not len(fp):
-            continue
+        no, part, fp = (np.asarray(batch.column(c)) for c in ("key_no", "part", "fp"))
         cut = np.flatnonzero((no[1:] != no[:-1]) | (part[1:] != part[:-1])) + 1
         starts, ends = np.r_[0, cut], np.r_[cut, len(fp)]
-        links: list[tuple[int, int]] = []
+        if not len(fp):
+            continue
+        # a key of one posting inside the batch has no pair
         several = np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1))
-        for g in several:
-            s, e = starts[g], ends[g]
+        for s, e in zip(starts[several], ends[several]):
             key = (int(no[s]), int(part[s]))
             if key != held:
-                if held is not None and sum(map(len, parts)) > 1:
-                    links += forest(np.concatenate(parts))
-                held, parts = key, []
-            parts.append(fp[s:e])
-        if links:
-            yield out(links)
-    if held is not None and sum(map(len, parts)) > 1:
-        yield out(forest(np.concatenate(parts)))
-
-
-def links(classes: DataFrame) -> DataFrame:
-    """a, b: links between the distinct fingerprints of classes (fp) that join all within MAX_BITS."""
-    masks = [_mask(s) for s in position_keys()]
-    rows = classes.select("fp", F.posexplode(F.array(*map(F.lit, masks))).alias("mask_no", "_mask"))
-    rows = rows.select("mask_no", F.col("fp").bitwiseAND(F.col("_mask")).alias("part"), "fp")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "mask_no", "part").sortWithinPartitions("mask_no", "part", "fp")
-    return rows.mapInArrow(_links, "a long, b long").distinct()
+                if (done := closed()) is not None:
+                    yield done
+                held, parts, size, large = key, [], 0, False
+            size += e - s
+            if size > most:
+                kept = np.concatenate([*parts, fp[s:e]])
+                yield out(no=np.full(len(kept), key[0]), part=np.full(len(kept), key[1]), fp=kept)
+                parts, large = [], True
+            else:
+                parts.append(fp[s:e])
+    if (done := closed()) is not None:
+        yield done
+
+
+def _by_key(postings: DataFrame, most: int) -> DataFrame:
+    """Links and open postings of postings dealt by key."""
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings.repartition(n, "key_no", "part").sortWithinPartitions("key_no", "part", "fp")
+    return rows.mapInArrow(lambda batches: _tallied(batches, most), "a long, b long, key_no int, part long, fp long, open boolean")
+
+
+def links(classes: DataFrame, ws: Workspace) -> DataFrame:
+    """a, b: links between the distinct fingerprints of classes (fp) that join all within MAX_BITS.
+
+    A key with more than POSTINGS postings is split by a further byte position, which loses nothing: a pair that shares
+    5 of 8 positions shares, beside the key's 4, at least one more. A key of 5 positions that is still larger is dealt
+    into blocks by hash, and each two blocks meet in a task of their own.
+    """
+    four = [_mask(s) for s in position_keys()]
+    five = [_mask(s) for s in combinations(range(8), 8 - MAX_BITS)]
+    posted = F.posexplode(F.array(*map(F.lit, four))).alias("key_no", "_mask")
+    rows = classes.select("fp", posted).select("key_no", F.col("fp").bitwiseAND(F.col("_mask")).alias("part"), "fp")
+    first = ws.save(_by_key(rows, POSTINGS), "keys4")
+    found, large = first.where("not open").select("a", "b"), first.where("open")
+    if large.isEmpty():
+        return found.distinct()
+    nos = F.array(*[F.array(*[F.lit(i) for i, m in enumerate(five) if m & k == k]) for k in four])
+    split = large.select("fp", F.explode(F.get(nos, F.col("key_no"))).alias("key_no"))
+    part = F.col("fp").bitwiseAND(F.get(F.array(*map(F.lit, five)), F.col("key_no")))
+    second = ws.save(_by_key(split.select("key_no", part.alias("part"), "fp").distinct(), POSTINGS), "keys5")
+    found = found.union(second.where("not open").select("a", "b"))
+    large = second.where("open").select("key_no", "part", "fp")
+    if large.isEmpty():
+        return found.distinct()
+    blocks = large.groupBy("key_no", "part").agg(F.ceil(F.count("*") / (POSTINGS / 4)).alias("n"))
+    dealt = large.join(blocks, ["key_no", "part"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pair = F.xxhash64("key_no", "part", F.least("own", "other"), F.greatest("own", "other"))
+    # two blocks have half of POSTINGS by expectation; the few more that chance deals stay together
+    third = _by_key(dealt.select(F.lit(0).alias("key_no"), pair.alias("part"), "fp"), 1 << 62)
+    return found.union(third.select("a", "b").where("a != b")).distinct()
 
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame | None:
@@ -200,7 +238,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     ws = Workspace(docs.sparkSession, "simhash")
     rows = ws.save(fingerprints(docs, key, shingle), "fingerprints")
     classes = ws.save(rows.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
-    roots = components(links(classes), ws)
+    roots = components(links(classes, ws), ws)
     if roots is None:
         found = classes.select("fp", F.col("fp").alias("group"), F.col("rep").alias("component_id"))
     else:

@@ -155,22 +155,35 @@ def test_any_three_bits_meet_under_a_key():
     assert all(any(not s & set(bad) for s in keys) for bad in combinations(range(8), 3))
 
 
-def test_forest_by_lookup_equals_all_pairs(monkeypatch):
+@pytest.mark.parametrize("postings", [5, 60, 20_000])
+def test_split_keys_give_the_same_groups(spark, monkeypatch, postings):
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 32, 30)
-    fps = np.unique(np.concatenate([base ^ (1 << int(b)) for b in rng.integers(0, 32, 20)] + [base]).astype(np.int64))
-
-    def groups(links):
-        label = {int(x): int(x) for x in fps}
-        label.update(dict(links))
+    base = rng.integers(0, 1 << 62, 3)
+    flips = [sum(1 << int(b) for b in rng.choice(64, int(n), replace=False)) for n in rng.integers(0, 6, 120)]
+    fps = sorted({(int(x) ^ f) - (1 << 64 if (int(x) ^ f) >> 63 else 0) for x in base for f in flips})
+    monkeypatch.setattr(simhash, "POSTINGS", postings)
+    label = {x: x for x in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    def groups():
         out = defaultdict(set)
-        for x, r in label.items():
-            out[r].add(x)
+        for x in fps:
+            out[root(x)].add(x)
         return sorted(map(sorted, out.values()))
 
-    all_pairs = groups(simhash.forest(fps))
-    monkeypatch.setattr(simhash, "ALL_PAIRS", 1)
-    assert groups(simhash.forest(fps)) == all_pairs
+    for r in simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), Workspace(spark, "test")).collect():
+        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 64
+        label[root(max(r.a, r.b))] = root(min(r.a, r.b))
+    got, label = groups(), {x: x for x in fps}
+    for x in fps:
+        for y in fps:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 3:
+                label[root(max(x, y))] = root(min(x, y))
+    assert got == groups()
 
 
 def test_components_of_paths_and_stars(spark):

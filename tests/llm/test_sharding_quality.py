@@ -41,16 +41,16 @@ def with_failures(spark, hosts):
 
 
 def test_hosts_shrink_towards_all(spark):
-    hosts = {"good": (100, 10), "bad": (100, 60), "tiny": (1, 1), None: (40, 8)}
+    hosts = {"good": (100, 20), "bad": (100, 60), "tiny": (1, 1), None: (40, 12)}
     got = {r.host: r for r in quality.host_verdicts(with_failures(spark, hosts)).collect()}
     assert not got["good"].host_rejected and got["bad"].host_rejected and not got[None].host_rejected
-    assert 0.1 < got["good"].rate < 0.2 and got["bad"].rate < 0.6 and got["tiny"].rate < 1
+    assert 0.2 < got["good"].rate < 0.25 and got["bad"].rate < 0.6 and got["tiny"].rate < 1
     # by hand: the strength is 1 / rho - 1, rho the variance between hosts beyond the binomial one
-    n, k = [100, 100, 1, 40], [10, 60, 1, 8]
+    n, k = [100, 100, 1, 40], [20, 60, 1, 12]
     mean = sum(k) / sum(n)
     over = sum(a * (b / a - mean) ** 2 for a, b in zip(n, k, strict=True)) - 3 * mean * (1 - mean)
     rho = over / (mean * (1 - mean) * (sum(n) - sum(a * a for a in n) / sum(n) - 3))
-    assert math.isclose(got["good"].rate_symbols, (10 + mean * (1 / rho - 1)) / (100 + 1 / rho - 1))
+    assert math.isclose(got["good"].rate_symbols, (20 + mean * (1 / rho - 1)) / (100 + 1 / rho - 1))
     assert got["good"].rate_few_words == 0 and got["bad"].failed_symbols == 60
 
 

@@ -42,14 +42,47 @@ SENTENCES = {
     "gnu general public license": "gpl-title",
     "version 3 29 june 2007": "gpl-3.0-version",
     "version 2 june 1991": "gpl-2.0-version",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-or-later-grant",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2.0-or-later-grant",
-    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
+    "version 3 19 november 2007": "agpl-3.0-version",
+    "version 2 1 february 1999": "lgpl-2.1-version",
+    "gnu lesser general public license": "lgpl-title",
+    "gnu affero general public license": "agpl-title",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-redistribute",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-or-later-grant",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3.0-or-later-grant",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3.0-or-later-grant",
+    "either version 2 of the license or at your option any later version": "version-2-or-later",
+    "either version 2 1 of the license or at your option any later version": "version-2.1-or-later",
+    "either version 3 of the license or at your option any later version": "version-3-or-later",
+    "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "see the gnu affero general public license for more details": "agpl-see",
     "see the gnu general public license for more details": "gpl-see",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "licensed under the bsd 2 clause license": "bsd-2-notice",
+    "licensed under the bsd 3 clause license": "bsd-3-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "licensed under the isc license": "isc-notice",
+    "isc license": "isc-title",
+    "mozilla public license version 2 0": "mpl-2.0-title",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-subject",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2.0-obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2.0-obtain",
+    "licensed under the mozilla public license version 2 0": "mpl-2.0-notice",
+    "eclipse public license v 2 0": "epl-2.0-title",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2.0-notice",
+    "cc0 1 0 universal": "cc0-1.0-title",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "boost software license version 1 0 august 17th 2003": "bsl-1.0-title",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0-notice",
     "licensed under cc by 4 0": "cc-by-4.0-notice",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0-notice",
@@ -71,9 +104,29 @@ RULES = [
     ("GPL-3.0", "text", ["gpl-title", "gpl-3.0-version"]),
     ("GPL-3.0", "notice", ["gpl-3.0-notice"]),
     ("GPL-3.0-or-later", "text", ["gpl-3.0-or-later-grant", "gpl-warranty", "gpl-see"]),
+    ("GPL-3.0-or-later", "text", ["gpl-redistribute", "version-3-or-later", "gpl-warranty", "gpl-see"]),
     ("GPL-2.0", "text", ["gpl-title", "gpl-2.0-version"]),
     ("GPL-2.0", "notice", ["gpl-2.0-notice"]),
-    ("GPL-2.0-or-later", "text", ["gpl-2.0-or-later-grant", "gpl-warranty", "gpl-see"]),
+    ("GPL-2.0-or-later", "text", ["gpl-redistribute", "version-2-or-later", "gpl-warranty", "gpl-see"]),
+    ("LGPL-2.1", "text", ["lgpl-title", "lgpl-2.1-version"]),
+    ("LGPL-2.1-or-later", "text", ["lgpl-redistribute", "version-2.1-or-later", "gpl-warranty", "lgpl-see"]),
+    ("LGPL-3.0", "text", ["lgpl-title", "gpl-3.0-version"]),
+    ("LGPL-3.0-or-later", "text", ["lgpl-3.0-or-later-grant", "gpl-warranty", "lgpl-see"]),
+    ("AGPL-3.0", "text", ["agpl-title", "agpl-3.0-version"]),
+    ("AGPL-3.0-or-later", "text", ["agpl-3.0-or-later-grant", "gpl-warranty", "agpl-see"]),
+    ("ISC", "text", ["isc-grant", "isc-warranty"]),
+    ("ISC", "notice", ["isc-notice"]),
+    ("MPL-2.0", "text", ["mpl-subject", "mpl-2.0-obtain"]),
+    ("MPL-2.0", "text", ["mpl-2.0-title"]),
+    ("MPL-2.0", "notice", ["mpl-2.0-notice"]),
+    ("EPL-2.0", "text", ["epl-2.0-title"]),
+    ("EPL-2.0", "notice", ["epl-2.0-notice"]),
+    ("CC0-1.0", "text", ["cc0-1.0-title"]),
+    ("CC0-1.0", "notice", ["cc0-waiver"]),
+    ("Zlib", "text", ["zlib-liability", "zlib-grant"]),
+    ("BSL-1.0", "text", ["bsl-1.0-title"]),
+    ("BSD-3-Clause", "notice", ["bsd-3-notice"]),
+    ("BSD-2-Clause", "notice", ["bsd-2-notice"]),
     ("BSD-3-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", "text", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("CC-BY-NC-4.0", "notice", ["cc-by-nc-4.0-notice"]),
@@ -103,9 +156,10 @@ def sentence_ids(text: Column) -> Column:
 
 
 def in_order(ids: Column, rule: list[str]) -> Column:
-    """Whether the identifiers of a rule occur in ids in that order."""
-    pattern = " " + "(?:.* )?".join(x.replace(".", "[.]") + " " for x in rule)
-    return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")).rlike(pattern)
+    """Whether the identifiers of a rule occur in ids in that order; each is sought after the first place of the one before."""
+    after = lambda left, x: F.slice(left, (F.array_position(left, x) + 1).cast("int"), F.size(left))
+    left = F.aggregate(F.array(*map(F.lit, rule)), ids, lambda left, x: F.when(F.array_position(left, x) > 0, after(left, x)))
+    return left.isNotNull()
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ only regions whose anchor occurs twice can hold a repeated window. Among those:
    regions of the shard are streamed through it, which locates every occurrence;
 4. located windows go back to all documents with such a region, whose covered words are removed.
 
-All counts are Spark aggregations with map-side sums; a shard with many regions (a common passage in many
-contexts) is dealt to several tasks, each with the shard's phrases.
+All counts are Spark aggregations with map-side sums. A shard with many phrases has several slots: a phrase goes to the
+slot of its first window, a region to the slots of its windows. A slot with many regions (a common passage in many
+contexts) is dealt to several tasks, each with the slot's phrases; so neither an automaton nor what it is sent to grows
+with the corpus.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ PHRASE = 8
 _SPAN = WINDOW - PHRASE + 1
 #: Distinct regions for one automaton and its stream.
 SHARD_REGIONS = 8_000
+#: Phrases for one automaton.
+SLOT_PHRASES = 16_000
 _WORDS = 400_000  # of a slice of documents that is hashed at once
 
 _BASE = 0x9E3779B97F4A7C15
@@ -149,7 +153,9 @@ def read_witnesses(docs: DataFrame, classes: DataFrame) -> DataFrame:
             columns = [flat.field("anchor"), flat.field("content"), flat.field("n"), pa.array(words, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "n", "words"])
 
-    joined = asked.join(docs, "row_key").select("asked", "text")
+    # rows alike are one: a row that repeats without end is read once for each map task, and its regions once
+    once = docs.groupBy("row_key").agg(F.first("text").alias("text"))
+    joined = asked.join(once, "row_key").select("asked", "text")
     return joined.mapInArrow(run, "anchor long, content long, n long, words string")
 
 
@@ -244,17 +250,30 @@ def locate_in(phrase_words: list[list[str]], texts: list[list[str]]) -> list[int
     return found
 
 
+def _window_slots(slots: Column) -> Column:
+    """The slots of a region's windows, given how many its shard has."""
+    words = F.split("words", " ")
+    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    each = F.transform(starts, lambda i: F.pmod(F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")), slots))
+    return F.when(slots == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(each))
+
+
 def locate(found: DataFrame, phrase_rows: DataFrame) -> DataFrame:
     """anchor, content, bits of every region in found (anchor, content, words) in which a phrase occurs."""
-    spark = found.sparkSession
     shards = max(1, -(-found.count() // SHARD_REGIONS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
-    # a shard is dealt to as many tasks as its regions need: rows per shard, one row a shard
-    tasks = found.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / (2.0 * SHARD_REGIONS)).alias("tasks"))
+    patterns = phrase_rows.select(shard.alias("shard"), "phrase").distinct()
+    # one row a shard, and one a slot: how many slots it has, how many tasks its regions need
+    slots = patterns.groupBy("shard").agg(F.ceil(F.count("*") / SLOT_PHRASES).alias("slots"))
+    first = F.xxhash64(F.substring_index("phrase", " ", WINDOW))
+    patterns = patterns.join(slots, "shard").select("shard", F.pmod(first, F.col("slots")).alias("slot"), "phrase")
+    streams = found.withColumn("shard", shard).join(slots, "shard")
+    streams = streams.select("shard", F.explode(_window_slots(F.col("slots"))).alias("slot"), "anchor", "content", "words")
+    tasks = streams.groupBy("shard", "slot").agg(F.ceil(F.count("*") / (2.0 * SHARD_REGIONS)).alias("tasks"))
     deal = F.pmod(F.xxhash64("content"), F.col("tasks")).cast("int")
-    streams = found.withColumn("shard", shard).join(tasks, "shard").select("shard", deal.alias("task"), "anchor", "content", "words")
-    patterns = phrase_rows.select(shard.alias("shard"), "phrase").distinct().join(tasks, "shard")
-    patterns = patterns.select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks").cast("int") - 1)).alias("task"), "phrase")
+    streams = streams.join(tasks, ["shard", "slot"]).select("shard", "slot", deal.alias("task"), "anchor", "content", "words")
+    every = F.explode(F.sequence(F.lit(0), F.col("tasks").cast("int") - 1)).alias("task")
+    patterns = patterns.join(tasks, ["shard", "slot"]).select("shard", "slot", every, "phrase")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -263,8 +282,9 @@ def locate(found: DataFrame, phrase_rows: DataFrame) -> DataFrame:
         out = right[["anchor", "content"]].assign(bits=np.array(bits, dtype=np.int64))
         return out[out["bits"] != 0]
 
-    keys = ["shard", "task"]
-    return patterns.groupBy(*keys).cogroup(streams.groupBy(*keys)).applyInPandas(run, "anchor long, content long, bits long")
+    keys = ["shard", "slot", "task"]
+    hits = patterns.groupBy(*keys).cogroup(streams.groupBy(*keys)).applyInPandas(run, "anchor long, content long, bits long")
+    return hits.groupBy("anchor", "content").agg(F.bit_or("bits").alias("bits"))
 
 
 def covered(size: int, first: list[int], bits: list[int]) -> np.ndarray:
@@ -298,7 +318,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     found = ws.save(read_witnesses(rows.select("row_key", "text"), classes), "witnesses")
     confirmed = ws.save(confirm(found), "confirmed")
     shards = ws.save(phrases(found, confirmed), "phrases")
-    located = ws.save(locate(found, shards).dropDuplicates(["anchor", "content"]), "located")
+    located = ws.save(locate(found, shards), "located")
     marks = recurring.join(located, ["anchor", "content"]).select("row_key", "first", "bits").distinct()
     marks = ws.save(marks.groupBy("row_key").agg(F.collect_list(F.struct("first", "bits")).alias("marks")), "marks")
     ws.drop("recurring", "witnesses", "confirmed", "phrases", "located")

@@ -52,10 +52,18 @@ def test_made_overlaps_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     check(df)
     monkeypatch.setattr(passages, "SHARD_REGIONS", 3)
+    monkeypatch.setattr(passages, "SLOT_PHRASES", 2)
     monkeypatch.setattr(passages, "_WORDS", 100)
     check(df)
 
 
+def test_rows_that_repeat_without_end(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, passage + " and an end")] * 5000 + [(i, f"start {i} {passage} end {i}") for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(df)
+
+
 @pytest.mark.parametrize("make", [odd, empty, lambda s: clashing(s, "row_key", "key", "anchor", "marks", "n_words")])
 def test_odd_rows(spark, make):
     df = make(spark)

@@ -1,24 +1,29 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-The tree is learned from the documents outside the held-out fold. Its states are contexts of 0, 1 or 2 words. A
-context with its next symbol is kept if the joint frequency is at least MIN_SHARE of all tokens, so a depth has
-1 / MIN_SHARE entries at most, whatever the corpus; longer contexts are counted only where all their parts are
-frequent (no longer one can be frequent otherwise). A context stays in the tree if its next-symbol distribution
-diverges from its suffix's by DIVERGENCE bits or more, or if a context that stays has it as suffix.
-
-A state's distribution is smoothed with its suffix's (Witten and Bell), down to word counts with half a count added.
-A text is scored by the longest state before each token. The tree is bounded and is broadcast; the words that are
-not frequent enough to be in it get their counts by a join.
+The tree is learned from the documents outside the held-out fold. A state is a context of some words; the root is the
+empty one. Level by level, a context that occurs MIN_CONTEXT times or more and whose suffix is a state becomes one if
+its next-symbol distribution diverges from its suffix's: coding each of its occurrences by the counts of the others
+(one left out) has to save DIVERGENCE bits or more an occurrence. Levels are added until no context passes, so a state
+is as long as the corpus gives reason for and the tree grows with the corpus.
+
+A state's distribution is smoothed with its suffix's as prior, of strength T ** PRIOR for T occurrences, down to word
+counts with half a count added. A text is scored by the longest state before each token.
+
+Documents are packed into chunks of about CHUNK tokens. At each level a chunk asks once for each distinct sequence it
+has under a context that is frequent: those rows, summed over the chunks, are the counts of the tree; the test is a sum
+over them by context, and the counts go back to the chunks that asked, which update their tokens. No count passes
+through the driver and none is broadcast. Words and sequences are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +31,14 @@ from graywether.llm.tables import Workspace
 
 #: Fold of held-out documents: crc32 of the key's digits, mod FOLDS.
 FOLDS, HELD_OUT = 5, 1
-#: A (context, next symbol) is kept from this share of all training tokens on.
-MIN_SHARE = 1e-5
-#: A word has a number in the tree from this share on; 1 / WORD_SHARE words at most.
-WORD_SHARE = 5e-7
+#: Occurrences from which on a context is tested; the same at every size.
+MIN_CONTEXT = 32
+#: Bits an occurrence that a state has to save.
 DIVERGENCE = 0.01
-_COUNTED = 200_000
-_PAIRS = 1_500_000
-_ROWS = 256
-_BITS = 21  # of a word's number: 1 / WORD_SHARE fits
-_END, _RARE = 0, (1 << _BITS) - 1
+PRIOR = 0.7
+CHUNK = 1_000_000
+_END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 def held_out(key: Column) -> Column:
@@ -48,243 +51,263 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word, n over all training texts (null for the end: one for each document)."""
+def _schema(kind: str) -> str:
+    """Of a row for each chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
+    in words; counts: training counts of words; done: log10 of the tokens that no longer context is sought for; for
+    the others pos (in at), t (occurrences of the context that is sought), p (by the longest state so far) and state
+    (whether that state is the sought context's suffix)."""
+    return (
+        f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary, counts binary, "
+        "known array<long>, base array<double>, done array<double>, pos binary, t binary, p binary, state binary"
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, docs = Counter(), 0
 
-        def out(ends: int) -> pa.RecordBatch:
-            words = pa.array([w.decode() for w in seen] + [None], pa.string())
-            return pa.RecordBatch.from_arrays([words, pa.array([*seen.values(), ends], pa.int64())], names=["word", "n"])
+def chunks(rows: DataFrame) -> DataFrame:
+    """The chunks of rows (key, held_out, text), before anything is counted."""
+    kind = rows.schema["key"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 32
+        keys, held, hashes, size = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            none, per = pa.array([b""], pa.binary()), pa.array([[]], pa.list_(pa.float64()))
+            columns = [
+                pa.array([made], pa.int64()), pa.array([list(chain.from_iterable(keys))], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
+                pa.array([[len(h) - 1 for h in hashes]], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary()),
+                pa.array([at.astype(np.int32).tobytes()], pa.binary()), none, per.cast(pa.list_(pa.int64())), per, per, none, none, none, none,
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        key_type = None
         for batch in batches:
-            docs += batch.num_rows
-            for text in batch.column(0).cast(pa.large_binary()):
-                seen.update(tokens(text.as_py()))
-                if len(seen) > _COUNTED:
-                    yield out(0)
-                    seen.clear()
-        yield out(docs)
+            key_type = batch.column(0).type
+            for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
+                words = tokens(text.as_py())
+                h = np.empty(len(words) + 2, dtype=np.uint64)
+                h[0] = h[-1] = _END
+                h[1:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+                keys.append(batch.column(0).slice(i, 1).to_pylist())
+                held.append(batch.column(1)[i].as_py())
+                hashes.append(h)
+                size += len(h)
+                if size >= CHUNK:
+                    yield out()
+                    made, keys, held, hashes, size = made + 1, [], [], [], 0
+        if hashes:
+            yield out()
+
+    names = [part.split(" ")[0] for part in _schema(kind).split(", ")]
+    return rows.select("key", "held_out", "text").mapInArrow(run, _schema(kind))
+
+
+class _Chunk:
+    """A chunk's arrays; seq holds the hashes of all its documents, each with an end before it and one after."""
+
+    def __init__(self, row: dict, total: tuple[int, int]):
+        self.row, self.total = row, total
+        self.sizes = np.asarray(row["sizes"].flatten())
+        self.words = np.frombuffer(row["words"][0].as_py(), dtype=np.uint64)
+        self.at = np.frombuffer(row["at"][0].as_py(), dtype=np.int32)
+        self.seq = self.words[self.at]
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        first = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.token = np.ones(len(self.seq), dtype=bool)
+        self.token[first] = False
+        self.train = ~np.asarray(row["held"].flatten().to_numpy(zero_copy_only=False), dtype=bool)[self.doc]
+        read = lambda name, kind: np.frombuffer(row[name][0].as_py(), dtype=kind)
+        self.counts = read("counts", np.int64)
+        self.done = np.asarray(row["done"].flatten(), dtype=float)
+        self.pos, self.t, self.p, self.state = read("pos", np.int32), read("t", np.int64), read("p", float), read("state", bool)
+
+    def per_doc(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[at], weights=value, minlength=len(self.sizes))
+
+    def start(self) -> None:
+        """The tokens by word counts alone: base p, and those before which one word is frequent enough to be sought."""
+        n, v = self.total
+        p = (self.counts + 0.5) / (n + 0.5 * (v + 1))
+        pos = np.flatnonzero(self.token)
+        self.base_p, self.base_t = p[self.at[pos]], self.counts[self.at[pos - 1]]
+        self.done = np.zeros(len(self.sizes))
+        self.keep(pos.astype(np.int32), self.base_t, self.base_p, np.ones(len(pos), dtype=bool))
+
+    def keep(self, pos: np.ndarray, t: np.ndarray, p: np.ndarray, state: np.ndarray) -> None:
+        """Go on with the tokens whose sought context is frequent; the others are done."""
+        on = t >= MIN_CONTEXT
+        self.done = self.done + self.per_doc(np.log10(p[~on]), pos[~on])
+        self.pos, self.t, self.p, self.state = pos[on], t[on], p[on], state[on]
+
+    def keys(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each sought token: hashes of the depth words before it, and of those with the token."""
+        if depth == 1:
+            context = self.seq[self.pos - 1]
+        else:
+            context = self.seq[self.pos - 1]
+            for j in range(2, depth + 1):
+                context = _mixed(context, self.seq[self.pos - j])
+        gram = self.seq[self.pos]
+        for j in range(1, depth + 1):
+            gram = _mixed(gram, self.seq[self.pos - j])
+        return context, gram
 
-    return train.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(29))) * _MIX[0] + b
+    x = (x ^ (x >> np.uint64(31))) * _MIX[1]
+    return x ^ (x >> np.uint64(32))
 
-def _numbered(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
-    """Numbers of a text's tokens, the end last, and an end first: what stands before a text."""
-    found = [numbers.get(w, _RARE) for w in words]
-    return np.array([_END, *found, _END], dtype=np.int64)
 
+_ASKED = "gram long, context long, chunk long, n long, t long, p double"
 
-def _in_sorted(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each value whether it is among keys (ascending), and where."""
-    if not len(keys):
-        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
-    at = np.searchsorted(keys, values).clip(max=len(keys) - 1)
-    return keys[at] == values, at
 
+def ask(state: DataFrame, depth: int, total: tuple[int, int] = (0, 0)) -> DataFrame:
+    """gram, context, chunk, n (in the chunk's training documents), t and p (0: the context can't be a state) of the
+    distinct sequences of depth + 1 words that each chunk asks for."""
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                c = _Chunk({n: row.column(n) for n in row.schema.names}, total)
+                if depth == 0:
+                    weights = (c.token & c.train).astype(float)
+                    n = np.bincount(c.at, weights=weights, minlength=len(c.words)).astype(np.int64)
+                    gram, context, t, p = c.words, np.zeros(len(n), np.uint64), np.zeros(len(n), np.int64), np.zeros(len(n))
+                else:
+                    if depth == 1:
+                        c.start()
+                    context, gram = c.keys(depth)
+                    gram, first, back = np.unique(gram, return_index=True, return_inverse=True)
+                    n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram)).astype(np.int64)
+                    context, t, p = context[first], c.t[first], np.where(c.state, c.p, 0.0)[first]
+                columns = [gram.view(np.int64), context.view(np.int64), np.full(len(n), row.column("chunk")[0].as_py()), n, t, p]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "context", "chunk", "n", "t", "p"])
+
+    return state.mapInArrow(run, _ASKED)
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """asked with all chunks' n in total, and once: true for one row of each sequence."""
+    return asked.selectExpr("*", "sum(n) over (partition by gram) as total", "min(chunk) over (partition by gram) = chunk as once").drop("n")
+
+
+def passing(counted: DataFrame) -> DataFrame:
+    """context: those that become states."""
+    n, t, p = F.col("total"), F.col("t"), F.col("p")
+    prior = F.pow(t, F.lit(PRIOR))
+    saved = n * F.log2((n - 1 + prior * p) / ((t - 1 + prior) * p))
+    tested = counted.where("once and total > 0 and p > 0").groupBy("context").agg(F.sum(saved).alias("saved"), F.max("t").alias("t"))
+    return tested.where(F.col("saved") >= DIVERGENCE * F.col("t")).select("context")
+
+
+def _row(c: _Chunk, **changed) -> pa.Table:
+    columns = {n: c.row[n] for n in c.row}
+    for name, value in changed.items():
+        kind = c.row[name].type
+        columns[name] = pa.array([value.tobytes() if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else value.tolist()], kind)
+    return pa.table(columns)
+
+
+def update(state: DataFrame, answers: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
+    """The chunks with the counts they asked for at a depth: answers has chunk, gram, total and is_state."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left
+        left = left.combine_chunks()
+        c = _Chunk({n: left[n].chunk(0) for n in left.column_names}, total)
+        gram = right["gram"].to_numpy().view(np.uint64)
+        order = np.argsort(gram)
+        gram, n, is_state = gram[order], right["total"].to_numpy()[order], right["is_state"].to_numpy()[order].astype(bool)
+
+        def found(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(gram):
+                return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+            at = np.searchsorted(gram, keys).clip(max=len(gram) - 1)
+            return gram[at] == keys, at
+
+        if depth == 0:
+            hit, at = found(c.words)
+            c.counts = np.where(hit, n[at], 0) if len(gram) else np.zeros(len(c.words), np.int64)
+            c.start()
+            pos = np.flatnonzero(c.token)
+            known = c.per_doc((c.counts[c.at[pos]] > 0).astype(float), pos).astype(np.int64)
+            return _row(c, counts=c.counts, known=known, base=c.per_doc(np.log10(c.base_p), pos))
+        if depth == 1:
+            c.start()
+        hit, at = found(c.keys(depth)[1])
+        count = np.where(hit, n[at], 0) if len(gram) else np.zeros(len(c.pos), np.int64)
+        on = c.state & hit & is_state[at] if len(gram) else np.zeros(len(c.pos), dtype=bool)
+        prior = c.t.astype(float) ** PRIOR
+        p = np.where(on, (count + prior * c.p) / (c.t + prior), c.p)
+        whole = np.zeros(len(c.seq), dtype=np.int64)
+        whole[c.pos] = count
+        c.keep(c.pos, whole[c.pos - 1], p, on)
+        return _row(c, done=c.done, pos=c.pos, t=c.t, p=c.p, state=c.state)
 
+    joined = state.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return joined.applyInArrow(run, state.schema)
 
-def sequence_counts(train: DataFrame, numbers, depth: int, frequent=None) -> DataFrame:
-    """key, n of sequences of depth + 1 numbered tokens; for depth 2 those whose two pairs are frequent.
 
-    numbers and frequent are broadcasts (words to numbers; ascending keys of pairs). Depth 1 has key a, w as
-    a << _BITS | w; depth 2 has the place of a, b among the frequent pairs << _BITS | w.
-    """
+def finished(state: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
+    """The chunks with all tokens done, as no context of this depth is a state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        keys, counts, size = np.array([], dtype=np.int64), np.array([], dtype=np.int64), 0
-
-        def merged() -> None:
-            nonlocal keys, counts, held, size
-            new = np.concatenate(held) if held else np.array([], dtype=np.int64)
-            keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, np.ones(len(new), dtype=np.int64)]))
-            held, size = [], 0
-
         for batch in batches:
-            for text in batch.column(0).cast(pa.large_binary()):
-                t = _numbered(tokens(text.as_py()), numbers.value)
-                pairs = t[:-1] << _BITS | t[1:]
-                whole = (t[:-1] != _RARE) & (t[1:] != _RARE)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                c = _Chunk({n: row.column(n) for n in row.schema.names}, total)
                 if depth == 1:
-                    new = pairs[whole]
-                else:
-                    ok, at = _in_sorted(pairs, frequent.value)
-                    new = (at[:-1] << _BITS | t[2:])[ok[:-1] & ok[1:]]
-                held.append(new)
-                size += len(new)
-                if size > _PAIRS:
-                    merged()
-                    if len(keys) > _PAIRS:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-                        keys, counts = keys[:0], counts[:0]
-        merged()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-    return train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """The kept contexts. Depth d has keys (ascending), log-free counts and, by context, total and distinct symbols."""
-
-    def __init__(self, n_tokens: int, n_words: int, unigrams: np.ndarray):
-        self.n, self.v = n_tokens, n_words
-        #: base probability of each numbered word
-        self.base = (unigrams + 0.5) / (n_tokens + 0.5 * (n_words + 1))
-        self.pairs = np.array([], dtype=np.int64)
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, n: np.ndarray, totals: np.ndarray) -> None:
-        """A level: keys of (context << _BITS | symbol) with counts; totals[context] is the context's own count."""
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        context, first = np.unique(keys >> _BITS, return_index=True)
-        kinds = np.diff(np.r_[first, len(keys)]).astype(float)
-        kept = np.add.reduceat(n, first) if len(keys) else np.array([])
-        total = np.maximum(totals[context], kept) if len(context) else np.array([])
-        #: P(w) = own + rest * P of the suffix: own = n / (total + kinds), rest the remaining mass
-        rest = (total - kept + kinds) / (total + kinds)
-        own = n / np.repeat(total + kinds, kinds.astype(int)) if len(keys) else np.array([])
-        self.levels.append({"keys": keys, "own": own, "context": context, "rest": rest, "n": n, "first": first, "total": total})
-
-    def _step(self, level: dict, context: np.ndarray, known: np.ndarray, symbol: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P of symbol after context where the state is kept, else what is below; and the share that backs off."""
-        there, at = _in_sorted(context, level["context"])
-        there &= known
-        hit, place = _in_sorted(context << _BITS | symbol, level["keys"])
-        hit &= there & (symbol != _RARE)
-        if not len(level["context"]):
-            return below, np.ones(len(below))
-        rest = np.where(there, level["rest"][at], 1.0)
-        return np.where(hit, level["own"][place], 0.0) + rest * below, rest
-
-    def prune(self) -> None:
-        """Drop contexts whose distribution stays within DIVERGENCE bits of their suffix's, longest first."""
-        wanted = np.array([], dtype=np.int64)  # contexts of the level that longer ones need
-        for depth in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[depth]
-            if not len(level["keys"]):
-                continue
-            symbol, context = level["keys"] & _RARE, level["keys"] >> _BITS
-            below = self.base[symbol]
-            if depth == 1:  # the suffix of a pair is its second word
-                second = self.pairs[context] & _RARE
-                below, _ = self._step(self.levels[0], second, np.ones(len(second), dtype=bool), symbol, below)
-            share = level["n"] / np.repeat(level["total"], np.diff(np.r_[level["first"], len(symbol)]))
-            bits = np.add.reduceat(share * np.log2(share / below), level["first"])
-            keep = (bits >= DIVERGENCE) | np.isin(level["context"], wanted)
-            if depth == 1:
-                wanted = np.unique(self.pairs[level["context"][keep]] & _RARE)
-            entry = np.repeat(keep, np.diff(np.r_[level["first"], len(symbol)]))
-            for k in ("keys", "own", "n"):
-                level[k] = level[k][entry]
-            for k in ("context", "rest", "total"):
-                level[k] = level[k][keep]
-            level["first"] = np.unique(level["keys"] >> _BITS, return_index=True)[1]
-
-    def score(self, t: np.ndarray) -> tuple[float, float, float]:
-        """For numbered tokens (an end first): log10 of base and of the tree's probability of those that have a
-        number, and log10 of the share that backs off to the base for the others."""
-        symbol, before = t[1:], t[:-1]
-        rare = symbol == _RARE
-        base = np.where(rare, 1.0, self.base[np.where(rare, 0, symbol)])
-        p, rest = self._step(self.levels[0], before, before != _RARE, symbol, base)
-        earlier = np.r_[_RARE, t[:-2]]
-        pair, at = _in_sorted(earlier << _BITS | before, self.pairs)
-        pair &= earlier != _RARE
-        p, more = self._step(self.levels[1], at, pair, symbol, p)
-        backed = np.log10(rest[rare] * more[rare]).sum()
-        return float(np.log10(base[~rare]).sum()), float(np.log10(p[~rare]).sum()), float(backed)
-
-
-def learn(train: DataFrame, ws: Workspace) -> tuple[Tree, dict[bytes, int], DataFrame]:
-    """The tree, the numbers of its words, and the counts (word, n) of all training words."""
-    spark = train.sparkSession
-    counts = ws.save(word_counts(train), "words")
-    sums = counts.agg(F.sum("n").alias("n"), F.count("word").alias("v"), F.max(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
-    n, ends = sums.n or 0, sums.ends or 0
-    v = sums.v + (ends > 0)  # the end is in the vocabulary once it has been seen
-    frequent = counts.where(F.col("word").isNotNull() & (F.col("n") >= max(1.0, WORD_SHARE * n))).orderBy("word").collect()
-    numbers = {r.word.encode(): i + 1 for i, r in enumerate(frequent)}
-    unigrams = np.array([ends, *(r.n for r in frequent)], dtype=float)
-    tree = Tree(n, v, unigrams)
-    least = max(2.0, MIN_SHARE * n)
-    shared = spark.sparkContext.broadcast({w: i for w, i in numbers.items() if unigrams[i] >= least})
-    totals = unigrams
-    for depth in (1, 2):
-        pairs = spark.sparkContext.broadcast(tree.pairs)
-        found = sequence_counts(train, shared, depth, pairs).where(F.col("n") >= least).orderBy("key").collect()
-        keys = np.array([r.key for r in found], dtype=np.int64)
-        n_of = np.array([r.n for r in found], dtype=np.int64)
-        tree.add(keys, n_of, totals)
-        if depth == 1:
-            tree.pairs, totals = keys, n_of.astype(float)
-    tree.prune()
-    return tree, numbers, counts
+                    c.start()
+                done = c.done + c.per_doc(np.log10(c.p), c.pos)
+                columns = [c.row[x] for x in ("keys", "held", "sizes", "known", "base")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([done.tolist()], pa.list_(pa.float64()))], names=[*names, "done"])
+
+    names = ["keys", "held", "sizes", "known", "base"]
+    kinds = [f"{n} {state.schema[n].dataType.simpleString()}" for n in [*names, "done"]]
+    return state.mapInArrow(run, ", ".join(kinds))
 
 
 def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (key, text).
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score and depth (of the tree) of each row of docs
+    (key, text).
 
-    The end of a text is a token, so the empty (or null) text has one. Where nothing is learned (no training
-    rows) all tokens are unknown. Repeated rows are scored alike.
+    The end of a text is a token, so the empty (or null) text has one. Where nothing is learned (no training rows) all
+    tokens are unknown and score is base_score. Repeated rows are scored alike; null keys are in the training part.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "suffixtree")
+    ws = Workspace(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), "text")
-    tree, numbers, counts = learn(rows.where(~F.col("held_out")), ws)
-    model = spark.sparkContext.broadcast((tree, numbers))
-    end_known = tree.n > 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, numbers = model.value
-        rare_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
-        for whole in batches:
-            for i in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(i, _ROWS)
-                out: list[list] = [[], [], [], [], [], [], []]
-                for text in batch.column(2).cast(pa.large_binary()):
-                    raw = text.as_py()
-                    words = tokens(raw)
-                    t = _numbered(words, numbers)
-                    base, own, backed = tree.score(t)
-                    rare = Counter(w for w in words if w not in numbers)
-                    content = xxhash.xxh3_128_digest(raw or b"")
-                    rare_n = sum(rare.values())
-                    numbered = len(words) - rare_n + end_known
-                    listed = [{"word": w.decode(), "times": c} for w, c in rare.items()]
-                    for column, value in zip(out, (content, len(words) + 1, numbered, base, own, backed, listed)):
-                        column.append(value)
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), rare_type)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), *map(pa.array, out, kinds)],
-                    names=["key", "held_out", "content", "n_tokens", "n_numbered", "base", "own", "backed", "rare"],
-                )
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, held_out boolean, content binary, n_tokens long, n_numbered long, base double, own double, backed double, rare array<struct<word: string, times: int>>"
-    scored = ws.save(rows.mapInArrow(run, schema), "scored")
-    # equal texts ask once; a word that isn't frequent has few rows on either side
-    asked = scored.where(F.size("rare") > 0).groupBy("content").agg(F.first("rare").alias("rare"))
-    asked = asked.select("content", F.inline("rare")).join(counts.where("word is not null"), "word")
-    size = F.lit(float(tree.n + 0.5 * (tree.v + 1)))
-    log_p = lambda c: F.log10((c + 0.5) / size)
-    answered = asked.groupBy("content").agg(F.sum("times").alias("known"), F.sum(F.col("times") * log_p(F.col("n"))).alias("log_p"))
-    joined = scored.drop("rare").join(answered, "content", "left")
-    rare = F.col("n_tokens") - F.col("n_numbered") - F.lit(0 if end_known else 1)
-    unknown = rare - F.coalesce("known", F.lit(0))
-    from_rare = F.coalesce("log_p", F.lit(0.0)) + F.when(unknown > 0, unknown * log_p(F.lit(0.0))).otherwise(0.0)
-    return joined.select(
-        F.col("key").alias(key),
-        "held_out",
-        "n_tokens",
-        (F.col("n_numbered") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("base") + from_rare).alias("base_score"),
-        (F.col("own") + F.col("backed") + from_rare).alias("score"),
+    state = ws.save(chunks(rows), "chunks")
+    words = ws.save(answered(ask(state, 0)), "words")
+    sums = words.where("once").agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
+    total = (sums.n or 0, sums.v or 0)
+    reply = words.where("total > 0").select("chunk", "gram", "total", F.lit(False).alias("is_state"))
+    state = ws.save(update(state, reply, 0, total), "state0")
+    ws.drop("chunks", "words")
+    depth = 1
+    while True:
+        counted = ws.save(answered(ask(state, depth, total)), f"counted{depth}")
+        states = ws.save(passing(counted), f"states{depth}")
+        if states.isEmpty():
+            break
+        marked = counted.join(states.withColumn("is_state", F.lit(True)), "context", "left")
+        reply = marked.select("chunk", "gram", "total", F.coalesce("is_state", F.lit(False)).alias("is_state"))
+        reply = reply.where((F.col("total") >= MIN_CONTEXT) | F.col("is_state"))
+        state = ws.save(update(state, reply, depth, total), f"state{depth}")
+        ws.drop(f"counted{depth}", f"state{depth - 1}")
+        depth += 1
+    found = ws.save(finished(state, depth, total), "scored")
+    ws.drop(f"counted{depth}", f"state{depth - 1}")
+    each = found.select(F.inline(F.arrays_zip("keys", "held", "sizes", "known", "base", "done")))
+    return each.select(
+        F.col("keys").alias(key),
+        F.col("held").alias("held_out"),
+        F.col("sizes").cast("long").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(total[0]).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        F.col("done").alias("score"),
+        F.lit(depth - 1).alias("depth"),
     )

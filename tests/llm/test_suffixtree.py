@@ -1,14 +1,13 @@
 import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from graywether.llm import suffixtree
 from graywether.llm.queries import QUERIES
-from graywether.llm.tables import Workspace
 
 from .fixtures import clashing, empty, odd
 
@@ -45,38 +44,68 @@ def test_counts_and_base_against_brute_force(spark, sf_dir):
     assert QUERIES["op8_suffix_tree"](spark, sf_dir).count() == 200
 
 
-def test_words_below_the_tree_come_by_join(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(suffixtree, "WORD_SHARE", 1e-3)
-    monkeypatch.setattr(suffixtree, "MIN_SHARE", 1e-3)
-    check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def brute_scores(rows):
+    """The tree in plain Python, level by level: scores by row, and the number of states of each length."""
+    seqs = [[None, *split(r.text)] for r in rows]
+    train = [q for q, r in zip(seqs, rows) if not is_held(r.doc_id)]
+    words = Counter(w for q in train for w in q[1:])
+    n, v = sum(words.values()), len(words)
+    states, sizes = {}, []
+
+    def p_of(q, i, depth):
+        p = (words[q[i]] + 0.5) / (n + 0.5 * (v + 1))
+        for d in range(1, depth + 1):
+            after = states.get(tuple(q[i - d : i])) if i >= d else None
+            if after is None:
+                break
+            t = sum(after.values())
+            p = (after[q[i]] + t**suffixtree.PRIOR * p) / (t + t**suffixtree.PRIOR)
+        return p
+
+    for depth in range(1, 99):
+        after, where = defaultdict(Counter), {}
+        for q in train:
+            for i in range(depth, len(q)):
+                c = tuple(q[i - depth : i])
+                if depth == 1 or c[1:] in states:
+                    after[c][q[i]] += 1
+                    where[c, q[i]] = (q, i)
+        new = {}
+        for c, counts in after.items():
+            t = sum(counts.values())
+            if t < suffixtree.MIN_CONTEXT:
+                continue
+            prior, saved = t**suffixtree.PRIOR, 0.0
+            for w, k in counts.items():
+                p = p_of(*where[c, w], depth - 1)
+                saved += k * math.log2((k - 1 + prior * p) / ((t - 1 + prior) * p))
+            if saved >= suffixtree.DIVERGENCE * t:
+                new[c] = counts
+        if not new:
+            break
+        states |= new
+        sizes.append(len(new))
+    return [sum(math.log10(p_of(q, i, 99)) for i in range(1, len(q))) for q in seqs], sizes
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    rng = random.Random(3)
+    made = [" ".join(rng.choice(["a b c d e", "x b c y e", "z c q", "a b c d f"]) for _ in range(rng.randint(1, 30))) for _ in range(120)]
+    small = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    for docs in (small, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+        rows = docs.collect()
+        want, sizes = brute_scores(rows)
+        got = {r.doc_id: r for r in suffixtree.score(docs).collect()}
+        for r, s in zip(rows, want):
+            assert got[r.doc_id].score == pytest.approx(s, abs=1e-6), r.doc_id
+        assert {r.depth for r in got.values()} == {len(sizes)}
+        if docs is small:
+            assert len(sizes) >= 3
 
 
 def test_odd_rows(spark):
     check(odd(spark))
-    assert len(check(clashing(spark, "key", "held_out", "rare", "base", "word"))) == 13
+    assert len(check(clashing(spark, "key", "held_out", "at", "base", "chunk"))) == 13
     assert suffixtree.score(empty(spark)).count() == 0
     key = next(i for i in range(99) if is_held(i))
     check(spark.createDataFrame([(key, "held out only")], "doc_id long, text string"))
-
-
-def test_states_are_distributions_and_learn_order(spark):
-    texts = [" ".join(["a b c d" if (i + j) % 3 else "x b y d" for j in range(20)]) for i in range(40)]
-    texts += ["c b y", "q"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    tree, numbers, _ = suffixtree.learn(df, Workspace(spark, "test"))
-    everything = [0, *numbers.values()]
-    one = {w: i for w, i in numbers.items()}
-    rest = 0.5 / (tree.n + 0.5 * (tree.v + 1))  # for unknown words
-    for first in (b"a", b"b", b"c", b"q"):
-        for second in (b"a", b"b", b"y", b"q"):
-            total = 0.0
-            for w in everything:
-                t = np.array([0, one[first], one[second], w])
-                whole, part = tree.score(t), tree.score(t[:-1])
-                total += 10 ** (whole[1] - part[1])
-            unseen = np.array([0, one[first], one[second], suffixtree._RARE])
-            total += 10 ** (tree.score(unseen)[2] - tree.score(unseen[:-1])[2]) * rest
-            assert total == pytest.approx(1.0)
-    ab = tree.score(np.array([0, one[b"a"], one[b"b"], one[b"c"]]))
-    assert ab[1] > ab[0]
-    assert len(tree.levels[0]["context"]) and len(tree.levels[1]["context"])

@@ -11,8 +11,9 @@ counts with half a count added. A text is scored by the longest state before eac
 
 Documents are packed into chunks of about CHUNK tokens. At each level a chunk asks once for each distinct sequence it
 has under a context that is frequent: those rows, summed over the chunks, are the counts of the tree; the test is a sum
-over them by context, and the counts go back to the chunks that asked, which update their tokens. No count passes
-through the driver and none is broadcast. Words and sequences are told apart by 64-bit hashes.
+over them by context. The counts go back to the chunks that asked, but for those that a chunk knows already, as no other
+asks and the sequence occurs once at most; so do the contexts that became states. The chunks then update their tokens.
+No count passes through the driver and none is broadcast. Words and sequences are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ MIN_CONTEXT = 32
 #: Bits an occurrence that a state has to save.
 DIVERGENCE = 0.01
 PRIOR = 0.7
-CHUNK = 1_000_000
+CHUNK = 500_000
+#: The test reads -log2 p of a suffix in steps of 1 / 2 ** _STEPS.
+_STEPS = 20
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -54,7 +57,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 def _schema(kind: str) -> str:
     """Of a row for each chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
     in words; counts: training counts of words; done: log10 of the tokens that no longer context is sought for; for
-    the others pos (in at), t (occurrences of the context that is sought), p (by the longest state so far) and state
+    the others pos (steps in at), t (occurrences of the context that is sought), p (by the longest state so far) and state
     (whether that state is the sought context's suffix)."""
     return (
         f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary, counts binary, "
@@ -62,21 +65,38 @@ def _schema(kind: str) -> str:
     )
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """An array as bytes: all first bytes, all second ones and so on, compressed; small numbers take little room."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes() if len(values) else b""
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.array([], dtype=kind)
+    planes = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     """The chunks of rows (key, held_out, text), before anything is counted."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 32
+        made = TaskContext.get().partitionId() << 12  # 4096 chunks of a partition at most, in 31 bits
         keys, held, hashes, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            none, per = pa.array([b""], pa.binary()), pa.array([[]], pa.list_(pa.float64()))
+            words, at, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words have small places, which compress
+            words, at = words[order], np.argsort(order)[at]
+            none, per = pa.array([_packed(words[:0])], pa.binary()), pa.array([[]], pa.list_(pa.float64()))
             columns = [
                 pa.array([made], pa.int64()), pa.array([list(chain.from_iterable(keys))], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([[len(h) - 1 for h in hashes]], pa.list_(pa.int32())), pa.array([words.tobytes()], pa.binary()),
-                pa.array([at.astype(np.int32).tobytes()], pa.binary()), none, per.cast(pa.list_(pa.int64())), per, per, none, none, none, none,
+                pa.array([[len(h) - 1 for h in hashes]], pa.list_(pa.int32())), pa.array([_packed(words)], pa.binary()),
+                pa.array([_packed(at.astype(np.int32))], pa.binary()), none, per.cast(pa.list_(pa.int64())), per, per, none, none, none, none,
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -108,18 +128,18 @@ class _Chunk:
     def __init__(self, row: dict, total: tuple[int, int]):
         self.row, self.total = row, total
         self.sizes = np.asarray(row["sizes"].flatten())
-        self.words = np.frombuffer(row["words"][0].as_py(), dtype=np.uint64)
-        self.at = np.frombuffer(row["at"][0].as_py(), dtype=np.int32)
+        read = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
+        self.words, self.at = read("words", np.uint64), read("at", np.int32)
         self.seq = self.words[self.at]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
         first = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.token = np.ones(len(self.seq), dtype=bool)
         self.token[first] = False
         self.train = ~np.asarray(row["held"].flatten().to_numpy(zero_copy_only=False), dtype=bool)[self.doc]
-        read = lambda name, kind: np.frombuffer(row[name][0].as_py(), dtype=kind)
         self.counts = read("counts", np.int64)
         self.done = np.asarray(row["done"].flatten(), dtype=float)
-        self.pos, self.t, self.p, self.state = read("pos", np.int32), read("t", np.int64), read("p", float), read("state", bool)
+        self.pos, self.t, self.state = np.cumsum(read("pos", np.int32), dtype=np.int32), read("t", np.int64), read("state", bool)
+        self.p = read("p", np.float32).astype(float)
 
     def per_doc(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc[at], weights=value, minlength=len(self.sizes))
@@ -141,12 +161,9 @@ class _Chunk:
 
     def keys(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each sought token: hashes of the depth words before it, and of those with the token."""
-        if depth == 1:
-            context = self.seq[self.pos - 1]
-        else:
-            context = self.seq[self.pos - 1]
-            for j in range(2, depth + 1):
-                context = _mixed(context, self.seq[self.pos - j])
+        context = self.seq[self.pos - 1]
+        for j in range(2, depth + 1):
+            context = _mixed(context, self.seq[self.pos - j])
         gram = self.seq[self.pos]
         for j in range(1, depth + 1):
             gram = _mixed(gram, self.seq[self.pos - j])
@@ -159,93 +176,134 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_ASKED = "gram long, context long, chunk long, n long, t long, p double"
+_ASKED = "gram long, context long, cn long, tp long"
+_LOW = (1 << 32) - 1
 
 
-def ask(state: DataFrame, depth: int, total: tuple[int, int] = (0, 0)) -> DataFrame:
-    """gram, context, chunk, n (in the chunk's training documents), t and p (0: the context can't be a state) of the
-    distinct sequences of depth + 1 words that each chunk asks for."""
+def _each(state: DataFrame, total: tuple[int, int], depth: int, schema: str, work) -> DataFrame:
+    """work(chunk number, chunk) for every row: columns of schema."""
+    names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 c = _Chunk({n: row.column(n) for n in row.schema.names}, total)
-                if depth == 0:
-                    weights = (c.token & c.train).astype(float)
-                    n = np.bincount(c.at, weights=weights, minlength=len(c.words)).astype(np.int64)
-                    gram, context, t, p = c.words, np.zeros(len(n), np.uint64), np.zeros(len(n), np.int64), np.zeros(len(n))
-                else:
-                    if depth == 1:
-                        c.start()
-                    context, gram = c.keys(depth)
-                    gram, first, back = np.unique(gram, return_index=True, return_inverse=True)
-                    n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram)).astype(np.int64)
-                    context, t, p = context[first], c.t[first], np.where(c.state, c.p, 0.0)[first]
-                columns = [gram.view(np.int64), context.view(np.int64), np.full(len(n), row.column("chunk")[0].as_py()), n, t, p]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "context", "chunk", "n", "t", "p"])
+                if depth == 1:
+                    c.start()
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, work(row.column("chunk")[0].as_py(), c))), names=names)
+
+    return state.mapInArrow(run, schema)
+
+
+def ask(state: DataFrame, depth: int, total: tuple[int, int] = (0, 0)) -> DataFrame:
+    """The distinct sequences of depth + 1 words that each chunk asks for: gram, context, cn (chunk and the count in its
+    training documents, in 32 bits each) and tp (occurrences of the context, and -log2 p by its suffix in steps, plus
+    one; 0 where the suffix is no state)."""
+
+    def work(no: int, c: _Chunk) -> list[np.ndarray]:
+        if depth == 0:
+            n = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(c.words)).astype(np.int64)
+            none = np.zeros(len(n), dtype=np.int64)
+            return [c.words.view(np.int64), none, no << 32 | n, none]
+        context, gram = c.keys(depth)
+        gram, first, back = np.unique(gram, return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram)).astype(np.int64)
+        steps = np.where(c.state, np.rint(-np.log2(c.p) * (1 << _STEPS)).astype(np.int64) + 1, 0)
+        return [gram.view(np.int64), context[first].view(np.int64), no << 32 | n, (c.t << 32 | steps)[first]]
+
+    return _each(state, total, depth, _ASKED, work)
+
+
+def asked_contexts(state: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
+    """context and chunk: the distinct contexts of each chunk that can become states."""
 
-    return state.mapInArrow(run, _ASKED)
+    def work(no: int, c: _Chunk) -> list[np.ndarray]:
+        context = np.unique(c.keys(depth)[0][c.state]).view(np.int64)
+        return [context, np.full(len(context), no)]
 
+    return _each(state, total, depth, "context long, chunk long", work)
 
-def answered(asked: DataFrame) -> DataFrame:
-    """asked with all chunks' n in total, and once: true for one row of each sequence."""
-    return asked.selectExpr("*", "sum(n) over (partition by gram) as total", "min(chunk) over (partition by gram) = chunk as once").drop("n")
+
+def answered(asked: DataFrame, all_rows: bool = False) -> DataFrame:
+    """gram, context, chunk, total (over all chunks), tp and once (true for one row of a sequence), without the rows
+    that the chunk can tell itself (it alone asks and the count is 1 at most) unless all_rows."""
+    whole = asked.selectExpr(
+        "gram", "context", "shiftright(cn, 32) as chunk", "tp", f"sum(cn & {_LOW}L) over (partition by gram) as total",
+        "min(shiftright(cn, 32)) over (partition by gram) as low", "max(shiftright(cn, 32)) over (partition by gram) as high",
+    )
+    whole = whole if all_rows else whole.where("total > 1 or low < high")
+    return whole.selectExpr("gram", "context", "chunk", "tp", "total", "chunk = low as once")
 
 
 def passing(counted: DataFrame) -> DataFrame:
-    """context: those that become states."""
-    n, t, p = F.col("total"), F.col("t"), F.col("p")
+    """context: those that become states. Sequences that occur once save the same whatever their symbol, so their number
+    is enough: it is what the others leave of the context's occurrences."""
+    n, t = F.col("total"), F.shiftright("tp", 32)
+    p = F.pow(F.lit(2.0), -(F.col("tp").bitwiseAND(F.lit(_LOW)) - 1) / F.lit(float(1 << _STEPS)))
     prior = F.pow(t, F.lit(PRIOR))
     saved = n * F.log2((n - 1 + prior * p) / ((t - 1 + prior) * p))
-    tested = counted.where("once and total > 0 and p > 0").groupBy("context").agg(F.sum(saved).alias("saved"), F.max("t").alias("t"))
-    return tested.where(F.col("saved") >= DIVERGENCE * F.col("t")).select("context")
+    often = counted.where(f"once and total > 1 and (tp & {_LOW}L) > 0")
+    tested = often.groupBy("context").agg(F.sum(saved).alias("saved"), F.sum("total").alias("n"), F.max(t).alias("t"))
+    prior = F.pow("t", F.lit(PRIOR))
+    alone = (F.col("t") - F.col("n")) * F.log2(prior / (F.col("t") - 1 + prior))
+    return tested.where(F.col("saved") + alone >= DIVERGENCE * F.col("t")).select("context")
 
 
 def _row(c: _Chunk, **changed) -> pa.Table:
     columns = {n: c.row[n] for n in c.row}
     for name, value in changed.items():
         kind = c.row[name].type
-        columns[name] = pa.array([value.tobytes() if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else value.tolist()], kind)
+        columns[name] = pa.array([_packed(value) if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else value.tolist()], kind)
     return pa.table(columns)
 
 
 def update(state: DataFrame, answers: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
-    """The chunks with the counts they asked for at a depth: answers has chunk, gram, total and is_state."""
+    """The chunks with the answers for a depth: chunk, key (a sequence, or a context that is a state) and total (of a
+    sequence; null for a context)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left
         left = left.combine_chunks()
         c = _Chunk({n: left[n].chunk(0) for n in left.column_names}, total)
-        gram = right["gram"].to_numpy().view(np.uint64)
+        key, states = right["key"].to_numpy().view(np.uint64), right["total"].is_null().to_numpy()
+        n = right["total"].fill_null(0).to_numpy()[~states]
+        gram, states = key[~states], np.sort(key[states])
         order = np.argsort(gram)
-        gram, n, is_state = gram[order], right["total"].to_numpy()[order], right["is_state"].to_numpy()[order].astype(bool)
+        gram, n = gram[order], n[order]
+
+        def found(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(keys, values).clip(max=max(len(keys) - 1, 0))
+            return (keys[at] == values, at) if len(keys) else (np.zeros(len(values), dtype=bool), at)
 
-        def found(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(gram):
-                return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
-            at = np.searchsorted(gram, keys).clip(max=len(gram) - 1)
-            return gram[at] == keys, at
+        def counts(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """Training counts of sequences; where there is no answer, the chunk's own."""
+            hit, at = found(values, gram)
+            own = own.copy()
+            own[hit] = n[at[hit]]
+            return own
 
         if depth == 0:
-            hit, at = found(c.words)
-            c.counts = np.where(hit, n[at], 0) if len(gram) else np.zeros(len(c.words), np.int64)
+            own = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(c.words)).astype(np.int64)
+            c.counts = counts(c.words, own)
             c.start()
             pos = np.flatnonzero(c.token)
             known = c.per_doc((c.counts[c.at[pos]] > 0).astype(float), pos).astype(np.int64)
             return _row(c, counts=c.counts, known=known, base=c.per_doc(np.log10(c.base_p), pos))
         if depth == 1:
             c.start()
-        hit, at = found(c.keys(depth)[1])
-        count = np.where(hit, n[at], 0) if len(gram) else np.zeros(len(c.pos), np.int64)
-        on = c.state & hit & is_state[at] if len(gram) else np.zeros(len(c.pos), dtype=bool)
+        context, grams = c.keys(depth)
+        each, back = np.unique(grams, return_inverse=True)
+        own = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(each)).astype(np.int64)
+        count = counts(each, own)[back]
+        on = c.state & found(context, states)[0]
         prior = c.t.astype(float) ** PRIOR
         p = np.where(on, (count + prior * c.p) / (c.t + prior), c.p)
         whole = np.zeros(len(c.seq), dtype=np.int64)
         whole[c.pos] = count
         c.keep(c.pos, whole[c.pos - 1], p, on)
-        return _row(c, done=c.done, pos=c.pos, t=c.t, p=c.p, state=c.state)
+        return _row(c, done=c.done, pos=np.diff(c.pos, prepend=np.int32(0)), t=c.t, p=c.p.astype(np.float32), state=c.state)
 
     joined = state.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return joined.applyInArrow(run, state.schema)
@@ -253,21 +311,14 @@ def update(state: DataFrame, answers: DataFrame, depth: int, total: tuple[int, i
 
 def finished(state: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
     """The chunks with all tokens done, as no context of this depth is a state."""
+    names = ["keys", "held", "sizes", "known", "base", "done"]
+    schema = ", ".join(f"{n} {state.schema[n].dataType.simpleString()}" for n in names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                c = _Chunk({n: row.column(n) for n in row.schema.names}, total)
-                if depth == 1:
-                    c.start()
-                done = c.done + c.per_doc(np.log10(c.p), c.pos)
-                columns = [c.row[x] for x in ("keys", "held", "sizes", "known", "base")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([done.tolist()], pa.list_(pa.float64()))], names=[*names, "done"])
+    def work(no: int, c: _Chunk) -> list:
+        done = c.done + c.per_doc(np.log10(c.p), c.pos)
+        return [*(c.row[x] for x in names[:-1]), pa.array([done.tolist()], pa.list_(pa.float64()))]
 
-    names = ["keys", "held", "sizes", "known", "base"]
-    kinds = [f"{n} {state.schema[n].dataType.simpleString()}" for n in [*names, "done"]]
-    return state.mapInArrow(run, ", ".join(kinds))
+    return _each(state, total, depth, schema, work)
 
 
 def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -280,10 +331,10 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     ws = Workspace(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), "text")
     state = ws.save(chunks(rows), "chunks")
-    words = ws.save(answered(ask(state, 0)), "words")
+    words = ws.save(answered(ask(state, 0), True).select("chunk", "gram", "total", "once"), "words")
     sums = words.where("once").agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
     total = (sums.n or 0, sums.v or 0)
-    reply = words.where("total > 0").select("chunk", "gram", "total", F.lit(False).alias("is_state"))
+    reply = words.where("total > 0").select("chunk", F.col("gram").alias("key"), "total")
     state = ws.save(update(state, reply, 0, total), "state0")
     ws.drop("chunks", "words")
     depth = 1
@@ -292,9 +343,9 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         states = ws.save(passing(counted), f"states{depth}")
         if states.isEmpty():
             break
-        marked = counted.join(states.withColumn("is_state", F.lit(True)), "context", "left")
-        reply = marked.select("chunk", "gram", "total", F.coalesce("is_state", F.lit(False)).alias("is_state"))
-        reply = reply.where((F.col("total") >= MIN_CONTEXT) | F.col("is_state"))
+        reply = counted.select("chunk", F.col("gram").alias("key"), "total")
+        became = asked_contexts(state, depth, total).join(states, "context", "left_semi")
+        reply = reply.union(became.select("chunk", "context", F.lit(None).cast("long")))
         state = ws.save(update(state, reply, depth, total), f"state{depth}")
         ws.drop(f"counted{depth}", f"state{depth - 1}")
         depth += 1

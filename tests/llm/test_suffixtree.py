@@ -97,7 +97,7 @@ def test_scores_against_brute_force(spark, sf_dir):
         want, sizes = brute_scores(rows)
         got = {r.doc_id: r for r in suffixtree.score(docs).collect()}
         for r, s in zip(rows, want):
-            assert got[r.doc_id].score == pytest.approx(s, abs=1e-6), r.doc_id
+            assert got[r.doc_id].score == pytest.approx(s, rel=1e-6), r.doc_id
         assert {r.depth for r in got.values()} == {len(sizes)}
         if docs is small:
             assert len(sizes) >= 3

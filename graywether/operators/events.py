@@ -2,23 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graywether.functions.text import BUCKETS, bigram_hash, tokens, word_hash
+from graywether.functions.text import BIGRAM_SALT, BUCKETS, FNV_OFFSET, WORD_SALT, tokens
+
+_PRIME = np.uint64((1 << 40) + 435)
+
+
+def _word_hashes(words: pa.StringArray) -> np.ndarray:
+    """Salted FNV-1a of every word's bytes, A-Z lower-cased: byte by byte, all words at once."""
+    raw = words.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
+    size = np.diff(offsets)
+    h = np.full(len(size), FNV_OFFSET ^ WORD_SALT, dtype=np.uint64)
+    on, place = np.flatnonzero(size > 0), 0
+    while len(on):
+        b = data[offsets[on] + place]
+        b = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint64)
+        h[on] = (h[on] ^ b) * _PRIME
+        place += 1
+        on = on[size[on] > place]
+    return h
+
+
+def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Salted FNV-1a of two word hashes, low byte first."""
+    h = np.full(len(a), FNV_OFFSET ^ BIGRAM_SALT, dtype=np.uint64)
+    for part in (a, b):
+        for i in range(8):
+            h = (h ^ (part >> np.uint64(8 * i) & np.uint64(255))) * _PRIME
+    return h
 
 
 def token_events(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos, h, is_bigram: a hash for every word and every pair of neighbours, in the row (no shuffle)."""
-    hashed = docs.select(key, F.explode(F.array(F.transform(tokens(F.col(text)), word_hash))).alias("hs"))
-    n = F.size("hs")
-    one = F.transform("hs", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(False).alias("is_bigram")))
-    two = F.transform(
-        F.slice("hs", 2, F.greatest(n - 1, F.lit(0))),
-        lambda h, i: F.struct((i + 1).alias("pos"), bigram_hash(F.get("hs", i), h).alias("h"), F.lit(True).alias("is_bigram")),
-    )
-    return hashed.select(key, F.inline(F.concat(one, two)))
+    """key, pos, h, is_bigram: a hash for every word and every pair of neighbours, in the row (no shuffle).
+
+    The hash wraps at 64 bits, which SQL arithmetic doesn't; it is worked out in Arrow batches, once for each distinct
+    word of a batch. A null text has no events.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            sizes = np.diff(np.asarray(words.offsets)) if len(words) else np.array([], dtype=np.int64)
+            coded = words.flatten().dictionary_encode()
+            h = _word_hashes(coded.dictionary)[np.asarray(coded.indices)] if len(coded) else np.array([], dtype=np.uint64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            second = np.flatnonzero(pos > 0)
+            both = np.concatenate([h, _pair_hashes(h[second - 1], h[second])])
+            columns = [
+                batch.column(0).take(pa.array(np.concatenate([owner, owner[second]]))),
+                pa.array(np.concatenate([pos, pos[second]]).astype(np.int32)),
+                pa.array(both.view(np.int64)),
+                pa.array(np.arange(len(both)) >= len(h)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "pos", "h", "is_bigram"])
+
+    words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("ws")
+    return docs.select(key, words).mapInArrow(run, f"`{key}` {kind}, pos int, h long, is_bigram boolean")
 
 
 def hashed_embedding(events: DataFrame, key: str = "doc_id", size: int = 256) -> DataFrame:
@@ -36,20 +86,31 @@ def count_table(events: DataFrame, domain: str) -> DataFrame:
     return events.groupBy(domain, tok.alias("tok")).agg(F.count("*").alias("n_in"))
 
 
-def log_odds(counts: DataFrame, domain: str, alpha: float = 1.0, vocabulary: int = BUCKETS) -> DataFrame:
-    """domain, tok, n_in, n_out, score: log2 of smoothed shares inside and outside the domain, for every domain.
+def log_odds(counts: DataFrame, domain: str, alpha: float = 1.0, vocabulary: int = BUCKETS, by: tuple[str, ...] = ()) -> DataFrame:
+    """domain, tok, n_in, n_out, score: log2 of smoothed shares inside and outside the domain, for every domain; apart
+    for each value of the columns `by`.
 
     Buckets a domain lacks (n_in = 0) are made by joining seen buckets with the domains, which are few.
     """
-    everything = counts.groupBy("tok").agg(F.sum("n_in").alias("n_all"))
-    size = counts.groupBy(domain).agg(F.sum("n_in").alias("size_in"))
-    total = F.broadcast(size.agg(F.sum("size_in").alias("size_all")))
-    full = everything.crossJoin(F.broadcast(size.crossJoin(total)))
-    joined = full.join(counts, [domain, "tok"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
+    everything = counts.groupBy(*by, "tok").agg(F.sum("n_in").alias("n_all"))
+    size = counts.groupBy(*by, domain).agg(F.sum("n_in").alias("size_in"))
+    total = size.groupBy(*by).agg(F.sum("size_in").alias("size_all"))
+    if by:
+        full = everything.join(size.join(total, list(by)), list(by))
+    else:
+        full = everything.crossJoin(F.broadcast(size.crossJoin(F.broadcast(total))))  # a row a domain
+    joined = full.join(counts, [*by, domain, "tok"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
     n_out = F.col("n_all") - F.col("n_in")
     inside = (F.col("n_in") + alpha) / (F.col("size_in") + alpha * vocabulary)
     outside = (n_out + alpha) / (F.col("size_all") - F.col("size_in") + alpha * vocabulary)
-    return joined.select(domain, "tok", "n_in", n_out.alias("n_out"), (F.log2(inside) - F.log2(outside)).alias("score"))
+    return joined.select(*by, domain, "tok", "n_in", n_out.alias("n_out"), (F.log2(inside) - F.log2(outside)).alias("score"))
+
+
+def other_folds(counts: DataFrame, domain: str, fold: str, folds: int) -> DataFrame:
+    """fold, domain, tok, n_in: for each fold the counts (fold, domain, tok, n_in) of all the others together."""
+    others = F.array_remove(F.array(*map(F.lit, range(folds))), F.col(fold))
+    spread = counts.select(F.explode(others).alias("_fold"), domain, "tok", "n_in")
+    return spread.groupBy(F.col("_fold").alias(fold), domain, "tok").agg(F.sum("n_in").alias("n_in"))
 
 
 def in_scores(events: DataFrame, odds: DataFrame, domain: str, key: str = "doc_id") -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graywether.functions.text import char_grams, characters, leak_normal
+from graywether.functions.text import leak_normal
+
+_ODD = 0x9E3779B97F4A7C15
 
 
 def exact_twins(queries: DataFrame, reference: DataFrame) -> DataFrame:
@@ -14,22 +20,45 @@ def exact_twins(queries: DataFrame, reference: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("query_id"), leak_normal(F.col("text")).alias("normal")).join(ref, "normal").select("query_id", "twin_id")
 
 
-def near_twins(queries: DataFrame, reference: DataFrame, k: int, rare_cap: int, least: float) -> DataFrame:
-    """query_id, ref_id, shared, contained: pairs that share `least` of the reference's rare k-grams or more.
+def gram_hashes(text: bytes, k: int) -> np.ndarray:
+    """Distinct hashes of the k-grams of an ASCII text; of the whole text if it is shorter, none if it is empty."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    n, width = max(len(data) - k + 1, min(len(data), 1)), min(k, len(data))
+    h = np.full(n, width, dtype=np.uint64)
+    for j in range(width):
+        h = (h ^ data[j : j + n]) * np.uint64(_ODD)
+        h ^= h >> np.uint64(29)
+    return np.unique(h).view(np.int64)
 
-    An inverted index: grams that rare_cap or more reference rows hold are left out of it, so no gram has a long
-    list; pairs are counted where they meet.
+
+def grams(df: DataFrame, k: int, name: str) -> DataFrame:
+    """name, gram: the distinct k-grams of each text's normal form (df: id, text), as 64-bit hashes.
+
+    The normal form is ASCII, so a gram is k bytes. A null text has none.
     """
+    kind = df.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_hashes(t.as_py() or b"", k) for t in batch.column(1).cast(pa.large_binary())]
+            owner = np.repeat(np.arange(len(found)), [len(g) for g in found])
+            flat = np.concatenate(found) if found else np.array([], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(flat)], names=[name, "gram"])
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        spelt = df.select(F.col("id").alias(name), F.explode(F.array(characters(leak_normal(F.col("text"))))).alias("chars"))
-        return spelt.select(name, F.explode(char_grams(F.col("chars"), k)).alias("gram"))
+    return df.select("id", leak_normal(F.col("text")).alias("n")).mapInArrow(run, f"`{name}` {kind}, gram long")
 
-    posts = grams(reference, "ref_id")
+
+def near_twins(queries: DataFrame, reference: DataFrame, k: int, rare_cap: int, least: float) -> DataFrame:
+    """query_id, ref_id, shared, contained: pairs that share `least` of the reference's rare k-grams or more.
+
+    An inverted index: grams that rare_cap or more reference rows hold are left out of it, so no gram has a long
+    list; pairs are counted where they meet. The index is as large as the reference; Spark sends it to all tasks if it
+    is below its broadcast threshold, so that the queries' grams aren't shuffled.
+    """
+    posts = grams(reference, k, "ref_id")
     rare = posts.groupBy("gram").agg(F.count("*").alias("held")).where(F.col("held") < rare_cap).select("gram")
     posts = posts.join(rare, "gram")
     size = posts.groupBy("ref_id").agg(F.count("*").alias("size"))
-    met = grams(queries, "query_id").join(posts, "gram").groupBy("query_id", "ref_id").agg(F.count("*").alias("shared"))
+    met = grams(queries, k, "query_id").join(posts, "gram").groupBy("query_id", "ref_id").agg(F.count("*").alias("shared"))
     share = F.col("shared") / F.col("size")
     return met.join(size, "ref_id").where(share >= least).select("query_id", "ref_id", "shared", share.alias("contained"))

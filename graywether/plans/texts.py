@@ -11,6 +11,7 @@ from graywether.functions import text as T
 from graywether.operators import events, leaks, ranking, slices
 from graywether.plans.lanes import r6
 from graywether.plans.registry import query
+from graywether.sources.steps import Workspace
 from graywether.sources.tables import table
 
 # DuckDB forms of the text functions
@@ -65,21 +66,21 @@ def leak_normaliser(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.leak_normal(F.col("text")).alias("normal"))
 
 
-@query(f"WITH r AS (SELECT {NORMAL.format('text')} AS normal, min(doc_id) AS twin_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT d.doc_id AS query_id, twin_id FROM documents d JOIN r ON r.normal = {NORMAL.format('d.text')} WHERE d.doc_id % 2 = 1")
+@query(f"WITH r AS (SELECT doc_id, {NORMAL.format('text')} AS normal FROM documents), m AS (SELECT normal, min(doc_id) AS twin_id FROM r GROUP BY normal) SELECT doc_id AS query_id, twin_id FROM r JOIN m USING (normal) WHERE doc_id > twin_id")
 def leak_exact_twins(spark, sf_dir):
+    """Every document whose normal form an earlier one has, with the first of those."""
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    even = F.col("id") % 2 == 0
-    return leaks.exact_twins(rows.where(~even), rows.where(even))
+    return leaks.exact_twins(rows, rows).where("query_id > twin_id")
 
 
 @query(f"""WITH p AS (SELECT DISTINCT item_id, substr(n, i::INT, 12) AS g FROM (SELECT item_id, n, unnest(range(1, greatest(length(n) - 11, 1) + 1)) AS i FROM (SELECT item_id, {NORMAL.format('text')} AS n FROM benchmark) WHERE n <> '')),
-    rare AS (SELECT g FROM p GROUP BY g HAVING count(*) < 8), posts AS (SELECT p.* FROM p JOIN rare USING (g)), size AS (SELECT item_id, count(*) AS size FROM posts GROUP BY item_id),
+    rare AS (SELECT g FROM p GROUP BY g HAVING count(*) < 200), posts AS (SELECT p.* FROM p JOIN rare USING (g)), size AS (SELECT item_id, count(*) AS size FROM posts GROUP BY item_id),
     q AS (SELECT DISTINCT doc_id, substr(n, i::INT, 12) AS g FROM (SELECT doc_id, n, unnest(range(1, greatest(length(n) - 11, 1) + 1)) AS i FROM (SELECT doc_id, {NORMAL.format('text')} AS n FROM documents) WHERE n <> '')),
     m AS (SELECT doc_id AS query_id, item_id AS ref_id, count(*) AS shared FROM q JOIN posts USING (g) GROUP BY ALL)
     SELECT query_id, ref_id, shared, round(shared / size, 6) AS contained FROM m JOIN size ON item_id = ref_id WHERE shared / size >= 0.5""")
 def leak_near_twins(spark, sf_dir):
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return r6(leaks.near_twins(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), bench, k=12, rare_cap=8, least=0.5))
+    return r6(leaks.near_twins(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), bench, k=12, rare_cap=200, least=0.5))
 
 
 TURNS = "t AS (SELECT conv_id, turn, text AS hypothesis, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS premise FROM conversations)"
@@ -178,9 +179,10 @@ def first_n_sample(spark, sf_dir):
     return docs(spark, sf_dir).orderBy("doc_id").limit(50).select("doc_id", "n_chars")
 
 
-@query("SELECT least(9, floor(n_chars / 20001.0 * 10))::INT AS bin, count(*) AS n FROM documents WHERE n_chars <= 20001 GROUP BY 1")
+@query("SELECT least(9, floor(n_chars / 20001.0 * 10))::INT AS bin, count(*) AS n FROM documents GROUP BY 1")
 def length_histogram(spark, sf_dir):
-    x = docs(spark, sf_dir).where("n_chars <= 20001").select((F.col("n_chars") / 20001.0).alias("x"))
+    """Longer documents are in the last bin."""
+    x = docs(spark, sf_dir).select(F.least(F.col("n_chars") / 20001.0, F.lit(1.0)).alias("x"))
     return ranking.histogram(x, 10).where("n > 0").select("bin", "n")
 
 
@@ -253,33 +255,44 @@ def evidence_density_hist(spark, sf_dir):
     return seen.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-DECIDED = SCORED + """, t AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY doc_id), sg AS (SELECT sc.doc_id, domain, 1 / (1 + exp(-8 * score / n)) AS s FROM sc JOIN t USING (doc_id)),
+FOLDS = 5
+CROSSED = f"WITH {PLACED}, {HASHES}" + """,
+    te AS (SELECT p.doc_id, p.lang, (p.doc_id % 5)::INT AS fold, (e.h % 131072)::INT AS tok FROM ev e JOIN placed p USING (doc_id)),
+    cf AS (SELECT fold AS own, lang, tok, count(*) AS n FROM te GROUP BY ALL), folds AS (SELECT unnest(range(5))::INT AS fold),
+    cnt AS (SELECT fold, lang, tok, sum(n) AS n_in FROM cf JOIN folds ON own <> fold GROUP BY ALL),
+    allt AS (SELECT fold, tok, sum(n_in) AS n_all FROM cnt GROUP BY ALL), sz AS (SELECT fold, lang, sum(n_in) AS size_in FROM cnt GROUP BY ALL), sa AS (SELECT fold, sum(size_in) AS size_all FROM sz GROUP BY fold),
+    odds AS (SELECT fold, z.lang AS domain, t.tok, log2((coalesce(c.n_in, 0) + 1.0::DOUBLE) / (z.size_in + 131072)) - log2((t.n_all - coalesce(c.n_in, 0) + 1.0::DOUBLE) / (sa.size_all - z.size_in + 131072)) AS score
+        FROM allt t JOIN sz z USING (fold) JOIN sa USING (fold) LEFT JOIN cnt c USING (fold, lang, tok)),
+    sc AS (SELECT te.doc_id, o.domain, sum(o.score) AS score FROM te JOIN odds o USING (fold, tok) GROUP BY ALL),
+    t AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY doc_id), sg AS (SELECT sc.doc_id, domain, 1 / (1 + exp(-8 * score / n)) AS s FROM sc JOIN t USING (doc_id)),
     pr AS (SELECT doc_id, domain, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS p FROM sg),
     dec AS (SELECT doc_id, first(domain ORDER BY p DESC, domain) AS pick, round(CASE WHEN count(*) = 1 THEN 1 ELSE 1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(count(*)) END, 6) AS conf FROM pr GROUP BY doc_id),
-    item AS (SELECT d.doc_id, s.slice, s.lang AS gold, d.pick, d.conf, (s.lang = d.pick)::INT AS ok FROM dec d JOIN sliced s USING (doc_id))"""
+    item AS (SELECT d.doc_id, s.lang AS gold, d.pick, d.conf, (s.lang = d.pick)::INT AS ok FROM dec d JOIN placed s USING (doc_id)),
+    thr AS (SELECT conf AS t FROM (SELECT conf, row_number() OVER (ORDER BY conf, doc_id) - 1 AS i, count(*) OVER () AS n FROM item) WHERE i = least(floor(n * 0.1), n - 1))"""
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, slice, gold, pick, conf, ok: language of a document by naive Bayes over its token events.
-
-    Scores per token become sigmoids, then shares, then a pick and a confidence (the dispatch readout).
-    """
-    rows, _, scores = nb(spark, sf_dir)
-    size = rows.select("doc_id", "slice", F.col("lang").alias("gold"), F.explode(F.array(T.tokens(F.col("text")))).alias("ws"))
-    size = size.select("doc_id", "slice", "gold", (2 * F.size("ws") - 1).alias("n"))
-    packed = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("lang", "score"))).alias("s")).join(size, "doc_id")
+@query(CROSSED + " SELECT doc_id, gold, pick, conf, CASE WHEN conf < t THEN 'score_gate' ELSE 'answered' END AS cause, ok FROM item, thr")
+def decide_language(spark, sf_dir):
+    """Flagship: a decision for every document, by the count tables of the folds it isn't in, under a gate at the tenth
+    percentile of the confidences."""
+    ws = Workspace(spark, "decide_language")
+    fold = F.pmod("doc_id", F.lit(FOLDS)).cast("int").alias("fold")
+    rows = docs(spark, sf_dir).select(F.struct("doc_id", "lang", fold).alias("k"), "text")
+    # a document's events by bucket, written once: the tables, the scores and the sizes all come from these
+    tok = F.col("h").bitwiseAND(F.lit(T.BUCKETS - 1)).cast("int").alias("tok")
+    own = events.token_events(rows, "k").select("k.doc_id", "k.lang", "k.fold", tok)
+    own = ws.save(own.groupBy("doc_id", "lang", "fold", "tok").agg(F.count("*").alias("times")), "events")
+    counts = own.groupBy("fold", "lang", "tok").agg(F.sum("times").alias("n_in"))
+    odds = events.log_odds(events.other_folds(counts, "lang", "fold", FOLDS), "lang", by=("fold",)).select("fold", F.col("lang").alias("domain"), "tok", "score")
+    met = own.select("doc_id", "fold", "tok", "times").join(odds, ["fold", "tok"])
+    scores = met.groupBy("doc_id", "domain").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
+    size = own.groupBy("doc_id", F.col("lang").alias("gold")).agg(F.sum("times").alias("n"))
+    packed = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("domain", "score"))).alias("s")).join(size, "doc_id")
     probs = maths.shares(F.transform("s", lambda x: maths.sigmoid(8.0 * x["score"] / F.col("n"))))
     packed = packed.withColumn("probs", F.transform(probs, lambda p: F.round(p, 6)))
-    pick = F.get(F.transform("s", lambda x: x["lang"]), maths.argmax_first(F.col("probs")))
-    return packed.select("doc_id", "slice", "gold", pick.alias("pick"), F.round(maths.readout(F.col("probs")), 6).alias("conf"), (pick == F.col("gold")).cast("int").alias("ok"))
-
-
-@query(DECIDED + """, cal AS (SELECT conf, row_number() OVER (ORDER BY conf, doc_id) - 1 AS i, count(*) OVER () AS n FROM item WHERE slice = 'cal'), thr AS (SELECT conf AS t FROM cal WHERE i = least(floor(n * 0.1), n - 1))
-    SELECT doc_id, gold, pick, conf, CASE WHEN conf < t THEN 'score_gate' ELSE 'answered' END AS cause, ok FROM item, thr WHERE slice = 'test'""")
-def decide_language(spark, sf_dir):
-    """Flagship: decisions of the test slice under a gate fitted to the calibration slice (its tenth percentile)."""
-    found = decisions(spark, sf_dir)
-    gate = ranking.percentiles(found.where("slice = 'cal'").select(F.col("conf").alias("x")), [0.1]).select(F.col("threshold").alias("t"))
-    rows = found.where("slice = 'test'").crossJoin(F.broadcast(gate))  # one row
+    pick = F.get(F.transform("s", lambda x: x["domain"]), maths.argmax_first(F.col("probs")))
+    found = packed.select("doc_id", "gold", pick.alias("pick"), F.round(maths.readout(F.col("probs")), 6).alias("conf"))
+    found = ws.save(found.withColumn("ok", (F.col("pick") == F.col("gold")).cast("int")), "found")
+    gate = ranking.percentiles(found.select(F.col("conf").alias("x")), [0.1]).select(F.col("threshold").alias("t"))
     cause = F.when(F.col("conf") < F.col("t"), "score_gate").otherwise("answered")
-    return rows.select("doc_id", "gold", "pick", "conf", cause.alias("cause"), "ok")
+    return found.crossJoin(F.broadcast(gate)).select("doc_id", "gold", "pick", "conf", cause.alias("cause"), "ok")  # one row

@@ -26,11 +26,11 @@ ECE_BY = """e AS (SELECT {by}, least(14, ceil(conf * 15)::INT - 1) AS bin, count
 
 
 @query(A + """, h AS (SELECT case_id, max(p) AS m, 1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(count(*)) AS i FROM pr_a GROUP BY case_id),
-    c AS (SELECT * FROM h JOIN items_a USING (case_id) WHERE case_id % 2 = 0),
+    c AS (SELECT * FROM h JOIN items_a USING (case_id)),
     l AS (SELECT 'dispatch' AS mode, round(m, 6) AS conf, ok FROM c UNION ALL SELECT 'max_prob', round(m, 6), ok FROM c UNION ALL SELECT 'inv_entropy', round(i, 6), ok FROM c),
     """ + ECE_BY.format(by="mode") + " SELECT mode, round(ece, 6) AS ece FROM ece")
 def readout_report(spark, sf_dir):
-    return r6(verdicts.readout_report(items(spark, sf_dir).where("case_id % 2 = 0")))
+    return r6(verdicts.readout_report(items(spark, sf_dir)))
 
 
 @query(A + """, cal AS (SELECT * FROM items_a WHERE case_id % 2 = 0), fit AS (SELECT least(14, ceil(conf * 15)::INT - 1) AS bin, avg(ok) AS fit FROM cal WHERE conf > 0 AND conf <= 1 GROUP BY 1),

@@ -2,54 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graywether.sources.steps import Workspace, shared_dir  # noqa: F401  for the operators
+
 #: White space that separates words: \x20 and \x09-\x0D. bytes.split() takes the same six bytes.
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset.
-
-    Unset and on a local master it is below the temporary folder. Unset on a cluster it is below the warehouse, if
-    that is no file: path (each machine would write to its own disk); else it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return f"file://{tempfile.gettempdir()}/checkpoints"
-    warehouse = spark.conf.get("spark.sql.warehouse.dir")
-    if ":" not in warehouse or warehouse.startswith("file:"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return warehouse.rstrip("/") + "/_steps"
-
-
-class Workspace:
-    """Written tables of one run of an operator; a written table cuts the lineage and survives lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Write df as Parquet and return the table read back."""
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{table}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{table}")
-
-    def drop(self, *tables: str) -> None:
-        """Delete tables that nothing later reads."""
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def numbered(df: DataFrame, order: list[Column], name: str, ws: Workspace, table: str) -> DataFrame:
     """df, written, with each row's rank from 1 by order as column `name`; ranges are sorted side by side.
 

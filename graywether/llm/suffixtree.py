@@ -9,11 +9,13 @@ is as long as the corpus gives reason for and the tree grows with the corpus.
 A state's distribution is smoothed with its suffix's as prior, of strength T ** PRIOR for T occurrences, down to word
 counts with half a count added. A text is scored by the longest state before each token.
 
-Documents are packed into chunks of about CHUNK tokens. At each level a chunk asks once for each distinct sequence it
-has under a context that is frequent: those rows, summed over the chunks, are the counts of the tree; the test is a sum
-over them by context. The counts go back to the chunks that asked, but for those that a chunk knows already, as no other
-asks and the sequence occurs once at most; so do the contexts that became states. The chunks then update their tokens.
-No count passes through the driver and none is broadcast. Words and sequences are told apart by 64-bit hashes.
+Documents are packed into chunks of about CHUNK tokens. At each level a chunk asks for each distinct sequence it has
+under a context that is frequent. What it asks goes, packed into arrays, to parts by a hash of the context; a context of
+more than PART occurrences has several parts, by the sequence's hash, so a part holds about PART sequences whatever is
+common. A part adds up the chunks' counts, which are the counts of the tree, tests its contexts and answers each chunk
+in the order in which it asked; contexts of several parts are tested on the sum over these. The chunks then update
+their tokens. No count passes through the driver and none is broadcast. Words and contexts are told apart by 64-bit
+hashes, sequences by their context's and 48 bits of their own.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ MIN_CONTEXT = 32
 DIVERGENCE = 0.01
 PRIOR = 0.7
 CHUNK = 500_000
+#: Sequences that a part counts, about; a context that occurs more often has several parts.
+PART = 1_000_000
 #: The test reads -log2 p of a suffix in steps of 1 / 2 ** _STEPS.
-_STEPS = 20
+_STEPS = 16
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -65,19 +69,22 @@ def _schema(kind: str) -> str:
     )
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """An array as bytes: all first bytes, all second ones and so on, compressed; small numbers take little room."""
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes() if len(values) else b""
+def _packed(values: np.ndarray, width: int | None = None) -> bytes:
+    """An array as bytes: all first bytes, all second ones and so on (of width, if given: the low ones), compressed;
+    small numbers take little room."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T[:width].tobytes() if len(values) else b""
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
+def _unpacked(data: bytes, kind: type, width: int | None = None) -> np.ndarray:
+    size, whole = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
     if not size:
         return np.array([], dtype=kind)
-    planes = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
+    planes = planes.reshape(width or whole, -1)
+    values = np.zeros((planes.shape[1], whole), dtype=np.uint8)
+    values[:, : len(planes)] = planes.T
+    return values.view(kind).ravel()
 
 
 def chunks(rows: DataFrame) -> DataFrame:
@@ -176,8 +183,14 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_ASKED = "gram long, context long, cn long, tp long"
-_LOW = (1 << 32) - 1
+#: Of a request: the contexts, each with its occurrences, whether it is tested and how many sequences follow; of these
+#: the hash, the count in the chunk's training documents and -log2 p by the context's suffix, in steps.
+_ASKED = "part int, chunk long, context binary, t binary, tested binary, runs binary, gram binary, n binary, steps binary"
+_ARRAYS = {"context": (np.uint64, 8), "t": (np.int64, 8), "tested": (np.bool_, 1), "runs": (np.int32, 4), "gram": (np.uint64, 6), "n": (np.int64, 8), "steps": (np.uint32, 3)}
+#: Of an answer: counts of the sequences and, of the contexts, whether they become states, both in the order of the
+#: request; those of them that have several parts. A part's own row (no chunk) has the sums and occurrences of those,
+#: how many others became states, and the occurrences and number of its sequences.
+_ANSWER = "part int, chunk long, totals binary, became binary, shared array<long>, saved array<double>, t array<long>, states long, n long, v long"
 
 
 def _each(state: DataFrame, total: tuple[int, int], depth: int, schema: str, work) -> DataFrame:
@@ -196,58 +209,93 @@ def _each(state: DataFrame, total: tuple[int, int], depth: int, schema: str, wor
     return state.mapInArrow(run, schema)
 
 
-def ask(state: DataFrame, depth: int, total: tuple[int, int] = (0, 0)) -> DataFrame:
-    """The distinct sequences of depth + 1 words that each chunk asks for: gram, context, cn (chunk and the count in its
-    training documents, in 32 bits each) and tp (occurrences of the context, and -log2 p by its suffix in steps, plus
-    one; 0 where the suffix is no state)."""
+class _Request:
+    """What a chunk asks for at a depth: its distinct sequences by part, context and hash. `back` leads from each sought
+    token (depth 0: each word) to its sequence, `run` from each sequence to its context's place."""
 
-    def work(no: int, c: _Chunk) -> list[np.ndarray]:
+    def __init__(self, c: _Chunk, depth: int, parts: tuple[int, int]):
         if depth == 0:
-            n = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(c.words)).astype(np.int64)
-            none = np.zeros(len(n), dtype=np.int64)
-            return [c.words.view(np.int64), none, no << 32 | n, none]
-        context, gram = c.keys(depth)
-        gram, first, back = np.unique(gram, return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram)).astype(np.int64)
-        steps = np.where(c.state, np.rint(-np.log2(c.p) * (1 << _STEPS)).astype(np.int64) + 1, 0)
-        return [gram.view(np.int64), context[first].view(np.int64), no << 32 | n, (c.t << 32 | steps)[first]]
-
-    return _each(state, total, depth, _ASKED, work)
-
-
-def asked_contexts(state: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
-    """context and chunk: the distinct contexts of each chunk that can become states."""
-
-    def work(no: int, c: _Chunk) -> list[np.ndarray]:
-        context = np.unique(c.keys(depth)[0][c.state]).view(np.int64)
-        return [context, np.full(len(context), no)]
-
-    return _each(state, total, depth, "context long, chunk long", work)
+            each = np.arange(len(c.words))
+            gram, context, t = c.words, c.words, np.zeros(len(each), dtype=np.int64)
+            n = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(each))
+            tested, p, back = np.zeros(len(each), dtype=bool), np.ones(len(each)), each
+        else:
+            context, gram = c.keys(depth)
+            gram, first, back = np.unique(gram, return_index=True, return_inverse=True)
+            n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram))
+            context, t, tested, p = context[first], c.t[first], c.state[first], c.p[first]
+        slots = np.minimum((t + parts[1] - 1) // parts[1], 1 << 16).clip(min=1).astype(np.uint64)
+        slot = ((gram >> np.uint64(48)) * slots) >> np.uint64(16)
+        part = (_mixed(context, slot) % np.uint64(parts[0])).astype(np.int32)
+        order = np.lexsort((context, part))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.back = place[back]
+        self.gram, self.n, context, t, tested, part = gram[order], n[order].astype(np.int64), context[order], t[order], tested[order], part[order]
+        self.steps = np.where(tested, np.rint(-np.log2(p[order]) * (1 << _STEPS)), 0).astype(np.uint32)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (context[1:] != context[:-1]) | (part[1:] != part[:-1])
+        first = np.flatnonzero(new)
+        self.run = np.cumsum(new) - 1
+        self.context, self.t, self.tested, self.part = context[first], t[first], tested[first], part[first]
+        self.runs = np.diff(first, append=len(order)).astype(np.int32)
+
+
+def ask(state: DataFrame, depth: int, total: tuple[int, int], parts: tuple[int, int]) -> DataFrame:
+    """The requests of each chunk, a row for each part that it asks; parts: their number and the size of one."""
 
+    def work(no: int, c: _Chunk) -> list:
+        r = _Request(c, depth, parts)
+        ends = np.concatenate([[0], np.cumsum(r.runs)])
+        cuts = np.flatnonzero(np.diff(r.part, prepend=-1))
+        made = {name: [] for name in _ARRAYS}
+        for low, high in zip(cuts, [*cuts[1:], len(r.part)]):
+            for name, (_, width) in _ARRAYS.items():
+                at = slice(ends[low], ends[high]) if name in ("gram", "n", "steps") else slice(low, high)
+                made[name].append(_packed(getattr(r, name)[at], width))
+        rows = [r.part[cuts], np.full(len(cuts), no)]
+        return rows + [pa.array(values, pa.binary()) for values in made.values()]
 
-def answered(asked: DataFrame, all_rows: bool = False) -> DataFrame:
-    """gram, context, chunk, total (over all chunks), tp and once (true for one row of a sequence), without the rows
-    that the chunk can tell itself (it alone asks and the count is 1 at most) unless all_rows."""
-    whole = asked.selectExpr(
-        "gram", "context", "shiftright(cn, 32) as chunk", "tp", f"sum(cn & {_LOW}L) over (partition by gram) as total",
-        "min(shiftright(cn, 32)) over (partition by gram) as low", "max(shiftright(cn, 32)) over (partition by gram) as high",
-    )
-    whole = whole if all_rows else whole.where("total > 1 or low < high")
-    return whole.selectExpr("gram", "context", "chunk", "tp", "total", "chunk = low as once")
+    return _each(state, total, depth, _ASKED, work)
 
 
-def passing(counted: DataFrame) -> DataFrame:
-    """context: those that become states. Sequences that occur once save the same whatever their symbol, so their number
-    is enough: it is what the others leave of the context's occurrences."""
-    n, t = F.col("total"), F.shiftright("tp", 32)
-    p = F.pow(F.lit(2.0), -(F.col("tp").bitwiseAND(F.lit(_LOW)) - 1) / F.lit(float(1 << _STEPS)))
-    prior = F.pow(t, F.lit(PRIOR))
-    saved = n * F.log2((n - 1 + prior * p) / ((t - 1 + prior) * p))
-    often = counted.where(f"once and total > 1 and (tp & {_LOW}L) > 0")
-    tested = often.groupBy("context").agg(F.sum(saved).alias("saved"), F.sum("total").alias("n"), F.max(t).alias("t"))
-    prior = F.pow("t", F.lit(PRIOR))
-    alone = (F.col("t") - F.col("n")) * F.log2(prior / (F.col("t") - 1 + prior))
-    return tested.where(F.col("saved") + alone >= DIVERGENCE * F.col("t")).select("context")
+def answered(asked: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """The answers of the parts to the chunks, and a row for each part."""
+    names = [part.split(" ")[0] for part in _ANSWER.split(", ")]
+    longs, bytes_ = pa.list_(pa.int64()), pa.binary()
+    types = [pa.int32(), pa.int64(), bytes_, bytes_, longs, pa.list_(pa.float64()), longs, pa.int64(), pa.int64(), pa.int64()]
+
+    def run(rows: pa.Table) -> pa.Table:
+        read = {name: [_unpacked(x.as_py(), kind, width) for x in rows[name]] for name, (kind, width) in _ARRAYS.items()}
+        sizes = [len(x) for x in read["context"]], [len(x) for x in read["gram"]]
+        a = {name: np.concatenate(values) for name, values in read.items()}
+        of = np.repeat(np.arange(len(a["context"])), a["runs"])
+        _, first, back = np.unique(_mixed(a["context"][of], a["gram"]), return_index=True, return_inverse=True)
+        count = np.bincount(back, weights=a["n"]).astype(np.int64)
+        contexts, at, which = np.unique(a["context"], return_index=True, return_inverse=True)
+        on = (count > 0) & a["tested"][of[first]]
+        n, one = count[on], first[on]
+        t, p = a["t"][of[one]], np.exp2(a["steps"][one] / -float(1 << _STEPS))
+        prior = t.astype(float) ** PRIOR
+        saved = np.bincount(which[of[one]], weights=n * np.log2((n - 1 + prior * p) / ((t - 1 + prior) * p)), minlength=len(contexts))
+        t, tested = a["t"][at], a["tested"][at]
+        shared = tested & (t > parts[1])
+        became = tested & ~shared & (saved >= DIVERGENCE * t)
+        part = rows["part"][0].as_py()
+        out = [(part, None, None, None, contexts[shared].view(np.int64), saved[shared], t[shared], int(became.sum()), int(count.sum()), int((count > 0).sum()))]
+        cuts = [np.cumsum(x)[:-1] for x in sizes]
+        for no, mine, counts in zip(rows["chunk"], np.split(which, cuts[0]), np.split(count[back], cuts[1])):
+            out.append((part, no.as_py(), _packed(counts), _packed(became[mine]), contexts[mine[shared[mine]]].view(np.int64), None, None, None, None, None))
+        return pa.Table.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*out), types)], names=names)
+
+    return asked.groupBy("part").applyInArrow(run, _ANSWER)
+
+
+def passing(answers: DataFrame) -> DataFrame:
+    """context: those of several parts that become states."""
+    sums = answers.where("chunk is null").select(F.inline(F.arrays_zip("shared", "saved", "t")))
+    sums = sums.groupBy(F.col("shared").alias("context")).agg(F.sum("saved").alias("saved"), F.max("t").alias("t"))
+    return sums.where(F.col("saved") >= DIVERGENCE * F.col("t")).select("context")
 
 
 def _row(c: _Chunk, **changed) -> pa.Table:
@@ -258,46 +306,32 @@ def _row(c: _Chunk, **changed) -> pa.Table:
     return pa.table(columns)
 
 
-def update(state: DataFrame, answers: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
-    """The chunks with the answers for a depth: chunk, key (a sequence, or a context that is a state) and total (of a
-    sequence; null for a context)."""
+def update(state: DataFrame, answers: DataFrame, states: DataFrame, depth: int, total: tuple[int, int], parts: tuple[int, int]) -> DataFrame:
+    """The chunks with the answers for a depth, and the contexts of several parts that became states."""
+    asked = answers.where("chunk is not null")
+    shared = asked.select("chunk", F.explode("shared").alias("context")).distinct().join(states, "context", "left_semi")
+    replies = asked.select("chunk", "part", "totals", "became", F.lit(None).cast("long").alias("context"))
+    replies = replies.union(shared.selectExpr("chunk", "null", "null", "null", "context"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left
         left = left.combine_chunks()
         c = _Chunk({n: left[n].chunk(0) for n in left.column_names}, total)
-        key, states = right["key"].to_numpy().view(np.uint64), right["total"].is_null().to_numpy()
-        n = right["total"].fill_null(0).to_numpy()[~states]
-        gram, states = key[~states], np.sort(key[states])
-        order = np.argsort(gram)
-        gram, n = gram[order], n[order]
-
-        def found(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.searchsorted(keys, values).clip(max=max(len(keys) - 1, 0))
-            return (keys[at] == values, at) if len(keys) else (np.zeros(len(values), dtype=bool), at)
-
-        def counts(values: np.ndarray, own: np.ndarray) -> np.ndarray:
-            """Training counts of sequences; where there is no answer, the chunk's own."""
-            hit, at = found(values, gram)
-            own = own.copy()
-            own[hit] = n[at[hit]]
-            return own
-
+        if depth == 1:
+            c.start()
+        r = _Request(c, depth, parts)
+        own = right.filter(right["part"].is_valid()).sort_by("part")
+        join = lambda name, kind: np.concatenate([np.array([], kind), *(_unpacked(x.as_py(), kind) for x in own[name])])
+        count = join("totals", np.int64)[r.back]
         if depth == 0:
-            own = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(c.words)).astype(np.int64)
-            c.counts = counts(c.words, own)
+            c.counts = count
             c.start()
             pos = np.flatnonzero(c.token)
             known = c.per_doc((c.counts[c.at[pos]] > 0).astype(float), pos).astype(np.int64)
             return _row(c, counts=c.counts, known=known, base=c.per_doc(np.log10(c.base_p), pos))
-        if depth == 1:
-            c.start()
-        context, grams = c.keys(depth)
-        each, back = np.unique(grams, return_inverse=True)
-        own = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(each)).astype(np.int64)
-        count = counts(each, own)[back]
-        on = c.state & found(context, states)[0]
+        became = join("became", np.bool_) | np.isin(r.context, right["context"].drop_null().to_numpy().view(np.uint64))
+        on = became[r.run[r.back]]
         prior = c.t.astype(float) ** PRIOR
         p = np.where(on, (count + prior * c.p) / (c.t + prior), c.p)
         whole = np.zeros(len(c.seq), dtype=np.int64)
@@ -305,7 +339,7 @@ def update(state: DataFrame, answers: DataFrame, depth: int, total: tuple[int, i
         c.keep(c.pos, whole[c.pos - 1], p, on)
         return _row(c, done=c.done, pos=np.diff(c.pos, prepend=np.int32(0)), t=c.t, p=c.p.astype(np.float32), state=c.state)
 
-    joined = state.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    joined = state.groupBy("chunk").cogroup(replies.groupBy("chunk"))
     return joined.applyInArrow(run, state.schema)
 
 
@@ -321,7 +355,7 @@ def finished(state: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
     return _each(state, total, depth, schema, work)
 
 
-def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", part: int = PART) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score and depth (of the tree) of each row of docs
     (key, text).
 
@@ -331,26 +365,24 @@ def score(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     ws = Workspace(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), "text")
     state = ws.save(chunks(rows), "chunks")
-    words = ws.save(answered(ask(state, 0), True).select("chunk", "gram", "total", "once"), "words")
-    sums = words.where("once").agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
+    size = state.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    parts = (size // part + 1, part)
+    answers = ws.save(answered(ask(state, 0, (0, 0), parts), parts), "words")
+    sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total = (sums.n or 0, sums.v or 0)
-    reply = words.where("total > 0").select("chunk", F.col("gram").alias("key"), "total")
-    state = ws.save(update(state, reply, 0, total), "state0")
+    state = ws.save(update(state, answers, passing(answers), 0, total, parts), "state0")
     ws.drop("chunks", "words")
     depth = 1
     while True:
-        counted = ws.save(answered(ask(state, depth, total)), f"counted{depth}")
-        states = ws.save(passing(counted), f"states{depth}")
-        if states.isEmpty():
+        answers = ws.save(answered(ask(state, depth, total, parts), parts), f"answers{depth}")
+        states = ws.save(passing(answers), f"states{depth}")
+        if not answers.agg(F.sum("states")).first()[0] and states.isEmpty():
             break
-        reply = counted.select("chunk", F.col("gram").alias("key"), "total")
-        became = asked_contexts(state, depth, total).join(states, "context", "left_semi")
-        reply = reply.union(became.select("chunk", "context", F.lit(None).cast("long")))
-        state = ws.save(update(state, reply, depth, total), f"state{depth}")
-        ws.drop(f"counted{depth}", f"state{depth - 1}")
+        state = ws.save(update(state, answers, states, depth, total, parts), f"state{depth}")
+        ws.drop(f"answers{depth}", f"state{depth - 1}")
         depth += 1
     found = ws.save(finished(state, depth, total), "scored")
-    ws.drop(f"counted{depth}", f"state{depth - 1}")
+    ws.drop(f"answers{depth}", f"state{depth - 1}")
     each = found.select(F.inline(F.arrays_zip("keys", "held", "sizes", "known", "base", "done")))
     return each.select(
         F.col("keys").alias(key),

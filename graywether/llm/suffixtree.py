@@ -20,11 +20,14 @@ hashes, sequences by their context's and 48 bits of their own.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -40,6 +43,7 @@ MIN_CONTEXT = 32
 DIVERGENCE = 0.01
 PRIOR = 0.7
 CHUNK = 500_000
+_GROUP = 1 << 20  # bytes of text that are split at once
 #: Sequences that a part counts, about; a context that occurs more often has several parts.
 PART = 1_000_000
 #: The test reads -log2 p of a suffix in steps of 1 / 2 ** _STEPS.
@@ -53,11 +57,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased; the end that follows them isn't listed."""
-    return (text or b"").lower().split()
-
-
 def _schema(kind: str) -> str:
     """Of a row for each chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
     in words; counts: training counts of words; done: log10 of the tokens that no longer context is sought for; for
@@ -72,7 +71,8 @@ def _schema(kind: str) -> str:
 def _packed(values: np.ndarray, width: int | None = None) -> bytes:
     """An array as bytes: all first bytes, all second ones and so on (of width, if given: the low ones), compressed;
     small numbers take little room."""
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T[:width].tobytes() if len(values) else b""
+    bits = values.view(f"u{values.itemsize}")
+    planes = b"".join((bits >> bits.dtype.type(8 * j)).astype(np.uint8).tobytes() for j in range(width or values.itemsize))
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -82,9 +82,41 @@ def _unpacked(data: bytes, kind: type, width: int | None = None) -> np.ndarray:
         return np.array([], dtype=kind)
     planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
     planes = planes.reshape(width or whole, -1)
-    values = np.zeros((planes.shape[1], whole), dtype=np.uint8)
-    values[:, : len(planes)] = planes.T
-    return values.view(kind).ravel()
+    bits = planes[0].astype(f"u{whole}")
+    for j in range(1, len(planes)):
+        if planes[j].any():
+            bits |= planes[j].astype(bits.dtype) << bits.dtype.type(8 * j)
+    return bits.view(kind)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value comes first, in that order, and each value's number in it."""
+    number = pd.factorize(values)[0]
+    return np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)), number
+
+
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text, A-Z lower-cased; the end that follows them isn't listed."""
+    return (text or b"").lower().split()
+
+
+class _Numbers(defaultdict):
+    """Numbers of words in the order in which they are first looked up; the end, which no word equals, is 0."""
+
+    def __init__(self):
+        super().__init__(self.__len__, {b"": 0})
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of some texts, an end before and after each text, and the texts' numbers of words."""
+        words = [tokens(text) for text in texts]
+        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        at = np.zeros(n.sum() + 2 * len(n), dtype=np.int32)
+        place = np.arange(n.sum()) + 2 * np.repeat(np.arange(len(n)), n) + 1
+        at[place] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int32, count=len(place))
+        return at, n
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), dtype=np.uint64, count=len(self))
 
 
 def chunks(rows: DataFrame) -> DataFrame:
@@ -93,16 +125,16 @@ def chunks(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 12  # 4096 chunks of a partition at most, in 31 bits
-        keys, held, hashes, size = [], [], [], 0
+        keys, held, seq, sizes, size, numbers = [], [], [], [], 0, _Numbers()
 
         def out() -> pa.RecordBatch:
-            words, at, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            order = np.argsort(-often, kind="stable")  # frequent words have small places, which compress
-            words, at = words[order], np.argsort(order)[at]
+            at = np.concatenate(seq)
+            order = np.argsort(-np.bincount(at), kind="stable")  # frequent words have small places, which compress
+            words, at = numbers.hashes()[order], np.argsort(order)[at]
             none, per = pa.array([_packed(words[:0])], pa.binary()), pa.array([[]], pa.list_(pa.float64()))
             columns = [
                 pa.array([made], pa.int64()), pa.array([list(chain.from_iterable(keys))], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([[len(h) - 1 for h in hashes]], pa.list_(pa.int32())), pa.array([_packed(words)], pa.binary()),
+                pa.array([np.concatenate(sizes) + 1], pa.list_(pa.int32())), pa.array([_packed(words)], pa.binary()),
                 pa.array([_packed(at.astype(np.int32))], pa.binary()), none, per.cast(pa.list_(pa.int64())), per, per, none, none, none, none,
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
@@ -110,19 +142,20 @@ def chunks(rows: DataFrame) -> DataFrame:
         key_type = None
         for batch in batches:
             key_type = batch.column(0).type
-            for i, text in enumerate(batch.column(2).cast(pa.large_binary())):
-                words = tokens(text.as_py())
-                h = np.empty(len(words) + 2, dtype=np.uint64)
-                h[0] = h[-1] = _END
-                h[1:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-                keys.append(batch.column(0).slice(i, 1).to_pylist())
-                held.append(batch.column(1)[i].as_py())
-                hashes.append(h)
-                size += len(h)
+            texts = pc.fill_null(batch.column(2).cast(pa.large_binary()), b"")
+            group = np.cumsum(pc.binary_length(texts).to_numpy() + 1) // _GROUP
+            cuts = np.flatnonzero(np.diff(group, prepend=-1))
+            for low, high in zip(cuts, [*cuts[1:], len(group)]):
+                at, n = numbers.of(texts.slice(low, high - low).to_pylist())
+                keys.append(batch.column(0).slice(low, high - low).to_pylist())
+                held.extend(batch.column(1).slice(low, high - low).to_pylist())
+                seq.append(at)
+                sizes.append(n)
+                size += len(at)
                 if size >= CHUNK:
                     yield out()
-                    made, keys, held, hashes, size = made + 1, [], [], [], 0
-        if hashes:
+                    made, keys, held, seq, sizes, size, numbers = made + 1, [], [], [], [], 0, _Numbers()
+        if seq:
             yield out()
 
     names = [part.split(" ")[0] for part in _schema(kind).split(", ")]
@@ -210,7 +243,7 @@ def _each(state: DataFrame, total: tuple[int, int], depth: int, schema: str, wor
 
 
 class _Request:
-    """What a chunk asks for at a depth: its distinct sequences by part, context and hash. `back` leads from each sought
+    """What a chunk asks for at a depth: its distinct sequences by part and context. `back` leads from each sought
     token (depth 0: each word) to its sequence, `run` from each sequence to its context's place."""
 
     def __init__(self, c: _Chunk, depth: int, parts: tuple[int, int]):
@@ -221,20 +254,23 @@ class _Request:
             tested, p, back = np.zeros(len(each), dtype=bool), np.ones(len(each)), each
         else:
             context, gram = c.keys(depth)
-            gram, first, back = np.unique(gram, return_index=True, return_inverse=True)
+            first, back = _distinct(gram)
+            gram = gram[first]
             n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram))
             context, t, tested, p = context[first], c.t[first], c.state[first], c.p[first]
         slots = np.minimum((t + parts[1] - 1) // parts[1], 1 << 16).clip(min=1).astype(np.uint64)
         slot = ((gram >> np.uint64(48)) * slots) >> np.uint64(16)
-        part = (_mixed(context, slot) % np.uint64(parts[0])).astype(np.int32)
-        order = np.lexsort((context, part))
+        slot = _mixed(context, slot)
+        part = ((slot >> np.uint64(32)) * np.uint64(parts[0]) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(slot, kind="stable")  # alike on every machine, and by part
+        slot = slot[order]
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.back = place[back]
         self.gram, self.n, context, t, tested, part = gram[order], n[order].astype(np.int64), context[order], t[order], tested[order], part[order]
         self.steps = np.where(tested, np.rint(-np.log2(p[order]) * (1 << _STEPS)), 0).astype(np.uint32)
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (context[1:] != context[:-1]) | (part[1:] != part[:-1])
+        new[1:] = (context[1:] != context[:-1]) | (slot[1:] != slot[:-1])
         first = np.flatnonzero(new)
         self.run = np.cumsum(new) - 1
         self.context, self.t, self.tested, self.part = context[first], t[first], tested[first], part[first]
@@ -270,9 +306,10 @@ def answered(asked: DataFrame, parts: tuple[int, int]) -> DataFrame:
         sizes = [len(x) for x in read["context"]], [len(x) for x in read["gram"]]
         a = {name: np.concatenate(values) for name, values in read.items()}
         of = np.repeat(np.arange(len(a["context"])), a["runs"])
-        _, first, back = np.unique(_mixed(a["context"][of], a["gram"]), return_index=True, return_inverse=True)
+        first, back = _distinct(_mixed(a["context"][of], a["gram"]))
         count = np.bincount(back, weights=a["n"]).astype(np.int64)
-        contexts, at, which = np.unique(a["context"], return_index=True, return_inverse=True)
+        at, which = _distinct(a["context"])
+        contexts = a["context"][at]
         on = (count > 0) & a["tested"][of[first]]
         n, one = count[on], first[on]
         t, p = a["t"][of[one]], np.exp2(a["steps"][one] / -float(1 << _STEPS))

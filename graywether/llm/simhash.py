@@ -32,6 +32,22 @@ POSTINGS = 20_000
 _BLOCK = 2048
 _CHUNK = 1 << 16
 
+#: The rule of alike(): words of a shingle and the least Jaccard similarity.
+WORDS = 5
+LIKENESS = 0.8
+#: Min-wise bytes of a text, neighbouring ones in a key of its index, and those that a pair has to share to be verified:
+#: 3.4 standard deviations below the 64 expected at a similarity of 0.8.
+BYTES = 80
+KEY_BYTES = 5
+SHARED = 52
+#: Shared bytes from which on a pair is likely to be alike.
+SURE = 66
+#: Classes of a bucket that one task compares; a bucket with more is dealt into blocks.
+BUCKET = 10_000
+_ROWS = 256
+_orders = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BYTES), dtype=np.uint64)
+_MASKS, _ODD = _orders[0], _orders[1] << np.uint64(1) | np.uint64(1)
+
 
 def position_keys(shared: int = 8 - MAX_BITS, width: int = 4) -> list[tuple[int, ...]]:
     """Sets of `width` byte positions such that any `shared` positions hold one of them, chosen greedily."""
@@ -251,15 +267,211 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one of the least key (then of the least row_key).
+def positional_bytes(text: bytes | None, shingle: int = WORDS) -> tuple[int, bytes]:
+    """The class of a text (a hash of its lower-cased words, as a signed integer) and its BYTES min-wise bytes: byte i
+    is the low byte of the least shingle hash under order i. A text without words has bytes of zero."""
+    words = (text or b"").lower().split()
+    own = np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64)
+    if not words:
+        return int(own), bytes(BYTES)
+    hashes, least = shingle_hashes(words, shingle), np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), _BLOCK):
+        np.minimum(least, ((hashes[i : i + _BLOCK, None] ^ _MASKS) * _ODD).min(axis=0), out=least)
+    return int(own), least.astype(np.uint8).tobytes()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct hashes of the shingles of a text's words (fewer words: of the whole sequence), ascending."""
+    if not words:
+        return np.array([], dtype=np.uint64)
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64))
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes; 1 for two empty ones."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - shared
+    return shared / total if total else 1.0
+
+
+def byte_rows(docs: DataFrame, key: str, shingle: int) -> DataFrame:
+    """key, row_key, cls and sig (BYTES bytes) of each row; a null text counts as empty."""
+    kind = docs.schema[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [positional_bytes(t.as_py(), shingle) for t in batch.column(2).cast(pa.large_binary())]
+            columns = [*batch.columns[:2], pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "row_key", "cls", "sig"])
+
+    rows = docs.select(key, row_key(F.col(key)).alias("row_key"), "text")
+    return rows.mapInArrow(run, f"`{key}` {kind.dataType.simpleString()}, row_key long, cls long, sig binary")
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A posting (bucket, cls) for each key: KEY_BYTES neighbouring positions of a class's bytes, with the key's number."""
+    keys = BYTES // KEY_BYTES
+    for batch in batches:
+        sig = _matrix(batch.column(1)).reshape(-1, keys, KEY_BYTES)
+        wide = np.zeros((len(sig), keys, 8), np.uint8)
+        wide[:, :, :KEY_BYTES], wide[:, :, KEY_BYTES] = sig, np.arange(keys)
+        cls = np.repeat(np.asarray(batch.column(0)), keys)
+        yield pa.RecordBatch.from_arrays([pa.array(wide.view("<i8").reshape(-1)), pa.array(cls)], names=["bucket", "cls"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+
+
+def _tally(sig: np.ndarray, rows: slice) -> np.ndarray:
+    """How many positional bytes the given rows share with every row."""
+    found = np.zeros((len(sig[rows]), len(sig)), np.uint8)
+    for p in range(BYTES):
+        found += sig[rows, p, None] == sig[None, :, p]
+    return found
+
+
+def _bucket_pairs(cls: np.ndarray, sig: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket (rows ascending by cls) that share SHARED bytes or more. Without comp at most one for each
+    row: the first row before it whose tally estimates the likeness, else the one of the highest tally. With comp
+    every pair of different components."""
+    a, b = [], []
+    for i in range(0, len(cls), _ROWS):
+        tally = _tally(sig, slice(i, i + _ROWS))
+        tally[np.arange(i, i + len(tally))[:, None] <= np.arange(len(cls))] = 0
+        if comp is None:
+            sure = tally >= SURE
+            best = np.where(sure.any(axis=1), sure.argmax(axis=1), tally.argmax(axis=1))
+            v = np.flatnonzero(tally[np.arange(len(tally)), best] >= SHARED)
+            u = best[v]
+        else:
+            v, u = np.nonzero((tally >= SHARED) & (comp[i : i + _ROWS, None] != comp))
+        a.append(cls[u])
+        b.append(cls[v + i])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of rows (bucket, part, cls, comp, sig) sorted by bucket, part and cls; one bucket's part is held at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def closed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, part, cls, comp = (rows.column(c).to_numpy() for c in ("bucket", "part", "cls", "comp"))
+        sig = _matrix(rows.column("sig").combine_chunks())
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+        ends = np.r_[starts[1:], len(cls)]
+        two = starts[ends - starts == 2]
+        near = two[((sig[two] == sig[two + 1]).sum(axis=1) >= SHARED) & ((comp[two] != comp[two + 1]) | (not across))]
+        pairs = [(cls[near], cls[near + 1])]
+        pairs += [_bucket_pairs(cls[s:e], sig[s:e], comp[s:e] if across else None) for s, e in zip(starts, ends) if e - s > 2]
+        for a, b in pairs:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        bucket, part = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        last = int(np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))[-1]) + 1 if (bucket[0], part[0]) != (bucket[-1], part[-1]) else 0
+        if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (bucket[0], part[0]):
+            yield from closed(pa.Table.from_batches(held))
+            held = []
+        if last:
+            yield from closed(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from closed(pa.Table.from_batches(held))
+
+
+def _verified(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (a, b, text_a, text_b) whose sets of shingles reach the likeness."""
+    own, hashes = None, None
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = [batch.column(c).cast(pa.large_binary()) for c in (2, 3)]
+        keep = []
+        for i in range(len(a)):
+            if own != a[i]:
+                own, hashes = a[i], shingle_hashes((texts[0][i].as_py() or b"").lower().split(), shingle)
+            keep.append(likeness(hashes, shingle_hashes((texts[1][i].as_py() or b"").lower().split(), shingle)) >= least)
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, name: str, rule: tuple[int, float]) -> DataFrame:
+    """pairs (a, b), each tested on the texts of one row of either class."""
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    ends = classes.join(ends, "cls", "left_semi").select("cls", F.col("rep").alias("__row_key"))
+    keyed = docs.select(row_key(F.col("__key")).alias("__row_key"), "text")
+    texts = ws.save(ends.join(keyed, "__row_key").dropDuplicates(["cls"]).select("cls", "text"), f"texts_{name}")
+    a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    return ws.save(rows.mapInArrow(lambda batches: _verified(batches, *rule), "a long, b long"), f"verified_{name}")
+
+
+def _meeting(met: DataFrame, classes: DataFrame, across: bool) -> DataFrame:
+    """Pairs to test among the classes that meet in a bucket (bucket, cls, comp, n); a bucket of more than BUCKET
+    classes is dealt into blocks, each two of which meet in a part of their own."""
+    blocks = F.ceil(F.col("n") / F.lit(BUCKET / 2))
+    dealt = met.withColumn("k", F.when(F.col("n") > BUCKET, blocks).otherwise(1)).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1)))
+    part = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
+    rows = dealt.withColumn("part", part.cast("long")).join(classes.select("cls", "sig"), "cls")
+    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("bucket", "part", "cls", "comp", "sig").repartition(n, "bucket", "part")
+    rows = rows.sortWithinPartitions("bucket", "part", "cls")
+    return rows.mapInArrow(lambda batches: _candidates(batches, across), "a long, b long").distinct()
+
+
+def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: float = LIKENESS) -> DataFrame:
+    """key, row_key and group of each row of docs (key, text): rows are linked where the sets of their texts' shingles
+    have a Jaccard similarity of `least` or more, and a group is what links reach.
+
+    The same index and count filter as near_duplicates over other bytes: 64 majority bits of two texts at a
+    similarity of 0.8 differ in about 10 places, beyond what equal positional bytes can find, while a min-wise byte is
+    equal as often as the similarity says. A pair at 0.8 meets under one of 16 keys of 5 bytes with a chance of 0.998
+    and passes the filter with 0.999; what passes is verified on the texts. Fewer words than a shingle has count as one
+    shingle; texts without words are alike, null ones included. Equal texts (but for case and blanks) fall together first.
+
+    In a bucket every class first proposes one partner; what these links leave apart is compared pair by pair.
+    """
+    ws = Workspace(docs.sparkSession, "alike")
+    docs = docs.select(F.col(key).alias("__key"), "text")
+    rows = ws.save(byte_rows(docs, "__key", shingle), "rows")
+    classes = ws.save(rows.groupBy("cls").agg(F.min("row_key").alias("rep"), F.first("sig").alias("sig")), "classes")
+    postings = classes.select("cls", "sig").mapInArrow(_posted, "bucket long, cls long")
+    met = postings.withColumn("n", F.expr("count(*) over (partition by bucket)")).where("n > 1")
+    met = ws.save(met.withColumn("comp", F.lit(0).cast("long")), "met")
+    first = ws.save(_meeting(met, classes, across=False), "pairs_first")
+    links = _verify(first, docs, classes, ws, "first", (shingle, least))
+    roots = components(links, ws)
+    if roots is None:
+        apart = met.withColumn("comp", F.col("cls"))
+    else:
+        to = roots.select(F.col("node").alias("cls"), "root")
+        apart = met.drop("comp").join(to, "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+    several = F.expr("min(comp) over (partition by bucket) < max(comp) over (partition by bucket)")
+    apart = apart.withColumn("several", several).where("several").drop("several")
+    second = ws.save(_meeting(apart, classes, across=True).join(first, ["a", "b"], "left_anti"), "pairs_second")
+    more = _verify(second, docs, classes, ws, "second", (shingle, least))
+    if not more.isEmpty():
+        # the second links join components of the first
+        roots = components(links.union(more), Workspace(docs.sparkSession, "alike"))
+    if roots is None:
+        return rows.select(F.col("__key").alias(key), "row_key", F.col("cls").alias("group"))
+    found = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    return found.select(F.col("__key").alias(key), "row_key", F.coalesce("root", "cls").alias("group"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: float = LIKENESS) -> DataFrame:
+    """docs with one row of each group of alike(): the one of the least key (nulls last, then of the least row_key).
 
     Rows that repeat the one that stays go too. Columns are those of docs.
     """
     ws = Workspace(docs.sparkSession, "keep_one")
-    found = near_duplicates(docs, key, shingle)
     first = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("row_key").alias("r")))
-    stay = found.groupBy("group").agg(first.alias("m")).select(F.col("m.r").alias("__row_key"))
+    stay = alike(docs, key, shingle, least).groupBy("group").agg(first.alias("m")).select(F.col("m.r").alias("__row_key"))
     stay = ws.save(stay.distinct(), "stay")
     joined = docs.withColumn("__row_key", row_key(F.col(key))).join(stay, "__row_key", "left_semi")
     numbered = joined.withColumn("__no", F.expr("row_number() over (partition by __row_key order by __row_key)"))

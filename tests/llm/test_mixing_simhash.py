@@ -194,3 +194,64 @@ def test_components_of_paths_and_stars(spark):
     for r in simhash.components(edges, Workspace(spark, "test")).collect():
         got[r.root].add(r.node)
     assert sorted(map(len, got.values())) == [200, 301]
+
+
+def brute_alike(rows, least=0.8):
+    """Index sets of the rows that links of a five-word likeness of `least` reach."""
+    sets = []
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set()))
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) / len(a | b) >= least):
+                group[max(root(i), root(j))] = min(root(i), root(j))
+    found = defaultdict(set)
+    for i in range(len(rows)):
+        found[root(i)].add(i)
+    return list(found.values())
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        words[i] = f"new{rng.integers(1 << 30)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("bucket", [4, 10_000])
+def test_alike_against_brute_force(spark, monkeypatch, bucket):
+    rng = np.random.default_rng(11)
+    texts = []
+    for family in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(40, 400)))]
+        # shares of changed words from hardly any to too many for a likeness of 0.8
+        texts += [edited(rng, base, int(len(base) * share)) for share in rng.uniform(0, 0.05, 25)]
+        texts += [" ".join(base).upper().replace(" ", "\n"), " ".join(base)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, "one two"), (901, "ONE  two"), (902, "one"), (903, ""), (904, None), (None, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    held = docs.collect()
+    want = {frozenset(str(held[i].doc_id) for i in g) for g in brute_alike(held)}
+    got = defaultdict(set)
+    for r in simhash.alike(docs).collect():
+        got[r.group].add(str(r.doc_id))
+    got = {frozenset(g) for g in got.values()}
+    assert 12 < len(want) < len(rows) - 30
+    assert got == want
+
+
+def test_alike_odd_rows(spark):
+    assert simhash.alike(clashing(spark, "cls", "sig", "group", "bucket")).count() == 13
+    assert simhash.alike(empty(spark)).count() == 0
+    kept = simhash.keep_one(clashing(spark, "cls", "sig", "group"))
+    assert kept.columns[-3:] == ["cls", "sig", "group"]
+    held = odd(spark).collect()
+    assert kept.count() == len(brute_alike(held))

@@ -4,7 +4,8 @@ STAGES are applied in order to documents; each stage's rows are written as Parqu
 again as the documents of the next.
 
 1. quality: documents that fail their own rules or their host's verdict go.
-2. near_duplicates: of each SimHash group one document stays.
+2. near_duplicates: of the documents whose five-word shingles are alike to 0.8 or more, and of those that such links
+   reach, one stays.
 3. privacy: personal data and disclosing terms are replaced in the texts; no document goes.
 4. mixing: documents are taken as often as the mix of sources asks for (0 to 3 times).
 5. bpe: texts are encoded and decoded; returns doc_id, source, n_tokens, ids (packed little-endian unsigned 32-bit

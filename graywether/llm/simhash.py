@@ -45,8 +45,8 @@ SURE = 66
 #: Classes of a bucket that one task compares; a bucket with more is dealt into blocks.
 BUCKET = 10_000
 _ROWS = 256
-_orders = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BYTES), dtype=np.uint64)
-_MASKS, _ODD = _orders[0], _orders[1] << np.uint64(1) | np.uint64(1)
+_MASKS, _ODD = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BYTES, 1), dtype=np.uint32)
+_ODD |= np.uint32(1)
 
 
 def position_keys(shared: int = 8 - MAX_BITS, width: int = 4) -> list[tuple[int, ...]]:
@@ -274,9 +274,9 @@ def positional_bytes(text: bytes | None, shingle: int = WORDS) -> tuple[int, byt
     own = np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64)
     if not words:
         return int(own), bytes(BYTES)
-    hashes, least = shingle_hashes(words, shingle), np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
+    hashes, least = shingle_hashes(words, shingle).astype(np.uint32), np.full(BYTES, (1 << 32) - 1, np.uint32)
     for i in range(0, len(hashes), _BLOCK):
-        np.minimum(least, ((hashes[i : i + _BLOCK, None] ^ _MASKS) * _ODD).min(axis=0), out=least)
+        np.minimum(least, ((hashes[i : i + _BLOCK] ^ _MASKS) * _ODD).min(axis=1), out=least)
     return int(own), least.astype(np.uint8).tobytes()
 
 
@@ -324,11 +324,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
 
 
-def _tally(sig: np.ndarray, rows: slice) -> np.ndarray:
-    """How many positional bytes the given rows share with every row."""
-    found = np.zeros((len(sig[rows]), len(sig)), np.uint8)
-    for p in range(BYTES):
-        found += sig[rows, p, None] == sig[None, :, p]
+def _tally(places: np.ndarray, rows: slice) -> np.ndarray:
+    """How many positional bytes the given rows share with every row; places has a line for each position."""
+    found = np.zeros((len(places[0, rows]), places.shape[1]), np.uint8)
+    for place in places:
+        found += place[rows, None] == place
     return found
 
 
@@ -336,9 +336,9 @@ def _bucket_pairs(cls: np.ndarray, sig: np.ndarray, comp: np.ndarray | None) ->
     """Pairs of one bucket (rows ascending by cls) that share SHARED bytes or more. Without comp at most one for each
     row: the first row before it whose tally estimates the likeness, else the one of the highest tally. With comp
     every pair of different components."""
-    a, b = [], []
+    a, b, places = [], [], np.ascontiguousarray(sig.T)
     for i in range(0, len(cls), _ROWS):
-        tally = _tally(sig, slice(i, i + _ROWS))
+        tally = _tally(places, slice(i, i + _ROWS))
         tally[np.arange(i, i + len(tally))[:, None] <= np.arange(len(cls))] = 0
         if comp is None:
             sure = tally >= SURE
@@ -385,29 +385,37 @@ def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
         yield from closed(pa.Table.from_batches(held))
 
 
-def _verified(batches: Iterator[pa.RecordBatch], shingle: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of rows (a, b, text_a, text_b) whose sets of shingles reach the likeness."""
-    own, hashes = None, None
+def _hashed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """cls and the distinct shingle hashes of rows (cls, text)."""
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts = [batch.column(c).cast(pa.large_binary()) for c in (2, 3)]
-        keep = []
-        for i in range(len(a)):
-            if own != a[i]:
-                own, hashes = a[i], shingle_hashes((texts[0][i].as_py() or b"").lower().split(), shingle)
-            keep.append(likeness(hashes, shingle_hashes((texts[1][i].as_py() or b"").lower().split(), shingle)) >= least)
+        texts = batch.column(1).cast(pa.large_binary())
+        grams = [shingle_hashes((t.as_py() or b"").lower().split(), shingle).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["cls", "grams"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (a, b, grams_a, grams_b) whose sets of shingles reach the likeness."""
+    for batch in batches:
+        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3)]
+        keep = [min(len(a), len(b)) >= least * max(len(a), len(b)) and likeness(a, b) >= least for a, b in zip(*sets)]
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, name: str, rule: tuple[int, float]) -> DataFrame:
-    """pairs (a, b), each tested on the texts of one row of either class."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ends = classes.join(ends, "cls", "left_semi").select("cls", F.col("rep").alias("__row_key"))
+def _grams(met: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, shingle: int) -> DataFrame:
+    """cls and grams (the distinct shingle hashes) of each class that meets another, from the text of one of its rows."""
+    wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi")
+    # written first, so that Spark knows the size when it chooses how to join
+    wanted = ws.save(wanted.select("cls", F.col("rep").alias("__row_key")), "wanted")
     keyed = docs.select(row_key(F.col("__key")).alias("__row_key"), "text")
-    texts = ws.save(ends.join(keyed, "__row_key").dropDuplicates(["cls"]).select("cls", "text"), f"texts_{name}")
-    a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return ws.save(rows.mapInArrow(lambda batches: _verified(batches, *rule), "a long, b long"), f"verified_{name}")
+    texts = keyed.join(wanted, "__row_key").dropDuplicates(["cls"]).select("cls", "text")
+    return ws.save(texts.mapInArrow(lambda batches: _hashed(batches, shingle), "cls long, grams binary"), "grams")
+
+
+def _verify(pairs: DataFrame, grams: DataFrame, ws: Workspace, name: str, least: float) -> DataFrame:
+    """pairs (a, b), each tested on all shingles of the two classes."""
+    a, b = (grams.select(F.col("cls").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+    rows = pairs.join(b, "b").join(a, "a").select("a", "b", "grams_a", "grams_b")
+    return ws.save(rows.mapInArrow(lambda batches: _verified(batches, least), "a long, b long"), f"verified_{name}")
 
 
 def _meeting(met: DataFrame, classes: DataFrame, across: bool) -> DataFrame:
@@ -431,7 +439,7 @@ def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: flo
     The same index and count filter as near_duplicates over other bytes: 64 majority bits of two texts at a
     similarity of 0.8 differ in about 10 places, beyond what equal positional bytes can find, while a min-wise byte is
     equal as often as the similarity says. A pair at 0.8 meets under one of 16 keys of 5 bytes with a chance of 0.998
-    and passes the filter with 0.999; what passes is verified on the texts. Fewer words than a shingle has count as one
+    and passes the filter with 0.999; what passes is verified on all shingles. Fewer words than a shingle has count as one
     shingle; texts without words are alike, null ones included. Equal texts (but for case and blanks) fall together first.
 
     In a bucket every class first proposes one partner; what these links leave apart is compared pair by pair.
@@ -444,7 +452,8 @@ def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: flo
     met = postings.withColumn("n", F.expr("count(*) over (partition by bucket)")).where("n > 1")
     met = ws.save(met.withColumn("comp", F.lit(0).cast("long")), "met")
     first = ws.save(_meeting(met, classes, across=False), "pairs_first")
-    links = _verify(first, docs, classes, ws, "first", (shingle, least))
+    grams = _grams(met, docs, classes, ws, shingle)
+    links = _verify(first, grams, ws, "first", least)
     roots = components(links, ws)
     if roots is None:
         apart = met.withColumn("comp", F.col("cls"))
@@ -454,7 +463,7 @@ def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: flo
     several = F.expr("min(comp) over (partition by bucket) < max(comp) over (partition by bucket)")
     apart = apart.withColumn("several", several).where("several").drop("several")
     second = ws.save(_meeting(apart, classes, across=True).join(first, ["a", "b"], "left_anti"), "pairs_second")
-    more = _verify(second, docs, classes, ws, "second", (shingle, least))
+    more = _verify(second, grams, ws, "second", least)
     if not more.isEmpty():
         # the second links join components of the first
         roots = components(links.union(more), Workspace(docs.sparkSession, "alike"))
@@ -470,9 +479,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least:
     Rows that repeat the one that stays go too. Columns are those of docs.
     """
     ws = Workspace(docs.sparkSession, "keep_one")
-    first = F.min(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("row_key").alias("r")))
-    stay = alike(docs, key, shingle, least).groupBy("group").agg(first.alias("m")).select(F.col("m.r").alias("__row_key"))
-    stay = ws.save(stay.distinct(), "stay")
-    joined = docs.withColumn("__row_key", row_key(F.col(key))).join(stay, "__row_key", "left_semi")
-    numbered = joined.withColumn("__no", F.expr("row_number() over (partition by __row_key order by __row_key)"))
-    return numbered.where("__no = 1").select(*docs.columns)
+    found = alike(docs, key, shingle, least).groupBy("group", "row_key").agg(F.min(key).alias("k"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("k").isNull().alias("last"), "k", F.col("row_key").alias("__row_key"), "n"))
+    stay = ws.save(found.groupBy("group").agg(first.alias("m")).select("m.__row_key", "m.n"), "stay")
+    keyed = docs.withColumn("__row_key", row_key(F.col(key)))
+    single = keyed.join(stay.where("n = 1"), "__row_key", "left_semi")
+    repeated = keyed.join(stay.where("n > 1"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return single.union(repeated).select(*docs.columns)

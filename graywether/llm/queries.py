@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import lexicon, licences, mixing, ordermin, passages, privacy, quality, sharding, simhash, suffixtree
+from graywether.llm import divergence, lexicon, licences, mixing, ordermin, passages, privacy, quality, sharding, simhash, suffixtree
 from graywether.llm.tables import documents
 
 
@@ -72,6 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "kept")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_ordermin": op2_ordermin,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_licences": licences.oracle(), "op10_quality": quality.oracle()}
+ORACLES: dict[str, str] = {"op5_licences": licences.oracle(), "op10_quality": quality.oracle(), "op13_divergence": divergence.oracle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import divergence, lexicon, licences, mixing, ordermin, passages, privacy, quality, sharding, simhash, suffixtree
+from graywether.llm import divergence, lexicon, licences, mixing, ordermin, passages, privacy, quality, secrets, sharding, simhash, suffixtree
 from graywether.llm.tables import documents
 
 
@@ -72,6 +72,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "kept")
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [f"n_{k}" for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_decoded")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir).select("text", "lang", "source"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op12_secrets": op12_secrets,
     "op13_divergence": op13_divergence,
 }
 

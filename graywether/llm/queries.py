@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywether.llm import divergence, lexicon, licences, mixing, ordermin, passages, privacy, quality, secrets, sharding, simhash, suffixtree
+from graywether.llm import conversations, divergence, lexicon, licences, mixing, ordermin, passages, privacy, quality, secrets, sharding, simhash, suffixtree
 from graywether.llm.tables import documents
 
 
@@ -72,6 +72,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.MEASURES, "kept")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversations.audit(rows).drop("n_rows")
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(documents(spark, sf_dir).select("doc_id", "text"))
     counts = [f"n_{k}" for k in secrets.KINDS]
@@ -93,8 +98,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
+    "op11_conversations": op11_conversations,
     "op12_secrets": op12_secrets,
     "op13_divergence": op13_divergence,
 }
 
-ORACLES: dict[str, str] = {"op5_licences": licences.oracle(), "op10_quality": quality.oracle(), "op13_divergence": divergence.oracle()}
+ORACLES: dict[str, str] = {
+    "op5_licences": licences.oracle(),
+    "op10_quality": quality.oracle(),
+    "op11_conversations": conversations.oracle(),
+    "op13_divergence": divergence.oracle(),
+}

@@ -46,3 +46,13 @@ def ascii_lower(text: Column) -> Column:
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Deal rows evenly, without a key, over as many tasks as a shuffle has."""
     return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the CRC-32 of an ASCII string, which DuckDB lacks; `table` gives the one row (column crc_of) that the
+    expression needs beside it."""
+    if text == "table":
+        step = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+        return f"SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: {step}) ORDER BY b) AS crc_of FROM range(256) t(b)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(crc_of[(xor(c, b) & 255) + 1], c >> 8)))"

@@ -34,7 +34,7 @@ MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: Cells (groups x terms) of a tile, groups of a block, and cells that one broadcast makes.
-TILE = 1 << 20
+TILE = 1 << 17
 GROUPS = 256
 _BROADCAST = 1 << 21
 #: Entries a task counts before it hands partial counts to Spark.

@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graywether.functions.maths import sigmoid
 from graywether.functions.text import BUCKETS
@@ -192,6 +193,7 @@ def scores(rows: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     folds = max(1, len({p.fold for p in pairs}))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     label_kind = model.weights.schema["label"].dataType
+    arrow = to_arrow_type(label_kind)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + f", label {label_kind.simpleString()}, score double"
     fold = F.col("fold") if model.crossed else F.lit(0)
     read = rows.select(*carry, fold.cast("int").alias("_fold"), "toks", "runs")
@@ -224,7 +226,7 @@ def scores(rows: DataFrame, model: Model, carry: list[str]) -> DataFrame:
                             score[folds == f] = x[folds == f] @ tables[int(f)].T
                     repeat = pa.array(np.repeat(np.arange(len(sizes)), len(block)))
                     yield pa.RecordBatch.from_arrays(
-                        [*(c.take(repeat) for c in batch.columns[:n]), pa.array(list(block) * len(sizes)), pa.array(score.ravel())], names=[*carry, "label", "score"]
+                        [*(c.take(repeat) for c in batch.columns[:n]), pa.array(list(block) * len(sizes), arrow), pa.array(score.ravel())], names=[*carry, "label", "score"]
                     )
 
         part = read.mapInArrow(run, schema)

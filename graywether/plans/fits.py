@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graywether.functions import maths
-from graywether.operators import features, ridge
-from graywether.plans.lanes import r6
+from graywether.operators import features, heads, ridge
+from graywether.plans.lanes import items, lane_sql, r6
 from graywether.plans.registry import query
 from graywether.plans.texts import HASHES, docs
 from graywether.sources.steps import Workspace
+from graywether.sources.tables import table
 
 FOLDS = 5
 FEW = 48
@@ -77,3 +78,67 @@ def ridge_picks(spark, sf_dir):
     gold = rows.select("doc_id", F.col("label").alias("gold"))
     joined = gold.join(picks.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     return joined.select("doc_id", "gold", "pick", (F.col("pick") == F.col("gold")).cast("int").alias("ok"))
+
+
+SHARD_ROWS = 128
+
+
+def vectors_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test vectors in two folds; shards are dealt by the id's other digits."""
+    unit = maths.unit(F.col("embedding")).alias("vector")
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("key"), "label", (F.col("vec_id") % 2).cast("int").alias("fold"), F.floor(F.col("vec_id") / 2).alias("shard_by"), unit)
+
+
+# rows of a shard are numbered by label and id; step t of the recursion is one row of every shard of both models
+HEADS = f"""WITH RECURSIVE e AS (SELECT vec_id, label, (vec_id % 2)::INT AS fold, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda u: u::DOUBLE * u)))) || [1.0::DOUBLE] AS x FROM embeddings),
+    sn AS (SELECT greatest(1, ceil(count(*) / {SHARD_ROWS}))::INT AS s FROM e),
+    rw AS (SELECT 1 - fold AS model, (vec_id // 2 % s)::INT AS shard, label, x, row_number() OVER (PARTITION BY fold, vec_id // 2 % s ORDER BY label, vec_id) AS i FROM e, sn),
+    sz AS (SELECT model, shard, count(*) AS n FROM rw GROUP BY ALL), mx AS (SELECT max(n) AS steps FROM sz),
+    w AS (SELECT 0::BIGINT AS t, model, shard, n, o.label AS opt, list_transform(range(65), lambda v: 0::DOUBLE) AS w FROM sz, (SELECT DISTINCT label FROM e) o UNION ALL
+        SELECT t + 1, model, shard, n, opt, CASE WHEN (t + 1) % (steps + 1) <> 0 THEN w ELSE
+            list_transform(list_reduce(list(list_transform(w, lambda v: v * n)) OVER (PARTITION BY model, opt ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+                lambda a, b: list_transform(list_zip(a, b), lambda z: z[1] + z[2])), lambda v: v / (sum(n) OVER (PARTITION BY model, opt))) END
+        FROM (SELECT t, model, shard, n, opt, steps, CASE WHEN label IS NULL THEN w ELSE
+                list_transform(list_zip(w, x, range(65)), lambda z: z[1] * CASE WHEN z[3] = 64 THEN 1 ELSE 1 - rate * {heads.DECAY} END - rate * g * z[2]) END AS w
+            FROM (SELECT w.*, steps, label, x, {heads.RATE} * (1 - ((t // (steps + 1)) * w.n + t % (steps + 1))::DOUBLE / ({heads.EPOCHS} * w.n)) AS rate,
+                    1 / (1 + exp(-list_dot_product(w.w, x))) - (label = opt)::INT AS g
+                FROM w CROSS JOIN mx LEFT JOIN rw ON rw.model = w.model AND rw.shard = w.shard AND rw.i = t % (steps + 1) + 1))
+        WHERE t < {heads.EPOCHS} * (steps + 1)),
+    fin AS (SELECT model, opt, any_value(w) AS w FROM w, mx WHERE t = {heads.EPOCHS} * (steps + 1) GROUP BY ALL),
+    lg AS (SELECT vec_id AS case_id, label AS gold, opt, list_dot_product(w, x) AS logit FROM e JOIN fin ON model = fold)"""
+
+
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors_folded(spark, sf_dir)
+    found = heads.logits(rows.withColumn("gold", F.col("label")), heads.fit(rows, shard_rows=SHARD_ROWS), ["key", "gold"])
+    return found.select(F.col("key").alias("case_id"), "gold", F.col("label").alias("opt"), "logit")
+
+
+@query(HEADS + " SELECT case_id, opt, round(logit, 6) AS logit FROM lg")
+def head_logits(spark, sf_dir):
+    """Every vector's raw logit of every label, by heads fitted on the other fold."""
+    return r6(head_rows(spark, sf_dir).drop("gold"))
+
+
+@query(HEADS + """, best AS (SELECT case_id, any_value(gold) AS gold, first(opt ORDER BY round(logit, 9) DESC, opt) AS pick FROM lg GROUP BY case_id)
+    SELECT case_id, gold, pick, (gold = pick)::INT AS ok FROM best""")
+def head_picks(spark, sf_dir):
+    best = F.min(F.struct((-F.round("logit", 9)).alias("o"), "opt")).alias("b")
+    picks = head_rows(spark, sf_dir).groupBy("case_id", "gold").agg(best)
+    return picks.select("case_id", "gold", F.col("b.opt").alias("pick"), (F.col("b.opt") == F.col("gold")).cast("int").alias("ok"))
+
+
+HEAD_LADDER = [0.0, 0.25, 0.5, 1.0]
+
+
+@query(HEADS + "," + lane_sql("b", 32) + f""", terms AS (SELECT lg.case_id, lg.gold, lg.opt, pr_b.p AS base, logit FROM lg JOIN pr_b ON pr_b.case_id = lg.case_id AND pr_b.opt = lg.opt),
+    pk AS (SELECT scale, case_id, any_value(gold) AS gold, first(opt ORDER BY round(base + CASE WHEN scale = 0 THEN 0 ELSE 0.5 + scale * (1 / (1 + exp(-logit)) - 0.5) END, 9) DESC, opt) AS pick
+        FROM terms, (SELECT unnest({HEAD_LADDER})::DOUBLE AS scale) GROUP BY ALL),
+    rg AS (SELECT scale, avg((pick = gold)::INT) AS accuracy FROM pk GROUP BY scale), bs AS (SELECT accuracy AS base FROM rg WHERE scale = 0),
+    tp AS (SELECT scale AS best FROM rg, bs WHERE scale > 0 AND accuracy >= base + 0.05 ORDER BY accuracy DESC, scale LIMIT 1)
+    SELECT scale, round(accuracy, 6) AS accuracy, (scale = coalesce((SELECT best FROM tp), 0))::INT AS selected FROM rg""")
+def head_scale_selection(spark, sf_dir):
+    """The ladder of head scales over answers that see half of the dimensions."""
+    routed = items(spark, sf_dir, 32).select(F.col("case_id"), F.inline(F.arrays_zip("labels", "probs"))).select("case_id", F.col("labels").alias("opt"), F.col("probs").alias("base"))
+    return r6(heads.scale_ladder(head_rows(spark, sf_dir).join(routed, ["case_id", "opt"]), HEAD_LADDER))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graywether.functions import maths
-from graywether.operators import features, heads, ridge
+from graywether.operators import density, features, heads, kernels, ranking, ridge
 from graywether.plans.lanes import items, lane_sql, r6
 from graywether.plans.registry import query
 from graywether.plans.texts import HASHES, docs
@@ -142,3 +143,113 @@ def head_scale_selection(spark, sf_dir):
     """The ladder of head scales over answers that see half of the dimensions."""
     routed = items(spark, sf_dir, 32).select(F.col("case_id"), F.inline(F.arrays_zip("labels", "probs"))).select("case_id", F.col("labels").alias("opt"), F.col("probs").alias("base"))
     return r6(heads.scale_ladder(head_rows(spark, sf_dir).join(routed, ["case_id", "opt"]), HEAD_LADDER))
+
+
+COMPONENTS, PROJECTED, STEPS, SEED = 4, 16, 6, 7
+# one recursion step is one step of every mixture: 2 folds x (labels and the pooled one, -1)
+DENSITY = f"""WITH RECURSIVE sg AS (SELECT i, j, CASE WHEN (xor(x, x >> 16) * 73244475 % 4294967296 >> 15) & 1 = 1 THEN 0.25 ELSE -0.25 END AS s
+        FROM (SELECT i, j, ((i * {PROJECTED} + j + {SEED}) * 2654435761 % 4294967296)::UBIGINT AS x FROM range(64) a(i), range({PROJECTED}) b(j))),
+    vx AS (SELECT vec_id, label, (vec_id % 2)::INT AS fold, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings),
+    un AS (SELECT vec_id, label, fold, i, v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)) AS v FROM vx),
+    pj AS (SELECT vec_id, label, fold, j, sum(v * s) AS x FROM un JOIN sg USING (i) GROUP BY ALL),
+    px AS (SELECT vec_id, label, fold, list(x ORDER BY j) AS x FROM pj GROUP BY ALL), pl AS (SELECT DISTINCT label FROM px),
+    lg AS (SELECT vec_id, 1 - fold AS f, unnest([-1, label]) AS model, x, vec_id * 2654435761 % 4294967296 AS o FROM px),
+    vr AS (SELECT 1 - fold AS f, unnest([-1, label]) AS model, j, x FROM pj), sp AS (SELECT f, model, list(v ORDER BY j) AS var FROM (SELECT f, model, j, greatest(var_pop(x), {density.VAR_FLOOR}) AS v FROM vr GROUP BY ALL) GROUP BY ALL),
+    st AS (SELECT f, model, k, x AS mean FROM (SELECT *, row_number() OVER (PARTITION BY f, model ORDER BY o, vec_id) AS k FROM lg) WHERE k <= {COMPONENTS}),
+    em AS (SELECT 0 AS t, f, model, k, 1.0::DOUBLE / count(*) OVER (PARTITION BY f, model) AS w, mean, var, NULL::DOUBLE AS ll FROM st JOIN sp USING (f, model) UNION ALL
+        SELECT t + 1, f, model, k, c / n, CASE WHEN c >= {density.LEAST_COUNT} THEN m ELSE mean END,
+            CASE WHEN c >= {density.LEAST_COUNT} THEN list_transform(list_zip(m, s2), lambda z: greatest(z[2] - z[1] * z[1], {density.VAR_FLOOR})) ELSE var END, ll
+        FROM (SELECT any_value(t) AS t, f, model, k, any_value(mean) AS mean, any_value(var) AS var, any_value(c) AS c, any_value(n) AS n, any_value(ll) AS ll,
+                list(sx / greatest(c, {density.LEAST_COUNT}) ORDER BY j) AS m, list(sxx / greatest(c, {density.LEAST_COUNT}) ORDER BY j) AS s2
+            FROM (SELECT any_value(t) AS t, f, model, k, any_value(mean) AS mean, any_value(var) AS var, sum(r) AS c, any_value(n) AS n, any_value(ll) AS ll, j, sum(r * xj) AS sx, sum(r * xj * xj) AS sxx
+                FROM (SELECT *, unnest(x) AS xj, unnest(range({PROJECTED})) AS j
+                    FROM (SELECT t, f, model, k, mean, var, x, exp(lp - tot) AS r, count(*) OVER (PARTITION BY f, model, k) AS n, sum(tot) OVER (PARTITION BY f, model, k) / count(*) OVER (PARTITION BY f, model, k) AS ll
+                        FROM (SELECT *, top + ln(sum(exp(lp - top)) OVER (PARTITION BY f, model, vec_id)) AS tot
+                            FROM (SELECT *, max(lp) OVER (PARTITION BY f, model, vec_id) AS top
+                                FROM (SELECT em.*, vec_id, x, ln(w) - 0.5 * list_sum(list_transform(list_zip(x, mean, var), lambda z: ln(2 * pi() * z[3]) + (z[1] - z[2]) * (z[1] - z[2]) / z[3])) AS lp
+                                    FROM em JOIN lg USING (f, model) WHERE t < {STEPS})))))
+                GROUP BY f, model, k, j)
+            GROUP BY f, model, k)),
+    ff AS (SELECT f, model, k, w, mean, var FROM em WHERE t = {STEPS}),
+    ld AS (SELECT vec_id, model, max(lp) + ln(sum(exp(lp - top))) AS ll
+        FROM (SELECT *, max(lp) OVER (PARTITION BY vec_id, model) AS top FROM (SELECT vec_id, model, ln(w) - 0.5 * list_sum(list_transform(list_zip(x, mean, var), lambda z: ln(2 * pi() * z[3]) + (z[1] - z[2]) * (z[1] - z[2]) / z[3])) AS lp
+            FROM px JOIN ff ON f = fold)) GROUP BY vec_id, model)"""
+PICKED = DENSITY + "," + lane_sql("a", 64) + """, dc AS (SELECT case_id, gold, pick, conf, ok, a.ll - b.ll AS support, 1 / (1 + exp(-(a.ll - b.ll))) AS confidence
+        FROM items_a JOIN ld a ON a.vec_id = case_id AND a.model = pick JOIN ld b ON b.vec_id = case_id AND b.model = -1)"""
+
+
+def gated(spark: SparkSession, sf_dir: str) -> tuple[density.Gates, DataFrame]:
+    """Gates fitted on the other fold, and the answers with their density confidence."""
+    rows = density.projected(vectors_folded(spark, sf_dir), ["key", "label", "fold"], 64, PROJECTED, SEED)
+    gates = density.fit(rows, COMPONENTS, STEPS)
+    answers = items(spark, sf_dir).select(F.col("case_id").alias("key"), "gold", "pick", "conf", "ok")
+    joined = rows.select("key", "fold", "x").join(answers, "key")
+    return gates, density.confidences(joined, gates, ["key", "gold", "pick", "conf", "ok"]).withColumnRenamed("key", "case_id")
+
+
+@query(DENSITY + " SELECT f AS fold, model, (t - 1)::INT AS step, round(any_value(ll), 6) AS mean_loglik FROM em WHERE t > 0 GROUP BY f, model, t")
+def density_loglik(spark, sf_dir):
+    """Mean log-likelihood of every mixture before each of its steps; -1 is the pooled one."""
+    gates, _ = gated(spark, sf_dir)
+    # labels are numbers here; a row a mixture and step
+    rows = [(f, -1 if m < 0 else int(gates.labels[m]), step, float(ll)) for f, m, step, ll in gates.history]
+    return r6(spark.createDataFrame(rows, "fold int, model int, step int, mean_loglik double"))
+
+
+@query(PICKED + " SELECT case_id, pick, round(support, 6) AS support, round(confidence, 6) AS confidence FROM dc")
+def density_confidence(spark, sf_dir):
+    return r6(gated(spark, sf_dir)[1].select("case_id", "pick", "support", "confidence"))
+
+
+@query(PICKED + """, th AS (SELECT (SELECT t FROM (SELECT conf AS t, row_number() OVER (ORDER BY conf) - 1 AS i, count(*) OVER () AS n FROM dc) WHERE i = least(floor(n * 0.3), n - 1)) AS ts,
+        (SELECT t FROM (SELECT round(confidence, 6) AS t, row_number() OVER (ORDER BY round(confidence, 6)) - 1 AS i, count(*) OVER () AS n FROM dc) WHERE i = least(floor(n * 0.3), n - 1)) AS td),
+    ar AS (SELECT 'shipped' AS arm, (conf < ts)::INT AS declined, conf, ok FROM dc, th UNION ALL SELECT 'density', (round(confidence, 6) < td)::INT, conf, ok FROM dc, th
+        UNION ALL SELECT 'both', (conf < ts OR round(confidence, 6) < td)::INT, conf, ok FROM dc, th),
+    ab AS (SELECT arm, least(14, ceil(conf * 15)::INT - 1) AS bin, count(*) AS c, avg(conf) AS m, avg(ok) AS a FROM ar WHERE declined = 0 AND conf > 0 GROUP BY ALL),
+    ec AS (SELECT arm, sum(c * abs(m - a)) / sum(c) AS answered_ece FROM ab GROUP BY arm)
+    SELECT arm, count(*) AS n, round(avg(declined), 6) AS abstain_rate, sum((declined = 0)::INT)::BIGINT AS selective_n, round(coalesce(avg(ok) FILTER (declined = 0), 0), 6) AS selective_accuracy,
+        round(any_value(answered_ece), 6) AS answered_ece FROM ar LEFT JOIN ec USING (arm) GROUP BY arm""")
+def density_arms(spark, sf_dir):
+    """The confidence gate, the density gate and both, each at the thirtieth percentile of its own observations."""
+    scored = Workspace(spark, "density_arms").save(gated(spark, sf_dir)[1].withColumn("confidence", F.round("confidence", 6)), "scored")
+    at = lambda c, name: ranking.percentiles(scored.select(F.col(c).alias("x")), [0.3]).select(F.col("threshold").alias(name))
+    rows = scored.crossJoin(F.broadcast(at("conf", "ts"))).crossJoin(F.broadcast(at("confidence", "td")))  # one row each
+    low, thin = F.col("conf") < F.col("ts"), F.coalesce(F.col("confidence") < F.col("td"), F.lit(False))
+    arms = F.array(*(F.struct(F.lit(name).alias("arm"), gate.cast("int").alias("declined")) for name, gate in (("shipped", low), ("density", thin), ("both", low | thin))))
+    return r6(density.arm_stats(rows.select("conf", "ok", F.inline(arms))))
+
+
+# a candidate has the first half of its source and the second half of the label's next vector
+KERNEL = """WITH e AS (SELECT vec_id, label, lead(vec_id) OVER w AS nx, first(vec_id) OVER w AS fs, embedding::DOUBLE[] AS v FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+    c AS (SELECT e.vec_id, e.label, e.v[1:32] || o.v[33:64] AS v FROM e JOIN e o ON o.vec_id = coalesce(e.nx, e.fs)),
+    u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e), cu AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM c),
+    pr AS (SELECT a.vec_id, b.vec_id AS other, a.label, list_dot_product(a.u, b.u) AS cos FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id),
+    tau AS (SELECT label, greatest(1 - avg(cos), 1e-6) AS tau FROM pr GROUP BY label),
+    loo AS (SELECT vec_id, label, ln(sum(exp((cos - 1) / tau))) + 1 / any_value(tau) - ln(count(*)) AS loo, first(other ORDER BY round(cos, 12) DESC, other) AS near FROM pr JOIN tau USING (label) GROUP BY vec_id, label)"""
+
+
+def pool(spark: SparkSession, sf_dir: str):
+    return kernels.densities(table(spark, sf_dir, "embeddings"), block_rows=64)
+
+
+@query(KERNEL + " SELECT vec_id, label, round(loo, 6) AS loo, near FROM loo")
+def kernel_densities(spark, sf_dir):
+    """Every vector's density under the other vectors of its label, and the nearest of them."""
+    loo = pool(spark, sf_dir)[0]
+    return r6(loo.select(F.col("key").alias("vec_id"), "label", "loo", "near"))
+
+
+@query(KERNEL + """, cd AS (SELECT cu.vec_id, cu.label, ln(sum(exp((list_dot_product(cu.u, u.u) - 1) / tau))) + 1 / any_value(tau) - ln(count(*)) - any_value(loo) AS delta
+        FROM cu JOIN u ON u.label = cu.label JOIN tau ON tau.label = cu.label JOIN loo ON loo.vec_id = cu.vec_id GROUP BY cu.vec_id, cu.label),
+    ct AS (SELECT a.label, quantile_cont(abs(a.loo - b.loo), 0.5) AS e50, quantile_cont(abs(a.loo - b.loo), 0.75) AS e75, quantile_cont(abs(a.loo - b.loo), 0.9) AS e90 FROM loo a JOIN loo b ON b.vec_id = a.near GROUP BY a.label)
+    SELECT label, count(*) AS candidates, round(avg((abs(delta) <= e50)::INT), 6) AS accept_50, round(avg((abs(delta) <= e75)::INT), 6) AS accept_75, round(avg((abs(delta) <= e90)::INT), 6) AS accept_90,
+        round(avg((delta > 0)::INT), 6) AS ascent, round(quantile_cont(delta, 0.5), 6) AS delta_median, round(any_value(e50), 6) AS eps_50, round(abs(quantile_cont(delta, 0.5)) / any_value(e50), 6) AS deviation FROM cd JOIN ct USING (label) GROUP BY label""")
+def kernel_ladder(spark, sf_dir):
+    """How many transplants (half of a vector, half of the label's next one) deviate no more than neighbours do."""
+    loo, packed, shape = pool(spark, sf_dir)
+    w = W.partitionBy("label").orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings")
+    after = rows.withColumn("other", F.coalesce(F.lead("embedding").over(w), F.first("embedding").over(w)))
+    mixed = F.concat(F.slice("embedding", 1, 32), F.slice("other", 33, 32))
+    cands = after.select(F.col("vec_id").alias("key"), "label", F.col("vec_id").alias("src"), mixed.alias("vector"))
+    return r6(kernels.ladder(kernels.candidate_deltas(cands, loo, packed, shape, block_rows=64), kernels.controls(loo)))

@@ -67,12 +67,12 @@ def select_cap(arms: DataFrame, default: int) -> DataFrame:
 
 def budget(rooms: DataFrame, most: int) -> DataFrame:
     """label, room, weight, share of rooms (label, room, weight): floor(most * weight / all weights), at most the room;
-    what is left goes round by label, one each, while there is room.
+    what is left goes round by label, one each, while there is room. Without any weight all goes round.
 
     A round is a row for a label that has room in it, `most` at most for each label.
     """
     total = rooms.agg(F.sum("weight").alias("all"))
-    base = F.least("room", F.floor(F.lit(most) * F.col("weight") / F.col("all")))
+    base = F.least("room", F.coalesce(F.floor(F.lit(most) * F.col("weight") / F.nullif(F.col("all"), F.lit(0))), F.lit(0)))
     based = rooms.crossJoin(F.broadcast(total)).withColumn("base", base).drop("all")  # one row
     left = based.agg(F.greatest(F.lit(most) - F.sum("base"), F.lit(0)).alias("left"))
     free = F.least(F.col("room") - F.col("base"), F.lit(most))

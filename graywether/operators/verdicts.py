@@ -162,20 +162,21 @@ def graded_decoys(slots: DataFrame, k: int) -> DataFrame:
     return rows.select("case_id", F.when(F.col("n") <= k, F.col("r")).otherwise(spaced).alias("decoys"))
 
 
-def hygiene(fit: DataFrame, held: DataFrame) -> DataFrame:
-    """n, mean_overlap, max_overlap, trigram_hits: words of held-out texts (id, text) that the fitted texts (text) have,
-    and held-out texts that share three words in a row with them. Words meet by equi-joins on counts per text."""
-    words = lambda df, *keep: df.select(*keep, F.explode(F.array(T.hygiene_tokens(F.col("text")))).alias("ws"))
-    known = words(fit).select(F.explode("ws").alias("w")).distinct().withColumn("known", F.lit(1))
-    own = words(held, "id")
-    sizes = own.select("id", F.size("ws").alias("size"))
-    asked = own.select("id", F.explode("ws").alias("w")).groupBy("id", "w").agg(F.count("*").alias("times"))
+def hygiene(rows: DataFrame) -> DataFrame:
+    """fold, n, mean_overlap, max_overlap, trigram_hits of texts (id, fold, text): the share of a text's words that other
+    folds have, and texts that share three words in a row with another fold. Words and grams are counted by the folds that
+    hold them, so each fold is held against the others in one pass. A text without words has a share of 0; ids are unique."""
+    words = rows.select("id", "fold", F.explode(F.array(T.hygiene_tokens(F.coalesce("text", F.lit(""))))).alias("ws"))
+    shared = (F.min("fold") != F.max("fold")).alias("shared")
+    asked = words.select("id", "fold", F.explode("ws").alias("w")).groupBy("id", "fold", "w").agg(F.count("*").alias("times"))
+    known = asked.groupBy("w").agg(shared).where("shared").select("w")
     hits = asked.join(known, "w").groupBy("id").agg(F.sum("times").alias("hits"))
-    wall = words(fit).select(F.explode(T.word_grams(F.col("ws"), 3)).alias("g")).distinct()
-    walled = own.select("id", F.explode(T.word_grams(F.col("ws"), 3)).alias("g")).join(wall, "g", "left_semi").select("id").distinct().withColumn("walled", F.lit(1))
+    grams = words.select("id", "fold", F.explode(T.word_grams(F.col("ws"), 3)).alias("g"))
+    wall = grams.groupBy("g").agg(shared).where("shared").select("g")
+    walled = grams.join(wall, "g").select("id").distinct().withColumn("walled", F.lit(1))
     share = F.coalesce(F.col("hits") / F.nullif(F.col("size"), F.lit(0)), F.lit(0.0))
-    rows = sizes.join(hits, "id", "left").join(walled, "id", "left")
-    return rows.agg(F.count("*").alias("n"), F.avg(share).alias("mean_overlap"), F.max(share).alias("max_overlap"), F.count("walled").alias("trigram_hits"))
+    sized = words.select("id", "fold", F.size("ws").alias("size")).join(hits, "id", "left").join(walled, "id", "left")
+    return sized.groupBy("fold").agg(F.count("*").alias("n"), F.avg(share).alias("mean_overlap"), F.max(share).alias("max_overlap"), F.count("walled").alias("trigram_hits"))
 
 
 def banned_tokens(rows: DataFrame, bans: list[str], key: str = "doc_id") -> DataFrame:
@@ -216,8 +217,11 @@ def label_space(probs: Column, order: Column) -> Column:
 
 
 def fields(text: Column, most: int = 8) -> Column:
-    """Non-empty lines of a text, `most` at most."""
-    return F.slice(F.filter(F.split(text, "\n"), lambda x: x != ""), 1, most)
+    """Non-empty lines of a text. Of more than `most`, the last but one holds every line from its own on, and the last is
+    line `most`: nothing is cut off."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
+    folded = F.concat(F.slice(lines, 1, most - 2), F.array(F.array_join(F.slice(lines, most - 1, F.greatest(F.size(lines), F.lit(1))), "\n"), F.get(lines, F.lit(most - 1))))
+    return F.when(F.size(lines) > most, folded).otherwise(lines)
 
 
 def worthiness(pairs: DataFrame, at: float, least: int, delta: float) -> DataFrame:

@@ -7,24 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graywether.functions import maths
-from graywether.operators import density, features, heads, kernels, ranking, ridge
+from graywether.operators import density, heads, kernels, ranking, ridge
 from graywether.plans.lanes import items, lane_sql, r6
 from graywether.plans.registry import query
-from graywether.plans.texts import HASHES, docs
+from graywether.plans.texts import FOLDS, HASHES, counted
 from graywether.sources.steps import Workspace
 from graywether.sources.tables import table
 
-FOLDS = 5
 FEW = 48
 
-
-def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, label, fold and the buckets of every document, written once. A null id is in fold 0."""
-    fold = F.coalesce(F.pmod("doc_id", F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold")
-    rows = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("label"), fold, "text")
-    return Workspace(spark, "folded").save(features.bucket_rows(rows, ["doc_id", "label", "fold"]), "rows")
-
-
 # the systems of all folds and labels are solved side by side, one pivot a step
 RIDGE = f"WITH RECURSIVE {HASHES}" + f""",
     st AS (SELECT doc_id, tok, coalesce(tok <> lag(tok) OVER (PARTITION BY doc_id ORDER BY pos, is_bigram), true) AS fresh FROM (SELECT doc_id, pos, is_bigram, (h % 131072)::INT AS tok FROM ev)),
@@ -53,7 +44,7 @@ RIDGE = f"WITH RECURSIVE {HASHES}" + f""",
 @query(RIDGE + " SELECT doc_id, label AS lang, round(score, 6) AS score FROM score")
 def ridge_scores(spark, sf_dir):
     """Every document's score for every language, by weights of the folds it isn't in, over the 48 most common buckets."""
-    rows = folded(spark, sf_dir)
+    rows = counted(spark, sf_dir)
     scored = ridge.scores(rows, ridge.fit(rows, FEW), ["doc_id"])
     return r6(scored.select("doc_id", F.col("label").alias("lang"), "score"))
 
@@ -63,7 +54,7 @@ def ridge_scores(spark, sf_dir):
     SELECT doc_id, label AS lang, round(1 / (1 + exp(-m / temp)), 6) AS term FROM m, t""")
 def ridge_blend_terms(spark, sf_dir):
     """The blend term of each language: the margin over the best other, at the rows' mean spread as temperature."""
-    rows = folded(spark, sf_dir)
+    rows = counted(spark, sf_dir)
     scored = Workspace(spark, "ridge_terms").save(ridge.scores(rows, ridge.fit(rows, FEW), ["doc_id"]), "scores")
     terms = ridge.blend_terms(scored, "doc_id", ridge.temperature(scored, "doc_id"))
     return r6(terms.select("doc_id", F.col("label").alias("lang"), "term"))
@@ -72,7 +63,7 @@ def ridge_blend_terms(spark, sf_dir):
 @query()
 def ridge_picks(spark, sf_dir):
     """doc_id, gold, pick, ok by the full readout of 2,048 buckets; tests/test_fits.py holds its weights against NumPy."""
-    rows = folded(spark, sf_dir)
+    rows = counted(spark, sf_dir)
     scored = ridge.scores(rows, ridge.fit(rows), ["doc_id", "fold"]).withColumn("score", F.round("score", 9))
     best = F.max_by("label", F.struct("score", F.col("label"))).alias("pick")
     picks = scored.groupBy("doc_id").agg(best)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graywether.functions import maths
 from graywether.functions import text as T
-from graywether.operators import events, leaks, ranking, slices
+from graywether.operators import bayes, events, features, leaks, ranking, slices
 from graywether.plans.lanes import r6
 from graywether.plans.registry import query
 from graywether.sources.steps import Workspace
@@ -32,6 +32,9 @@ HASHES = f"""
 H = "WITH " + HASHES
 
 
+FOLDS = 5
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -167,11 +170,13 @@ def slice_overlap_audit(spark, sf_dir):
     return slices.overlaps(sliced(spark, sf_dir), T.leak_normal(F.col("text")))
 
 
-@query(f"WITH {SLICED}, pool AS (SELECT DISTINCT {NORMAL.format('text')} AS k FROM sliced WHERE slice = 'pool') SELECT doc_id, lang FROM sliced WHERE slice = 'test' AND {NORMAL.format('text')} NOT IN (SELECT k FROM pool)")
+@query(f"WITH r AS (SELECT doc_id, lang, coalesce(doc_id % 5, 0) AS fold, {NORMAL.format('text')} AS k FROM documents), m AS (SELECT k FROM r GROUP BY k HAVING count(DISTINCT fold) > 1) SELECT doc_id, lang FROM r WHERE k NOT IN (SELECT k FROM m)")
 def known_text_removal(spark, sf_dir):
-    rows = sliced(spark, sf_dir).withColumn("k", T.leak_normal(F.col("text")))
-    pool = rows.where("slice = 'pool'").select("k").distinct()
-    return rows.where("slice = 'test'").join(pool, "k", "left_anti").select("doc_id", "lang")
+    """The documents whose normal form no other fold of five has."""
+    fold = F.coalesce(F.pmod("doc_id", F.lit(FOLDS)), F.lit(0)).alias("fold")
+    rows = docs(spark, sf_dir).select("doc_id", "lang", fold, T.leak_normal(F.col("text")).alias("k"))
+    known = rows.groupBy("k").agg((F.min("fold") != F.max("fold")).alias("known")).where("known").select("k")
+    return rows.join(known, "k", "left_anti").select("doc_id", "lang")
 
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50")
@@ -191,16 +196,23 @@ def modal_tables(spark, sf_dir):
     return slices.modal(docs(spark, sf_dir), ["source"], "lang").select("source", "lang", "n")
 
 
-@query(f"""WITH {SLICED}, b AS (SELECT *, array_to_string(({RUNS.format('text')})[1:1], ' ') AS bucket FROM sliced),
-    m AS (SELECT bucket, lang FROM (SELECT bucket, lang, row_number() OVER (PARTITION BY bucket ORDER BY count(*) DESC, lang) AS r FROM b WHERE slice = 'pool' GROUP BY bucket, lang) WHERE r = 1),
-    g AS (SELECT lang FROM b WHERE slice = 'pool' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)
-    SELECT doc_id, b.lang AS gold, coalesce(m.lang, (SELECT lang FROM g)) AS pick FROM b LEFT JOIN m USING (bucket) WHERE slice = 'test'""")
+@query(f"""WITH b AS (SELECT doc_id, lang, coalesce(doc_id % 5, 0) AS fold, array_to_string(({RUNS.format('text')})[1:1], ' ') AS bucket FROM documents), f AS (SELECT DISTINCT fold FROM b),
+    m AS (SELECT fold, bucket, lang FROM (SELECT f.fold, bucket, lang, row_number() OVER (PARTITION BY f.fold, bucket ORDER BY count(*) DESC, lang) AS r FROM b JOIN f ON b.fold <> f.fold GROUP BY f.fold, bucket, lang) WHERE r = 1),
+    g AS (SELECT fold, lang FROM (SELECT f.fold, lang, row_number() OVER (PARTITION BY f.fold ORDER BY count(*) DESC, lang) AS r FROM b JOIN f ON b.fold <> f.fold GROUP BY f.fold, lang) WHERE r = 1)
+    SELECT doc_id, b.lang AS gold, coalesce(m.lang, g.lang) AS pick FROM b LEFT JOIN g USING (fold) LEFT JOIN m ON m.fold = b.fold AND m.bucket = b.bucket""")
 def modal_floor_lookup(spark, sf_dir):
-    rows = sliced(spark, sf_dir).withColumn("bucket", F.array_join(F.slice(T.runs(F.col("text")), 1, 1), " "))
-    pool = rows.where("slice = 'pool'")
-    keyed = slices.modal(pool, ["bucket"], "lang").select("bucket", F.col("lang").alias("keyed"))
-    overall = F.broadcast(slices.modal(pool, [], "lang").select(F.col("lang").alias("overall")))
-    found = rows.where("slice = 'test'").join(keyed, "bucket", "left").crossJoin(overall)  # one row
+    """Every document's language by the most frequent one of its first word, or of all rows, in the folds it isn't in."""
+    fold = F.coalesce(F.pmod("doc_id", F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold")
+    rows = docs(spark, sf_dir).select("doc_id", "lang", fold, F.coalesce(F.array_join(F.slice(T.runs(F.col("text")), 1, 1), " "), F.lit("")).alias("bucket"))
+    counts = rows.groupBy("fold", "bucket", "lang").agg(F.count("*").alias("n_in"))
+    others = events.other_folds(counts.withColumnRenamed("bucket", "tok"), "lang", "fold", FOLDS)
+
+    def most(by: list[str], name: str) -> DataFrame:
+        sums = others.groupBy(*by, "lang").agg(F.sum("n_in").alias("n"))
+        return sums.groupBy(*by).agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias(name))
+
+    keyed = most(["fold", "tok"], "keyed").withColumnRenamed("tok", "bucket")
+    found = rows.join(keyed, ["fold", "bucket"], "left").join(most(["fold"], "overall"), "fold", "left")
     return found.select("doc_id", F.col("lang").alias("gold"), F.coalesce("keyed", "overall").alias("pick"))
 
 
@@ -210,89 +222,90 @@ NB = f"WITH {SLICED}, {HASHES}" + """,
     odds AS (SELECT z.lang, t.tok, coalesce(c.n_in, 0) AS n_in, (t.n_all - coalesce(c.n_in, 0))::BIGINT AS n_out,
         log2((coalesce(c.n_in, 0) + 1.0::DOUBLE) / (z.size_in + 131072)) - log2((t.n_all - coalesce(c.n_in, 0) + 1.0::DOUBLE) / ((SELECT sum(size_in) FROM sz) - z.size_in + 131072)) AS score
         FROM allt t CROSS JOIN sz z LEFT JOIN cnt c ON c.lang = z.lang AND c.tok = t.tok)"""
-SCORED = NB + """,
-    sc AS (SELECT e.doc_id, o.lang AS domain, sum(o.score) AS score, count(*) AS seen FROM ev e JOIN sliced s USING (doc_id) JOIN odds o ON o.tok = (e.h % 131072)::INT WHERE s.slice <> 'pool' GROUP BY e.doc_id, o.lang)"""
 
 
-def nb(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sliced documents, the pool's log-odds, and scores of the other slices."""
+@query(NB + " SELECT lang, tok, n_in, n_out, round(score, 6) AS score FROM odds WHERE n_in > 0")
+def nb_token_log_odds(spark, sf_dir):
+    """The pool's log-odds; the pool is what the slices leave."""
     rows = sliced(spark, sf_dir)
     pool = events.token_events(rows.where("slice = 'pool'").select(F.struct("doc_id", "lang").alias("k"), "text"), "k")
     odds = events.log_odds(events.count_table(pool.withColumn("lang", F.col("k.lang")), "lang"), "lang")
-    scores = events.in_scores(events.token_events(rows.where("slice <> 'pool'")), odds, "lang")
-    return rows, odds, scores
+    return r6(odds.where("n_in > 0"))
 
 
-@query(NB + " SELECT lang, tok, n_in, n_out, round(score, 6) AS score FROM odds WHERE n_in > 0")
-def nb_token_log_odds(spark, sf_dir):
-    return r6(nb(spark, sf_dir)[1].where("n_in > 0"))
+CROSSED = f"WITH {HASHES}" + f""",
+    placed AS (SELECT doc_id, lang, coalesce(doc_id % {FOLDS}, 0)::INT AS fold FROM documents), te AS (SELECT p.doc_id, p.lang, p.fold, (e.h % 131072)::INT AS tok FROM ev e JOIN placed p USING (doc_id)),
+    cf AS (SELECT fold AS own, lang, tok, count(*) AS n FROM te GROUP BY ALL), folds AS (SELECT unnest(range({FOLDS}))::INT AS fold),
+    cnt AS (SELECT fold, lang, tok, sum(n) AS n_in FROM cf JOIN folds ON own <> fold GROUP BY ALL),
+    allt AS (SELECT fold, tok, sum(n_in) AS n_all FROM cnt GROUP BY ALL), sz AS (SELECT fold, lang, sum(n_in) AS size_in FROM cnt GROUP BY ALL), sa AS (SELECT fold, sum(size_in) AS size_all FROM sz GROUP BY fold),
+    odds AS (SELECT fold, z.lang AS domain, t.tok, log2((coalesce(c.n_in, 0) + 1.0::DOUBLE) / (z.size_in + 131072)) - log2((t.n_all - coalesce(c.n_in, 0) + 1.0::DOUBLE) / (sa.size_all - z.size_in + 131072)) AS score
+        FROM allt t JOIN sz z USING (fold) JOIN sa USING (fold) LEFT JOIN cnt c USING (fold, lang, tok)),
+    sc AS (SELECT te.doc_id, o.domain, sum(o.score) AS score, count(*) AS seen FROM te JOIN odds o USING (fold, tok) GROUP BY ALL),
+    t AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY doc_id)"""
 
 
-@query(SCORED + " SELECT doc_id, domain AS lang, round(score, 6) AS score, seen FROM sc")
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, label, fold, toks, times, runs, n of every document, written once. A null id is in fold 0."""
+    fold = F.coalesce(F.pmod("doc_id", F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold")
+    rows = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("label"), fold, "text")
+    # one file may hold most of the texts: they are dealt out before the hashing
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return Workspace(spark, "counted").save(features.bucket_rows(dealt, ["doc_id", "label", "fold"]), "rows")
+
+
+def crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, gold, n, seen, scores of every document, by the count tables of the folds it isn't in."""
+    rows = counted(spark, sf_dir)
+    counts = Workspace(spark, "crossed").save(bayes.fold_counts(rows), "counts")
+    return bayes.scores(rows.withColumn("gold", F.col("label")), counts, ["doc_id", "gold"])
+
+
+@query(CROSSED + " SELECT doc_id, domain AS lang, round(score, 6) AS score, seen FROM sc")
 def nb_domain_scores(spark, sf_dir):
-    return r6(nb(spark, sf_dir)[2])
+    """Every document's score for every language; a document without evidence has none."""
+    return r6(crossed(spark, sf_dir).select("doc_id", "seen", F.inline("scores")).select("doc_id", F.col("label").alias("lang"), "score", "seen"))
 
 
-@query(SCORED + """, t AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY doc_id), b AS (SELECT a.doc_id, a.domain, a.score - (SELECT max(b.score) FROM sc b WHERE b.doc_id = a.doc_id AND b.domain <> a.domain) AS m FROM sc a)
+@query(CROSSED + """, b AS (SELECT a.doc_id, a.domain, a.score - (SELECT max(b.score) FROM sc b WHERE b.doc_id = a.doc_id AND b.domain <> a.domain) AS m FROM sc a)
     SELECT doc_id, domain AS lang, round(1 / (1 + exp(-m / n)), 6) AS term FROM b JOIN t USING (doc_id)""")
 def nb_margin_blend(spark, sf_dir):
-    rows, _, scores = nb(spark, sf_dir)
-    size = rows.where("slice <> 'pool'").select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("ws"))
-    size = size.select("doc_id", (2 * F.size("ws") - 1).alias("n"))
-    top = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # one score a domain
+    top = F.sort_array(F.transform("scores", lambda x: x["score"]), asc=False)  # one score a language
+    long = crossed(spark, sf_dir).select("doc_id", "n", top.alias("s"), F.inline("scores"))
     other = F.when(F.col("score") == F.get("s", F.lit(0)), F.get("s", F.lit(1))).otherwise(F.get("s", F.lit(0)))
-    joined = scores.join(top, "doc_id").join(size, "doc_id")
-    return r6(joined.select("doc_id", "lang", maths.sigmoid((F.col("score") - other) / F.col("n")).alias("term")))
+    return r6(long.select("doc_id", F.col("label").alias("lang"), maths.sigmoid((F.col("score") - other) / F.col("n")).alias("term")))
 
 
-@query(SCORED + """, e AS (SELECT doc_id, any_value(seen) AS seen FROM sc GROUP BY doc_id)
-    SELECT (CASE WHEN seen < 4 THEN 0 WHEN seen < 16 THEN 1 WHEN seen < 64 THEN 2 WHEN seen < 256 THEN 3 WHEN seen < 1024 THEN 4 ELSE 5 END)::INT AS bin, count(*) AS n FROM e GROUP BY 1""")
+@query(CROSSED + """, e AS (SELECT doc_id, any_value(seen) AS seen FROM sc GROUP BY doc_id)
+    SELECT (CASE WHEN coalesce(seen, 0) < 4 THEN 0 WHEN seen < 16 THEN 1 WHEN seen < 64 THEN 2 WHEN seen < 256 THEN 3 WHEN seen < 1024 THEN 4 ELSE 5 END)::INT AS bin, count(*) AS n FROM documents LEFT JOIN e USING (doc_id) GROUP BY 1""")
 def evidence_density_hist(spark, sf_dir):
-    seen = nb(spark, sf_dir)[2].groupBy("doc_id").agg(F.max("seen").alias("seen"))
     bin_ = F.lit(5)
     for i, edge in reversed(list(enumerate((4, 16, 64, 256, 1024)))):
         bin_ = F.when(F.col("seen") < edge, i).otherwise(bin_)
-    return seen.groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return crossed(spark, sf_dir).groupBy(bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-FOLDS = 5
-CROSSED = f"WITH {PLACED}, {HASHES}" + """,
-    te AS (SELECT p.doc_id, p.lang, (p.doc_id % 5)::INT AS fold, (e.h % 131072)::INT AS tok FROM ev e JOIN placed p USING (doc_id)),
-    cf AS (SELECT fold AS own, lang, tok, count(*) AS n FROM te GROUP BY ALL), folds AS (SELECT unnest(range(5))::INT AS fold),
-    cnt AS (SELECT fold, lang, tok, sum(n) AS n_in FROM cf JOIN folds ON own <> fold GROUP BY ALL),
-    allt AS (SELECT fold, tok, sum(n_in) AS n_all FROM cnt GROUP BY ALL), sz AS (SELECT fold, lang, sum(n_in) AS size_in FROM cnt GROUP BY ALL), sa AS (SELECT fold, sum(size_in) AS size_all FROM sz GROUP BY fold),
-    odds AS (SELECT fold, z.lang AS domain, t.tok, log2((coalesce(c.n_in, 0) + 1.0::DOUBLE) / (z.size_in + 131072)) - log2((t.n_all - coalesce(c.n_in, 0) + 1.0::DOUBLE) / (sa.size_all - z.size_in + 131072)) AS score
-        FROM allt t JOIN sz z USING (fold) JOIN sa USING (fold) LEFT JOIN cnt c USING (fold, lang, tok)),
-    sc AS (SELECT te.doc_id, o.domain, sum(o.score) AS score FROM te JOIN odds o USING (fold, tok) GROUP BY ALL),
-    t AS (SELECT doc_id, count(*) AS n FROM ev GROUP BY doc_id), sg AS (SELECT sc.doc_id, domain, 1 / (1 + exp(-8 * score / n)) AS s FROM sc JOIN t USING (doc_id)),
+DECIDED = CROSSED + """, sg AS (SELECT sc.doc_id, domain, 1 / (1 + exp(-8 * score / n)) AS s FROM sc JOIN t USING (doc_id)),
     pr AS (SELECT doc_id, domain, round(s / sum(s) OVER (PARTITION BY doc_id), 6) AS p FROM sg),
     dec AS (SELECT doc_id, first(domain ORDER BY p DESC, domain) AS pick, round(CASE WHEN count(*) = 1 THEN 1 ELSE 1 - sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / ln(count(*)) END, 6) AS conf FROM pr GROUP BY doc_id),
-    item AS (SELECT d.doc_id, s.lang AS gold, d.pick, d.conf, (s.lang = d.pick)::INT AS ok FROM dec d JOIN placed s USING (doc_id)),
-    thr AS (SELECT conf AS t FROM (SELECT conf, row_number() OVER (ORDER BY conf, doc_id) - 1 AS i, count(*) OVER () AS n FROM item) WHERE i = least(floor(n * 0.1), n - 1))"""
+    item AS (SELECT s.doc_id, s.lang AS gold, d.pick, d.conf, coalesce((s.lang = d.pick)::INT, 0) AS ok FROM placed s LEFT JOIN dec d USING (doc_id)),
+    thr AS (SELECT conf AS t FROM (SELECT conf, row_number() OVER (ORDER BY conf, doc_id) - 1 AS i, count(*) OVER () AS n FROM item WHERE conf IS NOT NULL) WHERE i = least(floor(n * 0.1), n - 1))"""
+
+
+def answers(found: DataFrame) -> DataFrame:
+    """doc_id, gold, pick, conf, ok of scored rows (doc_id, gold, n, scores); pick and conf are null without evidence."""
+    probs = maths.shares(F.transform("scores", lambda x: maths.sigmoid(8.0 * x["score"] / F.col("n"))))
+    packed = found.withColumn("probs", F.transform(probs, lambda p: F.round(p, 6)))
+    pick = F.get(F.transform("scores", lambda x: x["label"]), maths.argmax_first(F.col("probs")))
+    conf = F.when(F.col("scores").isNotNull(), F.round(maths.readout(F.col("probs")), 6))
+    return packed.select("doc_id", "gold", pick.alias("pick"), conf.alias("conf")).withColumn("ok", F.coalesce((F.col("pick") == F.col("gold")).cast("int"), F.lit(0)))
 
 
-@query(CROSSED + " SELECT doc_id, gold, pick, conf, CASE WHEN conf < t THEN 'score_gate' ELSE 'answered' END AS cause, ok FROM item, thr")
+@query(DECIDED + " SELECT doc_id, gold, pick, conf, CASE WHEN conf IS NULL THEN 'no_evidence' WHEN conf < t THEN 'score_gate' ELSE 'answered' END AS cause, ok FROM item LEFT JOIN thr ON true")
 def decide_language(spark, sf_dir):
     """Flagship: a decision for every document, by the count tables of the folds it isn't in, under a gate at the tenth
-    percentile of the confidences."""
-    ws = Workspace(spark, "decide_language")
-    fold = F.pmod("doc_id", F.lit(FOLDS)).cast("int").alias("fold")
-    rows = docs(spark, sf_dir).select(F.struct("doc_id", "lang", fold).alias("k"), "text")
-    # a document's events by bucket, written once: the tables, the scores and the sizes all come from these
-    tok = F.col("h").bitwiseAND(F.lit(T.BUCKETS - 1)).cast("int").alias("tok")
-    own = events.token_events(rows, "k").select("k.doc_id", "k.lang", "k.fold", tok)
-    own = ws.save(own.groupBy("doc_id", "lang", "fold", "tok").agg(F.count("*").alias("times")), "events")
-    counts = own.groupBy("fold", "lang", "tok").agg(F.sum("times").alias("n_in"))
-    odds = events.log_odds(events.other_folds(counts, "lang", "fold", FOLDS), "lang", by=("fold",)).select("fold", F.col("lang").alias("domain"), "tok", "score")
-    met = own.select("doc_id", "fold", "tok", "times").join(odds, ["fold", "tok"])
-    scores = met.groupBy("doc_id", "domain").agg(F.sum(F.col("times") * F.col("score")).alias("score"))
-    size = own.groupBy("doc_id", F.col("lang").alias("gold")).agg(F.sum("times").alias("n"))
-    packed = scores.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("domain", "score"))).alias("s")).join(size, "doc_id")
-    probs = maths.shares(F.transform("s", lambda x: maths.sigmoid(8.0 * x["score"] / F.col("n"))))
-    packed = packed.withColumn("probs", F.transform(probs, lambda p: F.round(p, 6)))
-    pick = F.get(F.transform("s", lambda x: x["domain"]), maths.argmax_first(F.col("probs")))
-    found = packed.select("doc_id", "gold", pick.alias("pick"), F.round(maths.readout(F.col("probs")), 6).alias("conf"))
-    found = ws.save(found.withColumn("ok", (F.col("pick") == F.col("gold")).cast("int")), "found")
-    gate = ranking.percentiles(found.select(F.col("conf").alias("x")), [0.1]).select(F.col("threshold").alias("t"))
-    cause = F.when(F.col("conf") < F.col("t"), "score_gate").otherwise("answered")
-    return found.crossJoin(F.broadcast(gate)).select("doc_id", "gold", "pick", "conf", cause.alias("cause"), "ok")  # one row
+    percentile of the confidences. A document without a bucket that the other folds have (an empty or null text among
+    them) has no pick; its cause is no_evidence."""
+    found = Workspace(spark, "decide_language").save(answers(crossed(spark, sf_dir)), "found")
+    gate = ranking.percentiles(found.where("conf is not null").select(F.col("conf").alias("x")), [0.1]).agg(F.max("threshold").alias("t"))  # one row
+    cause = F.when(F.col("conf").isNull(), "no_evidence").when(F.col("conf") < F.col("t"), "score_gate").otherwise("answered")
+    return found.crossJoin(F.broadcast(gate)).select("doc_id", "gold", "pick", "conf", cause.alias("cause"), "ok")

@@ -8,7 +8,7 @@ from graywether.functions import maths
 from graywether.operators import probes, verdicts
 from graywether.plans.lanes import A, AB, PAIR_SQL, items, paired, r6, routed
 from graywether.plans.registry import query
-from graywether.plans.texts import PLAIN, SCORED, SLICED, docs, nb, sliced
+from graywether.plans.texts import CROSSED, FOLDS, PLAIN, crossed, docs
 from graywether.sources.tables import table
 
 
@@ -52,18 +52,11 @@ def depth_ece(spark, sf_dir):
     return r6(verdicts.depth_ece(items(spark, sf_dir).join(depth, "case_id").select("depth", "ok")))
 
 
-@query(SCORED + """, t AS (SELECT e.doc_id, count(*) AS total FROM ev e JOIN sliced s USING (doc_id) WHERE s.slice <> 'pool' GROUP BY e.doc_id),
-    v AS (SELECT t.doc_id, total, coalesce((SELECT max(seen) FROM sc WHERE sc.doc_id = t.doc_id), 0) AS seen FROM t), o AS (SELECT *, row_number() OVER (ORDER BY seen) AS i, count(*) OVER () AS m FROM v)
+@query(CROSSED + """, v AS (SELECT d.doc_id, coalesce(n, 0) AS total, coalesce((SELECT max(seen) FROM sc WHERE sc.doc_id = d.doc_id), 0) AS seen FROM documents d LEFT JOIN t USING (doc_id)), o AS (SELECT *, row_number() OVER (ORDER BY seen) AS i, count(*) OVER () AS m FROM v)
     SELECT min(seen) AS least, max(CASE WHEN i = ceil(m * 0.25) THEN seen END) AS p25, max(CASE WHEN i = ceil(m * 0.5) THEN seen END) AS p50, max(CASE WHEN i = ceil(m * 0.75) THEN seen END) AS p75, max(seen) AS most,
-    count(*) AS n, round(avg(seen), 6) AS mean_seen, round(avg((seen < 4)::INT), 6) AS rumor_share, round(avg((seen = 0)::INT), 6) AS zero_share, round(avg(seen / total), 6) AS mean_share FROM o""")
+    count(*) AS n, round(avg(seen), 6) AS mean_seen, round(avg((seen < 4)::INT), 6) AS rumor_share, round(avg((seen = 0)::INT), 6) AS zero_share, round(avg(CASE WHEN total = 0 THEN 0 ELSE seen / total END), 6) AS mean_share FROM o""")
 def evidence_density_stats(spark, sf_dir):
-    from graywether.functions import text as T
-
-    rows, _, scores = nb(spark, sf_dir)
-    sized = rows.where("slice <> 'pool'").select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("ws"))
-    total = sized.select("doc_id", (2 * F.size("ws") - 1).cast("long").alias("total")).where("total > 0")
-    seen = scores.groupBy("doc_id").agg(F.max("seen").alias("seen"))
-    return r6(verdicts.evidence_stats(total.join(seen, "doc_id", "left").select("total", F.coalesce("seen", F.lit(0)).alias("seen"))))
+    return r6(verdicts.evidence_stats(crossed(spark, sf_dir).select(F.col("n").alias("total"), "seen")))
 
 
 @query(AB + """, runs AS (SELECT case_id, pick, conf FROM items_a UNION ALL SELECT case_id, pick, conf FROM items_b),
@@ -96,15 +89,16 @@ def graded_decoys(spark, sf_dir):
     return verdicts.graded_decoys(slots, 4)
 
 
-@query(f"""WITH {SLICED}, r AS (SELECT doc_id, slice, {PLAIN} AS ws FROM sliced), k AS (SELECT DISTINCT unnest(ws) AS w FROM r WHERE slice <> 'test'),
-    e AS (SELECT doc_id, ws FROM r WHERE slice = 'test'), h AS (SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(ws) AS w FROM e) JOIN k USING (w) GROUP BY doc_id),
-    t AS (SELECT doc_id, slice, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM r WHERE len(ws) > 2),
-    x AS (SELECT count(DISTINCT doc_id) AS hits FROM t WHERE slice = 'test' AND g IN (SELECT g FROM t WHERE slice <> 'test')),
-    o AS (SELECT CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(hits, 0) / len(ws) END AS share FROM e LEFT JOIN h USING (doc_id))
-    SELECT count(*) AS n, round(avg(share), 6) AS mean_overlap, round(max(share), 6) AS max_overlap, (SELECT hits FROM x) AS trigram_hits FROM o""")
+@query(f"""WITH r AS (SELECT doc_id, coalesce(doc_id % 5, 0)::INT AS fold, {PLAIN} AS ws FROM documents), k AS (SELECT w, count(DISTINCT fold) AS folds, any_value(fold) AS own FROM (SELECT fold, unnest(ws) AS w FROM r) GROUP BY w),
+    h AS (SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, fold, unnest(ws) AS w FROM r) JOIN k USING (w) WHERE folds > 1 OR own <> fold GROUP BY doc_id),
+    t AS (SELECT doc_id, fold, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g FROM r WHERE len(ws) > 2),
+    x AS (SELECT DISTINCT doc_id FROM t JOIN (SELECT g FROM t GROUP BY g HAVING count(DISTINCT fold) > 1) USING (g)),
+    o AS (SELECT fold, CASE WHEN len(ws) = 0 THEN 0 ELSE coalesce(hits, 0) / len(ws) END AS share, (x.doc_id IS NOT NULL)::INT AS walled FROM r LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id))
+    SELECT fold, count(*) AS n, round(avg(share), 6) AS mean_overlap, round(max(share), 6) AS max_overlap, sum(walled)::BIGINT AS trigram_hits FROM o GROUP BY fold""")
 def slice_hygiene(spark, sf_dir):
-    rows = sliced(spark, sf_dir).select(F.col("doc_id").alias("id"), "slice", "text")
-    return r6(verdicts.hygiene(rows.where("slice <> 'test'"), rows.where("slice = 'test'")))
+    """Each of five folds held against the other four."""
+    fold = F.coalesce(F.pmod("doc_id", F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold")
+    return r6(verdicts.hygiene(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), fold, "text")))
 
 
 BANS = ["license", "email", "phone", "password"]
@@ -139,10 +133,10 @@ def label_space_restored(spark, sf_dir):
     return shown.select("case_id", verdicts.label_space(F.col("shown"), F.col("order")).alias("restored"), "k")
 
 
-@query("""WITH f AS (SELECT doc_id, (list_filter(string_split(text, chr(10)), lambda x: x <> ''))[1:8] AS f FROM documents) SELECT doc_id, len(f)::INT AS n_fields, f[1] AS first_field, f[len(f)] AS last_field FROM f""")
+@query("""WITH f AS (SELECT doc_id, CASE WHEN len(l) > 8 THEN l[1:6] || [array_to_string(l[7:], chr(10)), l[8]] ELSE l END AS f FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l FROM documents)) SELECT doc_id, len(f)::INT AS n_fields, f[1] AS first_field, f[len(f)] AS last_field, coalesce(length(f[len(f) - 1]), 0)::INT AS n_before FROM f""")
 def field_lines(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", F.explode(F.array(verdicts.fields(F.col("text")))).alias("f"))
-    return rows.select("doc_id", F.size("f").alias("n_fields"), F.get("f", F.lit(0)).alias("first_field"), F.get("f", F.size("f") - 1).alias("last_field"))
+    return rows.select("doc_id", F.size("f").alias("n_fields"), F.get("f", F.lit(0)).alias("first_field"), F.get("f", F.size("f") - 1).alias("last_field"), F.coalesce(F.char_length(F.get("f", F.size("f") - 2)), F.lit(0)).alias("n_before"))
 
 
 @query(PAIR_SQL + """, m AS (SELECT count(*) AS n, avg(ok_b) AS b, avg(ok_a) AS a FROM pair WHERE conf_a < 0.15)

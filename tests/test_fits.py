@@ -45,7 +45,7 @@ def weights_of(model, fold):
 def test_ridge_weights_and_scores_equal_a_dense_solve(spark, sf_dir, monkeypatch, k, crossed):
     monkeypatch.setattr(ridge, "CLASSES", 3)
     monkeypatch.setattr(ridge, "MOST_WEIGHTS", 3000)
-    rows = fits.folded(spark, sf_dir)
+    rows = fits.counted(spark, sf_dir)
     model = ridge.fit(rows, k, crossed=crossed)
     scored = {}
     for r in ridge.scores(rows, model, ["doc_id"]).collect():

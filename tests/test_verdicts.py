@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graywether.operators import verdicts
+from graywether.operators import laws, verdicts
 
 
 def one(spark, column):
@@ -57,10 +57,23 @@ def test_depth_and_evidence(spark):
 
 
 def test_hygiene_of_empty_and_shared_texts(spark):
-    fit = spark.createDataFrame([("the quick brown fox",), (None,)], "text string")
-    held = spark.createDataFrame([(1, "a quick brown fox"), (2, ""), (3, "other words")], "id int, text string")
-    got = verdicts.hygiene(fit, held).first()
-    assert (got.n, got.max_overlap, got.trigram_hits) == (3, 0.75, 1) and got.mean_overlap == pytest.approx(0.25)
+    rows = [(0, 1, "the quick brown fox"), (9, 1, None), (1, 0, "a quick brown fox"), (2, 0, ""), (3, 0, "other words other words"), (4, 0, "other words other")]
+    got = {r.fold: r for r in verdicts.hygiene(spark.createDataFrame(rows, "id int, fold int, text string")).collect()}
+    assert (got[0].n, got[0].max_overlap, got[0].trigram_hits) == (4, 0.75, 1) and got[0].mean_overlap == pytest.approx(0.1875)
+    assert (got[1].n, got[1].max_overlap, got[1].trigram_hits) == (2, 0.75, 1)
+
+
+def test_fields_lose_no_line(spark):
+    rows = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(1, 12))), (2, "a\n\nb"), (3, ""), (4, None)], "id int, text string")
+    got = {r.id: r.f for r in rows.select("id", verdicts.fields(F.col("text")).alias("f")).collect()}
+    assert got == {1: [*(f"l{i}" for i in range(1, 7)), "l7\nl8\nl9\nl10\nl11", "l8"], 2: ["a", "b"], 3: [], 4: None}
+
+
+def test_budget_without_weight_goes_round(spark):
+    rooms = spark.createDataFrame([("a", 3, 0.0), ("b", 1, 0.0), ("c", 9, 0.0)], "label string, room long, weight double")
+    assert {r.label: r.share for r in laws.budget(rooms, 6).collect()} == {"a": 3, "b": 1, "c": 2}
+    weighed = rooms.withColumn("weight", F.when(F.col("label") == "c", 3.0).otherwise(1.0))
+    assert {r.label: r.share for r in laws.budget(weighed, 6).collect()} == {"a": 2, "b": 1, "c": 3}
 
 
 def test_knife_edge(spark):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graywether.functions.maths import total
+from graywether.operators.ordered import running
 
 
 def _strings(values: list[str]) -> object:
@@ -91,8 +92,7 @@ def json_number(rows: DataFrame, column: str, field: str) -> DataFrame:
 def latencies(rows: DataFrame, by: str, x: str) -> DataFrame:
     """by, p50 (place n // 2), p99 (place ceil(.99 n) - 1), most, n: places in counts per distinct value."""
     each = rows.groupBy(by, F.col(x).alias("x")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by)
-    placed = each.withColumn("last", F.sum("c").over(w.orderBy("x")) - 1).withColumn("n", F.sum("c").over(w))
+    placed = running(each, "x", ["c"], (by,)).select("*", (F.col("c_upto") - 1).alias("last"), F.col("c_all").alias("n"))
     at = lambda p: F.max(F.when((p <= F.col("last")) & (p > F.col("last") - F.col("c")), F.col("x")))
     return placed.groupBy(by).agg(
         at(F.floor(F.col("n") / 2)).alias("p50"), at(F.ceil(F.col("n") * 0.99) - 1).alias("p99"), F.max("x").alias("most"), F.max("n").alias("n")

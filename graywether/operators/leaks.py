@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graywether.functions.text import leak_normal
+from graywether.sources.steps import Workspace
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -62,3 +65,83 @@ def near_twins(queries: DataFrame, reference: DataFrame, k: int, rare_cap: int,
     met = grams(queries, k, "query_id").join(posts, "gram").groupBy("query_id", "ref_id").agg(F.count("*").alias("shared"))
     share = F.col("shared") / F.col("size")
     return met.join(size, "ref_id").where(share >= least).select("query_id", "ref_id", "shared", share.alias("contained"))
+
+
+@dataclass(frozen=True)
+class Law:
+    """When a text is near another: grams of k characters, a Jaccard similarity of `near`, the `top` candidates that share
+    most grams held by fewer than `rare_cap` reference texts. Fixed values of the published scan."""
+
+    k: int = 4
+    near: float = 0.8
+    rare_cap: int = 200
+    top: int = 5
+
+
+def gram_sets(df: DataFrame, k: int) -> DataFrame:
+    """id, normal, grams: the sorted distinct k-grams of each normal form as hashes; the empty form has one gram, itself."""
+    kind = df.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [gram_hashes(t.as_py(), k) if len(t.as_py()) else np.zeros(1, np.int64) for t in batch.column(1).cast(pa.large_binary())]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32))
+            flat = pa.array(np.concatenate(found) if found else np.array([], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["id", "normal", "grams"])
+
+    return df.select("id", "normal").mapInArrow(run, f"id {kind}, normal string, grams array<long>")
+
+
+def classify(queries: DataFrame, reference: DataFrame, law: Law = Law()) -> DataFrame:
+    """id, kind, ref_id, jaccard for each row of queries (id, text): `exact` with the first reference row of the same normal
+    form, `near` with the best of the candidates if its Jaccard similarity reaches law.near, else `clean` (no ref_id);
+    jaccard is the best seen, 0 without a candidate and 1 for an exact twin.
+
+    Rows of one normal form, on either side, are one text until the end. Candidates are counted where a query meets the
+    inverted index of rare grams, and `top` a query are kept before their gram sets are joined. An index gram has at
+    most rare_cap texts. Null texts have the empty normal form.
+    """
+    ws = Workspace(queries.sparkSession, "leaks")
+    normal = leak_normal(F.coalesce("text", F.lit(""))).alias("normal")
+    asked = ws.save(queries.select("id", normal), "asked")
+    ref = ws.save(reference.select("id", normal).groupBy("normal").agg(F.min("id").alias("id")), "reference")
+    texts = asked.select("normal").distinct().withColumn("id", F.xxhash64("normal"))
+    exact = texts.join(ref.select("normal", F.col("id").alias("ref_id")), "normal").select("normal", "ref_id")
+    left = ws.save(gram_sets(texts.join(exact, "normal", "left_anti").select("id", "normal"), law.k), "left")
+    index = ws.save(gram_sets(ref, law.k), "index")
+
+    posts = index.select(F.col("id").alias("ref_id"), F.explode("grams").alias("gram"))
+    rare = posts.groupBy("gram").agg(F.count("*").alias("held")).where(F.col("held") < law.rare_cap).select("gram")
+    met = left.select("id", F.explode("grams").alias("gram")).join(posts.join(rare, "gram"), "gram")
+    shared = met.groupBy("id", "ref_id").agg(F.count("*").alias("shared"))
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("shared"), "ref_id"))
+    best = shared.withColumn("place", place).where(F.col("place") <= law.top)
+    sets = best.join(left.select("id", F.col("grams").alias("a")), "id").join(index.select(F.col("id").alias("ref_id"), F.col("grams").alias("b")), "ref_id")
+    both = F.size(F.array_intersect("a", "b"))
+    scored = sets.select("id", "ref_id", "place", (both / (F.size("a") + F.size("b") - both)).alias("jaccard"))
+    top = scored.groupBy("id").agg(F.min(F.struct((-F.col("jaccard")).alias("o"), "place", "ref_id")).alias("t"))
+    near = left.select("id", "normal").join(top, "id", "left").select("normal", F.col("t.ref_id").alias("near_id"), F.coalesce(-F.col("t.o"), F.lit(0.0)).alias("jaccard"))
+    found = asked.join(exact, "normal", "left").join(near, "normal", "left")
+    is_near = F.coalesce(F.col("jaccard") >= law.near, F.lit(False))
+    kind = F.when(F.col("ref_id").isNotNull(), "exact").when(is_near, "near").otherwise("clean")
+    return found.select(
+        "id", kind.alias("kind"), F.coalesce("ref_id", F.when(is_near, F.col("near_id"))).alias("ref_id"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard")
+    )
+
+
+def tallies(classes: DataFrame, queries: DataFrame, reference: DataFrame) -> DataFrame:
+    """reference, query, exact, exact_label_conflict, near, near_scanned, near_same_label of classified queries; queries and
+    reference have id and label. No row if either side is empty: nothing measured is no rate of zero."""
+    own = classes.join(queries.select("id", "label"), "id").join(reference.select(F.col("id").alias("ref_id"), F.col("label").alias("ref_label")), "ref_id", "left")
+    same = F.col("label").eqNullSafe(F.col("ref_label"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    sums = own.agg(
+        F.count("*").alias("query"),
+        count(F.col("kind") == "exact", "exact"),
+        count((F.col("kind") == "exact") & ~same, "exact_label_conflict"),
+        count(F.col("kind") == "near", "near"),
+        count(F.col("kind") != "exact", "near_scanned"),
+        count((F.col("kind") == "near") & same, "near_same_label"),
+    )
+    size = reference.agg(F.count("*").alias("reference"))
+    return size.crossJoin(F.broadcast(sums)).where("reference > 0 and query > 0")  # one row each

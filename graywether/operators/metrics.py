@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graywether.functions.maths import ece_bin
+from graywether.operators.ordered import running
 
 BINS = 15
 
@@ -39,11 +40,10 @@ def brier_parts(items: DataFrame, n: int = BINS) -> DataFrame:
 def auroc(scores: DataFrame, *by: str) -> DataFrame:
     """auroc of score against y (0 or 1) by Mann and Whitney with mid-ranks; NaN for one class.
 
-    Ranks come from counts per distinct score, summed in order: only distinct scores are in a window, not rows.
+    Ranks come from counts per distinct score, summed range by range.
     """
     each = scores.groupBy(*by, "score").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    before = F.sum("n").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1))
-    ranked = each.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = running(each, "score", ["n"], by).withColumn("rank", F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2.0)
     sums = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     p = F.col("p").cast("double")
     value = (F.col("r") - p * (p + 1) / 2.0) / (p * F.col("q"))
@@ -118,14 +118,11 @@ def confusion(items: DataFrame, k: int) -> DataFrame:
 def conformal_floor(cal: DataFrame, test: DataFrame) -> DataFrame:
     """case_id, floor: (1 + calibration scores at most the case's) / (n + 1).
 
-    Calibration is counted per distinct score and summed in order; test scores find their place by a union, so no
-    pair of rows is made.
+    Both are counted per distinct score and summed range by range, so no pair of rows is made.
     """
-    both = cal.groupBy("score").agg(F.count("*").alias("n")).select("score", "n", F.lit(0).alias("is_test"))
-    both = both.union(test.groupBy("score").agg(F.lit(0).cast("long").alias("n")).select("score", "n", F.lit(1).alias("is_test")))
-    below = both.withColumn("k", F.sum("n").over(W.orderBy("score", "is_test"))).where("is_test = 1").select("score", "k")
-    size = F.broadcast(cal.agg(F.count("*").alias("cal_n")))
-    return test.join(below, "score").crossJoin(size).select("case_id", ((1 + F.col("k")) / (F.col("cal_n") + 1.0)).alias("floor"))
+    both = cal.select("score", F.lit(1).cast("long").alias("n")).union(test.select("score", F.lit(0).cast("long").alias("n")))
+    below = running(both.groupBy("score").agg(F.sum("n").alias("n")), "score", ["n"]).select("score", F.col("n_upto").alias("k"), F.col("n_all").alias("cal_n"))
+    return test.join(below, "score").select("case_id", ((1 + F.col("k")) / (F.col("cal_n") + 1.0)).alias("floor"))
 
 
 def mid_entropy(p: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from graywether.functions.maths import argmax_first, dot, sigmoid, total, unit
+from graywether.operators.ordered import running
 
 
 def spread(runs: DataFrame) -> DataFrame:
@@ -77,8 +78,7 @@ def discriminants(vectors: DataFrame, means: DataFrame, var: DataFrame, key: str
 def drift(rows: DataFrame, by: str, x: str) -> DataFrame:
     """by, least, most, p05, p50, p90, n: places ceil(q n) - 1 in counts per distinct value."""
     each = rows.groupBy(by, F.col(x).alias("x")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(by)
-    placed = each.withColumn("last", F.sum("c").over(w.orderBy("x")) - 1).withColumn("n", F.sum("c").over(w))
+    placed = running(each, "x", ["c"], (by,)).select("*", (F.col("c_upto") - 1).alias("last"), F.col("c_all").alias("n"))
     at = lambda q: F.max(F.when((F.ceil(F.col("n") * q) - 1 <= F.col("last")) & (F.ceil(F.col("n") * q) - 1 > F.col("last") - F.col("c")), F.col("x")))
     return placed.groupBy(by).agg(F.min("x").alias("least"), F.max("x").alias("most"), at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("n").alias("n"))
 

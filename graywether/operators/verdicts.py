@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from graywether.functions import maths
 from graywether.functions import text as T
 from graywether.operators import metrics, ranking
+from graywether.operators.ordered import running
 
 #: Cumulative probabilities of a Poisson(1) draw of 0, 1, 2, ...
 POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975080)
@@ -94,9 +95,8 @@ def ceil_ranks(xs: DataFrame, rates: dict[str, float]) -> list[Column]:
 
 def ranked_counts(rows: DataFrame, x: str) -> DataFrame:
     """x, c, last, n: counts per distinct value with the place of its last row and the number of rows."""
-    each = rows.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("c"))
-    total = F.broadcast(each.agg(F.sum("c").alias("n")))
-    return each.withColumn("last", F.sum("c").over(W.orderBy("x")) - 1).crossJoin(total)
+    each = running(rows.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("c")), "x", ["c"])
+    return each.select("x", "c", (F.col("c_upto") - 1).alias("last"), F.col("c_all").alias("n"))
 
 
 def evidence_stats(rows: DataFrame, rumor: int = 4) -> DataFrame:

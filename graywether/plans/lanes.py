@@ -192,6 +192,41 @@ def threshold_curve_points(spark, sf_dir):
     return r6(ranking.curve_points(items(spark, sf_dir)))
 
 
+OBSERVED = A + """, ob AS (SELECT 'score' AS axis, conf AS score, ok FROM items_a UNION ALL
+        SELECT 'distance', round(1 / (1 + exp(-8 * (d - 0.35))), 6), ok FROM items_a JOIN (SELECT case_id, max(dot) AS d FROM dots_a GROUP BY case_id) USING (case_id)),
+    pt AS (SELECT axis, score, sum(count(*)) OVER w AS np, sum(sum(ok)) OVER w / sum(count(*)) OVER w AS acc, sum(count(*)) OVER (PARTITION BY axis) AS n FROM ob GROUP BY axis, score WINDOW w AS (PARTITION BY axis ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    ch AS ({0}) SELECT axis, score AS threshold, status, round(acc, 6) AS accuracy, n::BIGINT AS n, np::BIGINT AS n_pass, (n - np)::BIGINT AS n_abstain FROM ch"""
+BY_RATE = """SELECT *, 'fitted' AS status FROM pt WHERE (axis, score) IN (SELECT (axis, score) FROM (SELECT axis, score, row_number() OVER (PARTITION BY axis ORDER BY score) - 1 AS i, count(*) OVER (PARTITION BY axis) AS m FROM ob)
+        WHERE i = least(floor(m * 0.3), m - 1))"""
+BY_TARGET = """SELECT * FROM (SELECT *, CASE WHEN acc >= {0} THEN 'fitted' ELSE 'target_unmet' END AS status, row_number() OVER (PARTITION BY axis ORDER BY acc >= {0} DESC, CASE WHEN acc >= {0} THEN score END, round(acc, 12) DESC, score) AS r FROM pt) WHERE r = 1"""
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """axis, score, ok: each answer's confidence, and its gate confidence from the nearest domain."""
+    rows = vectors.answer(routed(spark, sf_dir)).select("case_id", "conf", "ok")
+    gate = routed(spark, sf_dir).select("case_id", F.round(maths.gate_confidence(F.array_max("dots")), 6).alias("gate"))
+    joined = rows.join(gate, "case_id")
+    return joined.select("ok", F.inline(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(c).alias("score")) for a, c in (("score", "conf"), ("distance", "gate"))))))
+
+
+@query(OBSERVED.replace("{0}", BY_RATE))
+def fused_gate_percentile(spark, sf_dir):
+    """Both axes' cutoffs at the thirtieth percentile of their scores."""
+    return r6(ranking.recommend(observations(spark, sf_dir), rho=0.3))
+
+
+@query(OBSERVED.replace("{0}", BY_TARGET.format(0.5)))
+def fused_gate_target(spark, sf_dir):
+    """Both axes' lowest cutoffs that keep half of the answers right."""
+    return r6(ranking.recommend(observations(spark, sf_dir), target=0.5))
+
+
+@query(OBSERVED.replace("{0}", BY_TARGET.format(0.999)))
+def fused_gate_unmet(spark, sf_dir):
+    """Both axes' best cutoffs under a target that may be out of reach."""
+    return r6(ranking.recommend(observations(spark, sf_dir), target=0.999))
+
+
 CAUSES_SQL = A + """, r AS (SELECT case_id, max(dot) AS d FROM dots_a GROUP BY case_id),
     f AS (SELECT i.*, CASE WHEN conf < 0.15 THEN 'score_gate' WHEN round(1 / (1 + exp(-8 * (d - 0.35))), 6) < 0.35 THEN 'distance_gate' ELSE 'answered' END AS cause FROM items_a i JOIN r USING (case_id))"""
 

@@ -86,6 +86,40 @@ def leak_near_twins(spark, sf_dir):
     return r6(leaks.near_twins(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), bench, k=12, rare_cap=200, least=0.5))
 
 
+# every conversation's later turns against all first turns; grams of 8 characters, as the texts are long
+FIRST = f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, role AS label, turn - min(turn) OVER (PARTITION BY conv_id) AS place, {NORMAL.format("coalesce(text, '')")} AS n FROM conversations),
+    rf AS (SELECT n, min(id) AS id FROM a WHERE place = 0 GROUP BY n), q AS (SELECT id, label, n FROM a WHERE place > 0), qd AS (SELECT DISTINCT n FROM q WHERE n NOT IN (SELECT n FROM rf)),
+    gr AS (SELECT n, CASE WHEN n = '' THEN [''] ELSE list_distinct(list_transform(range(1, greatest(length(n) - 7, 1) + 1), lambda i: substr(n, i::INT, 8))) END AS g FROM (SELECT n FROM rf UNION SELECT n FROM qd)),
+    ps AS (SELECT id AS ref_id, unnest(g) AS gram FROM rf JOIN gr USING (n)), rr AS (SELECT gram FROM ps GROUP BY gram HAVING count(*) < 50),
+    sh AS (SELECT n, ref_id, count(*) AS shared FROM (SELECT n, unnest(g) AS gram FROM qd JOIN gr USING (n)) JOIN ps USING (gram) JOIN rr USING (gram) GROUP BY ALL),
+    tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY shared DESC, ref_id) AS place FROM sh) WHERE place <= 5),
+    jc AS (SELECT tp.n, ref_id, place, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS j FROM tp JOIN gr a ON a.n = tp.n JOIN rf ON rf.id = ref_id JOIN gr b ON b.n = rf.n),
+    bs AS (SELECT n, first(ref_id ORDER BY j DESC, place) AS near_id, max(j) AS j FROM jc GROUP BY n),
+    cl AS (SELECT q.id, q.label, CASE WHEN rf.id IS NOT NULL THEN 'exact' WHEN j >= 0.25 THEN 'near' ELSE 'clean' END AS kind, coalesce(rf.id, CASE WHEN j >= 0.25 THEN near_id END) AS ref_id,
+        CASE WHEN rf.id IS NOT NULL THEN 1 ELSE coalesce(j, 0) END AS jaccard FROM q LEFT JOIN rf USING (n) LEFT JOIN bs USING (n))"""
+FIRST_LAW = leaks.Law(k=8, near=0.25, rare_cap=50, top=5)
+
+
+def first_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Later turns, and first turns: id, label (the role), text."""
+    rows = table(spark, sf_dir, "conversations")
+    first = rows.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    rows = rows.join(first, "conv_id").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("label"), "text", (F.col("turn") > F.col("first")).alias("later"))
+    return rows.where("later").drop("later"), rows.where("not later").drop("later")
+
+
+@query(FIRST + " SELECT id, kind, ref_id, round(jaccard, 6) AS jaccard FROM cl")
+def leak_classes(spark, sf_dir):
+    return r6(leaks.classify(*first_turns(spark, sf_dir), FIRST_LAW))
+
+
+@query(FIRST + """ SELECT (SELECT count(*) FROM a WHERE place = 0) AS reference, count(*) AS query, count(*) FILTER (kind = 'exact') AS exact, count(*) FILTER (kind = 'exact' AND r.label IS DISTINCT FROM cl.label) AS exact_label_conflict,
+    count(*) FILTER (kind = 'near') AS near, count(*) FILTER (kind <> 'exact') AS near_scanned, count(*) FILTER (kind = 'near' AND r.label IS NOT DISTINCT FROM cl.label) AS near_same_label FROM cl LEFT JOIN a r ON r.id = ref_id""")
+def leak_class_tallies(spark, sf_dir):
+    later, first = first_turns(spark, sf_dir)
+    return leaks.tallies(leaks.classify(later, first, FIRST_LAW), later, first)
+
+
 TURNS = "t AS (SELECT conv_id, turn, text AS hypothesis, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS premise FROM conversations)"
 
 

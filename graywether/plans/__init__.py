@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes", "texts", "cases", "feeds", "probes", "verdicts", "laws", "fits", "synthesis")
+AREAS = ("lanes", "texts", "cases", "feeds", "probes", "verdicts", "laws", "fits", "synthesis", "runs")
 
 
 def load_all() -> None:

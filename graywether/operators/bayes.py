@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from graywether.functions.text import BUCKETS
 from graywether.operators import events
+from graywether.sources.steps import Workspace
 
 #: Bytes of all folds' tables that are sent to the tasks whole; larger ones are joined.
 MOST_TABLE = 256 << 20
@@ -103,3 +104,23 @@ def scores(rows: DataFrame, counts: DataFrame, carry: list[str]) -> DataFrame:
 
     carried = ", ".join(f"`{c}` {kinds[c]}" for c in carry)
     return rows.select(*carry, "n", "fold", "toks", "times").mapInArrow(run, f"{carried}, n long, seen long, scores array<struct<label: {kind.simpleString()}, score: double>>")
+
+
+def transductive(rows: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, gold, fold, honest, pick of the rows (doc_id, gold, label, fold, known, toks, times, n) that aren't known: known ones (fold 2) are the
+    labelled pool, the others are in fold 0 or 1. honest is decided by the pool's tables, pick by tables of the pool and of
+    the other half's honest picks, so no row is scored by a table that it is in. decide: scored rows (doc_id, gold, n, seen,
+    scores) to picks, with doc_id passed on. A row without evidence has no pick and joins no table.
+    """
+    ws = Workspace(rows.sparkSession, "transductive")
+    pool, others = rows.where("known"), rows.where("not known")
+    counts = ws.save(fold_counts(pool), "pool")
+    # the whole row rides along as its id, so no join is needed to find it again
+    keyed = others.select(F.struct("doc_id", "gold", "fold", "toks", "times", "n").alias("doc_id"), "gold", "fold", "toks", "times", "n")
+    first = decide(scores(keyed, counts, ["doc_id", "gold"])).select(F.col("doc_id").alias("row"), F.col("pick").alias("honest"))
+    first = ws.save(first.select("row.*", "honest"), "first")
+    pseudo = first.select(F.col("honest").alias("label"), "fold", "toks", "times")
+    both = ws.save(fold_counts(pool.select("label", "fold", "toks", "times").unionByName(pseudo)), "both")
+    again = first.select(F.struct("doc_id", "fold", "honest").alias("doc_id"), "gold", "fold", "toks", "times", "n")
+    second = decide(scores(again, both, ["doc_id", "gold"]))
+    return second.select("doc_id.doc_id", "gold", "doc_id.fold", "doc_id.honest", "pick")

@@ -61,7 +61,9 @@ def bigram_events(spark, sf_dir):
 @query(H + """, b AS (SELECT doc_id, (h % 256)::INT AS bucket, sum((CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END) * (CASE WHEN is_bigram THEN 0.5 ELSE 1 END))::DOUBLE AS w FROM ev GROUP BY ALL)
     SELECT doc_id, bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM b WHERE w <> 0""")
 def hashed_embedding(spark, sf_dir):
-    return r6(events.hashed_embedding(events.token_events(docs(spark, sf_dir))))
+    rows = docs(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("doc_id", "text")
+    long = features.embedded(rows, ["doc_id"]).select("doc_id", F.posexplode("vector").alias("bucket", "weight"))
+    return r6(long.where("weight <> 0"))
 
 
 @query(f"SELECT doc_id, {NORMAL.format('text')} AS normal FROM documents")

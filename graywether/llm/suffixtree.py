@@ -16,6 +16,12 @@ common. A part adds up the chunks' counts, which are the counts of the tree, tes
 in the order in which it asked; contexts of several parts are tested on the sum over these. The chunks then update
 their tokens. No count passes through the driver and none is broadcast. Words and contexts are told apart by 64-bit
 hashes, sequences by their context's and 48 bits of their own.
+
+Whole chunks are read for words and for contexts of one word only. From then on a chunk is the tokens that are still
+sought: the sequence of one token is the context of the next, so a token needs its own word and its context's hash and
+nothing else of the text. A token is sought as long as its context is frequent and its suffix, or the next token's, is a
+state: without the one its score is final, without the other nobody asks for its count. Both follow from the sequence, so
+all occurrences of a sequence are dropped together and the counts stay whole.
 """
 
 from __future__ import annotations
@@ -58,14 +64,15 @@ def held_out(key: Column) -> Column:
 
 
 def _schema(kind: str) -> str:
-    """Of a row for each chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
-    in words; counts: training counts of words; done: log10 of the tokens that no longer context is sought for; for
-    the others pos (steps in at), t (occurrences of the context that is sought), p (by the longest state so far) and state
-    (whether that state is the sought context's suffix)."""
-    return (
-        f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary, counts binary, "
-        "known array<long>, base array<double>, done array<double>, pos binary, t binary, p binary, state binary"
-    )
+    """Of a row for each whole chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
+    in words; counts: training counts of words."""
+    return f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary, counts binary"
+
+
+#: Of a chunk's sought tokens: done has the log10 of each document's finished ones; pos (steps between places in the chunk), doc
+#: (steps), word (in words), context (the hash of the words before it that are sought next) and t (its occurrences), p (by the
+#: longest state so far), state (whether that state is the sought context's suffix) and train are of the others.
+_SOUGHT = "chunk long, done array<double>, words binary, pos binary, doc binary, word binary, context binary, t binary, p binary, state binary, train binary"
 
 
 def _packed(values: np.ndarray, width: int | None = None) -> bytes:
@@ -124,18 +131,17 @@ def chunks(rows: DataFrame) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId() << 12  # 4096 chunks of a partition at most, in 31 bits
+        made = TaskContext.get().partitionId() << 32
         keys, held, seq, sizes, size, numbers = [], [], [], [], 0, _Numbers()
 
         def out() -> pa.RecordBatch:
             at = np.concatenate(seq)
             order = np.argsort(-np.bincount(at), kind="stable")  # frequent words have small places, which compress
             words, at = numbers.hashes()[order], np.argsort(order)[at]
-            none, per = pa.array([_packed(words[:0])], pa.binary()), pa.array([[]], pa.list_(pa.float64()))
             columns = [
                 pa.array([made], pa.int64()), pa.array([list(chain.from_iterable(keys))], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([np.concatenate(sizes) + 1], pa.list_(pa.int32())), pa.array([_packed(words)], pa.binary()),
-                pa.array([_packed(at.astype(np.int32))], pa.binary()), none, per.cast(pa.list_(pa.int64())), per, per, none, none, none, none,
+                pa.array([_packed(at.astype(np.int32))], pa.binary()), pa.array([_packed(words[:0])], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -163,51 +169,89 @@ def chunks(rows: DataFrame) -> DataFrame:
 
 
 class _Chunk:
-    """A chunk's arrays; seq holds the hashes of all its documents, each with an end before it and one after."""
+    """A whole chunk's arrays; seq holds the hashes of all its documents, each with an end before it and one after."""
 
-    def __init__(self, row: dict, total: tuple[int, int]):
-        self.row, self.total = row, total
+    def __init__(self, row: dict):
+        self.row = row
         self.sizes = np.asarray(row["sizes"].flatten())
         read = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
-        self.words, self.at = read("words", np.uint64), read("at", np.int32)
-        self.seq = self.words[self.at]
+        self.words, self.at, self.counts = read("words", np.uint64), read("at", np.int32), read("counts", np.int64)
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
         first = np.cumsum(self.sizes + 1) - self.sizes - 1
-        self.token = np.ones(len(self.seq), dtype=bool)
+        self.token = np.ones(len(self.at), dtype=bool)
         self.token[first] = False
         self.train = ~np.asarray(row["held"].flatten().to_numpy(zero_copy_only=False), dtype=bool)[self.doc]
-        self.counts = read("counts", np.int64)
-        self.done = np.asarray(row["done"].flatten(), dtype=float)
-        self.pos, self.t, self.state = np.cumsum(read("pos", np.int32), dtype=np.int32), read("t", np.int64), read("state", bool)
-        self.p = read("p", np.float32).astype(float)
 
     def per_doc(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc[at], weights=value, minlength=len(self.sizes))
 
-    def start(self) -> None:
-        """The tokens by word counts alone: base p, and those before which one word is frequent enough to be sought."""
-        n, v = self.total
+    def known(self) -> np.ndarray:
+        pos = np.flatnonzero(self.token)
+        return self.per_doc((self.counts[self.at[pos]] > 0).astype(float), pos).astype(np.int64)
+
+    def start(self, total: tuple[int, int]) -> tuple[np.ndarray, _Sought]:
+        """The documents' scores by word counts alone, and the tokens before which one word is frequent enough to be sought."""
+        n, v = total
         p = (self.counts + 0.5) / (n + 0.5 * (v + 1))
         pos = np.flatnonzero(self.token)
-        self.base_p, self.base_t = p[self.at[pos]], self.counts[self.at[pos - 1]]
-        self.done = np.zeros(len(self.sizes))
-        self.keep(pos.astype(np.int32), self.base_t, self.base_p, np.ones(len(pos), dtype=bool))
-
-    def keep(self, pos: np.ndarray, t: np.ndarray, p: np.ndarray, state: np.ndarray) -> None:
-        """Go on with the tokens whose sought context is frequent; the others are done."""
-        on = t >= MIN_CONTEXT
-        self.done = self.done + self.per_doc(np.log10(p[~on]), pos[~on])
-        self.pos, self.t, self.p, self.state = pos[on], t[on], p[on], state[on]
-
-    def keys(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each sought token: hashes of the depth words before it, and of those with the token."""
-        context = self.seq[self.pos - 1]
-        for j in range(2, depth + 1):
-            context = _mixed(context, self.seq[self.pos - j])
-        gram = self.seq[self.pos]
-        for j in range(1, depth + 1):
-            gram = _mixed(gram, self.seq[self.pos - j])
-        return context, gram
+        base = self.per_doc(np.log10(p[self.at[pos]]), pos)
+        t = self.counts[self.at[pos - 1]]
+        s = _Sought()
+        s.words, s.done = self.words, np.zeros(len(self.sizes))
+        s.pos, s.doc, s.word, s.context, s.train = pos.astype(np.int32), self.doc[pos].astype(np.int32), self.at[pos], self.words[self.at[pos - 1]], self.train[pos]
+        s.t, s.p, s.state = t, p[self.at[pos]], np.ones(len(pos), dtype=bool)
+        s.keep(t >= MIN_CONTEXT)
+        return base, s
+
+
+class _Sought:
+    """The tokens of a chunk that are still sought, in order of place."""
+
+    _TOKENS = ("pos", "doc", "word", "context", "t", "p", "state", "train")
+
+    @staticmethod
+    def read(row: dict) -> _Sought:
+        s = _Sought()
+        get = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
+        s.done, s.words = np.asarray(row["done"].flatten(), dtype=float), get("words", np.uint64)
+        s.pos, s.doc = (np.cumsum(get(n, np.int32), dtype=np.int32) for n in ("pos", "doc"))
+        s.word, s.context, s.t = get("word", np.int32), get("context", np.uint64), get("t", np.int64)
+        s.p, s.state, s.train = get("p", np.float32).astype(float), get("state", bool), get("train", bool)
+        return s
+
+    def columns(self) -> list:
+        """done and the packed arrays; words that no token has any more are left out."""
+        kept, word = np.unique(self.word, return_inverse=True)
+        steps = lambda x: np.diff(x, prepend=np.int32(0)).astype(np.int32)
+        arrays = [self.words[kept], steps(self.pos), steps(self.doc), word.astype(np.int32), self.context, self.t, self.p.astype(np.float32), self.state, self.train]
+        return [pa.array([self.done.tolist()], pa.list_(pa.float64())), *(pa.array([_packed(x)], pa.binary()) for x in arrays)]
+
+    def grams(self) -> np.ndarray:
+        """Hashes of each token's context and the token."""
+        return _mixed(self.context, self.words[self.word])
+
+    def finish(self, which: np.ndarray) -> None:
+        self.done = self.done + np.bincount(self.doc[which], weights=np.log10(self.p[which]), minlength=len(self.done))
+
+    def keep(self, on: np.ndarray) -> None:
+        """Go on with some tokens; the others are done."""
+        self.finish(~on)
+        for name in self._TOKENS:
+            setattr(self, name, getattr(self, name)[on])
+
+    def deepen(self, count: np.ndarray, became: np.ndarray, gram: np.ndarray) -> None:
+        """Take the answers: each token's count after its context, and whether that is a state; go on with contexts longer by a
+        word, which are the sequences of the tokens before."""
+        prior = self.t.astype(float) ** PRIOR
+        self.p = np.where(became, (count + prior * self.p) / (self.t + prior), self.p)
+        after = np.zeros(len(self.pos), dtype=bool)  # whether the token before stands right before
+        after[1:] = np.diff(self.pos) == 1
+        self.t = np.where(after, np.roll(count, 1), 0)
+        self.context = np.roll(gram, 1)
+        self.state = became
+        needed = np.zeros(len(self.pos), dtype=bool)  # by the next token
+        needed[:-1] = became[1:] & after[1:]
+        self.keep((self.t >= MIN_CONTEXT) & (became | needed))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,38 +270,36 @@ _ARRAYS = {"context": (np.uint64, 8), "t": (np.int64, 8), "tested": (np.bool_, 1
 _ANSWER = "part int, chunk long, totals binary, became binary, shared array<long>, saved array<double>, t array<long>, states long, n long, v long"
 
 
-def _each(state: DataFrame, total: tuple[int, int], depth: int, schema: str, work) -> DataFrame:
-    """work(chunk number, chunk) for every row: columns of schema."""
+def _each(rows: DataFrame, schema: str, work) -> DataFrame:
+    """work(chunk number, columns of its row) for every row: columns of schema."""
     names = [part.split(" ")[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                c = _Chunk({n: row.column(n) for n in row.schema.names}, total)
-                if depth == 1:
-                    c.start()
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, work(row.column("chunk")[0].as_py(), c))), names=names)
+                columns = {n: row.column(n) for n in row.schema.names}
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, work(columns["chunk"][0].as_py(), columns))), names=names)
 
-    return state.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 class _Request:
-    """What a chunk asks for at a depth: its distinct sequences by part and context. `back` leads from each sought
-    token (depth 0: each word) to its sequence, `run` from each sequence to its context's place."""
+    """What a chunk asks for: its distinct sequences by part and context. `back` leads from each sought token (of a whole
+    chunk: each word) to its sequence, `run` from each sequence to its context's place."""
 
-    def __init__(self, c: _Chunk, depth: int, parts: tuple[int, int]):
-        if depth == 0:
+    def __init__(self, c: _Chunk | _Sought, parts: tuple[int, int]):
+        if isinstance(c, _Chunk):
             each = np.arange(len(c.words))
             gram, context, t = c.words, c.words, np.zeros(len(each), dtype=np.int64)
             n = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(each))
             tested, p, back = np.zeros(len(each), dtype=bool), np.ones(len(each)), each
         else:
-            context, gram = c.keys(depth)
+            self.grams = gram = c.grams()
             first, back = _distinct(gram)
             gram = gram[first]
-            n = np.bincount(back, weights=c.train[c.pos].astype(float), minlength=len(gram))
-            context, t, tested, p = context[first], c.t[first], c.state[first], c.p[first]
+            n = np.bincount(back, weights=c.train.astype(float), minlength=len(gram))
+            context, t, tested, p = c.context[first], c.t[first], c.state[first], c.p[first]
         slots = np.minimum((t + parts[1] - 1) // parts[1], 1 << 16).clip(min=1).astype(np.uint64)
         slot = ((gram >> np.uint64(48)) * slots) >> np.uint64(16)
         slot = _mixed(context, slot)
@@ -277,11 +319,13 @@ class _Request:
         self.runs = np.diff(first, append=len(order)).astype(np.int32)
 
 
-def ask(state: DataFrame, depth: int, total: tuple[int, int], parts: tuple[int, int]) -> DataFrame:
-    """The requests of each chunk, a row for each part that it asks; parts: their number and the size of one."""
+def ask(state: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """The requests of each chunk (whole, or its sought tokens), a row for each part that it asks; parts: their number and the
+    size of one."""
+    read = _Sought.read if "done" in state.columns else _Chunk
 
-    def work(no: int, c: _Chunk) -> list:
-        r = _Request(c, depth, parts)
+    def work(no: int, columns: dict) -> list:
+        r = _Request(read(columns), parts)
         ends = np.concatenate([[0], np.cumsum(r.runs)])
         cuts = np.flatnonzero(np.diff(r.part, prepend=-1))
         made = {name: [] for name in _ARRAYS}
@@ -292,7 +336,7 @@ def ask(state: DataFrame, depth: int, total: tuple[int, int], parts: tuple[int,
         rows = [r.part[cuts], np.full(len(cuts), no)]
         return rows + [pa.array(values, pa.binary()) for values in made.values()]
 
-    return _each(state, total, depth, _ASKED, work)
+    return _each(state, _ASKED, work)
 
 
 def answered(asked: DataFrame, parts: tuple[int, int]) -> DataFrame:
@@ -335,61 +379,81 @@ def passing(answers: DataFrame) -> DataFrame:
     return sums.where(F.col("saved") >= DIVERGENCE * F.col("t")).select("context")
 
 
-def _row(c: _Chunk, **changed) -> pa.Table:
-    columns = {n: c.row[n] for n in c.row}
-    for name, value in changed.items():
-        kind = c.row[name].type
-        columns[name] = pa.array([_packed(value) if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else value.tolist()], kind)
-    return pa.table(columns)
-
-
-def update(state: DataFrame, answers: DataFrame, states: DataFrame, depth: int, total: tuple[int, int], parts: tuple[int, int]) -> DataFrame:
-    """The chunks with the answers for a depth, and the contexts of several parts that became states."""
+def _replies(answers: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """A row for each answer to a chunk and, with states, for each of those contexts of several parts that it asked for."""
     asked = answers.where("chunk is not null")
-    shared = asked.select("chunk", F.explode("shared").alias("context")).distinct().join(states, "context", "left_semi")
     replies = asked.select("chunk", "part", "totals", "became", F.lit(None).cast("long").alias("context"))
-    replies = replies.union(shared.selectExpr("chunk", "null", "null", "null", "context"))
+    if states is None:
+        return replies
+    shared = asked.select("chunk", F.explode("shared").alias("context")).distinct().join(states, "context", "left_semi")
+    return replies.union(shared.selectExpr("chunk", "null", "null", "null", "context"))
+
+
+def _joined(right: pa.Table, name: str, kind: type) -> np.ndarray:
+    """An array of all answers to a chunk, in the order in which it asked."""
+    own = right.filter(right["part"].is_valid()).sort_by("part")
+    return np.concatenate([np.array([], kind), *(_unpacked(x.as_py(), kind) for x in own[name])])
+
+
+def counted(whole: DataFrame, answers: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """The whole chunks with their words' counts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left
+        left = left.combine_chunks()
+        r = _Request(_Chunk({n: left[n].chunk(0) for n in left.column_names}), parts)
+        counts = _joined(right, "totals", np.int64)[r.back]
+        at = left.column_names.index("counts")
+        return left.set_column(at, left.schema.field(at), pa.chunked_array([pa.array([_packed(counts)], left.schema.field(at).type)]))
+
+    return whole.groupBy("chunk").cogroup(_replies(answers).groupBy("chunk")).applyInArrow(run, whole.schema)
+
+
+def started(whole: DataFrame, total: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of whole chunks with counts: chunk, keys, held, sizes, known, base; and the sought tokens of contexts of one word."""
+
+    def heads(no: int, columns: dict) -> list:
+        c = _Chunk(columns)
+        per = [pa.array([c.known().tolist()], pa.list_(pa.int64())), pa.array([c.start(total)[0].tolist()], pa.list_(pa.float64()))]
+        return [columns["chunk"], columns["keys"], columns["held"], columns["sizes"], *per]
+
+    def sought(no: int, columns: dict) -> list:
+        return [columns["chunk"], *_Chunk(columns).start(total)[1].columns()]
+
+    kind = whole.schema["keys"].dataType.simpleString()
+    schema = f"chunk long, keys {kind}, held array<boolean>, sizes array<int>, known array<long>, base array<double>"
+    return _each(whole, schema, heads), _each(whole, _SOUGHT, sought)
+
+
+def update(state: DataFrame, answers: DataFrame, states: DataFrame, parts: tuple[int, int]) -> DataFrame:
+    """The sought tokens with the answers, and the contexts of several parts that became states: those of contexts longer by a
+    word."""
+    names = [part.split(" ")[0] for part in _SOUGHT.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return left
         left = left.combine_chunks()
-        c = _Chunk({n: left[n].chunk(0) for n in left.column_names}, total)
-        if depth == 1:
-            c.start()
-        r = _Request(c, depth, parts)
-        own = right.filter(right["part"].is_valid()).sort_by("part")
-        join = lambda name, kind: np.concatenate([np.array([], kind), *(_unpacked(x.as_py(), kind) for x in own[name])])
-        count = join("totals", np.int64)[r.back]
-        if depth == 0:
-            c.counts = count
-            c.start()
-            pos = np.flatnonzero(c.token)
-            known = c.per_doc((c.counts[c.at[pos]] > 0).astype(float), pos).astype(np.int64)
-            return _row(c, counts=c.counts, known=known, base=c.per_doc(np.log10(c.base_p), pos))
-        became = join("became", np.bool_) | np.isin(r.context, right["context"].drop_null().to_numpy().view(np.uint64))
-        on = became[r.run[r.back]]
-        prior = c.t.astype(float) ** PRIOR
-        p = np.where(on, (count + prior * c.p) / (c.t + prior), c.p)
-        whole = np.zeros(len(c.seq), dtype=np.int64)
-        whole[c.pos] = count
-        c.keep(c.pos, whole[c.pos - 1], p, on)
-        return _row(c, done=c.done, pos=np.diff(c.pos, prepend=np.int32(0)), t=c.t, p=c.p.astype(np.float32), state=c.state)
-
-    joined = state.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    return joined.applyInArrow(run, state.schema)
-
-
-def finished(state: DataFrame, depth: int, total: tuple[int, int]) -> DataFrame:
-    """The chunks with all tokens done, as no context of this depth is a state."""
-    names = ["keys", "held", "sizes", "known", "base", "done"]
-    schema = ", ".join(f"{n} {state.schema[n].dataType.simpleString()}" for n in names)
-
-    def work(no: int, c: _Chunk) -> list:
-        done = c.done + c.per_doc(np.log10(c.p), c.pos)
-        return [*(c.row[x] for x in names[:-1]), pa.array([done.tolist()], pa.list_(pa.float64()))]
-
-    return _each(state, total, depth, schema, work)
+        c = _Sought.read({n: left[n].chunk(0) for n in left.column_names})
+        r = _Request(c, parts)
+        count = _joined(right, "totals", np.int64)[r.back]
+        became = _joined(right, "became", np.bool_) | np.isin(r.context, right["context"].drop_null().to_numpy().view(np.uint64))
+        c.deepen(count, became[r.run[r.back]], r.grams)
+        return pa.table(dict(zip(names, [left["chunk"].chunk(0), *c.columns()]))).cast(left.schema)
+
+    return state.groupBy("chunk").cogroup(_replies(answers, states).groupBy("chunk")).applyInArrow(run, state.schema)
+
+
+def finished(state: DataFrame) -> DataFrame:
+    """chunk, done with all tokens done."""
+
+    def work(no: int, columns: dict) -> list:
+        c = _Sought.read(columns)
+        c.finish(np.ones(len(c.pos), dtype=bool))
+        return [columns["chunk"], pa.array([c.done.tolist()], pa.list_(pa.float64()))]
+
+    return _each(state, "chunk long, done array<double>", work)
 
 
 def score(docs: DataFrame, key: str = "doc_id", part: int = PART) -> DataFrame:
@@ -401,25 +465,28 @@ def score(docs: DataFrame, key: str = "doc_id", part: int = PART) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), "text")
-    state = ws.save(chunks(rows), "chunks")
-    size = state.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    whole = ws.save(chunks(rows), "chunks")
+    size = whole.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
     parts = (size // part + 1, part)
-    answers = ws.save(answered(ask(state, 0, (0, 0), parts), parts), "words")
+    answers = ws.save(answered(ask(whole, parts), parts), "words")
     sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total = (sums.n or 0, sums.v or 0)
-    state = ws.save(update(state, answers, passing(answers), 0, total, parts), "state0")
+    whole = ws.save(counted(whole, answers, parts), "counted")
     ws.drop("chunks", "words")
+    heads, state = started(whole, total)
+    heads, state = ws.save(heads, "heads"), ws.save(state, "state1")
+    ws.drop("counted")
     depth = 1
     while True:
-        answers = ws.save(answered(ask(state, depth, total, parts), parts), f"answers{depth}")
+        answers = ws.save(answered(ask(state, parts), parts), f"answers{depth}")
         states = ws.save(passing(answers), f"states{depth}")
         if not answers.agg(F.sum("states")).first()[0] and states.isEmpty():
             break
-        state = ws.save(update(state, answers, states, depth, total, parts), f"state{depth}")
-        ws.drop(f"answers{depth}", f"state{depth - 1}")
+        state = ws.save(update(state, answers, states, parts), f"state{depth + 1}")
+        ws.drop(f"answers{depth}", f"state{depth}")
         depth += 1
-    found = ws.save(finished(state, depth, total), "scored")
-    ws.drop(f"answers{depth}", f"state{depth - 1}")
+    found = ws.save(heads.join(finished(state), "chunk"), "scored")
+    ws.drop(f"answers{depth}", f"state{depth}", "heads")
     each = found.select(F.inline(F.arrays_zip("keys", "held", "sizes", "known", "base", "done")))
     return each.select(
         F.col("keys").alias(key),

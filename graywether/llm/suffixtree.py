@@ -69,10 +69,11 @@ def _schema(kind: str) -> str:
     return f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary, counts binary"
 
 
-#: Of a chunk's sought tokens: done has the log10 of each document's finished ones; pos (steps between places in the chunk), doc
-#: (steps), word (in words), context (the hash of the words before it that are sought next) and t (its occurrences), p (by the
-#: longest state so far), state (whether that state is the sought context's suffix) and train are of the others.
-_SOUGHT = "chunk long, done array<double>, words binary, pos binary, doc binary, word binary, context binary, t binary, p binary, state binary, train binary"
+#: Of a chunk's sought tokens: done has the log10 of each document's finished ones. Of the others, pos (steps between places in the
+#: chunk), doc (steps), gram (which sequence) and train are listed by token; word, before (which word, which context) and p (by the longest
+#: state so far) by sequence; context (the hash of the words before that are sought next), t (its occurrences) and state (whether
+#: its suffix is one) by context.
+_SOUGHT = "chunk long, done array<double>, words binary, pos binary, doc binary, gram binary, train binary, word binary, before binary, p binary, context binary, t binary, state binary"
 
 
 def _packed(values: np.ndarray, width: int | None = None) -> bytes:
@@ -215,15 +216,22 @@ class _Sought:
         get = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
         s.done, s.words = np.asarray(row["done"].flatten(), dtype=float), get("words", np.uint64)
         s.pos, s.doc = (np.cumsum(get(n, np.int32), dtype=np.int32) for n in ("pos", "doc"))
-        s.word, s.context, s.t = get("word", np.int32), get("context", np.uint64), get("t", np.int64)
-        s.p, s.state, s.train = get("p", np.float32).astype(float), get("state", bool), get("train", bool)
+        s.train, gram = get("train", bool), get("gram", np.int32)
+        before = get("before", np.int32)[gram]
+        s.word, s.p = get("word", np.int32)[gram], get("p", np.float32)[gram].astype(float)
+        s.context, s.t, s.state = get("context", np.uint64)[before], get("t", np.int64)[before], get("state", bool)[before]
         return s
 
     def columns(self) -> list:
         """done and the packed arrays; words that no token has any more are left out."""
-        kept, word = np.unique(self.word, return_inverse=True)
+        first, gram = _distinct(self.grams())
+        at, before = _distinct(self.context[first])
+        at = first[at]
+        kept, word = np.unique(self.word[first], return_inverse=True)
         steps = lambda x: np.diff(x, prepend=np.int32(0)).astype(np.int32)
-        arrays = [self.words[kept], steps(self.pos), steps(self.doc), word.astype(np.int32), self.context, self.t, self.p.astype(np.float32), self.state, self.train]
+        small = lambda x: x.astype(np.int32)
+        tokens = [steps(self.pos), steps(self.doc), small(gram), self.train]
+        arrays = [self.words[kept], *tokens, small(word), small(before), self.p[first].astype(np.float32), self.context[at], self.t[at], self.state[at]]
         return [pa.array([self.done.tolist()], pa.list_(pa.float64())), *(pa.array([_packed(x)], pa.binary()) for x in arrays)]
 
     def grams(self) -> np.ndarray:

@@ -65,8 +65,8 @@ def held_out(key: Column) -> Column:
 
 def _schema(kind: str) -> str:
     """Of a row for each whole chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
-    in words; counts: training counts of words."""
-    return f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary, counts binary"
+    in words."""
+    return f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary"
 
 
 #: Of a chunk's sought tokens: done has the log10 of each document's finished ones. Of the others, pos (steps between places in the
@@ -142,7 +142,7 @@ def chunks(rows: DataFrame) -> DataFrame:
             columns = [
                 pa.array([made], pa.int64()), pa.array([list(chain.from_iterable(keys))], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([np.concatenate(sizes) + 1], pa.list_(pa.int32())), pa.array([_packed(words)], pa.binary()),
-                pa.array([_packed(at.astype(np.int32))], pa.binary()), pa.array([_packed(words[:0])], pa.binary()),
+                pa.array([_packed(at.astype(np.int32))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -176,7 +176,8 @@ class _Chunk:
         self.row = row
         self.sizes = np.asarray(row["sizes"].flatten())
         read = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
-        self.words, self.at, self.counts = read("words", np.uint64), read("at", np.int32), read("counts", np.int64)
+        self.words, self.at = read("words", np.uint64), read("at", np.int32)
+        self.counts = read("counts", np.int64) if "counts" in row else None
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
         first = np.cumsum(self.sizes + 1) - self.sizes - 1
         self.token = np.ones(len(self.at), dtype=bool)
@@ -186,6 +187,9 @@ class _Chunk:
     def per_doc(self, value: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc[at], weights=value, minlength=len(self.sizes))
 
+    def distinct(self) -> _Words:
+        return _Words(self.words, np.bincount(self.at, weights=(self.token & self.train).astype(float), minlength=len(self.words)))
+
     def known(self) -> np.ndarray:
         pos = np.flatnonzero(self.token)
         return self.per_doc((self.counts[self.at[pos]] > 0).astype(float), pos).astype(np.int64)
@@ -205,6 +209,13 @@ class _Chunk:
         return base, s
 
 
+class _Words:
+    """Distinct words of a chunk and how often its training documents have them (None: not asked again)."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray | None):
+        self.words, self.n = words, np.zeros(len(words)) if n is None else n
+
+
 class _Sought:
     """The tokens of a chunk that are still sought, in order of place."""
 
@@ -296,11 +307,10 @@ class _Request:
     """What a chunk asks for: its distinct sequences by part and context. `back` leads from each sought token (of a whole
     chunk: each word) to its sequence, `run` from each sequence to its context's place."""
 
-    def __init__(self, c: _Chunk | _Sought, parts: tuple[int, int]):
-        if isinstance(c, _Chunk):
+    def __init__(self, c: _Words | _Sought, parts: tuple[int, int]):
+        if isinstance(c, _Words):
             each = np.arange(len(c.words))
-            gram, context, t = c.words, c.words, np.zeros(len(each), dtype=np.int64)
-            n = np.bincount(c.at, weights=(c.token & c.train).astype(float), minlength=len(each))
+            gram, context, t, n = c.words, c.words, np.zeros(len(each), dtype=np.int64), c.n
             tested, p, back = np.zeros(len(each), dtype=bool), np.ones(len(each)), each
         else:
             self.grams = gram = c.grams()
@@ -330,7 +340,7 @@ class _Request:
 def ask(state: DataFrame, parts: tuple[int, int]) -> DataFrame:
     """The requests of each chunk (whole, or its sought tokens), a row for each part that it asks; parts: their number and the
     size of one."""
-    read = _Sought.read if "done" in state.columns else _Chunk
+    read = _Sought.read if "done" in state.columns else lambda columns: _Chunk(columns).distinct()
 
     def work(no: int, columns: dict) -> list:
         r = _Request(read(columns), parts)
@@ -404,18 +414,18 @@ def _joined(right: pa.Table, name: str, kind: type) -> np.ndarray:
 
 
 def counted(whole: DataFrame, answers: DataFrame, parts: tuple[int, int]) -> DataFrame:
-    """The whole chunks with their words' counts."""
+    """The whole chunks with their words' counts; only the words meet the answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return left
-        left = left.combine_chunks()
-        r = _Request(_Chunk({n: left[n].chunk(0) for n in left.column_names}), parts)
+            return pa.table({"chunk": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
+        r = _Request(_Words(_unpacked(left["words"][0].as_py(), np.uint64), None), parts)
         counts = _joined(right, "totals", np.int64)[r.back]
-        at = left.column_names.index("counts")
-        return left.set_column(at, left.schema.field(at), pa.chunked_array([pa.array([_packed(counts)], left.schema.field(at).type)]))
+        return pa.table({"chunk": pa.array([left["chunk"][0].as_py()], pa.int64()), "counts": pa.array([_packed(counts)], pa.binary())})
 
-    return whole.groupBy("chunk").cogroup(_replies(answers).groupBy("chunk")).applyInArrow(run, whole.schema)
+    words = whole.select("chunk", "words").groupBy("chunk")
+    counts = words.cogroup(_replies(answers).groupBy("chunk")).applyInArrow(run, "chunk long, counts binary")
+    return whole.join(counts, "chunk")
 
 
 def started(whole: DataFrame, total: tuple[int, int]) -> tuple[DataFrame, DataFrame]:

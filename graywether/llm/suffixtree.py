@@ -337,10 +337,17 @@ class _Request:
         self.runs = np.diff(first, append=len(order)).astype(np.int32)
 
 
-def ask(state: DataFrame, parts: tuple[int, int]) -> DataFrame:
+def _reader(columns: list[str], total: tuple[int, int]):
+    """From a row's columns what a chunk asks by: its words, without their counts, or else its sought tokens."""
+    if "done" in columns:
+        return _Sought.read
+    return (lambda row: _Chunk(row).start(total)[1]) if "counts" in columns else (lambda row: _Chunk(row).distinct())
+
+
+def ask(state: DataFrame, parts: tuple[int, int], total: tuple[int, int] = (0, 0)) -> DataFrame:
     """The requests of each chunk (whole, or its sought tokens), a row for each part that it asks; parts: their number and the
     size of one."""
-    read = _Sought.read if "done" in state.columns else lambda columns: _Chunk(columns).distinct()
+    read = _reader(state.columns, total)
 
     def work(no: int, columns: dict) -> list:
         r = _Request(read(columns), parts)
@@ -428,46 +435,45 @@ def counted(whole: DataFrame, answers: DataFrame, parts: tuple[int, int]) -> Dat
     return whole.join(counts, "chunk")
 
 
-def started(whole: DataFrame, total: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Of whole chunks with counts: chunk, keys, held, sizes, known, base; and the sought tokens of contexts of one word."""
+def heads(whole: DataFrame, total: tuple[int, int]) -> DataFrame:
+    """chunk, keys, held, sizes, known, base of whole chunks with counts."""
 
-    def heads(no: int, columns: dict) -> list:
+    def work(no: int, columns: dict) -> list:
         c = _Chunk(columns)
         per = [pa.array([c.known().tolist()], pa.list_(pa.int64())), pa.array([c.start(total)[0].tolist()], pa.list_(pa.float64()))]
         return [columns["chunk"], columns["keys"], columns["held"], columns["sizes"], *per]
 
-    def sought(no: int, columns: dict) -> list:
-        return [columns["chunk"], *_Chunk(columns).start(total)[1].columns()]
-
     kind = whole.schema["keys"].dataType.simpleString()
-    schema = f"chunk long, keys {kind}, held array<boolean>, sizes array<int>, known array<long>, base array<double>"
-    return _each(whole, schema, heads), _each(whole, _SOUGHT, sought)
+    return _each(whole, f"chunk long, keys {kind}, held array<boolean>, sizes array<int>, known array<long>, base array<double>", work)
 
 
-def update(state: DataFrame, answers: DataFrame, states: DataFrame, parts: tuple[int, int]) -> DataFrame:
-    """The sought tokens with the answers, and the contexts of several parts that became states: those of contexts longer by a
-    word."""
+def update(state: DataFrame, answers: DataFrame, states: DataFrame, parts: tuple[int, int], total: tuple[int, int]) -> DataFrame:
+    """The sought tokens (of whole chunks: those of contexts of one word) with the answers, and the contexts of several parts that
+    became states: those of contexts longer by a word."""
     names = [part.split(" ")[0] for part in _SOUGHT.split(", ")]
+    read = _reader(state.columns, total)
+    types = [pa.int64(), pa.list_(pa.float64()), *[pa.binary()] * (len(names) - 2)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return left
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
         left = left.combine_chunks()
-        c = _Sought.read({n: left[n].chunk(0) for n in left.column_names})
+        c = read({n: left[n].chunk(0) for n in left.column_names})
         r = _Request(c, parts)
         count = _joined(right, "totals", np.int64)[r.back]
         became = _joined(right, "became", np.bool_) | np.isin(r.context, right["context"].drop_null().to_numpy().view(np.uint64))
         c.deepen(count, became[r.run[r.back]], r.grams)
-        return pa.table(dict(zip(names, [left["chunk"].chunk(0), *c.columns()]))).cast(left.schema)
+        return pa.Table.from_arrays([left["chunk"].chunk(0), *c.columns()], names=names)
 
-    return state.groupBy("chunk").cogroup(_replies(answers, states).groupBy("chunk")).applyInArrow(run, state.schema)
+    return state.groupBy("chunk").cogroup(_replies(answers, states).groupBy("chunk")).applyInArrow(run, _SOUGHT)
 
 
-def finished(state: DataFrame) -> DataFrame:
+def finished(state: DataFrame, total: tuple[int, int]) -> DataFrame:
     """chunk, done with all tokens done."""
+    read = _reader(state.columns, total)
 
     def work(no: int, columns: dict) -> list:
-        c = _Sought.read(columns)
+        c = read(columns)
         c.finish(np.ones(len(c.pos), dtype=bool))
         return [columns["chunk"], pa.array([c.done.tolist()], pa.list_(pa.float64()))]
 
@@ -491,20 +497,19 @@ def score(docs: DataFrame, key: str = "doc_id", part: int = PART) -> DataFrame:
     total = (sums.n or 0, sums.v or 0)
     whole = ws.save(counted(whole, answers, parts), "counted")
     ws.drop("chunks", "words")
-    heads, state = started(whole, total)
-    heads, state = ws.save(heads, "heads"), ws.save(state, "state1")
-    ws.drop("counted")
-    depth = 1
+    top = ws.save(heads(whole, total), "heads")
+    state, name, depth = whole, "counted", 1
     while True:
-        answers = ws.save(answered(ask(state, parts), parts), f"answers{depth}")
+        answers = ws.save(answered(ask(state, parts, total), parts), f"answers{depth}")
         states = ws.save(passing(answers), f"states{depth}")
         if not answers.agg(F.sum("states")).first()[0] and states.isEmpty():
             break
-        state = ws.save(update(state, answers, states, parts), f"state{depth + 1}")
-        ws.drop(f"answers{depth}", f"state{depth}")
-        depth += 1
-    found = ws.save(heads.join(finished(state), "chunk"), "scored")
-    ws.drop(f"answers{depth}", f"state{depth}", "heads")
+        # the tokens of the level, without the chunks' texts beyond one word
+        state = ws.save(update(state, answers, states, parts, total), f"state{depth + 1}")
+        ws.drop(f"answers{depth}", name)
+        depth, name = depth + 1, f"state{depth + 1}"
+    found = ws.save(top.join(finished(state, total), "chunk"), "scored")
+    ws.drop(f"answers{depth}", name, "heads")
     each = found.select(F.inline(F.arrays_zip("keys", "held", "sizes", "known", "base", "done")))
     return each.select(
         F.col("keys").alias(key),

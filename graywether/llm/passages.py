@@ -138,9 +138,9 @@ def regions(docs: DataFrame) -> DataFrame:
     return docs.select("row_key", "text").mapInArrow(run, "row_key long, first int, windows int, anchor long, content long")
 
 
-def read_witnesses(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """anchor, content, n, words (joined by blanks) of classes (anchor, content, n, row_key, first, windows)."""
-    asked = classes.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "content", "n", "first", "windows")).alias("asked"))
+def read_witnesses(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """anchor, content, n, words (joined by blanks) of asked: row_key, and anchor, content, n, first, windows of its regions; a
+    written table, so that Spark knows its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches, 1):
@@ -153,8 +153,8 @@ def read_witnesses(docs: DataFrame, classes: DataFrame) -> DataFrame:
             columns = [flat.field("anchor"), flat.field("content"), flat.field("n"), pa.array(words, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "n", "words"])
 
-    # rows alike are one: a row that repeats without end is read once for each map task, and its regions once
-    once = docs.groupBy("row_key").agg(F.first("text").alias("text"))
+    # only witnesses are sorted by key; rows alike are one: a row that repeats without end is read once for each map task
+    once = docs.join(asked.select("row_key"), "row_key", "left_semi").groupBy("row_key").agg(F.first("text").alias("text"))
     joined = asked.join(once, "row_key").select("asked", "text")
     return joined.mapInArrow(run, "anchor long, content long, n long, words string")
 
@@ -315,13 +315,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     classes = recurring.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.min("row_key").alias("row_key"), F.min_by("first", "row_key").alias("first"), F.first("windows").alias("windows")
     )
-    found = ws.save(read_witnesses(rows.select("row_key", "text"), classes), "witnesses")
+    asked = ws.save(classes.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "content", "n", "first", "windows")).alias("asked")), "asked")
+    found = ws.save(read_witnesses(rows.select("row_key", "text"), asked), "witnesses")
     confirmed = ws.save(confirm(found), "confirmed")
     shards = ws.save(phrases(found, confirmed), "phrases")
     located = ws.save(locate(found, shards), "located")
     marks = recurring.join(located, ["anchor", "content"]).select("row_key", "first", "bits").distinct()
     marks = ws.save(marks.groupBy("row_key").agg(F.collect_list(F.struct("first", "bits")).alias("marks")), "marks")
-    ws.drop("recurring", "witnesses", "confirmed", "phrases", "located")
+    ws.drop("recurring", "asked", "witnesses", "confirmed", "phrases", "located")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _slices(batches, 1):

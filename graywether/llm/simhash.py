@@ -271,13 +271,17 @@ def positional_bytes(text: bytes | None, shingle: int = WORDS) -> tuple[int, byt
     """The class of a text (a hash of its lower-cased words, as a signed integer) and its BYTES min-wise bytes: byte i
     is the low byte of the least shingle hash under order i. A text without words has bytes of zero."""
     words = (text or b"").lower().split()
-    own = np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64)
+    own = _class(words)
     if not words:
-        return int(own), bytes(BYTES)
+        return own, bytes(BYTES)
     hashes, least = shingle_hashes(words, shingle).astype(np.uint32), np.full(BYTES, (1 << 32) - 1, np.uint32)
     for i in range(0, len(hashes), _BLOCK):
         np.minimum(least, ((hashes[i : i + _BLOCK] ^ _MASKS) * _ODD).min(axis=1), out=least)
-    return int(own), least.astype(np.uint8).tobytes()
+    return own, least.astype(np.uint8).tobytes()
+
+
+def _class(words: list[bytes]) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words), SEED)).astype(np.int64))
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -332,42 +336,44 @@ def _tally(places: np.ndarray, rows: slice) -> np.ndarray:
     return found
 
 
-def _bucket_pairs(cls: np.ndarray, sig: np.ndarray, comp: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket (rows ascending by cls) that share SHARED bytes or more. Without comp at most one for each
-    row: the first row before it whose tally estimates the likeness, else the one of the highest tally. With comp
-    every pair of different components."""
+def _proposed(cls: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket (rows ascending by cls) that share SHARED bytes or more, at most one for each row: the first row
+    before it whose tally estimates the likeness, else the one of the highest tally."""
     a, b, places = [], [], np.ascontiguousarray(sig.T)
     for i in range(0, len(cls), _ROWS):
         tally = _tally(places, slice(i, i + _ROWS))
         tally[np.arange(i, i + len(tally))[:, None] <= np.arange(len(cls))] = 0
-        if comp is None:
-            sure = tally >= SURE
-            best = np.where(sure.any(axis=1), sure.argmax(axis=1), tally.argmax(axis=1))
-            v = np.flatnonzero(tally[np.arange(len(tally)), best] >= SHARED)
-            u = best[v]
-        else:
-            v, u = np.nonzero((tally >= SHARED) & (comp[i : i + _ROWS, None] != comp))
-        a.append(cls[u])
+        sure = tally >= SURE
+        best = np.where(sure.any(axis=1), sure.argmax(axis=1), tally.argmax(axis=1))
+        v = np.flatnonzero(tally[np.arange(len(tally)), best] >= SHARED)
+        a.append(cls[best[v]])
         b.append(cls[v + i])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of rows (bucket, part, cls, comp, sig) sorted by bucket, part and cls; one bucket's part is held at a time."""
+def _across(bucket: int, sig: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows u < v of one bucket, of different components, that share SHARED bytes or more, and how many: of two rows that
+    meet in several buckets, in the one of their first common key only."""
+    places, no = np.ascontiguousarray(sig.T), bucket >> (8 * KEY_BYTES) & 255
+    for i in range(0, len(sig), _ROWS):
+        tally = _tally(places, slice(i, i + _ROWS))
+        v, u = np.nonzero((tally >= SHARED) & (comp[i : i + _ROWS, None] != comp) & (np.arange(i, i + len(tally))[:, None] > np.arange(len(sig))))
+        for j in range(0, len(u), 1 << 16):
+            x, y = u[j : j + (1 << 16)], v[j : j + (1 << 16)] + i
+            first = (sig[x] == sig[y]).reshape(len(x), -1, KEY_BYTES).all(axis=2).argmax(axis=1) == no
+            yield x[first], y[first], tally[y[first] - i, x[first]]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Rows (bucket, part, ...) sorted by both, in whole parts, with where each part starts and ends; little more than one
+    part is held at a time."""
     held: list[pa.RecordBatch] = []
 
-    def closed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, part, cls, comp = (rows.column(c).to_numpy() for c in ("bucket", "part", "cls", "comp"))
-        sig = _matrix(rows.column("sig").combine_chunks())
+    def closed(batches: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(batches)
+        bucket, part = (rows.column(c).to_numpy() for c in ("bucket", "part"))
         starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
-        ends = np.r_[starts[1:], len(cls)]
-        two = starts[ends - starts == 2]
-        near = two[((sig[two] == sig[two + 1]).sum(axis=1) >= SHARED) & ((comp[two] != comp[two + 1]) | (not across))]
-        pairs = [(cls[near], cls[near + 1])]
-        pairs += [_bucket_pairs(cls[s:e], sig[s:e], comp[s:e] if across else None) for s, e in zip(starts, ends) if e - s > 2]
-        for a, b in pairs:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return rows, starts, np.r_[starts[1:], len(bucket)]
 
     for batch in batches:
         if not len(batch):
@@ -375,22 +381,76 @@ def _candidates(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.
         bucket, part = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         last = int(np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))[-1]) + 1 if (bucket[0], part[0]) != (bucket[-1], part[-1]) else 0
         if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (bucket[0], part[0]):
-            yield from closed(pa.Table.from_batches(held))
+            yield closed(held)
             held = []
         if last:
-            yield from closed(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            yield closed([*held, batch.slice(0, last)])
             held = []
         held.append(batch.slice(last))
     if held:
-        yield from closed(pa.Table.from_batches(held))
+        yield closed(held)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) that rows (bucket, part, cls, comp, sig), sorted by bucket, part and cls, propose."""
+    for rows, starts, ends in _parts(batches):
+        cls, sig = rows.column("cls").to_numpy(), _matrix(rows.column("sig").combine_chunks())
+        two = starts[ends - starts == 2]
+        near = two[(sig[two] == sig[two + 1]).sum(axis=1) >= SHARED]
+        pairs = [(cls[near], cls[near + 1]), *(_proposed(cls[s:e], sig[s:e]) for s, e in zip(starts, ends) if e - s > 2)]
+        for a, b in pairs:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, part, cls, comp, sig) those that share SHARED bytes with a row of another component: no pairs, each
+    row once a part."""
+    for rows, starts, ends in _parts(batches):
+        bucket, comp = rows.column("bucket").to_numpy(), rows.column("comp").to_numpy()
+        sig = _matrix(rows.column("sig").combine_chunks())
+        asked = np.zeros(len(bucket), bool)
+        for s, e in zip(starts, ends):
+            for u, v, _ in _across(int(bucket[s]), sig[s:e], comp[s:e]):
+                asked[s + u] = asked[s + v] = True
+        if asked.any():
+            yield from rows.filter(pa.array(asked)).to_batches()
+
+
+def _joining(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the components of rows (bucket, part, cls, comp, sig, grams) as all their pairs that reach the
+    likeness do. The likeliest pairs are tested first, on all shingles; what a link has joined isn't tested again."""
+    for rows, starts, ends in _parts(batches):
+        bucket, cls, comp = (rows.column(c).to_numpy() for c in ("bucket", "cls", "comp"))
+        sig, grams = _matrix(rows.column("sig").combine_chunks()), rows.column("grams").combine_chunks()
+        a, b = [], []
+        for s, e in zip(starts, ends):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in grams[s:e]]
+            root = {int(c): int(c) for c in comp[s:e]}
+
+            def find(c: int) -> int:
+                while root[c] != c:  # noqa: B023
+                    root[c] = c = root[root[c]]  # noqa: B023
+                return c
+
+            for u, v, tally in _across(int(bucket[s]), sig[s:e], comp[s:e]):
+                for k in np.argsort(-tally.astype(np.int16), kind="stable"):
+                    x, y = sets[u[k]], sets[v[k]]
+                    cu, cv = find(int(comp[s + u[k]])), find(int(comp[s + v[k]]))
+                    if cu != cv and min(len(x), len(y)) >= least * max(len(x), len(y)) and likeness(x, y) >= least:
+                        root[max(cu, cv)] = min(cu, cv)
+                        a.append(cls[s + u[k]])
+                        b.append(cls[s + v[k]])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """cls and the distinct shingle hashes of rows (cls, text)."""
+    """cls and the distinct shingle hashes of rows (text)."""
     for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
-        grams = [shingle_hashes((t.as_py() or b"").lower().split(), shingle).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["cls", "grams"])
+        words = [(t.as_py() or b"").lower().split() for t in batch.column(0).cast(pa.large_binary())]
+        grams = [shingle_hashes(w, shingle).tobytes() for w in words]
+        yield pa.RecordBatch.from_arrays([pa.array([_class(w) for w in words], pa.int64()), pa.array(grams, pa.binary())], names=["cls", "grams"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -404,11 +464,10 @@ def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 def _grams(met: DataFrame, docs: DataFrame, classes: DataFrame, ws: Workspace, shingle: int) -> DataFrame:
     """cls and grams (the distinct shingle hashes) of each class that meets another, from the text of one of its rows."""
     wanted = classes.join(met.select("cls").distinct(), "cls", "left_semi")
-    # written first, so that Spark knows the size when it chooses how to join
-    wanted = ws.save(wanted.select("cls", F.col("rep").alias("__row_key")), "wanted")
-    keyed = docs.select(row_key(F.col("__key")).alias("__row_key"), "text")
-    texts = keyed.join(wanted, "__row_key").dropDuplicates(["cls"]).select("cls", "text")
-    return ws.save(texts.mapInArrow(lambda batches: _hashed(batches, shingle), "cls long, grams binary"), "grams")
+    # written first and of keys alone, so that Spark knows how small it is when it chooses how to join the texts
+    wanted = ws.save(wanted.select(F.col("rep").alias("__row_key")), "wanted")
+    texts = docs.select(row_key(F.col("__key")).alias("__row_key"), "text").join(wanted, "__row_key", "left_semi").select("text")
+    return ws.save(texts.mapInArrow(lambda batches: _hashed(batches, shingle), "cls long, grams binary").dropDuplicates(["cls"]), "grams")
 
 
 def _verify(pairs: DataFrame, grams: DataFrame, ws: Workspace, name: str, least: float) -> DataFrame:
@@ -418,18 +477,20 @@ def _verify(pairs: DataFrame, grams: DataFrame, ws: Workspace, name: str, least:
     return ws.save(rows.mapInArrow(lambda batches: _verified(batches, least), "a long, b long"), f"verified_{name}")
 
 
-def _meeting(met: DataFrame, classes: DataFrame, across: bool) -> DataFrame:
-    """Pairs to test among the classes that meet in a bucket (bucket, cls, comp, n); a bucket of more than BUCKET
-    classes is dealt into blocks, each two of which meet in a part of their own."""
+def _meeting(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, part, cls, comp, sig of the classes that meet in a bucket (bucket, cls, comp, n), part by part; a bucket of more
+    than BUCKET classes is dealt into blocks, each two of which meet in a part of their own."""
     blocks = F.ceil(F.col("n") / F.lit(BUCKET / 2))
     dealt = met.withColumn("k", F.when(F.col("n") > BUCKET, blocks).otherwise(1)).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1)))
     part = F.least("own", "other") * F.col("k") + F.greatest("own", "other")
     rows = dealt.withColumn("part", part.cast("long")).join(classes.select("cls", "sig"), "cls")
-    n = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("bucket", "part", "cls", "comp", "sig").repartition(n, "bucket", "part")
-    rows = rows.sortWithinPartitions("bucket", "part", "cls")
-    return rows.mapInArrow(lambda batches: _candidates(batches, across), "a long, b long").distinct()
+    return _in_parts(rows.select("bucket", "part", "cls", "comp", "sig"))
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket", "part").sortWithinPartitions("bucket", "part", "cls")
 
 
 def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: float = LIKENESS) -> DataFrame:
@@ -442,16 +503,20 @@ def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: flo
     and passes the filter with 0.999; what passes is verified on all shingles. Fewer words than a shingle has count as one
     shingle; texts without words are alike, null ones included. Equal texts (but for case and blanks) fall together first.
 
-    In a bucket every class first proposes one partner; what these links leave apart is compared pair by pair.
+    In a bucket every class first proposes one partner. What these links leave apart is compared inside the bucket's
+    task, a pair in the bucket of its first common key, and only what joins two components comes out: no list of pairs.
     """
     ws = Workspace(docs.sparkSession, "alike")
     docs = docs.select(F.col(key).alias("__key"), "text")
     rows = ws.save(byte_rows(docs, "__key", shingle), "rows")
     classes = ws.save(rows.groupBy("cls").agg(F.min("row_key").alias("rep"), F.first("sig").alias("sig")), "classes")
     postings = classes.select("cls", "sig").mapInArrow(_posted, "bucket long, cls long")
-    met = postings.withColumn("n", F.expr("count(*) over (partition by bucket)")).where("n > 1")
-    met = ws.save(met.withColumn("comp", F.lit(0).cast("long")), "met")
-    first = ws.save(_meeting(met, classes, across=False), "pairs_first")
+    postings = ws.save(postings, "postings")
+    large = ws.save(postings.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "large")
+    met = ws.save(postings.join(large, "bucket").withColumn("comp", F.lit(0).cast("long")), "met")
+    ws.drop("postings", "large")
+    pairs = _meeting(met, classes).mapInArrow(_candidates, "a long, b long").distinct()
+    first = ws.save(pairs, "pairs_first")
     grams = _grams(met, docs, classes, ws, shingle)
     links = _verify(first, grams, ws, "first", least)
     roots = components(links, ws)
@@ -460,10 +525,13 @@ def alike(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least: flo
     else:
         to = roots.select(F.col("node").alias("cls"), "root")
         apart = met.drop("comp").join(to, "cls", "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-    several = F.expr("min(comp) over (partition by bucket) < max(comp) over (partition by bucket)")
-    apart = apart.withColumn("several", several).where("several").drop("several")
-    second = ws.save(_meeting(apart, classes, across=True).join(first, ["a", "b"], "left_anti"), "pairs_second")
-    more = _verify(second, grams, ws, "second", least)
+    apart = ws.save(apart, "apart")
+    several = ws.save(apart.groupBy("bucket").agg((F.min("comp") < F.max("comp")).alias("s")).where("s").select("bucket"), "several")
+    schema = "bucket long, part long, cls long, comp long, sig binary"
+    left = ws.save(_meeting(apart.join(several, "bucket", "left_semi"), classes).mapInArrow(_open, schema), "open")
+    more = _in_parts(left.join(grams, "cls").select("bucket", "part", "cls", "comp", "sig", "grams"))
+    more = ws.save(more.mapInArrow(lambda batches: _joining(batches, least), "a long, b long"), "verified_second")
+    ws.drop("apart", "several", "open", "met")
     if not more.isEmpty():
         # the second links join components of the first
         roots = components(links.union(more), Workspace(docs.sparkSession, "alike"))
@@ -479,10 +547,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", shingle: int = WORDS, least:
     Rows that repeat the one that stays go too. Columns are those of docs.
     """
     ws = Workspace(docs.sparkSession, "keep_one")
-    found = alike(docs, key, shingle, least).groupBy("group", "row_key").agg(F.min(key).alias("k"), F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("k").isNull().alias("last"), "k", F.col("row_key").alias("__row_key"), "n"))
-    stay = ws.save(found.groupBy("group").agg(first.alias("m")).select("m.__row_key", "m.n"), "stay")
+    found = ws.save(alike(docs, key, shingle, least).groupBy("group", "row_key").agg(F.min(key).alias("k"), F.count("*").alias("n")), "found")
+    first = F.min(F.struct(F.col("k").isNull().alias("last"), "k", F.col("row_key").alias("__row_key"))).alias("m")
+    stay = found.groupBy("group").agg(first, F.sum("n").alias("all")).where(F.col("all") > 1)
+    met = ws.save(found.join(stay.select("group", F.col("m.__row_key").alias("stays")), "group").select("row_key", "stays", "n"), "met")
+    # the rows that go, and those that stay once of several alike: fewer than those that just stay, so the texts are left where they are
+    # as long as Spark may send these keys to all tasks
+    gone = ws.save(met.where("row_key <> stays or n > 1").select(F.col("row_key").alias("__row_key")), "gone")
+    again = ws.save(met.where("row_key = stays and n > 1").select(F.col("row_key").alias("__row_key")), "again")
     keyed = docs.withColumn("__row_key", row_key(F.col(key)))
-    single = keyed.join(stay.where("n = 1"), "__row_key", "left_semi")
-    repeated = keyed.join(stay.where("n > 1"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    single = keyed.join(gone, "__row_key", "left_anti")
+    repeated = keyed.join(again, "__row_key", "left_semi").dropDuplicates(["__row_key"])
     return single.union(repeated).select(*docs.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from graywether.functions.maths import ece_bin
 from graywether.operators.ordered import running
+from graywether.sources.steps import Workspace
 
 BINS = 15
 
@@ -71,7 +72,8 @@ def risk_coverage(items: DataFrame) -> DataFrame:
     """
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = items.select("case_id", "conf", "ok").repartitionByRange(n, F.desc("conf"), F.asc("case_id"))
-    dealt = dealt.withColumn("part", F.spark_partition_id())
+    # written, as the ranges are drawn from a sample and both uses have to see the same
+    dealt = Workspace(items.sparkSession, "risk_coverage").save(dealt.withColumn("part", F.spark_partition_id()), "dealt")
     w = W.partitionBy("part").orderBy(F.desc("conf"), F.asc("case_id"))
     own = dealt.withColumn("r", F.row_number().over(w)).withColumn("s", F.sum("ok").over(w.rowsBetween(W.unboundedPreceding, 0)))
     parts = dealt.groupBy("part").agg(F.count("*").alias("pn"), F.sum("ok").alias("ps"))

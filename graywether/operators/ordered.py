@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from graywether.sources.steps import Workspace
+
 
 def running(rows: DataFrame, order: str, sums: list[str], by: tuple[str, ...] = (), desc: bool = False) -> DataFrame:
     """rows with <s>_upto, the sum of s over the rows up to and with this one in the order, and <s>_all, over all rows; apart
@@ -16,7 +18,8 @@ def running(rows: DataFrame, order: str, sums: list[str], by: tuple[str, ...] =
     """
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.desc(order) if desc else F.asc(order)
-    dealt = rows.repartitionByRange(ranges, *by, key).withColumn("_part", F.spark_partition_id())
+    # written, as the ranges are drawn from a sample and both uses have to see the same
+    dealt = Workspace(rows.sparkSession, "running").save(rows.repartitionByRange(ranges, *by, key).withColumn("_part", F.spark_partition_id()), "dealt")
     inside = W.partitionBy("_part", *by).orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     own = dealt.withColumns({f"_own_{s}": F.sum(s).over(inside) for s in sums})
     parts = dealt.groupBy("_part", *by).agg(*(F.sum(s).alias(f"_sum_{s}") for s in sums))

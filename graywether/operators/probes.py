@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from graywether.functions.maths import argmax_first, dot, sigmoid, total, unit
 from graywether.operators.ordered import running
+from graywether.sources.steps import Workspace
 
 
 def spread(runs: DataFrame) -> DataFrame:
@@ -87,7 +88,8 @@ def stride(rows: DataFrame, order: str, n: int) -> DataFrame:
     """n rows evenly strided in order: those at floor(i * size / n). Places come from ranges of the order, each
     numbered on its own, plus the sizes of the ranges before (a row a range)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+    # written, as the ranges are drawn from a sample and both uses have to see the same
+    dealt = Workspace(rows.sparkSession, "stride").save(rows.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id()), "dealt")
     own = dealt.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(order)) - 1)
     sizes = dealt.groupBy("part").agg(F.count("*").alias("pn"))
     before = F.coalesce(F.sum("pn").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Start of the 64-bit FNV-1a hash, the salts of words and of word pairs, and the negation words.
+#: Start of the 64-bit FNV-1a hash, the salts of words and of word pairs, the negation words of tokens, and the
+#: negation words, prefixes and antonyms of sentence pairs.
 FNV_OFFSET = 0xCBF29CE484222325
 WORD_SALT = 0x3456789012345678
 BIGRAM_SALT = 0x0F1E2D3C4B5A6978
-NEGATIONS = ("no", "not", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "cannot", "without", "hardly", "scarcely", "barely")
+NEGATIONS = ("not", "no", "never", "nobody", "nothing", "none", "neither", "nor", "cannot", "without", "nowhere", "hardly", "isnt", "dont")
+NLI_NEGATIONS = ("not", "no", "never", "nothing", "none", "nobody", "nowhere", "neither", "nor", "cannot", "without")
+NLI_PREFIXES = ("un", "dis", "non")
+ANTONYMS = (
+    ("win", "lose"), ("open", "close"), ("open", "shut"), ("arrive", "depart"), ("arrive", "leave"), ("enter", "exit"), ("buy", "sell"), ("give", "take"),
+    ("love", "hate"), ("increase", "decrease"), ("rise", "fall"), ("gain", "lose"), ("accept", "reject"), ("allow", "forbid"), ("appear", "disappear"), ("stay", "leave"),
+    ("start", "stop"), ("begin", "finish"), ("remember", "forget"), ("hold", "release"), ("push", "pull"), ("fill", "empty"), ("expand", "shrink"), ("succeed", "fail"),
+)
 BUCKETS = 1 << 17
 LOW32 = 4294967295
 
@@ -37,18 +45,23 @@ def _fnv(items: Column, salt: int) -> Column:
     return F.aggregate(items, zero, step, lambda h: F.shiftleft(h["hi"], 32).bitwiseOR(h["lo"]))
 
 
+def _fold(b: Column) -> Column:
+    """A byte with A-Z lower-cased."""
+    return F.when(b.between(65, 90), b + 32).otherwise(b)
+
+
 def word_hash(word: Column) -> Column:
     """Salted hash of a word's bytes, A-Z lower-cased, as a signed 64-bit number."""
     raw = F.hex(word.cast("binary"))
     byte = lambda i: F.conv(F.substring(raw, 2 * i + 1, 2), 16, 10).cast("bigint")
     values = F.transform(F.sequence(F.lit(0), F.octet_length(word) - 1), byte)
-    return _fnv(F.transform(values, lambda b: F.when(b.between(65, 90), b + 32).otherwise(b)), WORD_SALT)
+    return _fnv(F.transform(values, _fold), WORD_SALT)
 
 
 def bigram_hash(a: Column, b: Column) -> Column:
-    """Salted hash of two word hashes, low byte first."""
+    """Salted hash of two word hashes, low byte first; their bytes are folded like letters."""
     parts = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.expr("0L") + F.call_function("shiftrightunsigned", h, 8 * i).bitwiseAND(F.lit(255)))
-    return _fnv(F.concat(parts(a), parts(b)), BIGRAM_SALT)
+    return _fnv(F.transform(F.concat(parts(a), parts(b)), _fold), BIGRAM_SALT)
 
 
 def leak_normal(text: Column) -> Column:
@@ -99,8 +112,35 @@ def input_bucket(text: Column) -> Column:
 
 
 def is_negation(token: Column) -> Column:
-    low = F.lower(token)
-    return low.isin(list(NEGATIONS)) | low.endswith("n't") | low.endswith('n"t')
+    """A negation word in either case, or a longer token that ends in n't or n"t."""
+    return F.lower(token).isin(list(NEGATIONS)) | ((F.char_length(token) > 3) & token.rlike("n['\"][tT]$"))
+
+
+def nli_features(premise: Column, hypothesis: Column) -> list[Column]:
+    """Ten numbers of a sentence pair's tokens (arrays): Jaccard, share of the hypothesis in the premise, ratio of lengths, negations
+    of either side and their difference (3 at most), shared numbers and those of the hypothesis only, words that meet their negated
+    form and antonyms (3 at most). No tokens count as one where they divide."""
+    p, h = F.array_distinct(premise), F.array_distinct(hypothesis)
+    shared, least = F.size(F.array_intersect(p, h)), lambda n: F.greatest(n, F.lit(1))
+    negations = lambda ws: F.size(F.filter(ws, lambda w: w.isin(list(NLI_NEGATIONS))))
+    capped = lambda n: F.least(n, F.lit(3)).cast("double")
+    numbers = lambda ws: F.filter(ws, lambda w: w.rlike("^[0-9]+$"))
+    denied = lambda ws, pre: F.transform(F.filter(ws, lambda w: F.char_length(w) >= 3), lambda w: F.concat(F.lit(pre), w))
+    crossed = sum((F.size(F.array_intersect(denied(a, pre), b)) for pre in NLI_PREFIXES for a, b in ((p, h), (h, p))), F.lit(0))
+    has = F.array_contains
+    opposed = sum((((has(p, a) & has(h, b)) | (has(p, b) & has(h, a))).cast("int") for a, b in ANTONYMS), F.lit(0))
+    return [
+        (shared / least(F.size(F.array_union(p, h)))).alias("jaccard"),
+        (shared / least(F.size(h))).alias("contained"),
+        (F.size(hypothesis) / least(F.size(premise))).alias("length_ratio"),
+        capped(negations(hypothesis)).alias("neg_hypothesis"),
+        capped(negations(premise)).alias("neg_premise"),
+        capped(F.abs(negations(hypothesis) - negations(premise))).alias("neg_diff"),
+        F.size(F.array_intersect(numbers(p), numbers(h))).cast("double").alias("numbers_shared"),
+        F.size(F.array_except(numbers(h), numbers(p))).cast("double").alias("numbers_new"),
+        capped(crossed).alias("denied"),
+        capped(opposed).alias("opposed"),
+    ]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ def fold_counts(rows: DataFrame) -> DataFrame:
     return cells.groupBy("fold", "label", "tok").agg(F.sum("t").alias("n_in"))
 
 
-def _tables(counts: DataFrame) -> tuple[list, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def _tables(counts: DataFrame, alpha: float | None) -> tuple[list, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """The labels, and by fold (-1: any that has no counts): log-odds (buckets by labels), labels that its training rows
     have, buckets they have."""
     found = counts.toArrow().to_pandas()
@@ -39,17 +39,19 @@ def _tables(counts: DataFrame) -> tuple[list, dict[int, tuple[np.ndarray, np.nda
     for f in [*folds, -1]:
         n_in = total - own.get(f, 0)
         n_all, size = n_in.sum(axis=1), n_in.sum(axis=0)
-        inside = (n_in + 1) / (size + BUCKETS)
-        outside = (n_all[:, None] - n_in + 1) / (size.sum() - size + BUCKETS)
-        odds = np.log2(inside) - np.log2(outside)
+        a = np.count_nonzero(n_all) / BUCKETS if alpha is None else alpha
+        with np.errstate(divide="ignore", invalid="ignore"):  # a fold that leaves no training rows scores nothing
+            inside = (n_in + a) / (size + a * BUCKETS)
+            outside = (n_all[:, None] - n_in + a) / (size.sum() - size + a * BUCKETS)
+            odds = np.log2(inside) - np.log2(outside)
         odds[n_all == 0] = 0
         out[int(f)] = (odds, size > 0, n_all > 0)
     return labels, out
 
 
-def _joined(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int) -> DataFrame:
+def _joined(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int, alpha: float | None) -> DataFrame:
     """The scores by joins: for tables that are too large to be sent whole."""
-    odds = events.log_odds(events.other_folds(counts, "label", "fold", folds), "label", by=("fold",))
+    odds = events.log_odds(events.other_folds(counts, "label", "fold", folds), "label", alpha, by=("fold",))
     # a bucket's scores in one row, so that an event meets one row and not one for each label
     packed = odds.groupBy("fold", "tok").agg(F.collect_list(F.struct("label", "score")).alias("odds"))
     keyed = rows.withColumn("_row", F.monotonically_increasing_id())
@@ -61,14 +63,15 @@ def _joined(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int) ->
     return keyed.join(listed, "_row", "left").join(seen, "_row", "left").select(*carry, "n", F.coalesce("seen", F.lit(0)).alias("seen"), "scores")
 
 
-def scores(rows: DataFrame, counts: DataFrame, carry: list[str]) -> DataFrame:
+def scores(rows: DataFrame, counts: DataFrame, carry: list[str], alpha: float | None = 1.0) -> DataFrame:
     """carry, n, seen, scores (label and score, by label) of rows (fold, toks, times, n): the sum of the log-odds of a row's
     events that the other folds have, `seen` of them; scores is null where there is none. counts: fold, label, tok, n_in
-    (a written table). A row's fold needs no rows of its own in counts."""
+    (a written table). A row's fold needs no rows of its own in counts. alpha: the count that every bucket gets beforehand; None
+    takes the share of buckets that the training rows have."""
     shape = counts.agg(F.count_distinct("fold", "label").alias("n"), F.max("fold").alias("f")).first()
     if shape.n * BUCKETS * 8 > MOST_TABLE:
-        return _joined(rows, counts, carry, shape.f + 1)
-    labels, tables = _tables(counts)
+        return _joined(rows, counts, carry, shape.f + 1, alpha)
+    labels, tables = _tables(counts, alpha)
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast((labels, tables))  # MOST_TABLE bytes at most
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -15,13 +15,13 @@ from graywether.functions.text import BIGRAM_SALT, BUCKETS, FNV_OFFSET, WORD_SAL
 _PRIME = np.uint64((1 << 40) + 435)
 
 
-def _word_hashes(words: pa.StringArray) -> np.ndarray:
+def _word_hashes(words: pa.StringArray, salt: int = WORD_SALT) -> np.ndarray:
     """Salted FNV-1a of every word's bytes, A-Z lower-cased: byte by byte, all words at once."""
     raw = words.cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", dtype=np.uint8)
     size = np.diff(offsets)
-    h = np.full(len(size), FNV_OFFSET ^ WORD_SALT, dtype=np.uint64)
+    h = np.full(len(size), FNV_OFFSET ^ salt, dtype=np.uint64)
     on, place = np.flatnonzero(size > 0), 0
     while len(on):
         b = data[offsets[on] + place]
@@ -32,12 +32,13 @@ def _word_hashes(words: pa.StringArray) -> np.ndarray:
     return h
 
 
-def _pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Salted FNV-1a of two word hashes, low byte first."""
-    h = np.full(len(a), FNV_OFFSET ^ BIGRAM_SALT, dtype=np.uint64)
+def _pair_hashes(a: np.ndarray, b: np.ndarray, salt: int = BIGRAM_SALT) -> np.ndarray:
+    """Salted FNV-1a of two word hashes, low byte first; bytes that are A-Z are lower-cased here too."""
+    h = np.full(len(a), FNV_OFFSET ^ salt, dtype=np.uint64)
     for part in (a, b):
         for i in range(8):
-            h = (h ^ (part >> np.uint64(8 * i) & np.uint64(255))) * _PRIME
+            byte = part >> np.uint64(8 * i) & np.uint64(255)
+            h = (h ^ np.where((byte >= 65) & (byte <= 90), byte + np.uint64(32), byte)) * _PRIME
     return h
 
 
@@ -86,23 +87,30 @@ def count_table(events: DataFrame, domain: str) -> DataFrame:
     return events.groupBy(domain, tok.alias("tok")).agg(F.count("*").alias("n_in"))
 
 
-def log_odds(counts: DataFrame, domain: str, alpha: float = 1.0, vocabulary: int = BUCKETS, by: tuple[str, ...] = ()) -> DataFrame:
+def log_odds(counts: DataFrame, domain: str, alpha: float | None = 1.0, vocabulary: int = BUCKETS, by: tuple[str, ...] = ()) -> DataFrame:
     """domain, tok, n_in, n_out, score: log2 of smoothed shares inside and outside the domain, for every domain; apart
     for each value of the columns `by`.
 
-    Buckets a domain lacks (n_in = 0) are made by joining seen buckets with the domains, which are few.
+    Buckets a domain lacks (n_in = 0) are made by joining seen buckets with the domains, which are few. alpha None: the
+    number of seen buckets by the vocabulary, so that all buckets together get one count for each seen one.
     """
     everything = counts.groupBy(*by, "tok").agg(F.sum("n_in").alias("n_all"))
     size = counts.groupBy(*by, domain).agg(F.sum("n_in").alias("size_in"))
     total = size.groupBy(*by).agg(F.sum("size_in").alias("size_all"))
+    if alpha is None:
+        observed = everything.groupBy(*by).agg((F.count("*") / vocabulary).alias("alpha"))
+        total = total.join(observed, list(by)) if by else total.crossJoin(F.broadcast(observed))  # one row
+    else:
+        total = total.withColumn("alpha", F.lit(alpha))
     if by:
         full = everything.join(size.join(total, list(by)), list(by))
     else:
         full = everything.crossJoin(F.broadcast(size.crossJoin(F.broadcast(total))))  # a row a domain
     joined = full.join(counts, [*by, domain, "tok"], "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
     n_out = F.col("n_all") - F.col("n_in")
-    inside = (F.col("n_in") + alpha) / (F.col("size_in") + alpha * vocabulary)
-    outside = (n_out + alpha) / (F.col("size_all") - F.col("size_in") + alpha * vocabulary)
+    mass = F.col("alpha") * vocabulary
+    inside = (F.col("n_in") + F.col("alpha")) / (F.col("size_in") + mass)
+    outside = (n_out + F.col("alpha")) / (F.col("size_all") - F.col("size_in") + mass)
     return joined.select(*by, domain, "tok", "n_in", n_out.alias("n_out"), (F.log2(inside) - F.log2(outside)).alias("score"))
 
 

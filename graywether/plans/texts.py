@@ -27,7 +27,7 @@ HASHES = f"""
     hashed AS (SELECT doc_id, pos, h FROM tok JOIN vocab USING (w)),
     pairs AS (SELECT doc_id, pos, lag(h) OVER (PARTITION BY doc_id ORDER BY pos) AS p, h FROM hashed),
     pv AS (SELECT p, h, list_reduce(list_prepend({T.FNV_OFFSET ^ T.BIGRAM_SALT}::UBIGINT, list_transform(list_concat(list_transform(range(0, 8), lambda i: ((p >> (8 * i)::UBIGINT) & 255::UBIGINT)),
-        list_transform(range(0, 8), lambda i: ((h >> (8 * i)::UBIGINT) & 255::UBIGINT))), lambda b: b::UBIGINT)), {STEP}) AS g FROM (SELECT DISTINCT p, h FROM pairs WHERE p IS NOT NULL)),
+        list_transform(range(0, 8), lambda i: ((h >> (8 * i)::UBIGINT) & 255::UBIGINT))), lambda b: (CASE WHEN b BETWEEN 65 AND 90 THEN b + 32 ELSE b END)::UBIGINT)), {STEP}) AS g FROM (SELECT DISTINCT p, h FROM pairs WHERE p IS NOT NULL)),
     ev AS (SELECT doc_id, pos, h, false AS is_bigram FROM hashed UNION ALL SELECT doc_id, pos, g, true FROM pairs JOIN pv USING (p, h))"""
 H = "WITH " + HASHES
 
@@ -132,18 +132,22 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("premise is not null")
 
 
+HAS = "(list_contains({0}s, '{2}') AND list_contains({1}s, '{3}'))"
+OPPOSED = " + ".join(f"({HAS.format('p', 'h', a, b)} OR {HAS.format('p', 'h', b, a)})::INT" for a, b in T.ANTONYMS)
+DENIED = " + ".join(f"len(list_filter({x}s, lambda w: length(w) >= 3 AND list_contains({y}s, '{pre}' || w)))" for pre in T.NLI_PREFIXES for x, y in ("ph", "hp"))
+
+
 @query(f"""WITH {TURNS}, k AS (SELECT conv_id, turn, {NLI.format('premise')} AS p, {NLI.format('hypothesis')} AS h FROM t WHERE premise IS NOT NULL),
-    s AS (SELECT *, list_distinct(p) AS ps, list_distinct(h) AS hs FROM k), i AS (SELECT *, len(list_intersect(ps, hs)) AS shared FROM s)
-    SELECT conv_id, turn, round(CASE WHEN len(ps) + len(hs) - shared = 0 THEN 1 ELSE shared / (len(ps) + len(hs) - shared) END, 6)::DOUBLE AS jaccard,
-    round(CASE WHEN len(hs) = 0 THEN 0 ELSE shared / len(hs) END, 6)::DOUBLE AS contained, round(CASE WHEN len(p) = 0 THEN 0 ELSE len(h) / len(p) END, 6)::DOUBLE AS length_ratio,
-    len(list_filter(p, lambda x: x IN {T.NEGATIONS}))::INT AS neg_premise, len(list_filter(h, lambda x: x IN {T.NEGATIONS}))::INT AS neg_hypothesis FROM i""")
+    s AS (SELECT *, list_distinct(p) AS ps, list_distinct(h) AS hs FROM k),
+    i AS (SELECT *, len(list_intersect(ps, hs)) AS shared, len(list_filter(p, lambda x: x IN {T.NLI_NEGATIONS})) AS np, len(list_filter(h, lambda x: x IN {T.NLI_NEGATIONS})) AS nh,
+        list_filter(ps, lambda x: regexp_matches(x, '^[0-9]+$')) AS dp, list_filter(hs, lambda x: regexp_matches(x, '^[0-9]+$')) AS dh FROM s)
+    SELECT conv_id, turn, round(shared / greatest(len(ps) + len(hs) - shared, 1), 6)::DOUBLE AS jaccard, round(shared / greatest(len(hs), 1), 6)::DOUBLE AS contained, round(len(h) / greatest(len(p), 1), 6)::DOUBLE AS length_ratio,
+    least(nh, 3)::DOUBLE AS neg_hypothesis, least(np, 3)::DOUBLE AS neg_premise, least(abs(nh - np), 3)::DOUBLE AS neg_diff, len(list_intersect(dp, dh))::DOUBLE AS numbers_shared,
+    len(list_filter(dh, lambda x: NOT list_contains(dp, x)))::DOUBLE AS numbers_new, least({DENIED}, 3)::DOUBLE AS denied, least({OPPOSED}, 3)::DOUBLE AS opposed FROM i""")
 def nli_pair_features(spark, sf_dir):
+    """The ten features of every turn and the one before it."""
     rows = turns(spark, sf_dir).select("conv_id", "turn", T.nli_tokens(F.col("premise")).alias("p"), T.nli_tokens(F.col("hypothesis")).alias("h"))
-    ps, hs = F.array_distinct("p"), F.array_distinct("h")
-    contained = F.when(F.size("h") == 0, 0.0).otherwise(F.size(F.array_intersect(ps, hs)) / F.size(hs))
-    ratio = F.when(F.size("p") == 0, 0.0).otherwise(F.size("h") / F.size("p"))
-    negations = lambda c: F.size(F.filter(c, lambda x: x.isin(list(T.NEGATIONS))))
-    return r6(rows.select("conv_id", "turn", T.jaccard(ps, hs).alias("jaccard"), contained.alias("contained"), ratio.alias("length_ratio"), negations("p").alias("neg_premise"), negations("h").alias("neg_hypothesis")))
+    return r6(rows.select("conv_id", "turn", *T.nli_features(F.col("p"), F.col("h"))))
 
 
 PLAIN = RUNS.format("replace(text, chr(39), '')")
@@ -161,7 +165,7 @@ def input_buckets(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.input_bucket(F.col("text")).alias("bucket"))
 
 
-@query(f"SELECT doc_id, len(list_filter({TOKENS}, lambda t: lower(t) IN {T.NEGATIONS} OR lower(t) LIKE '%n''t' OR lower(t) LIKE '%n\"t'))::INT AS n_negations FROM documents")
+@query(f"SELECT doc_id, len(list_filter({TOKENS}, lambda t: lower(t) IN {T.NEGATIONS} OR (length(t) > 3 AND regexp_matches(t, 'n[''\"][tT]$'))))::INT AS n_negations FROM documents")
 def negations(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(F.filter(T.tokens(F.col("text")), T.is_negation)).alias("n_negations"))
 

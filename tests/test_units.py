@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from graywether.functions import maths
 from graywether.functions import text as T
-from graywether.operators import compare, metrics, ranking
+from graywether.operators import compare, events, metrics, ranking
 from graywether.plans import registry
 from graywether.sources import corpora
 from graywether.streaming import feedback
@@ -59,13 +59,48 @@ def test_target_threshold_falls_back_to_the_best(spark):
     assert ranking.target_threshold(df, 0.6).first().threshold == 0.7
 
 
-def fnv(word):
-    h = T.FNV_OFFSET ^ T.WORD_SALT
-    for b in word.encode():
+def fnv_bytes(raw, salt):
+    h = T.FNV_OFFSET ^ salt
+    for b in raw:
         h = ((h ^ (b + 32 if 65 <= b <= 90 else b)) * 1099511628211) % (1 << 64)
+    return h
+
+
+def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
+def fnv(word):
+    return signed(fnv_bytes(word.encode(), T.WORD_SALT))
+
+
+def test_pairs_fold_bytes_like_letters(spark):
+    words = ["Hello", "naïve", "a", "x" * 40, "win", "lose"]
+    hashes = [fnv_bytes(w.encode(), T.WORD_SALT) for w in words]
+    want = [signed(fnv_bytes(a.to_bytes(8, "little") + b.to_bytes(8, "little"), T.BIGRAM_SALT)) for a, b in zip(hashes, hashes[1:])]
+    assert [one(spark, T.bigram_hash(F.lit(signed(a)), F.lit(signed(b)))) for a, b in zip(hashes, hashes[1:])] == want
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    rows = events.token_events(docs).where("is_bigram").orderBy("pos").collect()
+    assert [r.h for r in rows] == want
+    assert any(65 <= b <= 90 for h in hashes for b in h.to_bytes(8, "little"))  # else folding isn't tested
+
+
+def test_negations(spark):
+    for word, want in [("Not", True), ("isnt", True), ("don't", True), ('don"T', True), ("DON'T", False), ("n't", False), ("scarcely", False), ("knot", False)]:
+        assert one(spark, T.is_negation(F.lit(word))) is want, word
+
+
+def test_features_of_sentence_pairs(spark):
+    def features(premise, hypothesis):
+        df = spark.createDataFrame([(premise, hypothesis)], "p string, h string")
+        return tuple(df.select(T.nli_tokens(F.col("p")).alias("p"), T.nli_tokens(F.col("h")).alias("h")).select(*T.nli_features(F.col("p"), F.col("h"))).first())
+
+    assert features("They win 3 games", "they don't lose 3 or 4 happy games") == (3 / 10, 3 / 9, 9 / 4, 1, 0, 1, 1, 1, 0, 1)
+    assert features("an unhappy and disabled man", "happy, able, abled")[8] == 2
+    assert features("no not never none", "") == (0, 0, 0, 0, 3, 3, 0, 0, 0, 0)
+    assert features("", "a") == (0, 0, 1, 0, 0, 0, 0, 0, 0, 0)
+
+
 def test_hash_and_normal_forms(spark):
     for w in ("Hello", "naïve", "a", "x" * 40):
         assert one(spark, T.word_hash(F.lit(w))) == fnv(w)

@@ -15,6 +15,17 @@ from graywether.functions.text import BUCKETS, tokens
 from graywether.operators.events import _pair_hashes, _word_hashes
 
 
+def cells(owner: np.ndarray, stream: np.ndarray, n: int) -> list[pa.Array]:
+    """Lists toks, times and runs of n rows, from a stream of buckets ordered by its rows."""
+    keyed = owner * BUCKETS + stream
+    fresh = np.ones(len(keyed), dtype=bool)
+    fresh[1:] = keyed[1:] != keyed[:-1]
+    found, place = np.unique(keyed, return_inverse=True)
+    edges = pa.array(np.searchsorted(found, np.arange(n + 1) * BUCKETS).astype(np.int32))
+    arrays = [found % BUCKETS, np.bincount(place, minlength=len(found)), np.bincount(place, weights=fresh, minlength=len(found))]
+    return [pa.ListArray.from_arrays(edges, pa.array(a.astype(np.int32))) for a in arrays]
+
+
 def bucket_rows(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """carry, toks, times, runs, n: the buckets of each row's words and pairs of neighbours, ascending, how often each
     occurs, how often without repeats in a row of the stream (word, word, pair, word, pair, ...), and the stream's length.
@@ -42,13 +53,7 @@ def bucket_rows(docs: DataFrame, carry: list[str], text: str = "text") -> DataFr
                 mask = np.uint64(BUCKETS - 1)
                 stream[begin[owner] + np.maximum(2 * pos - 1, 0)] = (h & mask).astype(np.int64)
                 stream[begin[owner[second]] + 2 * pos[second]] = (_pair_hashes(h[second - 1], h[second]) & mask).astype(np.int64)
-                keyed = np.repeat(np.arange(len(sizes)), length) * BUCKETS + stream
-                fresh = np.ones(len(keyed), dtype=bool)
-                fresh[1:] = keyed[1:] != keyed[:-1]
-                found, place = np.unique(keyed, return_inverse=True)
-                edges = pa.array(np.searchsorted(found, np.arange(len(sizes) + 1) * BUCKETS).astype(np.int32))
-                arrays = [found % BUCKETS, np.bincount(place, minlength=len(found)), np.bincount(place, weights=fresh, minlength=len(found))]
-                lists = [pa.ListArray.from_arrays(edges, pa.array(a.astype(np.int32))) for a in arrays]
+                lists = cells(np.repeat(np.arange(len(sizes)), length), stream, len(sizes))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *lists, pa.array(length.astype(np.int64))], names=[*carry, "toks", "times", "runs", "n"])
 
     words = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("ws")

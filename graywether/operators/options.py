@@ -22,16 +22,26 @@ def fold_counts(rows: DataFrame) -> DataFrame:
 
 
 def tables(counts: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
-    """For each fold, by the counts of the others: fold, qid, tok, odds (option, n_in) of each bucket, and fold, qid, sizes
-    (option, size_in), size_all, alpha of each question. alpha is the share of buckets that any question's rows have."""
+    """For each fold, by the counts of the others: fold, qid, tok, odds (log2 odds of each option) of each bucket, and fold, qid, fitted
+    (the options, in the order of odds) of each question. A bucket gets alpha counts beforehand: the share of buckets that any
+    question's rows have."""
     key = F.struct("qid", "option").alias("key")
     others = other_folds(counts.select("fold", key, "tok", "n_in"), "key", "fold", folds)
     alpha = others.select("fold", "tok").distinct().groupBy("fold").agg((F.count("*") / BUCKETS).alias("alpha"))
     flat = others.select("fold", "key.qid", "key.option", "tok", "n_in")
-    cells = flat.groupBy("fold", "qid", "tok").agg(F.collect_list(F.struct("option", "n_in")).alias("odds"))  # one an option
+    cells = flat.groupBy("fold", "qid", "tok").agg(F.map_from_entries(F.collect_list(F.struct("option", "n_in"))).alias("n"), F.sum("n_in").alias("n_all"))  # one an option
     sizes = flat.groupBy("fold", "qid", "option").agg(F.sum("n_in").alias("size_in"))
     sizes = sizes.groupBy("fold", "qid").agg(F.sum("size_in").alias("size_all"), F.sort_array(F.collect_list(F.struct("option", "size_in"))).alias("sizes"))
-    return cells, sizes.join(alpha, "fold")
+    sizes = sizes.join(alpha, "fold")
+
+    def odds(s: Column) -> Column:
+        n_in, mass = F.coalesce(F.element_at("n", s["option"]), F.lit(0)), F.col("alpha") * BUCKETS
+        inside = (n_in + F.col("alpha")) / (s["size_in"] + mass)
+        outside = (F.col("n_all") - n_in + F.col("alpha")) / (F.col("size_all") - s["size_in"] + mass)
+        return F.log2(inside) - F.log2(outside)
+
+    fitted = sizes.select("fold", "qid", F.transform("sizes", lambda s: s["option"]).alias("fitted"))
+    return cells.join(sizes, ["fold", "qid"]).select("fold", "qid", "tok", F.transform("sizes", odds).alias("odds")), fitted
 
 
 def term(score: Column, scores: Column, at: Column, n: Column, scale: float) -> Column:
@@ -48,21 +58,16 @@ def scores(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int, sca
     written), and its term in a blend. An option that no training row answers has neither. A null question has no tables.
     """
     ws = Workspace(rows.sparkSession, "options")
-    cells, sizes = tables(counts, folds)
+    cells, fitted = tables(counts, folds)
     asked = rows.select(*carry, "qid", "fold", "options", "toks", "times", "n").withColumn("_row", F.monotonically_increasing_id())
     asked = ws.save(asked, "asked")  # ids are drawn once and both uses see the same
     events = asked.select("_row", "fold", "qid", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("times").alias("t"))))
-    met = events.join(cells, ["fold", "qid", "tok"]).join(sizes, ["fold", "qid"])
-    n_all = F.aggregate("odds", F.lit(0).cast("long"), lambda s, x: s + x["n_in"])
-    met = met.select("_row", "t", "size_all", "alpha", n_all.alias("n_all"), F.map_from_entries("odds").alias("odds"), F.inline("sizes"))
-    n_in, mass = F.coalesce(F.element_at("odds", F.col("option")), F.lit(0)), F.col("alpha") * BUCKETS
-    inside = (n_in + F.col("alpha")) / (F.col("size_in") + mass)
-    outside = (F.col("n_all") - n_in + F.col("alpha")) / (F.col("size_all") - F.col("size_in") + mass)
-    sums = met.groupBy("_row", "option").agg(F.sum(F.col("t") * (F.log2(inside) - F.log2(outside))).alias("score"))
-    found = sums.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("option", "score"))).alias("found"))  # one an option
-    fitted = sizes.select("fold", "qid", F.transform("sizes", lambda s: s["option"]).alias("fitted"))
-    out = asked.join(fitted, ["fold", "qid"], "left").join(found, "_row", "left")
-    each = lambda o: F.when(F.array_contains("fitted", o), F.coalesce(F.element_at("found", o), F.lit(0.0)))
+    met = events.join(ws.save(cells, "cells"), ["fold", "qid", "tok"]).select("_row", "t", F.posexplode("odds").alias("at", "odds"))
+    sums = met.groupBy("_row", "at").agg(F.sum(F.col("t") * F.col("odds")).alias("score"))
+    found = sums.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("found"))  # one an option
+    out = asked.join(ws.save(fitted, "fitted"), ["fold", "qid"], "left").join(found, "_row", "left")
+    place = lambda o: F.array_position("fitted", o).cast("int") - 1
+    each = lambda o: F.when(place(o) >= 0, F.coalesce(F.element_at("found", place(o)), F.lit(0.0)))
     out = out.withColumn("scores", F.transform("options", each))
     out = out.withColumn("terms", F.transform("scores", lambda s, i: term(s, F.col("scores"), i, F.col("n"), scale)))
     return out.select(*carry, "qid", "options", "n", "scores", "terms")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("lanes", "texts", "cases", "feeds", "probes", "verdicts", "laws", "fits", "synthesis", "runs", "typed", "pairs")
+AREAS = ("lanes", "texts", "cases", "feeds", "probes", "verdicts", "laws", "fits", "synthesis", "runs", "typed", "pairs", "decisions")
 
 
 def load_all() -> None:

@@ -73,7 +73,9 @@ def pair_view_scores(spark, sf_dir):
     return r6(found.select("doc_id", "seen", F.inline("scores")).select("doc_id", F.col("label").alias("lang"), "score", "seen"))
 
 
-OPTIONS = f"WITH {HASHES}, {PLACED}" + f""", oe AS (SELECT p.doc_id, p.lang, p.source, p.fold, (e.h % {T.BUCKETS})::INT AS tok FROM ev e JOIN placed p USING (doc_id)),
+#: Folds by hash: by remainder, all rows of a source could be in one.
+HASHED = PLACED.replace(f"coalesce(doc_id % {FOLDS}, 0)::INT", f"coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INT % {FOLDS}, 0)::INT")
+OPTIONS = f"WITH {HASHES}, {HASHED}" + f""", oe AS (SELECT p.doc_id, p.lang, p.source, p.fold, (e.h % {T.BUCKETS})::INT AS tok FROM ev e JOIN placed p USING (doc_id)),
     cnt AS (SELECT folds.fold, source, lang, tok, count(*) AS n_in FROM oe JOIN folds ON oe.fold <> folds.fold GROUP BY ALL), obs AS (SELECT fold, count(DISTINCT tok)::DOUBLE AS m FROM cnt GROUP BY fold),
     allt AS (SELECT fold, source, tok, sum(n_in) AS n_all FROM cnt GROUP BY ALL), sz AS (SELECT fold, source, lang, sum(n_in) AS size_in FROM cnt GROUP BY ALL), sa AS (SELECT fold, source, sum(size_in) AS size_all FROM sz GROUP BY ALL),
     odds AS (SELECT fold, source, z.lang AS opt, t.tok, log2((coalesce(c.n_in, 0) + m / {T.BUCKETS}) / (z.size_in + m)) - log2((t.n_all - coalesce(c.n_in, 0) + m / {T.BUCKETS}) / (sa.size_all - z.size_in + m)) AS score
@@ -86,7 +88,7 @@ OPTIONS = f"WITH {HASHES}, {PLACED}" + f""", oe AS (SELECT p.doc_id, p.lang, p.s
 
 def optioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, gold, qid, options, n, scores, terms: the language of every document as a question that its source asks."""
-    fold = F.coalesce(F.pmod("doc_id", F.lit(FOLDS)), F.lit(0)).cast("int").alias("fold")
+    fold = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % FOLDS, F.lit(0)).alias("fold")
     rows = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("option"), F.col("source").alias("qid"), fold, "text")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     ws = Workspace(spark, "optioned")

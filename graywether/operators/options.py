@@ -1,11 +1,15 @@
 """Option-conditioned count tables: a question's options are told apart by the texts that were answered with each.
 
-A table belongs to a question and an option; its rest are the same question's other options. Tables stay DataFrames: a
-question that most rows ask has as many cells as it has buckets, and texts meet them by bucket.
+A table belongs to a question and an option; its rest are the same question's other options. Small tables are sent to the
+tasks; larger ones stay DataFrames, whose cells texts meet by bucket, so a question that most rows ask isn't one key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ from graywether.functions.text import BUCKETS
 from graywether.operators.events import other_folds
 from graywether.sources.steps import Workspace
 
+#: Rows of counts whose tables are sent to the tasks whole (about 100 MB); more are joined.
+MOST_CELLS = 4_000_000
+
 
 def fold_counts(rows: DataFrame) -> DataFrame:
     """fold, qid, option, tok, n_in of rows (qid, option, fold, toks, times); rows without question or answer count for none."""
@@ -52,14 +59,11 @@ def term(score: Column, scores: Column, at: Column, n: Column, scale: float) ->
     return F.when(score.isNull(), None).when(n == 0, scale * 0.5).otherwise(scale * maths.sigmoid(margin / n))
 
 
-def scores(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int, scale: float = 1.0) -> DataFrame:
-    """carry, qid, options, n, scores, terms of rows (carry, qid, fold, options, toks, times, n): each offered option's sum of log2
-    odds of the text's events in buckets that the question's tables have, by the folds that the row isn't in (counts: fold_counts,
-    written), and its term in a blend. An option that no training row answers has neither. A null question has no tables.
-    """
+def _joined(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int) -> DataFrame:
+    """rows with scores, by joins: for tables that are too large to be sent whole."""
     ws = Workspace(rows.sparkSession, "options")
     cells, fitted = tables(counts, folds)
-    asked = rows.select(*carry, "qid", "fold", "options", "toks", "times", "n").withColumn("_row", F.monotonically_increasing_id())
+    asked = rows.withColumn("_row", F.monotonically_increasing_id())
     asked = ws.save(asked, "asked")  # ids are drawn once and both uses see the same
     events = asked.select("_row", "fold", "qid", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("times").alias("t"))))
     met = events.join(ws.save(cells, "cells"), ["fold", "qid", "tok"]).select("_row", "t", F.posexplode("odds").alias("at", "odds"))
@@ -69,8 +73,77 @@ def scores(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int, sca
     place = lambda o: F.array_position("fitted", o).cast("int") - 1
     each = lambda o: F.when(place(o) >= 0, F.coalesce(F.element_at("found", place(o)), F.lit(0.0)))
     out = out.withColumn("scores", F.transform("options", each))
-    out = out.withColumn("terms", F.transform("scores", lambda s, i: term(s, F.col("scores"), i, F.col("n"), scale)))
-    return out.select(*carry, "qid", "options", "n", "scores", "terms")
+    return out.select(*carry, "qid", "options", "n", "scores")
+
+
+def _sent(rows: DataFrame, counts: DataFrame, carry: list[str]) -> DataFrame:
+    """rows with scores, by tables that are sent to the tasks (counts: MOST_CELLS rows at most)."""
+    found = counts.toArrow().to_pandas()
+    seen = found.groupby("tok")["n_in"].sum()
+    alphas = {-1: len(seen) / BUCKETS}
+    for f, part in found.groupby("fold"):
+        alphas[int(f)] = int((seen.sub(part.groupby("tok")["n_in"].sum(), fill_value=0) > 0).sum()) / BUCKETS
+    questions = {}
+    for qid, part in found.groupby("qid"):
+        names, toks = sorted(part["option"].unique()), np.unique(part["tok"])
+        at = np.searchsorted(toks, part["tok"]) * len(names) + np.searchsorted(names, part["option"])
+        questions[qid] = (names, toks, part["fold"].to_numpy(), at, part["n_in"].to_numpy(dtype=np.float64))
+    sent = rows.sparkSession.sparkContext.broadcast((alphas, questions))  # MOST_CELLS cells at most
+    held: dict = {}
+
+    def table(fold: int, qid: str) -> tuple[dict[str, int], np.ndarray, np.ndarray] | None:
+        """Places of the options that the other folds have, the question's buckets, and log2 odds (buckets by places)."""
+        alphas, questions = sent.value
+        if qid not in questions:
+            return None
+        if (fold, qid) not in held:
+            names, toks, folds, at, n = questions[qid]
+            other = folds != fold
+            n_in = np.bincount(at[other], weights=n[other], minlength=len(toks) * len(names)).reshape(len(toks), len(names))
+            live = np.flatnonzero(n_in.sum(axis=0) > 0)
+            n_in, a = n_in[:, live], alphas.get(fold, alphas[-1])
+            n_all, size = n_in.sum(axis=1), n_in.sum(axis=0)
+            odds = np.log2((n_in + a) / (size + a * BUCKETS)) - np.log2((n_all[:, None] - n_in + a) / (size.sum() - size + a * BUCKETS)) if len(live) else n_in
+            odds[n_all == 0] = 0
+            held[fold, qid] = ({names[j]: i for i, j in enumerate(live)}, toks, odds)
+        return held[fold, qid]
+
+    k = len(carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                qids, offered, folds = (batch.column(k + i).to_pylist() for i in (0, 1, 3))
+                ends = np.asarray(batch.column(k + 4).offsets) - np.asarray(batch.column(k + 4).offsets)[0]
+                toks, times = (np.asarray(batch.column(k + i).flatten()) for i in (4, 5))
+                out = []
+                for i, (qid, names, fold) in enumerate(zip(qids, offered, folds)):
+                    known = table(fold, qid)
+                    if known is None or names is None:
+                        out.append(None if names is None else [None] * len(names))
+                        continue
+                    places, have, odds = known
+                    mine, often = toks[ends[i] : ends[i + 1]], times[ends[i] : ends[i + 1]]
+                    place = np.minimum(np.searchsorted(have, mine), len(have) - 1)
+                    hit = have[place] == mine
+                    score = often[hit].astype(np.float64) @ odds[place[hit]]
+                    out.append([float(score[places[o]]) if o in places else None for o in names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: k + 3], pa.array(out, pa.list_(pa.float64()))], names=[*carry, "qid", "options", "n", "scores"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in [*carry, "qid", "options", "n"])
+    return rows.select(*carry, "qid", "options", "n", "fold", "toks", "times").mapInArrow(run, f"{shape}, scores array<double>")
+
+
+def scores(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int, scale: float = 1.0) -> DataFrame:
+    """carry, qid, options, n, scores, terms of rows (carry, qid, fold, options, toks, times, n): each offered option's sum of log2
+    odds of the text's events in buckets that the question's tables have, by the folds that the row isn't in (counts: fold_counts,
+    written), and its term in a blend. An option that no training row answers has neither. A null question has no tables.
+    """
+    rows = rows.select(*carry, "qid", "fold", "options", "toks", "times", "n")
+    out = _sent(rows, counts, carry) if counts.count() <= MOST_CELLS else _joined(rows, counts, carry, folds)
+    return out.withColumn("terms", F.transform("scores", lambda s, i: term(s, F.col("scores"), i, F.col("n"), scale)))
 
 
 def picks(scored: DataFrame) -> Column:

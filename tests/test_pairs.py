@@ -141,7 +141,9 @@ def plain(rows):
     return out
 
 
-def test_option_scores_equal_plain_python(spark):
+@pytest.mark.parametrize("most", [options.MOST_CELLS, 0])
+def test_option_scores_equal_plain_python(spark, monkeypatch, most):
+    monkeypatch.setattr(options, "MOST_CELLS", most)  # 0: by joins
     rows = [
         (1, "q", "a", 0, ["a", "b", "c"], [1, 1, 2]),
         (2, "q", "b", 1, ["a", "b", "c"], [2, 3]),
@@ -163,6 +165,8 @@ def test_option_scores_equal_plain_python(spark):
     assert found[5].pick == "a" and found[4].terms == [0.5, 0.5] and found[4].pick == "a"
 
 
-def test_no_rows_to_score(spark):
+@pytest.mark.parametrize("most", [options.MOST_CELLS, -1])
+def test_no_rows_to_score(spark, monkeypatch, most):
+    monkeypatch.setattr(options, "MOST_CELLS", most)
     rows = spark.createDataFrame([], "doc_id long, qid string, option string, fold int, options array<string>, toks array<int>, times array<int>, n long")
     assert options.scores(rows, options.fold_counts(rows), ["doc_id"], 2).count() == 0

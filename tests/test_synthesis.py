@@ -92,3 +92,42 @@ def test_budget_extension_and_empty_tables(spark):
     extra = spark.createDataFrame([(1, "b", "e"), (2, "b", "f")], SCHEMA)
     rows = sorted(map(tuple, S.extended(train, extra, labels, 2, 1).collect()))
     assert rows == [("a", "x", "train"), ("a", "y", "train"), ("b", "e", "extra"), ("c", "c", "fallback")]
+
+
+def test_only_texts_that_share_half_a_frame_list_frames(spark, monkeypatch):
+    """Long texts of words of their own write no frames; one that differs from another in a word writes those of that word's side."""
+    written = {}
+
+    class Counted(S.Workspace):
+        def save(self, df, table):
+            out = super().save(df, table)
+            written[table] = out.count()
+            return out
+
+    monkeypatch.setattr(S, "Workspace", Counted)
+    rows = [(i, "A", " ".join(f"{i}w{k}" for k in range(60))) for i in range(40)]
+    found, _ = S.slots(spark.createDataFrame(rows, SCHEMA))
+    assert found.count() == 0 and written["shown"] == 0
+    changed = rows[0][2].split(" ")
+    changed[40] = "other"
+    found, _ = S.slots(spark.createDataFrame([*rows, (99, "A", " ".join(changed))], SCHEMA))
+    assert {(r.p, r.s, r.span) for r in found.collect()} == {(40, 19, "0w40"), (40, 19, "other")}
+    assert 0 < written["shown"] < 2 * 4 * 60  # two texts' frames at most, not all 41
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_shared_halves_lose_no_frame(most):
+    rng = random.Random(most)
+    texts = {tuple(rng.choice("abcdA") for _ in range(rng.randrange(1, 9))) for _ in range(120)}
+    shown, seen = {w: list(S.halves_of(list(w), most)) for w in texts}, {}
+    for halves in shown.values():
+        for x in halves:
+            seen[x] = seen.get(x, 0) + 1
+    kept, every = {}, {}
+    for w in texts:
+        live = frozenset(x[0] for x in shown[w] if seen[x] > 1)
+        for out, halves in ((kept, live), (every, None)):
+            for p, s, head, tail, *_ in S.frames_of(list(w), most, halves):
+                out.setdefault((p, s, head, tail), []).append(w)
+    twice = lambda d: {k: sorted(v) for k, v in d.items() if len(v) > 1}
+    assert twice(kept) == twice(every)

@@ -37,16 +37,23 @@ def questions() -> list:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, gold, qid, kind, options, probs, pick, conf, cause of every document's three questions, by the folds it isn't in."""
+    """doc_id, gold, qid, kind, options, probs, pick, conf, cause of every document's three questions, by the folds it isn't in.
+
+    Events are counted once, by all that the questions' answers depend on; both kinds of tables are sums of these counts. A text's
+    events are written once and multiplied by its questions in the task that answers them only.
+    """
     ws = Workspace(spark, "decisions")
     rows = states(spark, sf_dir)
-    counts = ws.save(bayes.fold_counts(rows), "counts")
+    cells = rows.select("fold", "label", "level", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("times").alias("t"))))
+    joint = ws.save(cells.groupBy("fold", "label", "level", "tok").agg(F.sum("t").alias("n_in")), "joint")
+    counts = ws.save(joint.where("label is not null").groupBy("fold", "label", "tok").agg(F.sum("n_in").alias("n_in")), "counts")
+    answers = joint.select("fold", "tok", "n_in", F.struct("label", "level").alias("row")).select("fold", "tok", "n_in", F.inline(F.array(*questions())))
+    answers = answers.where("gold is not null").groupBy("fold", "qid", F.col("gold").alias("option"), "tok").agg(F.sum("n_in").alias("n_in"))
+    tables = ws.save(answers, "options")
     keyed = rows.select(F.struct("doc_id", "label", "fold", "level", "vector", "toks", "times").alias("row"), "fold", "toks", "times", "n")
     scored = bayes.scores(keyed, counts, ["row"]).select("row", F.col("row.fold").alias("fold"), F.col("row.vector").alias("vector"), "n", F.col("scores").alias("nb"))
-    routed = decisions.cosines(scored, decisions.fold_centroids(rows))
+    routed = decisions.cosines(scored, ws.save(decisions.fold_centroids(rows), "centroids"))  # written, so that its size is known
     asked = routed.select("row.doc_id", "fold", "row.toks", "row.times", "n", "cosines", "nb", F.inline(F.array(*questions())))
-    asked = ws.save(asked, "asked")
-    tables = ws.save(options.fold_counts(asked.withColumnRenamed("options", "_").withColumnRenamed("gold", "option")), "options")
     conditioned = options.scores(asked, tables, ["doc_id", "gold", "kind", "cosines", "nb"], FOLDS)
     return decisions.decide(conditioned, ["doc_id", "gold"], POSTURE)
 

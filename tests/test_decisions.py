@@ -113,3 +113,20 @@ def test_a_decision_is_a_projection(spark):
     rows = [(i, "q", kind, opts, n, cosines, nb, own) for i, (kind, opts, n, cosines, nb, own) in enumerate(CASES)]
     plan = decisions.decide(spark.createDataFrame(rows, SCHEMA), ["case_id"], POSTURE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_events_of_a_state_are_written_once(spark, sf_dir, monkeypatch):
+    """No written table has a row for each question with the text's events, and the answers are given without a shuffle of them."""
+    from graywether.plans import decisions as plan
+
+    written = {}
+
+    class Noted(plan.Workspace):
+        def save(self, df, table):
+            written[table] = df.columns
+            return super().save(df, table)
+
+    monkeypatch.setattr(plan, "Workspace", Noted)
+    out = plan.decided(spark, sf_dir)
+    assert [t for t, columns in written.items() if "toks" in columns] == ["rows"]
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()

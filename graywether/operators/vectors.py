@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graywether.functions.maths import argmax_first, dot, gate_confidence, readout, shares, sigmoid, unit
+from graywether.operators.similar import most_similar
 
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -58,9 +59,9 @@ def confidences(items: DataFrame) -> DataFrame:
 def max_similarity(routed: DataFrame, vectors: DataFrame, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """case_id, pick, max_sim, gate: the largest cosine to a row of the routed domain (the case itself left out).
 
-    An equi-join on the domain; the domain's rows stream past each case in sorted partitions.
+    A domain's cases and rows meet in tiles of blocks.
     """
-    corpus = vectors.select(F.col(key).alias("row_id"), F.col(label).alias("pick"), unit(F.col(vector)).alias("v"))
-    pairs = routed.select("case_id", "pick", "u").join(corpus, "pick").where("case_id <> row_id")
-    best = pairs.groupBy("case_id", "pick").agg(F.max(dot(F.col("u"), F.col("v"))).alias("max_sim"))
+    corpus = vectors.select(F.col(label).alias("grp"), F.col(key).alias("id"), unit(F.col(vector)).alias("u"), F.col(label).alias("pick"))
+    met = most_similar(routed.select(F.col("pick").alias("grp"), F.col("case_id").alias("id"), "u"), corpus, 1, "pick")
+    best = met.groupBy("case_id", "pick").agg(F.max("sim").alias("max_sim"))
     return best.select("case_id", "pick", F.round("max_sim", 6).alias("max_sim"), F.round(gate_confidence(F.col("max_sim")), 6).alias("gate"))

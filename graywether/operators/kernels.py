@@ -18,12 +18,18 @@ from graywether.functions.maths import unit
 from graywether.operators.probes import pair_kernel
 from graywether.sources.steps import Workspace
 
-#: Rows of a block, near enough.
+#: Rows of a block, near enough. Smaller blocks can be asked for; a label of FEW_BLOCKS of them or more has BLOCK_ROWS a block as
+#: it grows, as each block is sent to all others.
 BLOCK_ROWS = 2048
+FEW_BLOCKS = 16
 LEAST_TAU = 1e-6
 RUNGS = (0.5, 0.75, 0.9)
 
 
+def block_count(n: Column, block_rows: int) -> Column:
+    return F.least(F.ceil(n / block_rows), F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(FEW_BLOCKS))).cast("int")
+
+
 def temperatures(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """label, n, tau: mean cosine deficit of the label's pairs, from the sum of its unit vectors; labels of two rows or more."""
     return pair_kernel(vectors, label, vector).where("n >= 2").select("label", "n", F.greatest(1 - F.col("mean_cos"), F.lit(LEAST_TAU)).alias("tau"))
@@ -107,7 +113,7 @@ def densities(vectors: DataFrame, key: str = "vec_id", label: str = "label", vec
     ws = Workspace(vectors.sparkSession, "kernels")
     known = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull() & F.col(key).isNotNull())
     rows = known.select(F.col(key).alias("key"), F.col(label).alias("label"), unit(F.col(vector)).alias("u"))
-    shape = temperatures(known, label, vector).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    shape = temperatures(known, label, vector).withColumn("blocks", block_count(F.col("n"), block_rows))
     shape = ws.save(shape, "shape")
     packed = ws.save(_blocks(rows, shape), "blocks")
     tiles = _tiles(packed.withColumn("others", F.col("blocks")), packed, ordered=True)
@@ -121,7 +127,7 @@ def candidate_deltas(cands: DataFrame, loo: DataFrame, packed: DataFrame, shape:
     """label, key, delta of candidates (key, label, src, vector): their log-density under all rows of the label less the
     leave-one-out density of the row src that they come from."""
     rows = cands.select("key", "label", unit(F.col("vector")).alias("u"))
-    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    sizes = rows.groupBy("label").agg(block_count(F.count("*"), block_rows).alias("blocks"))
     mine = _blocks(rows, sizes.join(shape.select("label", "tau", F.col("blocks").alias("others"), "n"), "label").select("label", "blocks", "tau"))
     mine = mine.join(shape.select("label", F.col("blocks").alias("others")), "label")
     pool = packed.drop("blocks", "tau").join(sizes.withColumnRenamed("blocks", "others"), "label")

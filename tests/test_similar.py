@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from graywether.operators import probes, similar
+from graywether.operators import kernels, probes, similar
 
 
 def test_most_similar_equals_brute_force_in_few_rows(spark, monkeypatch):
@@ -24,3 +24,9 @@ def test_most_similar_equals_brute_force_in_few_rows(spark, monkeypatch):
         assert sorted(got[i]) == [(n + 1, j, j % 3) for n, j in enumerate(want)]
     unit = df.select(F.lit(0).alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("u"))
     assert similar.most_similar(unit, unit, 1).count() <= 70 * 9  # a row a tile, not 70 a row
+
+
+def test_blocks_of_a_label_grow_slower_than_its_rows(spark):
+    """64 rows a block sent 938 blocks of a label of 60,000 rows to 938 others."""
+    sizes = spark.createDataFrame([(60,), (700,), (5000,), (60000,)], "n long")
+    assert [r.b for r in sizes.select(kernels.block_count(F.col("n"), 64).alias("b")).collect()] == [1, 11, 16, 30]

@@ -67,7 +67,9 @@ def most_similar(left: DataFrame, right: DataFrame, k: int, tag: str | None = No
     ws = Workspace(left.sparkSession, "similar")
     here = lambda rows: rows.where("grp is not null and id is not null and u is not null")
     tags = [tag] if tag else []
-    (a, a_shape), (b, b_shape) = _packed(here(left).select("grp", "id", "u"), ["u"]), _packed(here(right).select("grp", "id", "u", *tags), ["u", *tags])
+    cases = ws.save(here(left).select("grp", "id", "u"), "cases")  # counted and dealt: what they are made of is worked out once
+    rows = ws.save(here(right).select("grp", "id", "u", *tags), "rows")
+    (a, a_shape), (b, b_shape) = _packed(cases, ["u"]), _packed(rows, ["u", *tags])
     a, b = ws.save(a, "left"), ws.save(b, "right")
     meets = lambda rows, shape, own, other: rows.join(shape, "grp").select("grp", F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other), F.col("rows").alias("rows_" + own))
     tiles = meets(a, b_shape, "i", "j").join(meets(b, a_shape, "j", "i"), ["grp", "i", "j"]).select("rows_i", "rows_j")

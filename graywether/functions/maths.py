@@ -28,15 +28,16 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(xs: Column) -> Column:
-    """xs scaled to length 1; an all-zero vector stays as it is."""
-    norm = F.sqrt(dot(xs, xs))
-    return F.when(norm == 0, F.transform(xs, lambda x: x.cast("double"))).otherwise(F.transform(xs, lambda x: x.cast("double") / norm))
+    """xs scaled to length 1; an all-zero vector stays as it is. The length is bound once, not worked out for each element."""
+    norm = lambda s: F.when(s == 0, 1.0).otherwise(F.sqrt(s))
+    square = lambda s, x: s + x.cast("double") * x.cast("double")
+    return F.aggregate(xs, F.lit(0.0), square, lambda s: F.transform(xs, lambda x: x.cast("double") / norm(s)))
 
 
 def shares(xs: Column) -> Column:
-    """xs divided by their sum; even shares if they sum to 0."""
-    s = total(xs)
-    return F.transform(xs, lambda x: F.when(s > 0, x / s).otherwise(1.0 / F.size(xs)))
+    """xs divided by their sum; even shares if they sum to 0. The sum is bound once."""
+    each = lambda s: F.transform(xs, lambda x: F.when(s > 0, x / s).otherwise(1.0 / F.size(xs)))
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x, each)
 
 
 def argmax_first(xs: Column) -> Column:

@@ -13,14 +13,16 @@ from graywether.functions.maths import dot, unit
 from graywether.operators.vectors import answer
 
 
-def dropped(key: Column, sample: Column, dims: Column, rate: float) -> tuple[Column, Column]:
-    """The hashes, to be named _blocks, and from those an array over dimensions, true where the sample drops it: a byte of the MD5 of key, sample and 16 dimensions' number
-    is under rate * 256. Sample 0 drops none."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((dims - 1) / 16).cast("int")), lambda b: F.md5(F.concat_ws(":", key.cast("string"), sample.cast("string"), b.cast("string"))))
-    bytes_ = F.transform(
-        F.sequence(F.lit(0), dims - 1), lambda i: F.conv(F.substring(F.get(F.col("_blocks"), F.floor(i / 16).cast("int")), 2 * (i % 16) + 1, F.lit(2)), 16, 10).cast("int")
-    )
-    return blocks, F.transform(bytes_, lambda b: (sample > 0) & (b < int(rate * 256)))
+def dropped(key: Column, sample: Column, dims: Column, rate: float) -> Column:
+    """An array over dimensions, true where the sample drops it: a byte of the MD5 of key, sample and 16 dimensions' number
+    is under rate * 256. Sample 0 drops none. Each MD5 is taken once."""
+    most = int(rate * 256)
+    numbers = F.sequence(F.lit(0), F.floor((dims - 1) / 16).cast("int"))
+    # bytes are compared as two hex digits
+    under = lambda h: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(h, 2 * i + 1, F.lit(2)) < f"{most:02x}" if most < 256 else F.lit(True))
+    block = lambda b: F.md5(F.concat_ws(":", key.cast("string"), sample.cast("string"), b.cast("string")))
+    bound = F.flatten(F.transform(F.transform(numbers, block), under))
+    return F.when(sample > 0, F.slice(bound, F.lit(1), dims)).otherwise(F.array_repeat(F.lit(False), dims))
 
 
 def samples(vectors: DataFrame, cents: DataFrame, n: int, rate: float, key: str = "vec_id", label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -28,8 +30,7 @@ def samples(vectors: DataFrame, cents: DataFrame, n: int, rate: float, key: str
     domains = F.broadcast(cents.agg(F.sort_array(F.collect_list(F.struct("label", "dir"))).alias("domains")))  # one row, a label each
     rows = vectors.select(F.col(key).alias("case_id"), F.col(label).alias("gold"), unit(F.col(vector)).alias("u"))
     rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    blocks, mask = dropped(F.col("case_id"), F.col("sample"), F.size("u"), rate)
-    rows = rows.withColumn("_blocks", blocks).withColumn("_mask", mask)
+    rows = rows.withColumn("_mask", dropped(F.col("case_id"), F.col("sample"), F.size("u"), rate))
     rows = rows.withColumn("u", unit(F.zip_with("u", "_mask", lambda x, d: F.when(d, 0.0).otherwise(x)))).crossJoin(domains)
     routed = rows.select(
         F.struct("case_id", "sample").alias("case_id"),

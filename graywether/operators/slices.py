@@ -17,6 +17,13 @@ def in_label(rows: DataFrame, label: str, order: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w) - 1).join(F.broadcast(first), label)
 
 
+def heads(rows: DataFrame, label: str, order: str, k: int) -> DataFrame:
+    """label, order, place (from 0): the first k of each label. Spark keeps k a label and task before it shuffles, and only these
+    two columns go."""
+    w = W.partitionBy(label).orderBy(F.asc_nulls_last(order))
+    return rows.select(label, order).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(label, order, (F.col("_n") - 1).alias("place"))
+
+
 def round_robin(rows: DataFrame, label: str, order: str, budget: int) -> DataFrame:
     """The first `budget` rows when labels, in order of appearance, take turns. A top-k by place and label."""
     return in_label(rows, label, order).orderBy("place", "label_first").limit(budget)
@@ -32,14 +39,21 @@ def per_label(rows: DataFrame, label: str, order: str, cap: int) -> DataFrame:
 
 
 def split_three(rows: DataFrame, label: str, order: str, cal: int, test: int) -> DataFrame:
-    """rows with slice: the first `cal` of each label are cal, the next `test` are test, the rest is pool."""
-    place = F.col("place")
-    return in_label(rows, label, order).withColumn("slice", F.when(place < cal, "cal").when(place < cal + test, "test").otherwise("pool"))
+    """rows with slice: the first `cal` of each label are cal, the next `test` are test, the rest is pool; order is unique in a label.
+
+    Only the bounds of a label's slices are worked out, from its first rows; the rows themselves stay where they are.
+    """
+    key = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("at"))  # nulls last
+    bounds = heads(rows, label, order, cal + test).groupBy(F.col(label).alias("_label")).agg(
+        F.max(F.when(F.col("place") < cal, key)).alias("_cal"), F.max(key).alias("_test")
+    )
+    joined = rows.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("_label")))  # a row a label
+    return joined.withColumn("slice", F.when(key <= F.col("_cal"), "cal").when(key <= F.col("_test"), "test").otherwise("pool")).drop("_label", "_cal", "_test")
 
 
 def overlaps(sliced: DataFrame, key: Column) -> DataFrame:
-    """a, b, shared: distinct keys that two slices share; keys are grouped once, with the slices they are in."""
-    held = sliced.groupBy(key.alias("k")).agg(F.sort_array(F.collect_set("slice")).alias("s"))
+    """a, b, shared: distinct keys that two slices share (no null ones); keys are grouped once, with the slices they are in."""
+    held = sliced.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.sort_array(F.collect_set("slice")).alias("s"))
     pairs = held.where(F.size("s") > 1).select(F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
     return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from graywether.operators.ordered import running
 from graywether.operators.ranking import LEAST_SUPPORT, recommend
 from graywether.operators.verdicts import poisson_weights
+from graywether.sources.steps import Workspace
 
 #: Fixed values of the published audit: distances around the threshold, the most spread, the drop that is an edge, and the
 #: least answers that a resample may leave.
@@ -22,14 +23,28 @@ def resampled(obs: DataFrame, rho: float, draws: int = 200) -> DataFrame:
     key and the draw decide; the threshold is the element min(floor(m * rho), m - 1) of the m weighted scores. A draw
     without weight has none.
 
-    Weights are summed per distinct score before they are put in order, range by range.
+    Rows are dealt to ranges of the scores and written. A draw's weights are summed a range (a row for a range and draw), which
+    tells the range that holds its element; only there weights are summed a score, the range's rows dealt to all tasks.
     """
-    rows = obs.where("score is not null").select("axis", "score", "key", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    each = rows.groupBy("axis", "draw", "score").agg(F.sum(poisson_weights(F.col("key"), F.col("draw")).cast("long")).alias("w")).where("w > 0")
-    sums = running(each, "score", ["w"], ("axis", "draw"))
-    place = F.least(F.floor(F.col("w_all") * rho), F.col("w_all") - 1)
-    hit = sums.where((place < F.col("w_upto")) & (place >= F.col("w_upto") - F.col("w")))
-    return hit.select("axis", "draw", F.col("score").alias("threshold"), F.col("w_all").alias("m"), (F.col("w_all") - F.col("w_upto") + F.col("w")).alias("n_pass"))
+    ws = Workspace(obs.sparkSession, "resampled")
+    ranges = int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = obs.where("score is not null").select("axis", "key", "score").repartitionByRange(ranges, "axis", "score")
+    dealt = ws.save(rows.withColumn("part", F.spark_partition_id()), "dealt")
+    weight = poisson_weights(F.col("key"), F.col("draw")).cast("long")
+    every = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
+    spread = dealt.repartition(ranges, "key")  # a small table may lie in one file
+    sums = ws.save(spread.select("axis", "part", "key", every).groupBy("axis", "part", "draw").agg(F.sum(weight).alias("w")), "sums")
+    of = W.partitionBy("axis", "draw")
+    upto = of.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    parts = sums.withColumns({"_upto": F.sum("w").over(upto), "m": F.sum("w").over(of)}).withColumn("_place", F.least(F.floor(F.col("m") * rho), F.col("m") - 1))
+    held = parts.where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("w")))
+    held = held.select("axis", "part", "draw", "m", "_place", (F.col("_upto") - F.col("w")).alias("_before"))  # one part a draw
+    met = spread.join(F.broadcast(held), ["axis", "part"])
+    each = met.groupBy("axis", "draw", "score", "m", "_place", "_before").agg(F.sum(weight).alias("w")).where("w > 0")
+    ordered = of.orderBy("score").rowsBetween(W.unboundedPreceding, 0)  # scores of one range
+    hit = each.withColumn("_upto", F.col("_before") + F.sum("w").over(ordered))
+    hit = hit.where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("w")))
+    return hit.select("axis", "draw", F.col("score").alias("threshold"), "m", (F.col("m") - F.col("_upto") + F.col("w")).alias("n_pass"))
 
 
 def distribution(drawn: DataFrame, draws: int = 200) -> DataFrame:

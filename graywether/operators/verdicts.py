@@ -5,6 +5,11 @@ Each is an aggregation to a few numbers; what is joined by broadcast is one row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +17,7 @@ from pyspark.sql import functions as F
 from graywether.functions import maths
 from graywether.functions import text as T
 from graywether.operators import metrics, ranking
+from graywether.operators.events import _WORDS, _word_hashes, pieces
 from graywether.operators.ordered import running
 
 #: Cumulative probabilities of a Poisson(1) draw of 0, 1, 2, ...
@@ -162,20 +168,91 @@ def graded_decoys(slots: DataFrame, k: int) -> DataFrame:
     return rows.select("case_id", F.when(F.col("n") <= k, F.col("r")).otherwise(spaced).alias("decoys"))
 
 
+def _spread(texts: DataFrame, parts: int) -> DataFrame:
+    """gram, part, id, fold, xs, times: the distinct hashes of a text's words (gram false) and of three words in a row (true) that
+    fall in each part, with how often they occur. texts: id, fold, ws."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2, _WORDS):
+            words = batch.column(2)
+            sizes = np.diff(np.asarray(words.offsets))
+            coded = words.flatten().dictionary_encode()
+            h = _word_hashes(coded.dictionary)[np.asarray(coded.indices)] if len(coded) else np.array([], dtype=np.uint64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            third = np.flatnonzero(owner[2:] == owner[:-2]) if len(h) > 2 else np.array([], dtype=np.int64)
+            for gram, who, x in ((False, owner, h), (True, owner[third], (_mixed(_mixed(h[third]) ^ h[third + 1]) ^ h[third + 2]))):
+                x = _mixed(x)
+                part = (x >> np.uint64(32)) % np.uint64(parts)
+                order = np.lexsort((x, part, who))
+                who, part, x = who[order], part[order], x[order]
+                fresh = np.ones(len(x), dtype=bool)
+                fresh[1:] = (x[1:] != x[:-1]) | (who[1:] != who[:-1])
+                at = np.flatnonzero(fresh)
+                times = np.diff(np.append(at, len(x))).astype(np.int32)
+                who, part, x = who[at], part[at], x[at]
+                first = np.ones(len(x), dtype=bool)
+                first[1:] = (who[1:] != who[:-1]) | (part[1:] != part[:-1])
+                starts = np.flatnonzero(first)
+                ends = pa.array(np.append(starts, len(x)).astype(np.int32))
+                own = pa.array(who[starts])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([gram] * len(starts), pa.bool_()), pa.array(part[starts].astype(np.int32)), batch.column(0).take(own), batch.column(1).take(own),
+                        pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times)),
+                    ],
+                    names=["gram", "part", "id", "fold", "xs", "times"],
+                )
+
+    return texts.select("id", "fold", "ws").mapInArrow(run, f"gram boolean, part int, id {kind}, fold int, xs array<long>, times array<int>")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits, each of which depends on all of x."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _met(key: tuple, table: pa.Table) -> pa.Table:
+    """gram, id, times: what a text has in one part that another fold has too."""
+    table = table.combine_chunks()
+    n = np.asarray(pc.list_value_length(table["xs"]), dtype=np.int64)
+    owner = np.repeat(np.arange(len(n)), n)
+    x, times = np.asarray(pc.list_flatten(table["xs"])), np.asarray(pc.list_flatten(table["times"]))
+    folds = np.asarray(table["fold"])[owner]
+    order = np.argsort(x, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(x[order]) != 0))
+    shared = np.minimum.reduceat(folds[order], starts) != np.maximum.reduceat(folds[order], starts)
+    known = np.empty(len(x), dtype=bool)
+    known[order] = np.repeat(shared, np.diff(np.append(starts, len(x))))
+    hits = np.bincount(owner, weights=np.where(known, times, 0), minlength=len(n)).astype(np.int64)
+    some = np.flatnonzero(hits)
+    return pa.table({"gram": pa.array([key[0].as_py()] * len(some), pa.bool_()), "id": table["id"].take(pa.array(some)), "times": pa.array(hits[some])})
+
+
+#: Words and grams of a part, about.
+_PART = 2_000_000
+
+
 def hygiene(rows: DataFrame) -> DataFrame:
     """fold, n, mean_overlap, max_overlap, trigram_hits of texts (id, fold, text): the share of a text's words that other
-    folds have, and texts that share three words in a row with another fold. Words and grams are counted by the folds that
-    hold them, so each fold is held against the others in one pass. A text without words has a share of 0; ids are unique."""
-    words = rows.select("id", "fold", F.explode(F.array(T.hygiene_tokens(F.coalesce("text", F.lit(""))))).alias("ws"))
-    shared = (F.min("fold") != F.max("fold")).alias("shared")
-    asked = words.select("id", "fold", F.explode("ws").alias("w")).groupBy("id", "fold", "w").agg(F.count("*").alias("times"))
-    known = asked.groupBy("w").agg(shared).where("shared").select("w")
-    hits = asked.join(known, "w").groupBy("id").agg(F.sum("times").alias("hits"))
-    grams = words.select("id", "fold", F.explode(T.word_grams(F.col("ws"), 3)).alias("g"))
-    wall = grams.groupBy("g").agg(shared).where("shared").select("g")
-    walled = grams.join(wall, "g").select("id").distinct().withColumn("walled", F.lit(1))
+    folds have, and texts that share three words in a row with another fold. Each fold is held against the others in one
+    pass. A text without words has a share of 0; ids are unique.
+
+    Words and grams are 64-bit hashes. They are dealt to parts by hash, a text's in a part as one row, and shuffled once: a
+    part sees all that have a hash. The number of parts grows with the texts, so a part doesn't (but for hashes that all
+    texts hold, a number each).
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    letters = rows.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // (6 * _PART) + 1)
+    texts = rows.select("id", "fold", T.hygiene_tokens(text).alias("ws"))
+    met = _spread(texts, parts).groupBy("gram", "part").applyInArrow(_met, f"gram boolean, id {kind}, times long")
+    found = met.groupBy("id").agg(F.sum(F.when(~F.col("gram"), F.col("times"))).alias("hits"), F.max(F.when(F.col("gram"), 1)).alias("walled"))
     share = F.coalesce(F.col("hits") / F.nullif(F.col("size"), F.lit(0)), F.lit(0.0))
-    sized = words.select("id", "fold", F.size("ws").alias("size")).join(hits, "id", "left").join(walled, "id", "left")
+    sized = texts.select("id", "fold", F.size("ws").alias("size")).join(found, "id", "left")
     return sized.groupBy("fold").agg(F.count("*").alias("n"), F.avg(share).alias("mean_overlap"), F.max(share).alias("max_overlap"), F.count("walled").alias("trigram_hits"))
 
 

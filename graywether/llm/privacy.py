@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (emails, ip addresses, card and phone numbers) are the protected entities. Around each occurrence of an
-entity the terms (words of letters) within CONTEXT code points are gathered over the corpus. Pairs, entities and
+Base spans (emails, ip addresses, card and phone numbers) are the protected entities. The terms (words of letters) of the
+whole document that holds an entity are beside it. Pairs, entities and
 terms are all counted in documents, copies included. A term discloses an entity by the share of the entity's information it gives
 away: PMI(entity; term) / IC(entity), which nears 1 if the term occurs nowhere else. The PMI takes the lower bound
 (Wilson, Z standard errors) of the share of the term's documents that have it beside the entity, so pairs of any
@@ -12,7 +12,6 @@ a term is generalised, by REMOVE or more removed. Terms beside no entity are lef
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +23,6 @@ from pyspark.sql import functions as F
 from graywether.llm.tables import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 64
 DISCLOSE = 0.8
 REMOVE = 0.95
 #: Standard errors of the lower bound: 95 % on one side.
@@ -101,27 +99,12 @@ def _entity(kind: str, value: str) -> int:
 
 
 def candidates(text: str, spans: list[Span]) -> list[dict]:
-    """Terms beside each base span: entity, term, start and end.
-
-    Terms that touch a base span or the context's edge inside a word aren't taken.
-    """
-    taken = sorted((s, e) for _, s, e in spans)
-    starts = [s for s, _ in taken]
-    reach, ends = 0, []  # the furthest end up to each span
-    for _, e in taken:
-        reach = max(reach, e)
-        ends.append(reach)
-    found = []
-    for kind, start, end in spans:
-        entity = _entity(kind, text[start:end])
-        low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        near = taken[bisect_right(ends, low) : bisect_left(starts, high)]
-        for a, b in ((low, start), (end, high)):
-            for m in _TERM.finditer(text, a, b):
-                s, e = m.span()
-                whole = (s > a or a == end or s == 0 or not text[s - 1].isalpha()) and (e < b or b == start or e == len(text) or not text[e].isalpha())
-                if whole and not any(s < y and e > x for x, y in near):
-                    found.append({"entity": entity, "term": m[0].lower(), "start": s, "end": e})
+    """Terms of the whole text outside the base spans: term, start and end. None for a text without base spans."""
+    found, last = [], 0
+    for start, end in [*sorted((s, e) for _, s, e in spans), (len(text), len(text))] if spans else []:
+        for m in _TERM.finditer(text, last, start) if start > last else ():
+            found.append({"term": m[0].lower(), "start": m.start(), "end": m.end()})
+        last = max(last, end)
     return found
 
 
@@ -129,7 +112,7 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-_FOUND = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_FOUND = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -156,7 +139,7 @@ def find(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     names=names,
                 )
 
-    found = "array<struct<entity: long, term: string, start: int, end: int>>"
+    found = "array<struct<term: string, start: int, end: int>>"
     counted = ", ".join(f"n_{k} long" for k in KINDS)
     rows = docs.select(key, row_key(F.col(key)).alias("row_key"), "text")
     return rows.mapInArrow(run, f"`{key}` {kind}, row_key long, {counted}, base string, entities array<long>, beside {found}")
@@ -193,16 +176,24 @@ def least_share(k: Column, n: Column) -> Column:
     return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
-def disclosures(found: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
-    """entity, term, disclosure for pairs that reach DISCLOSE.
+def pairs(found: DataFrame, terms: DataFrame, n_docs: int) -> DataFrame:
+    """row_key, entity, term, n_entity, n_docs: the pairs of each row, once a row, that may reach DISCLOSE.
 
-    found: entities and beside of each row; terms: term, n_docs.
+    found: row_id, row_key, entities and beside of each row; terms: term, n_docs. A pair has n_docs and n_entity documents at most, which bounds
+    its disclosure before pairs are counted: terms of too many documents are left out, and no other pair.
     """
-    # a row counts once for a pair or an entity, as it does for a term
-    pair = F.array_distinct(F.transform("beside", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    pairs = found.select(F.inline(pair)).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    joined = pairs.join(entities, "entity").join(terms, "term")
+    owners = found.select("row_id", "row_key", F.explode("entities").alias("entity")).join(entities, "entity")
+    words = found.select("row_id", F.explode(F.array_distinct(F.transform("beside", lambda x: x["term"]))).alias("term")).join(terms, "term")
+    most = least_share(F.least("n_entity", "n_docs"), F.col("n_docs"))
+    least = F.pow(F.col("n_entity") / F.lit(float(max(n_docs, 1))), F.lit(1 - DISCLOSE)) * (1 - 1e-9)  # room for rounding
+    return owners.join(words, "row_id").where(most >= least).select("row_key", "entity", "term", "n_entity", "n_docs")
+
+
+def disclosures(met: DataFrame, n_docs: int) -> DataFrame:
+    """entity, term, disclosure for pairs that reach DISCLOSE (met: pairs, a row for each row that has one)."""
+    # a row counts once for a pair or an entity, as it does for a term
+    joined = met.groupBy("entity", "term", "n_entity", "n_docs").agg(F.count("*").alias("n_both"))
     total = F.lit(float(max(n_docs, 1)))
     ic = -F.log2(F.col("n_entity") / total)
     # a word that an email ends in is beside it but no word of the text, so it may have fewer documents
@@ -217,12 +208,14 @@ def analyse(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]
     Null keys and texts are allowed (a null text has no spans); repeated rows have one entry in the second table.
     """
     ws = Workspace(docs.sparkSession, "privacy")
-    rows = ws.save(find(docs, key), "found")
-    beside = rows.where(F.size("beside") > 0).select("row_key", F.inline("beside"))
-    terms = beside.select("term").distinct()
+    rows = ws.save(find(docs, key).withColumn("row_id", F.monotonically_increasing_id()), "found")  # written: all uses see the same
+    terms = rows.select(F.explode(F.transform("beside", lambda x: x["term"])).alias("term")).distinct()
     counts = ws.save(term_documents(docs).join(terms, "term", "left_semi"), "terms")
-    leaks = ws.save(disclosures(rows, counts, rows.count()), "leaks")
-    spans = beside.join(leaks, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.max("disclosure").alias("d"))
+    n_docs = rows.count()
+    met = ws.save(pairs(rows, counts, n_docs), "pairs")
+    leaks = met.join(ws.save(disclosures(met, n_docs), "leaks"), ["entity", "term"]).groupBy("row_key", "term").agg(F.max("disclosure").alias("disclosure"))
+    beside = rows.where(F.size("beside") > 0).select("row_key", F.inline("beside"))
+    spans = beside.join(leaks, ["row_key", "term"]).groupBy("row_key", "start", "end").agg(F.max("disclosure").alias("d"))
     spans = spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", (F.col("d") >= REMOVE).alias("remove")))).alias("terms"))
     return rows, ws.save(spans, "spans")
 

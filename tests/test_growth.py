@@ -80,3 +80,12 @@ def test_resamples_equal_the_plain_ones_and_list_no_row_a_score_and_draw(spark):
     assert {tuple(r) for r in found.collect()} == want
     assert stability.resampled(obs.where("false"), 0.3, 5).collect() == []
     assert np.isfinite([w[2] for w in want]).all()
+
+
+def test_terms_far_from_an_entity_disclose_it_too(spark):
+    from graywether.llm import privacy
+
+    far = "from zed@mail.example.org " + "word " * 400 + "Zebulon"
+    rows = [(i, far if i < 3 else f"word from number {i}") for i in range(3000)]
+    got = {r.doc_id: r.spans for r in privacy.report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 4").collect()}
+    assert all(got[i].endswith(f",term:{len(far) - 7}:{len(far)}") for i in range(3)) and got[3] == ""

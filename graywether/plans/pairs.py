@@ -92,10 +92,10 @@ def optioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir).select("doc_id", F.col("lang").alias("option"), F.col("source").alias("qid"), fold, "text")
     dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     ws = Workspace(spark, "optioned")
-    cells = ws.save(pairs.view_rows(dealt, ["doc_id", "option", "qid", "fold"], "bag"), "rows")
+    cells = ws.save(pairs.view_rows(dealt, ["doc_id", "option", "qid", "fold"], "bag").drop("runs"), "rows")
     counts = ws.save(options.fold_counts(cells), "counts")
     asked = cells.withColumn("options", F.array(*map(F.lit, LANGS))).withColumnRenamed("option", "gold")
-    return options.scores(asked, counts, ["doc_id", "gold"], FOLDS)
+    return options.scores(asked, counts, ["doc_id", "gold"], FOLDS, written=True)
 
 
 @query(OPTIONS + " SELECT doc_id, qid, opt AS option, round(score, 6) AS score, round(term, 6) AS term FROM tm")

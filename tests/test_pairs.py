@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -170,3 +171,45 @@ def test_no_rows_to_score(spark, monkeypatch, most):
     monkeypatch.setattr(options, "MOST_CELLS", most)
     rows = spark.createDataFrame([], "doc_id long, qid string, option string, fold int, options array<string>, toks array<int>, times array<int>, n long")
     assert options.scores(rows, options.fold_counts(rows), ["doc_id"], 2).count() == 0
+
+
+@pytest.mark.parametrize("most_of_one", [options.MOST_OF_ONE, 5, 0])
+def test_option_scores_by_parts_equal_plain_python(spark, monkeypatch, most_of_one):
+    monkeypatch.setattr(options, "MOST_CELLS", 0)
+    monkeypatch.setattr(options, "MOST_OF_ONE", most_of_one)  # 5: one question by parts, one by joins; 0: all by joins
+    monkeypatch.setattr(options, "PART_EVENTS", 40)  # several parts a question
+    rng = random.Random(2)
+    rows = [(i, "q", "abc"[i % 3], rng.randrange(3) % 2, ["a", "b", "z"], [rng.randrange(30) for _ in range(i % 9)]) for i in range(60)]
+    rows += [(60, "r", "a", 0, ["a"], [1]), (61, "r", "b", 1, ["b", "a"], [1, 2]), (62, None, "a", 0, ["a"], [1]), (63, "s", None, 1, [], [9])]
+    found, want = scored(spark, rows), plain(rows)
+    assert sorted(found) == sorted(want)
+    for i, (scores, terms) in want.items():
+        assert found[i].scores == [None if s is None else pytest.approx(s) for s in scores], i
+        assert found[i].terms == [None if t is None else pytest.approx(t) for t in terms], i
+
+
+def test_option_scores_shuffle_no_event_on_its_own(spark, monkeypatch):
+    monkeypatch.setattr(options, "MOST_CELLS", 0)
+    rows = [(i, "q", "ab"[i % 2], i % 2, ["a", "b"], [i % 5, 7]) for i in range(20)]
+    data = [(i, q, o, f, opts, sorted(set(t)), [1] * len(set(t)), 2) for i, q, o, f, opts, t in rows]
+    df = spark.createDataFrame(data, "doc_id long, qid string, option string, fold int, options array<string>, toks array<int>, times array<int>, n long")
+    counts = options.fold_counts(df)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (counts, options.scores(df, counts, ["doc_id"], 2))]
+    exchanges = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("tok#" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("held", [options.HELD_CELLS, 16])
+def test_fold_counts_equal_plain_python(spark, monkeypatch, held):
+    monkeypatch.setattr(options, "HELD_CELLS", held)  # 16: sums are sent on several times
+    rng = random.Random(4)
+    rows = [(rng.randrange(2), rng.choice(["q", "r", None]), rng.choice(["a", "b", None]), [(t, rng.randrange(1, 9)) for t in sorted(rng.sample(range(12), i % 6))]) for i in range(80)]
+    want = Counter()
+    for fold, qid, option, cells in rows:
+        for tok, t in cells if qid and option else []:
+            want[fold, qid, option, tok] += t
+    data = [(f, q, o, [t for t, _ in c], [n for _, n in c]) for f, q, o, c in rows]
+    df = spark.createDataFrame(data, "fold int, qid string, option string, toks array<int>, times array<int>").repartition(2)
+    found = options.fold_counts(df)
+    assert found.columns == ["fold", "qid", "option", "tok", "n_in"]
+    assert {(r.fold, r.qid, r.option, r.tok): r.n_in for r in found.collect()} == want and found.count() == len(want)

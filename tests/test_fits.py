@@ -83,6 +83,28 @@ def test_ridge_takes_nulls_repeats_and_empty_tables(spark):
         ridge.fit(made, ridge.MOST_FEATURES + 1)
 
 
+@pytest.mark.parametrize("rows_at_once, exact, sums", [(4096, 1 << 24, 1000), (3, 7, 1)])
+def test_ridge_sums_in_tasks_equal_plain_ones(spark, monkeypatch, rows_at_once, exact, sums):
+    monkeypatch.setattr(ridge, "ROWS", rows_at_once)
+    monkeypatch.setattr(ridge, "EXACT", exact)
+    monkeypatch.setattr(ridge, "CLASS_SUMS", sums)
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, [None, "a", "b"][i % 5 % 3], sorted(rng.choice(12, i % 7, replace=False).tolist())) for i in range(60)]
+    data = [(f, label, toks, [t + 1 for t in toks]) for f, label, toks in rows]
+    df = spark.createDataFrame(data, "fold int, label string, toks array<int>, times array<int>").repartition(2)
+    have = {t: sum(t in toks for _, _, toks in rows) for t in range(12)}
+    chosen = ridge.top_buckets(df, 8)
+    assert chosen == sorted(sorted(have, key=lambda t: (-have[t], t))[:8])
+    counts = ridge.class_counts(df, chosen)
+    want = {(f, x, t): [(t + 1) * n, n] for f in range(3) for x in (None, "a", "b") for t in chosen if (n := sum(t in toks for g, y, toks in rows if (g, y) == (f, x)))}
+    assert {(r.fold, r.label, r.tok): [r.n_in, r.df] for r in counts.collect()} == want
+    for r in ridge.pair_counts(df, chosen).collect():
+        x = np.array([[t in toks for t in chosen] + [True] for f, _, toks in rows if f == r.fold], dtype=np.int64)
+        assert (np.frombuffer(r.m, np.int64).reshape(9, 9) == x.T @ x).all()
+    assert "Generate explode" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert ridge.class_counts(df, []).count() == 0
+
+
 def test_ridge_blend_term(spark):
     scored = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "a", 0.5), (2, "b", 0.5)], "doc_id long, label string, score double")
     temp = ridge.temperature(scored, "doc_id")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graywether.functions import maths
-from graywether.functions.text import leak_normal
+from graywether.functions.text import leak_normal, tokens
 from graywether.operators import ensemble, events, leaks, slices, stability
 
 
@@ -89,3 +89,15 @@ def test_terms_far_from_an_entity_disclose_it_too(spark):
     rows = [(i, far if i < 3 else f"word from number {i}") for i in range(3000)]
     got = {r.doc_id: r.spans for r in privacy.report(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 4").collect()}
     assert all(got[i].endswith(f",term:{len(far) - 7}:{len(far)}") for i in range(3)) and got[3] == ""
+
+
+def test_tokens_are_found_in_one_pass_and_as_before(spark):
+    rng = random.Random(3)
+    signs = ["a", "Z", "9", " ", "\n", "\t", "\x0b", "\x0c", "\r", "-", "'", "é", "ß", "\u2028", "\u0085", "\U0001F600", "\x00", "٣"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + [None, "", "x" * 200_000, "-" * 200_000, "a" + "-" * 100_000 + " b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    trimmed = F.transform(F.split("text", r"[ \t\n\f\r]+"), lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", ""))
+    found = df.select(tokens(F.col("text")).alias("got"), F.filter(trimmed, lambda t: t != "").alias("want"))
+    assert found.where("not got <=> want").count() == 0
+    plan = df.select(tokens(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "regexp_replace" not in plan  # no pattern for each word

@@ -27,7 +27,7 @@ from graywether.sources.steps import Workspace
 MOST_CELLS = 4_000_000
 #: Rows of counts of one question whose tables a task holds; the texts of questions with more are joined by bucket.
 MOST_OF_ONE = 8_000_000
-#: A part of a question's texts has so many events at least, and twice as many as the question's tables have cells.
+#: A part of a question's texts has so many events at least, and four times as many as the question's tables have cells.
 PART_EVENTS = 1_000_000
 #: Counts that a task holds before it sends them on.
 HELD_CELLS = 4_000_000
@@ -188,7 +188,7 @@ def _dealt(rows: DataFrame, counts: DataFrame, carry: list[str], folds: int, wri
     packed = ws.save(packed, "tables")
     sizes = packed.groupBy("qid").agg(F.sum(F.size("tok")).alias("cells"))
     load = rows.groupBy("qid").agg(F.sum(F.size("toks") + 16).alias("events"))
-    parts = F.ceil(F.col("events") / F.greatest(F.lit(PART_EVENTS), 2 * F.coalesce("cells", F.lit(0)))).cast("int").alias("parts")
+    parts = F.ceil(F.col("events") / F.greatest(F.lit(PART_EVENTS), 4 * F.coalesce("cells", F.lit(0)))).cast("int").alias("parts")
     joint = F.col("cells").isNull() | (F.col("cells") <= MOST_OF_ONE)
     plan = load.join(sizes, "qid", "left").select("qid", parts, joint.alias("whole"))
     plan = ws.save(plan, "plan")  # a row a question

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -131,3 +132,27 @@ def test_shared_halves_lose_no_frame(most):
                 out.setdefault((p, s, head, tail), []).append(w)
     twice = lambda d: {k: sorted(v) for k, v in d.items() if len(v) > 1}
     assert twice(kept) == twice(every)
+
+
+@pytest.mark.parametrize("frames, spans", [(2, 3), (512, 2048)])
+def test_every_frame_takes_every_other_span(spark, monkeypatch, frames, spans):
+    """More spans than a frame was once tried with, in labels that share frames and words; texts that several frames make come once."""
+    monkeypatch.setattr(S, "FRAMES", frames)
+    monkeypatch.setattr(S, "SPANS", spans)
+    rows = [*sample(5, 40), (70, "A", "two two two"), (71, "B", "two two two"), (72, "B", "Two x"), (73, "A", "two x"), (74, "A", "a two now x")]
+    rows += [(100 + i, "A", f"call n{i} m{i} now") for i in range(60)] + [(200 + i, "B", f"N{i} m{i}") for i in range(3)]
+    found, texts = S.slots(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    want, words = pairwise(rows, 4)
+    for known in (rows, rows[:30]):
+        lines = {" ".join((t or "").split()).lower() for _, _, t in known}
+        cands = {}
+        for frame, own in want.items():
+            w, p, s = words[min(own.values())], len(frame[1]), len(frame[2])
+            for span in {x for f, o in want.items() if f[0] == frame[0] for x in o} - set(own):
+                text = " ".join([*w[:p], *span.split(" "), *w[len(w) - s :]])
+                if text.lower() not in lines:
+                    entry = (frame[0], " ".join(w[:p]), " ".join(w[len(w) - s :]), span, text, min(own.values()), p, len(span.split(" ")))
+                    cands[text.lower()] = min(entry, cands.get(text.lower(), entry))
+        made = S.transplants(found, texts, spark.createDataFrame(known, SCHEMA)).collect()
+        assert sorted((r.label, r.text, r.src, r.p, r.span_words) for r in made) == sorted((e[0], e[4], e[5], e[6], e[7]) for e in cands.values())
+        assert max(Counter((r.label, r.src, r.p, len(r.text.split()) - r.span_words) for r in made).values()) > S.MOST_TRIED

@@ -12,7 +12,9 @@ counts with half a count added. A text is scored by the longest state before eac
 Documents are packed into chunks of about CHUNK tokens. At each level a chunk asks for each distinct sequence it has
 under a context that is frequent. What it asks goes, packed into arrays, to parts by a hash of the context; a context of
 more than PART occurrences has several parts, by the sequence's hash, so a part holds about PART sequences whatever is
-common. A part adds up the chunks' counts, which are the counts of the tree, tests its contexts and answers each chunk
+common. A level has as many parts as its sequences fill, which are few from contexts of three words on. As a request is a
+row for each chunk and part, both sizes grow with the square root of the input beyond GROWS bytes of text, so that these rows
+grow with the input and not with its square. A part adds up the chunks' counts, which are the counts of the tree, tests its contexts and answers each chunk
 in the order in which it asked; contexts of several parts are tested on the sum over these. The chunks then update
 their tokens. No count passes through the driver and none is broadcast. Words and contexts are told apart by 64-bit
 hashes, sequences by their context's and 48 bits of their own.
@@ -26,9 +28,8 @@ all occurrences of a sequence are dropped together and the counts stay whole.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,8 @@ CHUNK = 500_000
 _GROUP = 1 << 20  # bytes of text that are split at once
 #: Sequences that a part counts, about; a context that occurs more often has several parts.
 PART = 1_000_000
+#: Bytes of text from which on chunks and parts grow.
+GROWS = 1 << 31
 #: The test reads -log2 p of a suffix in steps of 1 / 2 ** _STEPS.
 _STEPS = 16
 _END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
@@ -64,37 +67,47 @@ def held_out(key: Column) -> Column:
 
 
 def _schema(kind: str) -> str:
-    """Of a row for each whole chunk. words: distinct hashes; at: for each document an end, its words and an end, as places
+    """Of a row for each whole chunk. seqs: how many distinct words; words: their hashes; at: for each document an end, its words and an end, as places
     in words."""
-    return f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, words binary, at binary"
+    return f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<int>, seqs long, words binary, at binary"
 
 
-#: Of a chunk's sought tokens: done has the log10 of each document's finished ones. Of the others, pos (steps between places in the
-#: chunk), doc (steps), gram (which sequence) and train are listed by token; word, before (which word, which context) and p (by the longest
+#: Of a chunk's sought tokens: seqs is the number of their sequences, done has the log10 of each document's finished ones. Of the others, pos (steps between places in the
+#: chunk), doc (steps), gram (which sequence, marked) and train are listed by token; word, before (which word, which context, marked) and p (by the longest
 #: state so far) by sequence; context (the hash of the words before that are sought next), t (its occurrences) and state (whether
 #: its suffix is one) by context.
-_SOUGHT = "chunk long, done array<double>, words binary, pos binary, doc binary, gram binary, train binary, word binary, before binary, p binary, context binary, t binary, state binary"
-
-
-def _packed(values: np.ndarray, width: int | None = None) -> bytes:
-    """An array as bytes: all first bytes, all second ones and so on (of width, if given: the low ones), compressed;
-    small numbers take little room."""
-    bits = values.view(f"u{values.itemsize}")
-    planes = b"".join((bits >> bits.dtype.type(8 * j)).astype(np.uint8).tobytes() for j in range(width or values.itemsize))
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, kind: type, width: int | None = None) -> np.ndarray:
-    size, whole = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    if not size:
-        return np.array([], dtype=kind)
-    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype=np.uint8)
-    planes = planes.reshape(width or whole, -1)
-    bits = planes[0].astype(f"u{whole}")
-    for j in range(1, len(planes)):
-        if planes[j].any():
-            bits |= planes[j].astype(bits.dtype) << bits.dtype.type(8 * j)
-    return bits.view(kind)
+_SOUGHT = "chunk long, seqs long, done array<double>, words binary, pos binary, doc binary, gram binary, train binary, word binary, before binary, p binary, context binary, t binary, state binary"
+
+
+def _packed(*arrays: np.ndarray, widths: tuple = ()) -> bytes:
+    """Some arrays as bytes: of each all first bytes, all second ones and so on (of its width, if given: the low ones). Each of
+    these is compressed alone, but those of hashes; one of zeros takes no room."""
+    sizes, planes = [], []
+    for x, width in zip(arrays, widths or (None,) * len(arrays)):
+        for plane in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T[:width]:
+            data = plane.tobytes()
+            if x.dtype != np.uint64:
+                less = pa.compress(data, codec="zstd", asbytes=True) if np.frombuffer(data, dtype=np.uint8).any() else b""
+                data = less if len(less) < len(data) else data
+            sizes.append(len(data))
+            planes.append(data)
+    return np.array([*map(len, arrays), *sizes], dtype="<u4").tobytes() + b"".join(planes)
+
+
+def _unpacked(data: bytes, *kinds: type, widths: tuple = ()) -> list[np.ndarray]:
+    widths = [w or np.dtype(kind).itemsize for kind, w in zip(kinds, widths or (None,) * len(kinds))]
+    lengths = np.frombuffer(data, dtype="<u4", count=len(kinds)).tolist()
+    sizes = iter(np.frombuffer(data, dtype="<u4", count=sum(widths), offset=4 * len(kinds)).tolist())
+    out, at, data = [], 4 * (len(kinds) + sum(widths)), memoryview(data)
+    for kind, width, n in zip(kinds, widths, lengths):
+        values = np.zeros((n, np.dtype(kind).itemsize), dtype=np.uint8)
+        for j in range(width):
+            plane = data[at : at + next(sizes)]
+            at += len(plane)
+            if plane:
+                values[:, j] = np.frombuffer(plane if len(plane) == n else pa.decompress(plane, decompressed_size=n, codec="zstd", asbytes=True), dtype=np.uint8)
+        out.append(values.view(kind).ravel())
+    return out
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,45 +116,54 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)), number
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text, A-Z lower-cased; the end that follows them isn't listed."""
-    return (text or b"").lower().split()
+def _marked(number: np.ndarray) -> np.ndarray:
+    """Numbers in the order in which they first come, as 0 where they do and one more elsewhere: mostly zeros take little room."""
+    new = np.diff(np.maximum.accumulate(number), prepend=number.dtype.type(-1)) > 0
+    return np.where(new, 0, number + 1).astype(np.int32)
 
 
-class _Numbers(defaultdict):
-    """Numbers of words in the order in which they are first looked up; the end, which no word equals, is 0."""
+def _unmarked(code: np.ndarray) -> np.ndarray:
+    new = code == 0
+    return np.where(new, np.cumsum(new) - 1, code - 1)
 
-    def __init__(self):
-        super().__init__(self.__len__, {b"": 0})
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all words of some texts, an end before and after each text, and the texts' numbers of words."""
-        words = [tokens(text) for text in texts]
-        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        at = np.zeros(n.sum() + 2 * len(n), dtype=np.int32)
-        place = np.arange(n.sum()) + 2 * np.repeat(np.arange(len(n)), n) + 1
-        at[place] = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), dtype=np.int32, count=len(place))
-        return at, n
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and how many each text has; the ends that follow them aren't listed."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # of the six blanks, with an empty word where they begin or end a text
+    offsets, found = split.offsets.to_numpy(), split.flatten()
+    some = pc.not_equal(pc.binary_length(found), 0)
+    upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return found.filter(some), np.diff(upto[offsets - offsets[0]])
 
-    def hashes(self) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), dtype=np.uint64, count=len(self))
 
+def _numbered(words: list[pa.Array], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of distinct words, the end first, and the texts as places in them, with an end before and after each text."""
+    coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
+    distinct = pa.concat_arrays([coded.dictionary.cast(pa.large_binary())])
+    _, offsets, data = distinct.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[distinct.offset :][: len(distinct) + 1].tolist() if len(distinct) else [0]
+    data = data.to_pybytes() if data else b""
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in pairwise(ends)), dtype=np.uint64, count=len(distinct))
+    at = np.zeros(len(coded) + 2 * len(sizes), dtype=np.int32)
+    at[np.arange(len(coded)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = coded.indices.to_numpy() + 1
+    return np.concatenate([[_END], hashes]), at
 
-def chunks(rows: DataFrame) -> DataFrame:
-    """The chunks of rows (key, held_out, text), before anything is counted."""
+
+def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The chunks, of about so many tokens, of rows (key, held_out, text), before anything is counted."""
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 32
-        keys, held, seq, sizes, size, numbers = [], [], [], [], 0, _Numbers()
+        keys, held, seq, sizes, size = [], [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            at = np.concatenate(seq)
+            words, at = _numbered(seq, np.concatenate(sizes))
             order = np.argsort(-np.bincount(at), kind="stable")  # frequent words have small places, which compress
-            words, at = numbers.hashes()[order], np.argsort(order)[at]
+            words, at = words[order], np.argsort(order)[at]
             columns = [
                 pa.array([made], pa.int64()), pa.array([list(chain.from_iterable(keys))], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([np.concatenate(sizes) + 1], pa.list_(pa.int32())), pa.array([_packed(words)], pa.binary()),
+                pa.array([np.concatenate(sizes) + 1], pa.list_(pa.int32())), pa.array([len(words)], pa.int64()), pa.array([_packed(words)], pa.binary()),
                 pa.array([_packed(at.astype(np.int32))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=names)
@@ -149,19 +171,19 @@ def chunks(rows: DataFrame) -> DataFrame:
         key_type = None
         for batch in batches:
             key_type = batch.column(0).type
-            texts = pc.fill_null(batch.column(2).cast(pa.large_binary()), b"")
+            texts = pc.fill_null(batch.column(2).cast(pa.large_string()), "")
             group = np.cumsum(pc.binary_length(texts).to_numpy() + 1) // _GROUP
             cuts = np.flatnonzero(np.diff(group, prepend=-1))
             for low, high in zip(cuts, [*cuts[1:], len(group)]):
-                at, n = numbers.of(texts.slice(low, high - low).to_pylist())
+                words, n = tokens(texts.slice(low, high - low))
                 keys.append(batch.column(0).slice(low, high - low).to_pylist())
                 held.extend(batch.column(1).slice(low, high - low).to_pylist())
-                seq.append(at)
+                seq.append(words)
                 sizes.append(n)
-                size += len(at)
-                if size >= CHUNK:
+                size += len(words) + 2 * len(n)
+                if size >= chunk:
                     yield out()
-                    made, keys, held, seq, sizes, size, numbers = made + 1, [], [], [], [], 0, _Numbers()
+                    made, keys, held, seq, sizes, size = made + 1, [], [], [], [], 0
         if seq:
             yield out()
 
@@ -175,7 +197,7 @@ class _Chunk:
     def __init__(self, row: dict):
         self.row = row
         self.sizes = np.asarray(row["sizes"].flatten())
-        read = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
+        read = lambda name, kind: _unpacked(row[name][0].as_py(), kind)[0]
         self.words, self.at = read("words", np.uint64), read("at", np.int32)
         self.counts = read("counts", np.int64) if "counts" in row else None
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
@@ -194,19 +216,30 @@ class _Chunk:
         pos = np.flatnonzero(self.token)
         return self.per_doc((self.counts[self.at[pos]] > 0).astype(float), pos).astype(np.int64)
 
-    def start(self, total: tuple[int, int]) -> tuple[np.ndarray, _Sought]:
-        """The documents' scores by word counts alone, and the tokens before which one word is frequent enough to be sought."""
-        n, v = total
-        p = (self.counts + 0.5) / (n + 0.5 * (v + 1))
+    def base(self, total: tuple[int, int]) -> np.ndarray:
+        """The documents' scores by word counts alone."""
         pos = np.flatnonzero(self.token)
-        base = self.per_doc(np.log10(p[self.at[pos]]), pos)
-        t = self.counts[self.at[pos - 1]]
+        return self.per_doc(np.log10(self.p(total))[self.at[pos]], pos)
+
+    def p(self, total: tuple[int, int]) -> np.ndarray:
+        n, v = total
+        return (self.counts + 0.5) / (n + 0.5 * (v + 1))
+
+    def many(self) -> np.ndarray:
+        """Tokens before which one word is frequent enough to be sought."""
+        many = self.token.copy()
+        many[1:] &= (self.counts >= MIN_CONTEXT)[self.at[:-1]]
+        return many
+
+    def start(self, total: tuple[int, int]) -> _Sought:
+        p, many = self.p(total), self.many()
+        pos, rest = np.flatnonzero(many), np.flatnonzero(self.token & ~many)
         s = _Sought()
-        s.words, s.done = self.words, np.zeros(len(self.sizes))
-        s.pos, s.doc, s.word, s.context, s.train = pos.astype(np.int32), self.doc[pos].astype(np.int32), self.at[pos], self.words[self.at[pos - 1]], self.train[pos]
-        s.t, s.p, s.state = t, p[self.at[pos]], np.ones(len(pos), dtype=bool)
-        s.keep(t >= MIN_CONTEXT)
-        return base, s
+        s.words, s.done = self.words, self.per_doc(np.log10(p)[self.at[rest]], rest)
+        before = self.at[pos - 1]
+        s.pos, s.doc, s.word, s.context, s.train = pos.astype(np.int32), self.doc[pos].astype(np.int32), self.at[pos], self.words[before], self.train[pos]
+        s.t, s.p, s.state = self.counts[before], p[self.at[pos]], np.ones(len(pos), dtype=bool)
+        return s
 
 
 class _Words:
@@ -224,26 +257,25 @@ class _Sought:
     @staticmethod
     def read(row: dict) -> _Sought:
         s = _Sought()
-        get = lambda name, kind: _unpacked(row[name][0].as_py(), kind)
+        get = lambda name, kind: _unpacked(row[name][0].as_py(), kind)[0]
         s.done, s.words = np.asarray(row["done"].flatten(), dtype=float), get("words", np.uint64)
         s.pos, s.doc = (np.cumsum(get(n, np.int32), dtype=np.int32) for n in ("pos", "doc"))
-        s.train, gram = get("train", bool), get("gram", np.int32)
-        before = get("before", np.int32)[gram]
+        s.train, gram = get("train", bool), _unmarked(get("gram", np.int32))
+        before = _unmarked(get("before", np.int32))[gram]
         s.word, s.p = get("word", np.int32)[gram], get("p", np.float32)[gram].astype(float)
         s.context, s.t, s.state = get("context", np.uint64)[before], get("t", np.int64)[before], get("state", bool)[before]
         return s
 
     def columns(self) -> list:
-        """done and the packed arrays; words that no token has any more are left out."""
+        """seqs, done and the packed arrays; words that no token has any more are left out."""
         first, gram = _distinct(self.grams())
         at, before = _distinct(self.context[first])
         at = first[at]
         kept, word = np.unique(self.word[first], return_inverse=True)
         steps = lambda x: np.diff(x, prepend=np.int32(0)).astype(np.int32)
-        small = lambda x: x.astype(np.int32)
-        tokens = [steps(self.pos), steps(self.doc), small(gram), self.train]
-        arrays = [self.words[kept], *tokens, small(word), small(before), self.p[first].astype(np.float32), self.context[at], self.t[at], self.state[at]]
-        return [pa.array([self.done.tolist()], pa.list_(pa.float64())), *(pa.array([_packed(x)], pa.binary()) for x in arrays)]
+        tokens = [steps(self.pos), steps(self.doc), _marked(gram), self.train]
+        arrays = [self.words[kept], *tokens, word.astype(np.int32), _marked(before), self.p[first].astype(np.float32), self.context[at], self.t[at], self.state[at]]
+        return [pa.array([len(first)], pa.int64()), pa.array([self.done.tolist()], pa.list_(pa.float64())), *(pa.array([_packed(x)], pa.binary()) for x in arrays)]
 
     def grams(self) -> np.ndarray:
         """Hashes of each token's context and the token."""
@@ -279,14 +311,15 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Of a request: the contexts, each with its occurrences, whether it is tested and how many sequences follow; of these
+#: Of a request, packed: the contexts, each with its occurrences, whether it is tested and how many sequences follow; of these
 #: the hash, the count in the chunk's training documents and -log2 p by the context's suffix, in steps.
-_ASKED = "part int, chunk long, context binary, t binary, tested binary, runs binary, gram binary, n binary, steps binary"
-_ARRAYS = {"context": (np.uint64, 8), "t": (np.int64, 8), "tested": (np.bool_, 1), "runs": (np.int32, 4), "gram": (np.uint64, 6), "n": (np.int64, 8), "steps": (np.uint32, 3)}
-#: Of an answer: counts of the sequences and, of the contexts, whether they become states, both in the order of the
-#: request; those of them that have several parts. A part's own row (no chunk) has the sums and occurrences of those,
+_ASKED = "part int, chunk long, asked binary"
+_ARRAYS = {"context": (np.uint64, 8), "t": (np.int64, 8), "tested": (np.bool_, 1), "runs": (np.int32, 4), "gram": (np.uint64, 6), "n": (np.int64, 4), "steps": (np.uint32, 3)}
+_KINDS, _WIDTHS = zip(*_ARRAYS.values())
+#: Of an answer, packed: counts of the sequences and, of the contexts, whether they become states, both in the order of the
+#: request; and those contexts that have several parts. A part's own row (no chunk) has the sums and occurrences of those,
 #: how many others became states, and the occurrences and number of its sequences.
-_ANSWER = "part int, chunk long, totals binary, became binary, shared array<long>, saved array<double>, t array<long>, states long, n long, v long"
+_ANSWER = "part int, chunk long, reply binary, shared array<long>, saved array<double>, t array<long>, states long, n long, v long"
 
 
 def _each(rows: DataFrame, schema: str, work) -> DataFrame:
@@ -310,7 +343,7 @@ class _Request:
     def __init__(self, c: _Words | _Sought, parts: tuple[int, int]):
         if isinstance(c, _Words):
             each = np.arange(len(c.words))
-            gram, context, t, n = c.words, c.words, np.zeros(len(each), dtype=np.int64), c.n
+            gram, context, t, n = np.zeros(len(each), dtype=np.uint64), c.words, np.zeros(len(each), dtype=np.int64), c.n  # a word is its own context
             tested, p, back = np.zeros(len(each), dtype=bool), np.ones(len(each)), each
         else:
             self.grams = gram = c.grams()
@@ -341,7 +374,7 @@ def _reader(columns: list[str], total: tuple[int, int]):
     """From a row's columns what a chunk asks by: its words, without their counts, or else its sought tokens."""
     if "done" in columns:
         return _Sought.read
-    return (lambda row: _Chunk(row).start(total)[1]) if "counts" in columns else (lambda row: _Chunk(row).distinct())
+    return (lambda row: _Chunk(row).start(total)) if "counts" in columns else (lambda row: _Chunk(row).distinct())
 
 
 def ask(state: DataFrame, parts: tuple[int, int], total: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -353,13 +386,11 @@ def ask(state: DataFrame, parts: tuple[int, int], total: tuple[int, int] = (0, 0
         r = _Request(read(columns), parts)
         ends = np.concatenate([[0], np.cumsum(r.runs)])
         cuts = np.flatnonzero(np.diff(r.part, prepend=-1))
-        made = {name: [] for name in _ARRAYS}
+        made = []
         for low, high in zip(cuts, [*cuts[1:], len(r.part)]):
-            for name, (_, width) in _ARRAYS.items():
-                at = slice(ends[low], ends[high]) if name in ("gram", "n", "steps") else slice(low, high)
-                made[name].append(_packed(getattr(r, name)[at], width))
-        rows = [r.part[cuts], np.full(len(cuts), no)]
-        return rows + [pa.array(values, pa.binary()) for values in made.values()]
+            own, its = slice(low, high), slice(ends[low], ends[high])
+            made.append(_packed(r.context[own], r.t[own], r.tested[own], r.runs[own], r.gram[its], r.n[its], r.steps[its], widths=_WIDTHS))
+        return [r.part[cuts], np.full(len(cuts), no), pa.array(made, pa.binary())]
 
     return _each(state, _ASKED, work)
 
@@ -368,10 +399,10 @@ def answered(asked: DataFrame, parts: tuple[int, int]) -> DataFrame:
     """The answers of the parts to the chunks, and a row for each part."""
     names = [part.split(" ")[0] for part in _ANSWER.split(", ")]
     longs, bytes_ = pa.list_(pa.int64()), pa.binary()
-    types = [pa.int32(), pa.int64(), bytes_, bytes_, longs, pa.list_(pa.float64()), longs, pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int32(), pa.int64(), bytes_, longs, pa.list_(pa.float64()), longs, pa.int64(), pa.int64(), pa.int64()]
 
     def run(rows: pa.Table) -> pa.Table:
-        read = {name: [_unpacked(x.as_py(), kind, width) for x in rows[name]] for name, (kind, width) in _ARRAYS.items()}
+        read = dict(zip(_ARRAYS, zip(*(_unpacked(x.as_py(), *_KINDS, widths=_WIDTHS) for x in rows["asked"]))))
         sizes = [len(x) for x in read["context"]], [len(x) for x in read["gram"]]
         a = {name: np.concatenate(values) for name, values in read.items()}
         of = np.repeat(np.arange(len(a["context"])), a["runs"])
@@ -388,10 +419,10 @@ def answered(asked: DataFrame, parts: tuple[int, int]) -> DataFrame:
         shared = tested & (t > parts[1])
         became = tested & ~shared & (saved >= DIVERGENCE * t)
         part = rows["part"][0].as_py()
-        out = [(part, None, None, None, contexts[shared].view(np.int64), saved[shared], t[shared], int(became.sum()), int(count.sum()), int((count > 0).sum()))]
+        out = [(part, None, None, contexts[shared].view(np.int64), saved[shared], t[shared], int(became.sum()), int(count.sum()), int((count > 0).sum()))]
         cuts = [np.cumsum(x)[:-1] for x in sizes]
         for no, mine, counts in zip(rows["chunk"], np.split(which, cuts[0]), np.split(count[back], cuts[1])):
-            out.append((part, no.as_py(), _packed(counts), _packed(became[mine]), contexts[mine[shared[mine]]].view(np.int64), None, None, None, None, None))
+            out.append((part, no.as_py(), _packed(counts, became[mine]), contexts[mine[shared[mine]]].view(np.int64), None, None, None, None, None))
         return pa.Table.from_arrays([pa.array(list(column), kind) for column, kind in zip(zip(*out), types)], names=names)
 
     return asked.groupBy("part").applyInArrow(run, _ANSWER)
@@ -407,17 +438,18 @@ def passing(answers: DataFrame) -> DataFrame:
 def _replies(answers: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """A row for each answer to a chunk and, with states, for each of those contexts of several parts that it asked for."""
     asked = answers.where("chunk is not null")
-    replies = asked.select("chunk", "part", "totals", "became", F.lit(None).cast("long").alias("context"))
+    replies = asked.select("chunk", "part", "reply", F.lit(None).cast("long").alias("context"))
     if states is None:
         return replies
     shared = asked.select("chunk", F.explode("shared").alias("context")).distinct().join(states, "context", "left_semi")
-    return replies.union(shared.selectExpr("chunk", "null", "null", "null", "context"))
+    return replies.union(shared.selectExpr("chunk", "null", "null", "context"))
 
 
-def _joined(right: pa.Table, name: str, kind: type) -> np.ndarray:
-    """An array of all answers to a chunk, in the order in which it asked."""
+def _joined(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The counts and the new states of all answers to a chunk, in the order in which it asked."""
     own = right.filter(right["part"].is_valid()).sort_by("part")
-    return np.concatenate([np.array([], kind), *(_unpacked(x.as_py(), kind) for x in own[name])])
+    counts, became = zip(*(_unpacked(x.as_py(), np.int64, np.bool_) for x in own["reply"]), (np.array([], np.int64), np.array([], np.bool_)))
+    return np.concatenate(counts), np.concatenate(became)
 
 
 def counted(whole: DataFrame, answers: DataFrame, parts: tuple[int, int]) -> DataFrame:
@@ -426,8 +458,8 @@ def counted(whole: DataFrame, answers: DataFrame, parts: tuple[int, int]) -> Dat
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"chunk": pa.array([], pa.int64()), "counts": pa.array([], pa.binary())})
-        r = _Request(_Words(_unpacked(left["words"][0].as_py(), np.uint64), None), parts)
-        counts = _joined(right, "totals", np.int64)[r.back]
+        r = _Request(_Words(_unpacked(left["words"][0].as_py(), np.uint64)[0], None), parts)
+        counts = _joined(right)[0][r.back]
         return pa.table({"chunk": pa.array([left["chunk"][0].as_py()], pa.int64()), "counts": pa.array([_packed(counts)], pa.binary())})
 
     words = whole.select("chunk", "words").groupBy("chunk")
@@ -436,15 +468,15 @@ def counted(whole: DataFrame, answers: DataFrame, parts: tuple[int, int]) -> Dat
 
 
 def heads(whole: DataFrame, total: tuple[int, int]) -> DataFrame:
-    """chunk, keys, held, sizes, known, base of whole chunks with counts."""
+    """chunk, keys, held, sizes, known, base of whole chunks with counts, and seqs, how many sequences they ask for at most."""
 
     def work(no: int, columns: dict) -> list:
         c = _Chunk(columns)
-        per = [pa.array([c.known().tolist()], pa.list_(pa.int64())), pa.array([c.start(total)[0].tolist()], pa.list_(pa.float64()))]
-        return [columns["chunk"], columns["keys"], columns["held"], columns["sizes"], *per]
+        per = [pa.array([c.known().tolist()], pa.list_(pa.int64())), pa.array([c.base(total).tolist()], pa.list_(pa.float64()))]
+        return [columns["chunk"], columns["keys"], columns["held"], columns["sizes"], *per, [int(c.many().sum())]]
 
     kind = whole.schema["keys"].dataType.simpleString()
-    return _each(whole, f"chunk long, keys {kind}, held array<boolean>, sizes array<int>, known array<long>, base array<double>", work)
+    return _each(whole, f"chunk long, keys {kind}, held array<boolean>, sizes array<int>, known array<long>, base array<double>, seqs long", work)
 
 
 def update(state: DataFrame, answers: DataFrame, states: DataFrame, parts: tuple[int, int], total: tuple[int, int]) -> DataFrame:
@@ -452,7 +484,7 @@ def update(state: DataFrame, answers: DataFrame, states: DataFrame, parts: tuple
     became states: those of contexts longer by a word."""
     names = [part.split(" ")[0] for part in _SOUGHT.split(", ")]
     read = _reader(state.columns, total)
-    types = [pa.int64(), pa.list_(pa.float64()), *[pa.binary()] * (len(names) - 2)]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.float64()), *[pa.binary()] * (len(names) - 3)]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -460,9 +492,9 @@ def update(state: DataFrame, answers: DataFrame, states: DataFrame, parts: tuple
         left = left.combine_chunks()
         c = read({n: left[n].chunk(0) for n in left.column_names})
         r = _Request(c, parts)
-        count = _joined(right, "totals", np.int64)[r.back]
-        became = _joined(right, "became", np.bool_) | np.isin(r.context, right["context"].drop_null().to_numpy().view(np.uint64))
-        c.deepen(count, became[r.run[r.back]], r.grams)
+        count, became = _joined(right)
+        became |= np.isin(r.context, right["context"].drop_null().to_numpy().view(np.uint64))
+        c.deepen(count[r.back], became[r.run[r.back]], r.grams)
         return pa.Table.from_arrays([left["chunk"].chunk(0), *c.columns()], names=names)
 
     return state.groupBy("chunk").cogroup(_replies(answers, states).groupBy("chunk")).applyInArrow(run, _SOUGHT)
@@ -480,6 +512,16 @@ def finished(state: DataFrame, total: tuple[int, int]) -> DataFrame:
     return _each(state, "chunk long, done array<double>", work)
 
 
+def _growth(text: int) -> float:
+    """How much larger than CHUNK and PART chunks and parts are, for so many bytes of text."""
+    return max(1.0, (text / GROWS) ** 0.5)
+
+
+def _parts(asked: DataFrame, part: int) -> tuple[int, int]:
+    """How many parts the sequences that the chunks ask for fill, and the size of one."""
+    return (asked.agg(F.sum("seqs")).first()[0] or 0) // part + 1, part
+
+
 def score(docs: DataFrame, key: str = "doc_id", part: int = PART) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score and depth (of the tree) of each row of docs
     (key, text).
@@ -489,23 +531,25 @@ def score(docs: DataFrame, key: str = "doc_id", part: int = PART) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "suffixtree")
     rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), "text")
-    whole = ws.save(chunks(rows), "chunks")
-    size = whole.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
-    parts = (size // part + 1, part)
+    growth = _growth(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    part = round(part * growth)
+    whole = ws.save(chunks(rows, round(CHUNK * growth)), "chunks")
+    parts = _parts(whole, part)
     answers = ws.save(answered(ask(whole, parts), parts), "words")
     sums = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total = (sums.n or 0, sums.v or 0)
     whole = ws.save(counted(whole, answers, parts), "counted")
     ws.drop("chunks", "words")
     top = ws.save(heads(whole, total), "heads")
-    state, name, depth = whole, "counted", 1
+    state, asked, name, depth = whole, top, "counted", 1
     while True:
+        parts = _parts(asked, part)
         answers = ws.save(answered(ask(state, parts, total), parts), f"answers{depth}")
         states = ws.save(passing(answers), f"states{depth}")
         if not answers.agg(F.sum("states")).first()[0] and states.isEmpty():
             break
         # the tokens of the level, without the chunks' texts beyond one word
-        state = ws.save(update(state, answers, states, parts, total), f"state{depth + 1}")
+        state = asked = ws.save(update(state, answers, states, parts, total), f"state{depth + 1}")
         ws.drop(f"answers{depth}", name)
         depth, name = depth + 1, f"state{depth + 1}"
     found = ws.save(top.join(finished(state, total), "chunk"), "scored")

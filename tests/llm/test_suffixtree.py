@@ -4,7 +4,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from graywether.llm import suffixtree
 from graywether.llm.queries import QUERIES
@@ -109,3 +112,45 @@ def test_odd_rows(spark):
     assert suffixtree.score(empty(spark)).count() == 0
     key = next(i for i in range(99) if is_held(i))
     check(spark.createDataFrame([(key, "held out only")], "doc_id long, text string"))
+
+
+def test_requests_follow_what_is_sought_and_grow_with_the_input(spark, sf_dir, monkeypatch):
+    """A level has as many parts as its sequences fill, not its tokens; chunks and parts grow where their pairs would otherwise."""
+    docs, parts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), {}
+
+    class Counted(suffixtree.Workspace):
+        def save(self, df, table):
+            out = super().save(df, table)
+            if table.startswith("answers"):
+                parts[int(table[7:])] = out.where("chunk is null").count()
+            return out
+
+    monkeypatch.setattr(suffixtree, "Workspace", Counted)
+    want = {r.doc_id: r.score for r in suffixtree.score(docs).collect()}
+    parts.clear()
+    got = {r.doc_id: r.score for r in suffixtree.score(docs, part=1000).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    tokens = sum(len(split(r.text)) for r in docs.collect())
+    assert tokens // 1000 > 60 and parts[1] > 20  # beside their sequences, a level's tokens would fill all these
+    assert len(parts) >= 3 and all(parts[k] <= parts[1] // 2 for k in parts if k > 2)
+    text = sum(len((r.text or "").encode()) for r in docs.collect())
+    monkeypatch.setattr(suffixtree, "GROWS", text // 16)
+    monkeypatch.setattr(suffixtree, "CHUNK", 4000)
+    before = parts.copy()
+    assert {r.doc_id: r.score for r in suffixtree.score(docs, part=1000).collect()} == pytest.approx(want, rel=1e-9)
+    assert parts[1] <= before[1] // 2  # four times as large, of more and smaller chunks
+    assert [suffixtree._growth(x) for x in (0, text // 16, text)] == [1.0, 1.0, pytest.approx(4.0, rel=0.01)]
+
+
+def test_words_and_packed_arrays():
+    texts = ["", " ", "A b", "\x0b x\x0cY\r\n", "İ\x1c Éa\u0085b\xa0c", "b  "]
+    words, sizes = suffixtree.tokens(pa.array(["cut", *texts], pa.large_string()).slice(1))
+    want = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words.cast(pa.large_binary()).to_pylist() == [w for ws in want for w in ws]
+    hashes, at = suffixtree._numbered([words.slice(0, 2), words.slice(2)], sizes)
+    assert hashes[at].tolist() == [xxhash.xxh3_64_intdigest(w) for ws in want for w in (b"", *ws, b"")]
+    arrays = [np.array([1, 2**40 + 3, 5]), np.array([], np.float32), np.array([True, False]), np.array([7, 2**47 + 1], np.uint64)]
+    widths = (None, None, 1, 6)
+    back = suffixtree._unpacked(suffixtree._packed(*arrays, widths=widths), np.int64, np.float32, np.bool_, np.uint64, widths=widths)
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, back))
+    assert [x.tolist() for x in suffixtree._unpacked(suffixtree._packed(arrays[1]), np.float32)] == [[]]
